@@ -116,13 +116,13 @@ def claim_line_findings(lines: DataFrame, claims: DataFrame, salts: int = 16) ->
     aggregate over the lines alone.  Only receipts seen more than once go back to the lines, and
     both sides carry a salt, so equal lines of one huge claim spread over ``salts`` tasks.
     """
-    marked = _normalised(lines).withColumn("_salt", F.pmod(F.xxhash64("line_no"), F.lit(salts)))
+    marked = _normalised(lines).withColumn("_salt", F.pmod(F.xxhash64("line_no"), F.lit(salts)).cast("int"))
     firsts = (
         marked.filter(~_no_receipt())
         .groupBy(*RECEIPT)
         .agg(F.min("line_no").alias("_first"), F.count("*").alias("_n"))
         .filter(F.col("_n") > 1)
-        .select(*RECEIPT, "_first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("_salt"))
+        .select(*RECEIPT, "_first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     )
     checked = (
         marked.join(firsts, [*RECEIPT, "_salt"], "left")
