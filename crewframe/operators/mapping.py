@@ -177,9 +177,11 @@ def to_vendor(df: DataFrame, mapping: Mapping, keep: list[str] | None = None) ->
         node[leaf] = value
 
     def build(node: dict) -> Column:
-        return F.struct(*[(build(v) if isinstance(v, dict) else v).alias(k) for k, v in node.items()])
+        parts = {k: build(v) if isinstance(v, dict) else v for k, v in node.items()}
+        anything = F.coalesce(*[F.when(v.isNotNull(), True) for v in parts.values()])
+        return F.when(anything, F.struct(*[v.alias(k) for k, v in parts.items()]))
 
-    return df.select(*(keep or []), F.to_json(build(tree)).alias("payload"))
+    return df.select(*(keep or []), F.coalesce(F.to_json(build(tree)), F.lit("{}")).alias("payload"))
 
 
 # ------------------------------------------------------------------------------ catalog

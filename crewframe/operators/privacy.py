@@ -34,13 +34,24 @@ def token(kind: Column, value: Column, tenant: Column, secret: str) -> Column:
     return F.concat(F.lit("[VAULT_"), kind, F.lit("_"), letters, F.lit("]"))
 
 
-def _kind_of(value: Column) -> Column:
+# A phone match can have the shape of an earlier pattern where that one lacked its word edge.
+_SAME_SHAPE = {"PHONE": "AADHAAR"}
+
+
+def _kind(name: str, value: Column) -> Column:
     """Type by the first pattern that matches the whole value, so one value has one type."""
-    kind = None
-    for name, _ in refdata.PII_PATTERNS:
-        hit = F.regexp_extract(value, f"^({_pattern(name)})$", 0) != ""
-        kind = F.when(hit, F.lit(name)) if kind is None else kind.when(hit, F.lit(name))
-    return kind.otherwise(F.lit("PHONE"))
+    earlier = _SAME_SHAPE.get(name)
+    if earlier is None:
+        return F.lit(name)
+    whole = F.regexp_extract(value, f"^({_pattern(earlier)})$", 0) != ""
+    return F.when(whole, F.lit(earlier)).otherwise(F.lit(name))
+
+
+def _worth_looking(text: Column, mask_emails: bool) -> Column:
+    """Every pattern needs three digits in a row, or an @ for addresses: one cheap scan skips the
+    others for plain prose."""
+    digits = text.rlike(r"(?U)\d{3}")
+    return digits | F.contains(text, F.lit("@")) if mask_emails else digits
 
 
 def _names(mask_emails: bool) -> list[str]:
@@ -55,52 +66,73 @@ def _replace_one(text: Column, name: str, tenant: Column, secret: str) -> Column
 
     def joined(match: Column, piece: Column) -> Column:
         # the list of matches is one shorter than the list of pieces
-        put = F.when(match.isNull(), F.lit("")).otherwise(token(_kind_of(match), match, tenant, secret))
+        put = F.when(match.isNull(), F.lit("")).otherwise(token(_kind(name, match), match, tenant, secret))
         return F.concat(piece, put)
 
     rebuilt = F.array_join(F.zip_with(found, pieces, joined), "")
     return F.when(F.size(found) > 0, rebuilt).otherwise(text)
 
 
-def masked(text: Column, tenant: Column, secret: str, mask_emails: bool = False) -> Column:
-    """All patterns as one expression, for strings inside structs and arrays.
+def _once(value: Column, step) -> Column:
+    """``step(value)`` with the value bound to a lambda variable.
 
-    Each step binds the text before it to a lambda variable, so it is computed once.
+    A step reads its text several times.  Bound like this it is computed once, and the expression
+    stays small when the optimizer moves a filter on the result below it.
     """
-    steps = [(lambda name: lambda one: _replace_one(one, name, tenant, secret))(n) for n in _names(mask_emails)]
-    for step in steps:
-        text = F.get(F.transform(F.array(text), step), F.lit(0))
-    return text
+    return F.get(F.transform(F.array(value), step), F.lit(0))
+
+
+def masked(text: Column, tenant: Column, secret: str, mask_emails: bool = False) -> Column:
+    """The text with all patterns replaced, in their fixed order."""
+
+    def step(name: str):
+        return lambda one: _replace_one(one, name, tenant, secret)
+
+    out = text
+    for name in _names(mask_emails):
+        out = _once(out, step(name))
+    return F.when(_worth_looking(text, mask_emails), out).otherwise(text)
+
+
+def _found(text: Column, tenant: Column, secret: str, mask_emails: bool) -> Column:
+    """array<struct<entity_type, original_value>> of everything the patterns take, in order."""
+    none = F.array().cast("array<struct<entity_type:string,original_value:string>>")
+    state = F.struct(text.alias("text"), none.alias("found"))
+
+    def step(name: str):
+        def tagged(value: Column) -> Column:
+            return F.struct(_kind(name, value).alias("entity_type"), value.alias("original_value"))
+
+        def advance(before: Column) -> Column:
+            hits = F.regexp_extract_all(before["text"], F.lit(f"({_pattern(name)})"), F.lit(1))
+            return F.struct(
+                _replace_one(before["text"], name, tenant, secret).alias("text"),
+                F.concat(before["found"], F.transform(hits, tagged)).alias("found"),
+            )
+
+        return advance
+
+    for name in _names(mask_emails):
+        state = _once(state, step(name))
+    return state["found"]
 
 
 def mask_text(
     df: DataFrame, column: str, secret: str, tenant: str = "tenant_id", mask_emails: bool = False
 ) -> DataFrame:
-    """Replace personal data in a text column, pattern by pattern, in their fixed order.
-
-    Each pattern is one projection, so the text of the step before is computed once.
-    """
-    for name in _names(mask_emails):
-        df = df.withColumn(column, _replace_one(F.col(column), name, F.col(tenant), secret))
-    return df
+    """Replace personal data in a text column."""
+    return df.withColumn(column, masked(F.col(column), F.col(tenant), secret, mask_emails))
 
 
 def found_values(df: DataFrame, column: str, secret: str, tenant: str = "tenant_id", mask_emails: bool = False) -> DataFrame:
     """(tenant, token, original_value, entity_type) for every match, not yet distinct."""
-    keep = [tenant, "_text", "_found"]
-    work = df.select(tenant, F.col(column).alias("_text"), F.array().cast("array<string>").alias("_found"))
-    for name in _names(mask_emails):
-        hits = F.regexp_extract_all(F.col("_text"), F.lit(f"({_pattern(name)})"), F.lit(1))
-        # a space for each match keeps later patterns from joining the text around it
-        work = work.withColumn("_found", F.concat("_found", hits)).withColumn(
-            "_text", _replace_one(F.col("_text"), name, F.col(tenant), secret)
-        ).select(*keep)
-    value = F.col("original_value")
+    text = F.col(column)
+    # the outer form keeps the optimizer from running the whole scan again as a filter in front
     return (
-        work.filter(F.size("_found") > 0)
-        .select(tenant, F.explode("_found").alias("original_value"))
-        .withColumn("entity_type", _kind_of(value))
-        .withColumn("token", token(F.col("entity_type"), value, F.col(tenant), secret))
+        df.filter(_worth_looking(text, mask_emails))
+        .select(tenant, F.inline_outer(_found(text, F.col(tenant), secret, mask_emails)))
+        .filter(F.col("entity_type").isNotNull())
+        .withColumn("token", token(F.col("entity_type"), F.col("original_value"), F.col(tenant), secret))
         .select(tenant, "token", "original_value", "entity_type")
     )
 
