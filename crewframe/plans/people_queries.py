@@ -394,6 +394,8 @@ def _mutations(spark, sf_dir):
             F.struct(F.col("o_orderpriority").alias("prio"), F.col("o_custkey").alias("cust")).alias("ref"),
             ad.cents("o_totalprice").alias("cents"),
         ).alias("payload"),
+        F.col("o_custkey").alias("customer"),
+        F.col("o_orderdate").cast("timestamp").alias("written_at"),
     )
 
 
@@ -419,12 +421,12 @@ def idempotency_keys(spark, sf_dir):
 )
 def write_attribution(spark, sf_dir):
     """Audit columns of every order as a write."""
-    writes = _mutations(spark, sf_dir).join(
-        ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), "o_orderdate", "o_custkey"), "order_id"
-    ).withColumn("tenant_id", F.concat(F.lit("T"), (F.col("order_id") % 5).cast("string")))
+    writes = _mutations(spark, sf_dir).withColumn(
+        "tenant_id", F.concat(F.lit("T"), (F.col("order_id") % 5).cast("string"))
+    )
     return governance.attribution_columns(
-        writes, agent=F.lit("PayrollAgent"), approver=F.concat(F.lit("U"), F.col("o_custkey").cast("string")),
-        reasoning=F.to_json("payload"), at=F.col("o_orderdate").cast("timestamp"),
+        writes, agent=F.lit("PayrollAgent"), approver=F.concat(F.lit("U"), F.col("customer").cast("string")),
+        reasoning=F.to_json("payload"), at=F.col("written_at"),
     ).select("order_id", "agent_name", "hitl_approver_id", "reasoning_hash", "agent_invocation_id", "timestamp_utc")
 
 
