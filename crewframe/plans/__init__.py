@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ["pay_queries", "audit_queries", "people_queries", "schema_queries"]
+MODULES = ["pay_queries", "audit_queries", "people_queries", "schema_queries", "stream_queries"]
 
 
 def _load() -> None:
