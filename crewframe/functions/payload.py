@@ -90,10 +90,31 @@ def _datetime(text: Column) -> Column:
 
 def _date(text: Column) -> Column:
     """Calendar date as written; an offset does not shift it."""
-    iso = F.when(
-        text.rlike(r"^\d{4}-\d{2}-\d{2}") & _datetime(text).isNotNull(), F.substring(text, 1, 10).try_cast("date")
+    return (
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+        .when(
+            text.rlike(r"^\d{4}-\d{2}-\d{2}"),
+            F.when(_datetime(text).isNotNull(), F.substring(text, 1, 10).try_cast("date")),
+        )
+        .otherwise(F.to_date(_datetime(text)))
     )
-    return F.coalesce(iso, F.to_date(_datetime(text)))
+
+
+def _int(text: Column) -> Column:
+    return F.when(_strip(text).rlike(r"^-?\d+$"), _strip(text).try_cast("bigint"))
+
+
+# Transforms that only look at the text of a value.
+TEXT_TRANSFORMS = {
+    "string": lambda t: t,
+    "strip": _strip,
+    "lower": F.lower,
+    "upper": F.upper,
+    "int": _int,
+    "decimal": lambda t: _strip(t).try_cast("decimal(28,10)"),
+    "datetime": _datetime,
+    "date": _date,
+}
 
 
 def _item_text(item: Column) -> Column:
@@ -127,20 +148,8 @@ def _join_names(value: Column) -> Column:
     return F.when(joined != "", joined)
 
 
-def _int(value: Column) -> Column:
-    text = _strip(as_text(value))
-    return F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint"))
-
-
 TRANSFORMS = {
-    "string": as_text,
-    "strip": lambda v: _strip(as_text(v)),
-    "lower": lambda v: F.lower(as_text(v)),
-    "upper": lambda v: F.upper(as_text(v)),
-    "int": _int,
-    "decimal": lambda v: _strip(as_text(v)).try_cast("decimal(28,10)"),
-    "datetime": lambda v: _datetime(as_text(v)),
-    "date": lambda v: _date(as_text(v)),
+    **{name: (lambda change: lambda v: change(as_text(v)))(change) for name, change in TEXT_TRANSFORMS.items()},
     "list": _list,
     "join_names": _join_names,
     "bool": lambda v: F.try_variant_get(v, "$", "boolean"),
@@ -151,10 +160,28 @@ TRANSFORM_TYPES = {
 }
 
 
-def names_joined(payload: Column, paths: list[str]) -> Column:
-    """Non-empty values of several paths joined by a blank."""
-    parts = F.filter(
-        F.array(*[_strip(as_text(path_col(payload, p))) for p in paths]), lambda p: p.isNotNull() & (p != "")
-    )
-    joined = F.array_join(parts, " ")
-    return F.when(joined != "", joined)
+def text_at(payload: Column, path: str) -> Column:
+    """Text at a path; arrays and objects give their JSON."""
+    if "[]" in path or not path:
+        return as_text(path_col(payload, path))
+    prefix = "$"
+    for segment in path.split("."):
+        indexed = _INDEXED.match(segment)
+        name, index = indexed.groups() if indexed else (segment, "")
+        prefix += (json_step(name) if name else "") + (f"[{index}]" if index else "")
+    return F.try_variant_get(payload, prefix, "string")
+
+
+def filled_text(payload: Column, path: str, text: Column) -> Column:
+    """``text`` unless it is '' or the JSON of an empty array or object.
+
+    Only where it reads [] or {} is the value itself asked whether it is a string of that spelling.
+    """
+    is_string = F.schema_of_variant(path_col(payload, path)) == "STRING"
+    return F.when(text.isin("[]", "{}"), F.when(is_string, text)).when(text != "", text)
+
+
+def joined(texts: list[Column]) -> Column:
+    """Non-empty stripped texts joined by a blank."""
+    parts = [F.when(_strip(t) != "", _strip(t)) for t in texts]
+    return F.nullif(F.concat_ws(" ", *parts), F.lit(""))

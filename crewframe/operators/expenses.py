@@ -29,7 +29,8 @@ def _normalised(lines: DataFrame) -> DataFrame:
         {
             "_category": F.upper(F.coalesce(F.col("category"), F.lit("MISC"))),
             "_amount": F.coalesce(money("amount"), dec("0.00")),
-            "_date": F.coalesce(F.col("date").cast("string"), F.lit("None")),
+            # an undated line equals another undated one, in joins too
+            "_date": F.coalesce(F.col("date").cast("date"), F.lit("0001-01-01").cast("date")),
             "_receipt": F.when(uri != "", F.lit(True)).otherwise(F.coalesce(*receipt, F.lit(True))),
         }
     )
@@ -59,52 +60,51 @@ def _claim_terms(claims: DataFrame) -> DataFrame:
 def claim_report(lines: DataFrame, claims: DataFrame) -> DataFrame:
     """Totals and verdict per claim.
 
-    Equal lines of a claim share every check, so lines collapse to one row per distinct
-    (claim, date, amount, category, receipt) with a count before anything is joined: a claim of
-    any size is combined on the map side and no window over a claim is needed.  Of the rows
-    that pass the first two checks one is kept and the rest are duplicates.
+    Equal lines of a claim share every check but the receipt, so lines collapse to one row per
+    distinct (claim, date, amount, category) with two counts before anything is joined: a claim
+    of any size is combined on the map side and no window over a claim is needed.  Of the lines
+    that pass the first two checks one is kept and the rest are duplicates.  Sums run on whole cents.
     """
-    # lines differing only in the receipt flag are the same receipt once both pass
-    packed = _normalised(lines).groupBy(*RECEIPT, "_receipt").agg(F.count("*").alias("_n"))
-    checked = packed.join(_claim_terms(claims), "claim_id").withColumn("_verdict", _verdict(F.col("_approved")))
-    rejected = F.when(F.col("_verdict").isNotNull(), F.col("_n")).otherwise(0)
-    passed = F.when(F.col("_verdict").isNull(), F.col("_n")).otherwise(0)
-    amount, count = F.col("_amount"), lambda c: F.col(c).cast("decimal(10,0)")
-    receipts = checked.groupBy(*RECEIPT).agg(
-        F.sum(rejected).alias("_rejected"),
-        F.sum(passed).alias("_passed"),
-        F.first("currency").alias("currency"),
-        F.first("tier").alias("tier"),
-    ).withColumns(
-        {
-            "_duplicates": F.when(F.col("_passed") > 1, F.col("_passed") - 1).otherwise(0),
-            "_excess": F.when(
-                (F.col("_passed") > 0)
-                & F.col("_category").isin(refdata.MEAL_CATEGORIES)
-                & (amount > per_diem(F.col("currency"), F.col("tier"))),
-                amount - per_diem(F.col("currency"), F.col("tier")),
-            ).otherwise(dec("0.00")),
-        }
+    packed = (
+        _normalised(lines)
+        .groupBy(*RECEIPT)
+        .agg(F.count("*").alias("_lines"), F.count_if(_no_receipt()).alias("_unproven"))
+    )
+    barred = ~F.col("_approved") & F.col("_category").isin(refdata.PREAPPROVAL_CATEGORIES)
+    cents = lambda c: (c * 100).cast("bigint")
+    cap, amount = cents(per_diem(F.col("currency"), F.col("tier"))), F.col("_cents")
+    judged = (
+        packed.join(_claim_terms(claims), "claim_id")
+        .withColumns(
+            {"_cents": cents(F.col("_amount")), "_refused": F.when(barred, F.col("_lines")).otherwise(F.col("_unproven"))}
+        )
+        .withColumn("_passed", F.col("_lines") - F.col("_refused"))
+        .withColumns(
+            {
+                "_repeats": F.when(F.col("_passed") > 1, F.col("_passed") - 1).otherwise(F.lit(0)),
+                "_excess": F.when(
+                    (F.col("_passed") > 0) & F.col("_category").isin(refdata.MEAL_CATEGORIES) & (amount > cap), amount - cap
+                ).otherwise(F.lit(0)),
+            }
+        )
     )
-    totals = receipts.groupBy("claim_id", "currency").agg(
-        F.sum(amount * (count("_rejected") + count("_passed"))).alias("total_claimed"),
-        F.sum(amount * (count("_rejected") + count("_duplicates")) + F.col("_excess")).alias("total_disallowed"),
-        F.sum(F.col("_rejected") + F.col("_duplicates") + F.when(F.col("_excess") > 0, 1).otherwise(0)).alias(
-            "violations_count"
-        ),
+    gone = F.col("_refused") + F.col("_repeats")
+    totals = judged.groupBy("claim_id", "currency").agg(
+        F.sum(amount * F.col("_lines")).alias("_claimed"),
+        F.sum(amount * gone + F.col("_excess")).alias("_gone"),
+        F.sum(gone + F.when(F.col("_excess") > 0, 1).otherwise(0)).alias("violations_count"),
     )
-    approved = half_up(F.col("total_claimed") - F.col("total_disallowed"))
+    paid = F.col("_claimed") - F.col("_gone")
+    whole = lambda c: half_up(c.cast("decimal(20,0)") * dec("0.01", "decimal(3,2)"))
     return totals.select(
         "claim_id",
         "currency",
-        half_up(F.col("total_claimed")).alias("total_claimed"),
-        F.when(approved < 0, dec("0.00")).otherwise(approved).alias("total_approved"),
-        half_up(F.col("total_disallowed")).alias("total_disallowed"),
-        F.col("violations_count").cast("long").alias("violations_count"),
+        whole(F.col("_claimed")).alias("total_claimed"),
+        whole(F.when(paid < 0, F.lit(0)).otherwise(paid)).alias("total_approved"),
+        whole(F.col("_gone")).alias("total_disallowed"),
+        "violations_count",
         (F.col("violations_count") == 0).alias("is_fully_approved"),
-        F.when(approved > 0, F.lit("Next Payroll Cycle Disbursement")).otherwise(F.lit("N/A")).alias(
-            "reimbursement_schedule"
-        ),
+        F.when(paid > 0, F.lit("Next Payroll Cycle Disbursement")).otherwise(F.lit("N/A")).alias("reimbursement_schedule"),
     )
 
 

@@ -195,19 +195,31 @@ def provisioning_tasks(joiners: DataFrame) -> DataFrame:
 def audit_bias(df: DataFrame, column: str = "jd_text") -> DataFrame:
     """Biased terms found in a text and the text with each replaced by ``[replacement]``."""
     body = F.col(column)
-    hits, rewritten = [], body
-    for term, better in refdata.BIAS_TERMS:
-        pattern = rf"(?iU)\b{term}\b"
-        hits.append(
-            F.when(
-                F.lower(body).rlike(pattern),
-                F.struct(F.lit(term).alias("flagged_term"), F.lit(better).alias("replacement_recommendation")),
-            )
-        )
-        rewritten = F.regexp_replace(rewritten, pattern, f"[{better}]")
-    return df.withColumns(
-        {"detected_terms": F.array_compact(F.array(*hits)), "suggested_rewrite": rewritten}
-    ).withColumn("has_bias", F.size("detected_terms") > 0)
+    flags, better = {}, {}
+    for n, (term, replacement) in enumerate(refdata.BIAS_TERMS):
+        # the plain substring test spares the pattern on texts without the word
+        flags[f"_b{n}"] = F.contains(F.col("_lowered"), F.lit(term)) & body.rlike(rf"(?iU)\b{term}\b")
+        better[f"_b{n}"] = (term, replacement)
+
+    def replace_in(name: str):
+        term, replacement = better[name]
+        return lambda one: F.when(F.col(name), F.regexp_replace(one, rf"(?iU)\b{term}\b", f"[{replacement}]")).otherwise(one)
+
+    rewritten = body
+    for name in flags:  # no replacement holds another term, so the flags of the first text stay true
+        rewritten = F.get(F.transform(F.array(rewritten), replace_in(name)), F.lit(0))
+    hits = [
+        F.when(F.col(name), F.struct(F.lit(t).alias("flagged_term"), F.lit(r).alias("replacement_recommendation")))
+        for name, (t, r) in better.items()
+    ]
+    return (
+        df.withColumn("_lowered", F.lower(body))
+        .withColumns(flags)
+        .withColumns({"detected_terms": F.array_compact(F.array(*hits))})
+        .withColumn("has_bias", F.size("detected_terms") > 0)
+        .withColumn("suggested_rewrite", F.when(F.col("has_bias"), rewritten).otherwise(body))
+        .drop("_lowered", *flags)
+    )
 
 
 # ------------------------------------------------------------------------------- scores

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from crewframe import schemas
 from crewframe.functions.payload import (
-    TRANSFORM_TYPES, TRANSFORMS, as_text, is_filled, names_joined, path_col,
+    TEXT_TRANSFORMS, TRANSFORM_TYPES, TRANSFORMS, as_list, as_text, filled_text, is_array, is_filled, is_object, joined,
+    path_col, text_at,
 )
 
 
@@ -48,14 +49,22 @@ class Mapping:
     writeback: dict[str, str] = field(default_factory=dict)
 
 
-def field_col(payload: Column, rule: FieldRule) -> Column:
-    """Value of a rule: first filled path, transform, value map, default."""
-    if len(rule.source) > 1 and rule.transform == "join_names":
-        value = names_joined(payload, list(rule.source))
-    else:
-        filled = [(lambda raw: F.when(is_filled(raw), raw))(path_col(payload, p)) for p in rule.source]
-        value = TRANSFORMS[rule.transform](F.coalesce(*filled))
-    if rule.values and rule.transform not in ("list",):
+def _by_text(rule: FieldRule) -> bool:
+    """Does the rule only need the texts at its paths?"""
+    return rule.transform in TEXT_TRANSFORMS or (rule.transform == "join_names" and len(rule.source) > 1)
+
+
+def _transformed(rule: FieldRule, texts: list[Column], value: Column) -> Column:
+    if not _by_text(rule):
+        return TRANSFORMS[rule.transform](value)
+    if rule.transform == "join_names":
+        return joined(texts)
+    return TEXT_TRANSFORMS[rule.transform](texts[0])
+
+
+def _finished(rule: FieldRule, value: Column) -> Column:
+    """Value map and default."""
+    if rule.values and rule.transform != "list":
         table = F.create_map(*[F.lit(x) for pair in rule.values.items() for x in pair])
         text = value.cast("string")
         value = F.coalesce(F.try_element_at(table, text), F.try_element_at(table, F.upper(text)), text)
@@ -63,11 +72,22 @@ def field_col(payload: Column, rule: FieldRule) -> Column:
     if kind == "array<string>":
         default = F.array().cast(kind) if rule.default is None else F.split(F.lit(rule.default), ",")
         return F.when(F.size(value) > 0, value).otherwise(default)
+    if rule.values:
+        kind = "string"
     if kind == "string":
         value = F.when(value != "", value)
     return value if rule.default is None else F.coalesce(value, F.lit(rule.default).cast(kind))
 
 
+def field_col(payload: Column, rule: FieldRule) -> Column:
+    """Value of one rule as one expression: first filled path, transform, value map, default."""
+    texts = [text_at(payload, p) for p in rule.source]
+    if rule.transform != "join_names":
+        texts = [F.coalesce(*[filled_text(payload, p, t) for p, t in zip(rule.source, texts)])]
+    filled = [(lambda raw: F.when(is_filled(raw), raw))(path_col(payload, p)) for p in rule.source]
+    return _finished(rule, _transformed(rule, texts, F.coalesce(*filled)))
+
+
 def _is_empty(column: Column, rule: FieldRule) -> Column:
     if rule.transform == "list":
         return F.coalesce(F.size(column) == 0, F.lit(True))
@@ -89,8 +109,6 @@ def version(payload: Column, mapping: Mapping) -> Column:
 
 def records_of(response: Column, mapping: Mapping) -> Column:
     """array<variant> of the records in a response, by the mapping's collection path."""
-    from crewframe.functions.payload import as_list, is_array, is_object
-
     if mapping.collection_path:
         found = path_col(response, mapping.collection_path)
         return F.when(is_array(found), as_list(found)).when(is_filled(found), F.array(found))
@@ -98,9 +116,43 @@ def records_of(response: Column, mapping: Mapping) -> Column:
 
 
 def project(df: DataFrame, mapping: Mapping, payload: str = "payload") -> DataFrame:
-    """All columns of ``df`` plus one per rule (prefix ``m_``) and ``_errors``."""
+    """All columns of ``df`` plus one per rule (prefix ``m_``) and ``_errors``.
+
+    Texts, filled texts and transforms are columns of their own, one projection each: a path is
+    read from the payload once however often its transform looks at it.
+    """
     body = F.col(payload)
-    out = df.withColumns({f"m_{rule.target}": field_col(body, rule) for rule in mapping.fields})
+    named = {rule.target: rule for rule in mapping.fields}
+    texts = {
+        f"_t_{target}_{i}": text_at(body, path)
+        for target, rule in named.items()
+        for i, path in enumerate(rule.source)
+        if _by_text(rule)
+    }
+    values = {}
+    for target, rule in named.items():
+        if not _by_text(rule):
+            filled = [(lambda raw: F.when(is_filled(raw), raw))(path_col(body, p)) for p in rule.source]
+            values[f"_v_{target}"] = F.coalesce(*filled)
+    firsts = {
+        f"_f_{target}": F.coalesce(
+            *[filled_text(body, path, F.col(f"_t_{target}_{i}")) for i, path in enumerate(rule.source)]
+        )
+        for target, rule in named.items()
+        if rule.transform in TEXT_TRANSFORMS
+    }
+    changed = {}
+    for target, rule in named.items():
+        if rule.transform == "join_names" and _by_text(rule):
+            given = [F.col(f"_t_{target}_{i}") for i in range(len(rule.source))]
+        else:
+            given = [F.col(f"_f_{target}")] if _by_text(rule) else []
+        value = F.lit(None) if _by_text(rule) else F.col(f"_v_{target}")
+        changed[f"_c_{target}"] = _transformed(rule, given, value)
+    out = df
+    for step in (texts | values, firsts, changed):
+        out = out.withColumns(step) if step else out
+    out = out.withColumns({f"m_{t}": _finished(rule, F.col(f"_c_{t}")) for t, rule in named.items()})
     errors = [
         F.when(
             _is_empty(F.col(f"m_{rule.target}"), rule),
@@ -110,7 +162,10 @@ def project(df: DataFrame, mapping: Mapping, payload: str = "payload") -> DataFr
         if rule.required
     ]
     listed = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>")
-    return out.withColumn("_errors", listed)
+    row = F.struct(*[f"m_{t}" for t in named], listed.alias("_errors"))
+    # The one-row generator keeps a later filter on the errors above the projections; moved below
+    # them it would work out the required fields a second time, in front of any repartitioning.
+    return out.select(*df.columns, F.inline_outer(F.array(row)))
 
 
 def canonical_columns(df: DataFrame, mapping: Mapping, payload: str, tenant: Column) -> list[Column]:

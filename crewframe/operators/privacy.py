@@ -16,8 +16,15 @@ TOKEN = r"\[VAULT_[A-Z0-9_]+_[A-Z]{20}\]"
 VAULT_FIELDS = "struct<token:string,original_value:string,entity_type:string>"
 
 
+# What the first character of a match can be.  Looking at it first spares the costly Unicode word
+# edge at nearly every position of a text and changes no match.
+_FIRST = {
+    "AADHAAR": r"\d", "PAN": "[A-Z]", "EMIRATES_ID": "7", "SSN": r"\d", "EMAIL": "[A-Za-z0-9._%+-]", "PHONE": r"[+(\d]",
+}
+
+
 def _pattern(name: str) -> str:
-    return "(?U)" + dict(refdata.PII_PATTERNS)[name]
+    return f"(?U)(?={_FIRST[name]})" + dict(refdata.PII_PATTERNS)[name]
 
 
 def token(kind: Column, value: Column, tenant: Column, secret: str) -> Column:

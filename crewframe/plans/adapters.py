@@ -84,7 +84,8 @@ def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     number is spelled from all columns that tell lines apart."""
     part = F.col("l_partkey")
     pad = lambda c, n: F.lpad(F.col(c).cast("bigint").cast("string"), n, "0")
-    return table(spark, sf_dir, "lineitem").select(
+    columns = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_returnflag l_shipdate".split()
+    return spread(table(spark, sf_dir, "lineitem").select(*columns), "l_orderkey").select(
         F.col("l_orderkey").alias("claim_id"),
         F.concat(
             pad("l_linenumber", 3), pad("l_partkey", 12), pad("l_suppkey", 12), pad("l_quantity", 6),

@@ -8,6 +8,7 @@ from crewframe import refdata
 from crewframe.operators import dedupe, governance, hiring, privacy, search
 from crewframe.plans import adapters as ad
 from crewframe.plans.registry import query
+from crewframe.session import cut
 from crewframe.plans.sqlviews import hu, pick, text, with_views
 
 SECRET = "comparison-run-key"  # only for the comparison; a deployment passes its own
@@ -364,9 +365,9 @@ def pii_vault(spark, sf_dir):
 
 @query("unmasked_text", with_views(["private_texts"], "SELECT doc_id, md5(text) AS text_md5 FROM private_texts"))
 def unmasked_text(spark, sf_dir):
-    """Mask every document and put the values back: the original text again."""
+    """Mask every document, store that, and put the values back: the original text again."""
     texts = ad.private_texts(spark, sf_dir)
-    masked = privacy.mask_text(texts, "text", SECRET)
+    masked = cut(privacy.mask_text(texts, "text", SECRET))
     back = privacy.unmask_text(masked, privacy.vault(texts, "text", SECRET), "text", "doc_id")
     return back.select("doc_id", F.md5("text").alias("text_md5"))
 
