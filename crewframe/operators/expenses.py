@@ -108,24 +108,28 @@ def claim_report(lines: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
-def claim_line_findings(lines: DataFrame, claims: DataFrame, salts: int = 16) -> DataFrame:
+def claim_line_findings(lines: DataFrame, claims: DataFrame) -> DataFrame:
     """One row per line that breaks a rule, in the order of the checks.
 
     Which of equal lines is kept (the first by ``line_no``) needs no claim data: where travel
     was not approved, every one of them is refused anyway.  So the first line is a combining
-    aggregate over the lines alone.  Only receipts seen more than once go back to the lines, and
-    both sides carry a salt, so equal lines of one huge claim spread over ``salts`` tasks.
+    aggregate over the lines alone, and only receipts seen more than once go back to the lines.
+
+    The extra key ``_hash`` makes both sides of that join plain shuffles.  Those the adaptive skew
+    join can split, so equal lines of one huge claim spread over as many tasks as their size asks
+    for; on top of the aggregate's own partitioning it could not.
     """
-    marked = _normalised(lines).withColumn("_salt", F.pmod(F.xxhash64("line_no"), F.lit(salts)).cast("int"))
+    hashed = F.xxhash64(*RECEIPT)
+    marked = _normalised(lines).withColumn("_hash", hashed)
     firsts = (
         marked.filter(~_no_receipt())
         .groupBy(*RECEIPT)
         .agg(F.min("line_no").alias("_first"), F.count("*").alias("_n"))
         .filter(F.col("_n") > 1)
-        .select(*RECEIPT, "_first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        .select(*RECEIPT, "_first", hashed.alias("_hash"))
     )
     checked = (
-        marked.join(firsts, [*RECEIPT, "_salt"], "left")
+        marked.join(firsts, [*RECEIPT, "_hash"], "left")
         .join(_claim_terms(claims), "claim_id")
         .withColumn("_verdict", _verdict(F.col("_approved")))
     )

@@ -46,22 +46,25 @@ def profile_records(df: DataFrame, keys: list[str], order: str, payload: str = "
     sketch that is exact up to 48 values, and is used only where the distinct estimate says there
     are far fewer.  The three samples are a top-k per field that is cut down before the shuffle.
     """
-    rows = field_rows(df, keys, order, payload)
-    present = rows.filter(~F.is_variant_null("value")).select(
+    value = F.col("value")
+    given = ~F.is_variant_null("value")
+    rows = field_rows(df, keys, order, payload).select(
         *keys,
         "field",
-        "_ord",
-        infer_field_type(F.col("value")).alias("_type"),
-        F.when(F.schema_of_variant("value") == "BOOLEAN", F.initcap(as_text(F.col("value"))))
-        .otherwise(as_text(F.col("value")))
-        .alias("_text"),
+        F.when(given, F.col("_ord")).alias("_ord"),
+        F.when(given, infer_field_type(value)).alias("_type"),
+        F.when(
+            given, F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(as_text(value))).otherwise(as_text(value))
+        ).alias("_text"),
     )
+    present = rows.filter(F.col("_ord").isNotNull())
     group = [*keys, "field"]
-    values = present.groupBy(*group).agg(
-        F.count("*").alias("non_null_count"),
+    # rows whose value is null have no order and leave every aggregate alone
+    values = rows.groupBy(*group).agg(
+        F.count("_ord").alias("non_null_count"),
         F.min_by("_type", "_ord").alias("data_type"),
         F.approx_count_distinct("_text").alias("_estimate"),
-        F.expr(f"approx_top_k(_text, {ENUM_LIMIT + 1}, 64)").alias("_top"),
+        F.expr(f"approx_top_k(_text, {ENUM_LIMIT + 1}, 64) FILTER (WHERE _text IS NOT NULL)").alias("_top"),
     )
     first = (
         present.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_ord")))
@@ -69,15 +72,12 @@ def profile_records(df: DataFrame, keys: list[str], order: str, payload: str = "
         .groupBy(*group)
         .agg(F.array_sort(F.collect_list(F.struct("_n", "_text")))["_text"].alias("sample_values"))
     )
-    # a field that is null wherever it occurs still has a profile
-    fields = rows.select(*group).distinct()
     totals = df.groupBy(*keys).agg(F.count("*").alias("record_count"))
-    few = (F.col("_estimate") <= 2 * ENUM_LIMIT) & (F.size("_top") <= ENUM_LIMIT)
+    filled = F.col("non_null_count")
+    few = (filled > 0) & (F.col("_estimate") <= 2 * ENUM_LIMIT) & (F.size("_top") <= ENUM_LIMIT)
     none = F.array().cast("array<string>")
-    filled = F.coalesce(F.col("non_null_count"), F.lit(0))
     return (
-        fields.join(values, group, "left")
-        .join(first, group, "left")
+        values.join(first, group, "left")
         .join(totals, keys)
         .select(
             *group,
