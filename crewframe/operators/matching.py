@@ -8,6 +8,8 @@ expression over that short list.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,9 @@ from crewframe.operators.mapping import FieldRule, Mapping
 # no entity has more targets than this, and one of them may use two fields
 REACH = max(len(block.strip().splitlines()) for block in refdata.CANONICAL_FIELDS.values()) + 1
 
-_SPEC_SCHEMA = (
-    "entity string, target string, position int, transform string, synonyms array<string>, compound array<string>, "
-    "required boolean, `default` string, enum_keys array<string>, enum_values array<string>"
+_SPEC_FIELDS = (
+    "entity:string,target:string,position:int,transform:string,synonyms:array<string>,compound:array<string>,"
+    "required:boolean,default:string,enum_keys:array<string>,enum_values:array<string>"
 )
 _PICK = (
     "struct<target:string,position:int,source:array<string>,confidence:double,transform:string,rationale:string,"
@@ -29,9 +31,19 @@ _PICK = (
 
 def canonical_spec(spark) -> DataFrame:
     """The constant matching spec as a relation."""
-    names = ["entity", "target", "position", "transform", "synonyms", "compound", "required", "default", "enum_keys",
-             "enum_values"]
-    return spark.createDataFrame([tuple(row[n] for n in names) for row in refdata.canonical_spec()], _SPEC_SCHEMA)
+    names = [part.split(":")[0] for part in _SPEC_FIELDS.split(",")]
+    kinds = ", ".join(f"`{part.split(':')[0]}` {part.split(':')[1]}" for part in _SPEC_FIELDS.split(","))
+    return spark.createDataFrame([tuple(row[n] for n in names) for row in refdata.canonical_spec()], kinds)
+
+
+def spec_of(entity: Column) -> Column:
+    """The targets of an entity as an array: a constant that is folded into the plan, so bringing
+    the spec to the fields takes no join."""
+    by_entity: dict = {}
+    for row in refdata.canonical_spec():
+        by_entity.setdefault(row["entity"], []).append(row)
+    spec = F.from_json(F.lit(json.dumps(by_entity)), f"map<string,array<struct<{_SPEC_FIELDS}>>>")
+    return F.try_element_at(spec, F.upper(entity))
 
 
 def normalised(name: Column) -> Column:
@@ -59,7 +71,7 @@ def align_enums(host_values: Column, keys: Column, values: Column) -> Column:
     return F.when((F.size(keys) > 0) & (F.size(host_values) > 0), F.map_from_entries(pairs)).otherwise(empty)
 
 
-def _single_candidates(profile: DataFrame, spec: DataFrame, keys: list[str], entity: str) -> DataFrame:
+def _single_candidates(profile: DataFrame, keys: list[str], entity: str) -> DataFrame:
     """Scored (host field, target) candidates; level 2 synonym, 3 normalised, 4 substring."""
     host, lower = F.col("field"), F.lower(F.col("field"))
     lowered = F.transform("synonyms", lambda s: F.lower(s))
@@ -109,7 +121,7 @@ def _single_candidates(profile: DataFrame, spec: DataFrame, keys: list[str], ent
         )
     )
     return (
-        profile.join(F.broadcast(spec), F.upper(profile[entity]) == spec["entity"])
+        profile.select(*keys, "field", "enum_values_host", F.inline(spec_of(F.col(entity))))
         .withColumn("_best", best)
         .filter(F.col("_best").isNotNull())
         .select(
@@ -130,7 +142,7 @@ def _single_candidates(profile: DataFrame, spec: DataFrame, keys: list[str], ent
     )
 
 
-def _compound_candidates(profile: DataFrame, spec: DataFrame, keys: list[str], entity: str) -> DataFrame:
+def _compound_candidates(profile: DataFrame, keys: list[str], entity: str) -> DataFrame:
     """Pairs of name parts for targets that may be built from two fields."""
     norm = normalised(F.col("field"))
 
@@ -141,7 +153,8 @@ def _compound_candidates(profile: DataFrame, spec: DataFrame, keys: list[str], e
         return F.min(F.when(at > 0, F.struct(at.alias("at"), F.col("field").alias("name"))))["name"]
 
     return (
-        profile.join(F.broadcast(spec.filter(F.size("compound") == 2)), F.upper(profile[entity]) == spec["entity"])
+        profile.select(*keys, "field", F.inline(spec_of(F.col(entity))))
+        .filter(F.size("compound") == 2)
         .groupBy(*keys, "target", "position", "required", "default")
         .agg(part(0).alias("_a"), part(1).alias("_b"), F.max(F.col("field") == F.col("target")).alias("_direct"))
         .filter(F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~F.col("_direct"))
@@ -218,14 +231,13 @@ def spec_from_profile(profile: DataFrame, keys: list[str]) -> DataFrame:
 
 def match_fields(profile: DataFrame, keys: list[str], entity: str = "entity_type") -> DataFrame:
     """Mapping rows per key group: target, source fields, transform, confidence, enum map, writeback."""
-    spec = canonical_spec(profile.sparkSession)
     known = F.upper(F.col(entity)).isin(list(refdata.CANONICAL_FIELDS))
     rows = profile.filter(known).withColumnRenamed("enum_values", "enum_values_host")
-    single = _single_candidates(rows, spec, keys, entity)
+    single = _single_candidates(rows, keys, entity)
     # row_number <= k is cut down inside each map task before anything is shuffled
     best = Window.partitionBy(*keys, "target").orderBy("level", "order", "host")
     single = single.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= REACH).drop("_n")
-    pairs = _compound_candidates(rows, spec, keys, entity)
+    pairs = _compound_candidates(rows, keys, entity)
     listed = [
         "position", "level", "order", "host", "target", "source", "confidence", "transform", "rationale",
         "is_required", "default", "enum_map",
@@ -250,7 +262,6 @@ def _rank(row: Column) -> Column:
 
 def match_report(profile: DataFrame, matches: DataFrame, keys: list[str], entity: str = "entity_type") -> DataFrame:
     """Average confidence, unmapped targets, number of unmapped host fields and of write paths."""
-    spec = canonical_spec(profile.sparkSession)
     mapped = matches.groupBy(*keys).agg(
         F.round(F.avg("confidence"), 3).alias("average_confidence"),
         F.count("*").alias("mapped_count"),
@@ -258,14 +269,12 @@ def match_report(profile: DataFrame, matches: DataFrame, keys: list[str], entity
         # at most the targets of one entity where a spec exists
         F.collect_set(F.when(F.col("position").isNotNull(), F.col("target"))).alias("_targets"),
     )
-    targets = spec.groupBy("entity").agg(F.collect_list(F.struct("position", "target")).alias("_spec"))
     hosts = profile.groupBy(*keys).agg(F.count("*").alias("host_fields"))
     used = unmapped_host_fields(profile, matches, keys).groupBy(*keys).agg(F.count("*").alias("_free"))
-    wanted = F.array_sort("_spec")["target"]
+    wanted = spec_of(F.col(entity))["target"]
     return (
         hosts.join(mapped, keys, "left")
         .join(used, keys, "left")
-        .join(F.broadcast(targets), F.upper(F.col(entity)) == F.col("entity"), "left")
         .select(
             *keys,
             F.coalesce("average_confidence", F.lit(0.0)).alias("average_confidence"),

@@ -10,6 +10,7 @@ from crewframe.operators import matching, profiling, quality
 from crewframe.plans import adapters as ad
 from crewframe.plans.registry import query
 from crewframe.plans.sqlviews import listed, pick, text, with_views
+from crewframe.session import cut
 from crewframe.sources import export, landed, tables
 
 # ------------------------------------------------------------------------------- landing
@@ -113,7 +114,8 @@ def id_fields(spark, sf_dir):
 
 
 def _matched(spark, sf_dir):
-    profile = profiling.profile_records(ad.staff_payloads(spark, sf_dir), KEYS, "employee_id")
+    """The profile is read several times from here on, so it is stored first."""
+    profile = cut(profiling.profile_records(ad.staff_payloads(spark, sf_dir), KEYS, "employee_id"))
     return profile, matching.match_fields(profile, KEYS)
 
 
@@ -217,7 +219,7 @@ def field_matches(spark, sf_dir):
 def match_report(spark, sf_dir):
     """Confidence and gaps of every tenant's mapping."""
     profile, matches = _matched(spark, sf_dir)
-    return matching.match_report(profile, matches, KEYS)
+    return matching.match_report(profile, cut(matches), KEYS)
 
 
 # ------------------------------------------------------------------------------- mapping
