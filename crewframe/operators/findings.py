@@ -48,6 +48,19 @@ def finding(
     )
 
 
+def attach_citation(findings: DataFrame, rule: str = "rule_key") -> DataFrame:
+    """Statute footnote by rule for findings that came without one.
+
+    Each rule's statute is the first of its jurisdiction that holds the rule's key; with five rules
+    that is resolved once into a CASE of literals.
+    """
+    citation = None
+    for key, footnote in refdata.RULE_CITATIONS.items():
+        hit = F.col(rule) == key
+        citation = F.when(hit, F.lit(footnote)) if citation is None else citation.when(hit, F.lit(footnote))
+    return findings.withColumn("statutory_citation", citation)
+
+
 def emit(df: DataFrame, rules: list[tuple[Column, Column]], keep: list[str]) -> DataFrame:
     """Rows of ``df`` times the rules they break, one finding per row.
 

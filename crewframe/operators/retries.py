@@ -66,15 +66,14 @@ def kept_times(times: DataFrame, keys: list[str], ttl_micros: int) -> DataFrame:
     steps = _jumps(times.join(busy, keys, "left_semi"), keys, ttl_micros)
     # jumps onto a certain time add nothing
     steps = cut(steps.join(follows.withColumnRenamed("t", "nxt"), [*keys, "nxt"], "left_semi"))
-    while not steps.isEmpty():
-        reached = steps.join(kept, [*keys, "t"], "left_semi").select(*keys, F.col("nxt").alias("t")).distinct()
-        fresh = cut(reached.join(kept, [*keys, "t"], "left_anti"))
+    while True:
+        # jumps of 2**i from the first 2**i kept times of a run reach the next 2**i: nothing twice
+        fresh = cut(steps.join(kept, [*keys, "t"], "left_semi").select(*keys, F.col("nxt").alias("t")))
         if fresh.isEmpty():
-            break
-        kept = cut(kept.unionByName(fresh))
+            return kept
+        kept = kept.unionByName(fresh)
         onward = steps.select(*keys, F.col("t").alias("nxt"), F.col("nxt").alias("far"))
         steps = cut(steps.join(onward, [*keys, "nxt"]).select(*keys, "t", F.col("far").alias("nxt")))
-    return kept
 
 
 def dedupe_mutations(

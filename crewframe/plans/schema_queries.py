@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crewframe import refdata
+from crewframe.operators import compliance
 from crewframe.operators import mapping as mp
 from crewframe.operators import matching, profiling, quality
+from crewframe.operators.findings import attach_citation
 from crewframe.plans import adapters as ad
+from crewframe.plans.audit_queries import FINDINGS
 from crewframe.plans.registry import query
 from crewframe.plans.sqlviews import listed, pick, text, with_views
-from crewframe.session import cut
+from crewframe.session import cut, scratch
 from crewframe.sources import export, landed, tables
 
 # ------------------------------------------------------------------------------- landing
@@ -61,6 +64,34 @@ def _landed(vendor):
 for _vendor in ENVELOPES:
     _landed(_vendor)
 
+
+
+@query("landed_files", "SELECT c_custkey AS record_id, c_name AS name FROM customer")
+def landed_files(spark, sf_dir):
+    """Write every response as a line of landed text files, read the files and unwrap them."""
+    folder = scratch(spark, "landed-files")
+    _pages(spark, sf_dir, ENVELOPES["bamboohr"]).select("body").write.text(folder)
+    rows = landed.read_landed(spark, folder, "bamboohr", "EMPLOYEE")
+    return rows.select(
+        F.try_variant_get("payload", "$.id", "bigint").alias("record_id"),
+        F.try_variant_get("payload", "$.name", "string").alias("name"),
+    )
+
+
+@query(
+    "employees_json_audit",
+    with_views(["employees"], "SELECT tenant_id, violation_id, severity, statutory_citation FROM found", FINDINGS),
+)
+def employees_json_audit(spark, sf_dir):
+    """Write the staff master as JSON, read it with the audit schema and audit it."""
+    folder = scratch(spark, "staff-json")
+    ad.employees(spark, sf_dir).drop("employee_id", "tenure_years", "on_probation").write.json(folder)
+    staff = landed.read_employees_json(spark, folder, multi_line=False)
+    return attach_citation(compliance.audit_employees(staff).drop("statutory_citation")).select(
+        "tenant_id", "violation_id", "severity", "statutory_citation"
+    )
+
+
 # -------------------------------------------------------------------- profile and match
 KEYS = ["tenant_id", "vendor", "entity_type"]
 # field -> (type, value as text, nullable text) of the staff records, for the SQL side
@@ -267,6 +298,22 @@ def canonical_employees(spark, sf_dir):
     )
 
 
+@query(
+    "canonical_table",
+    with_views(
+        ["staff"],
+        """SELECT tenant_id, count(*) AS employees, sum(base_cents)::DOUBLE AS salary FROM staff
+        WHERE email IS NOT NULL GROUP BY tenant_id""",
+    ),
+)
+def canonical_table(spark, sf_dir):
+    """Write the canonical table by tenant and entity and read the entity's folders back."""
+    folder = scratch(spark, "canonical")
+    tables.write_canonical(_canonical(spark, sf_dir)[0], folder)
+    stored = spark.read.parquet(folder).filter(F.col("entity_type") == "EMPLOYEE")
+    return stored.groupBy("tenant_id").agg(F.count("*").alias("employees"), F.sum("salary").alias("salary"))
+
+
 @query(
     "canonical_rejects",
     with_views(

@@ -12,6 +12,7 @@ from crewframe.plans.people_queries import SECRET, _mask_steps
 from crewframe.plans.registry import query
 from crewframe.plans.schema_queries import KEYS, REJECTED, STAFF_MAPPING
 from crewframe.plans.sqlviews import with_views
+from crewframe.session import scratch
 from crewframe.streaming import landing, mutations, punches
 
 
@@ -20,7 +21,7 @@ def _replay(spark: SparkSession, rows: DataFrame, name: str, files: int = 3, las
 
     ``last`` lands after them: one row far ahead, which moves the watermark past everything.
     """
-    folder = landing.scratch(spark, f"landed-{name}")
+    folder = scratch(spark, f"landed-{name}")
     rows.repartition(files).write.parquet(folder)
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(folder)

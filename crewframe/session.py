@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the cluster's shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/crewframe/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so a lost executor does not replay the rounds before."""
+    """Store the rows as a table in the shared folder and go on from there.
+
+    A lost executor then does not replay the rounds before, the rows are computed once, and the
+    planner knows their size.
+    """
     spark = df.sparkSession
-    named = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

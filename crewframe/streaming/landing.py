@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewframe.operators import privacy, quality
 from crewframe.operators.mapping import Mapping
-from crewframe.session import shared_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/crewframe/{name}-{uuid.uuid4().hex[:12]}"
+from crewframe.session import scratch
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, each=None):
