@@ -21,7 +21,15 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, each=None):
         rows = each(batch) if each else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf, wide = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(wide)
+    # the number of state partitions is fixed by the first start: no more than there are cores
+    conf.set(wide, str(min(int(before), max(1, stream.sparkSession.sparkContext.defaultParallelism))))
+    try:
+        writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(wide, before)
 
 
 def run_to_end(stream: DataFrame, name: str, each=None) -> DataFrame:

@@ -59,11 +59,14 @@ def compare(spark, con, sf_dir, name, build, sql):
 
 if __name__ == "__main__":
     import __spark_entry__ as entry
-    from crewframe.session import local_session
+    from pyspark.sql import SparkSession
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark, con = local_session(8, "check"), connect(sf_dir)
+    # a session with nothing set, as a stranger would bring it
+    spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
     oracle, failed = entry.oracle_sql(), []
     for name, build in entry.queries().items():
         if wanted and name not in wanted:
