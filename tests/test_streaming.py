@@ -76,3 +76,23 @@ def test_stateless_streams(spark, tmp_path):
     assert got[1].startswith("PAN [VAULT_PAN_") and got[2] == "none"
     errors = spark.createDataFrame([(1, "EMPLOYEE", 400, "'x' is required")], "n int, entity_type string, status_code int, error string")
     assert quality.diagnose_rejections(errors).collect()[0]["field_name"] == "x"
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    import datetime as dt
+
+    base, folder = dt.datetime(2024, 1, 1), tmp_path / "late"
+    days = [("a", 0, 1), ("b", 30, 2), ("c", 1, 3), ("d", 400, 4)]  # c lands a month behind b
+    out = tmp_path / "out"
+    running = None
+    for name, day, ident in days:
+        row = [(ident, base + dt.timedelta(days=day), 7)]
+        spark.createDataFrame(row, EVENTS).coalesce(1).write.parquet(str(folder / f"part={name}"))
+        stream = spark.readStream.schema(EVENTS).parquet(str(folder))
+        kept = mutations.dedupe_mutations(stream, "user_id", "ts", "event_id", 3600, "2 days")
+        running = landing.append_to(kept, str(out), str(tmp_path / "check"))
+        running.awaitTermination()
+        dropped = landing.late_rows(running)
+        assert dropped == (1 if name == "c" else 0), name
+    rows = spark.read.option("basePath", str(out)).parquet(str(out)).collect()
+    assert sorted(r["tie"] for r in rows) == [1, 2]
