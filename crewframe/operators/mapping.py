@@ -16,6 +16,7 @@ from crewframe.functions.payload import (
     TEXT_TRANSFORMS, TRANSFORM_TYPES, TRANSFORMS, as_list, as_text, filled_text, is_array, is_filled, is_object, joined,
     path_col, text_at,
 )
+from crewframe.sources.tables import append_upsert, latest_by_key
 
 
 @dataclass(frozen=True)
@@ -261,6 +262,18 @@ def catalog_rows(spark, tenant: str, mappings: list[Mapping], updated_at) -> Dat
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
+def save_mappings(spark, path: str, tenant: str, mappings: list[Mapping], updated_at) -> None:
+    """Append mappings to the catalog log; the latest of a key counts."""
+    append_upsert(catalog_rows(spark, tenant, mappings, updated_at), path)
+
+
+def list_mappings(log: DataFrame, tenant: str | None = None) -> DataFrame:
+    """The current mapping of every (tenant, vendor, entity), in key order."""
+    keys = ["tenant_id", "vendor", "entity_type"]
+    rows = log if tenant is None else log.filter(F.col("tenant_id") == tenant)
+    return latest_by_key(rows, keys, F.current_timestamp()).orderBy(*keys)
+
+
 def load_mapping(catalog: DataFrame, tenant: str, vendor: str, entity: str) -> Mapping | None:
     """The one mapping of (tenant, vendor, entity): a single row of rules comes to the driver."""
     rows = (

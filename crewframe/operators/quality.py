@@ -58,13 +58,18 @@ def probe_report(df: DataFrame, issues: DataFrame, mapping: Mapping, keys: list[
     ``error_rate`` is ours: the score alone falls to zero with four errors in any number of rows.
     Without keys an empty input still gives one row: invalid, score 0.
     """
-    tested = df.groupBy(*keys).agg(F.count("*").alias("records_tested"))
+    none = F.lit(0).cast("bigint")
+    tested = df.groupBy(*keys).agg(
+        F.count("*").alias("records_tested"), F.max(none).alias("_errors"), F.max(none).alias("_warnings")
+    )
     counted = issues.groupBy(*keys).agg(
+        F.max(none).alias("records_tested"),
         F.count_if(F.col("severity") == "ERROR").alias("_errors"),
         F.count_if(F.col("severity") == "WARNING").alias("_warnings"),
     )
-    joined = tested.join(counted, keys, "left") if keys else _side_by_side(tested, counted)
-    errors, warnings = F.coalesce("_errors", F.lit(0)), F.coalesce("_warnings", F.lit(0))
+    totals = ("records_tested", "_errors", "_warnings")
+    joined = tested.unionByName(counted).groupBy(*keys).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in totals])
+    errors, warnings = F.col("_errors"), F.col("_warnings")
     some = F.col("records_tested") > 0
     raw = F.round(F.lit(1.0) - (errors * 0.25 + warnings * 0.05), 3)
     return joined.select(
@@ -79,11 +84,6 @@ def probe_report(df: DataFrame, issues: DataFrame, mapping: Mapping, keys: list[
     )
 
 
-def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row totals as one row."""
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
-
-
 def projections(df: DataFrame, mapping: Mapping, order: str, limit: int = 5, payload: str = "payload") -> DataFrame:
     """The first records a mapping projects without error (a preview, so the limit is the feature)."""
     rows = project(df, mapping, payload).filter(F.size("_errors") == 0)

@@ -31,6 +31,8 @@ def local_session(cores: int | str = "*", name: str = "crewframe", **conf: str)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # call sites per column cost more than small queries themselves
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

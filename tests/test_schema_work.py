@@ -114,14 +114,18 @@ def test_collection_path(spark):
 def test_catalog(spark, tmp_path):
     path = str(tmp_path / "catalog")
     old = mp.Mapping("HostCo", "employee", "old_id")
-    tables.append_upsert(mp.catalog_rows(spark, "T", [old], datetime(2026, 1, 1)), path)
-    tables.append_upsert(mp.catalog_rows(spark, "T", [TWO_WAY], datetime(2026, 1, 2)), path)
+    mp.save_mappings(spark, path, "T", [old, mp.Mapping("Other", "PUNCH", "id")], datetime(2026, 1, 1))
+    mp.save_mappings(spark, path, "T", [TWO_WAY], datetime(2026, 1, 2))
+    mp.save_mappings(spark, path, "U", [old], datetime(2026, 1, 3))
     log = spark.read.parquet(path)
-    latest = tables.latest_by_key(log, ["tenant_id", "vendor", "entity_type"], F.current_timestamp())
-    assert latest.count() == 1
+    latest = mp.list_mappings(log)
+    assert [(r["tenant_id"], r["vendor"], r["entity_type"]) for r in latest.collect()] == [
+        ("T", "hostco", "EMPLOYEE"), ("T", "other", "PUNCH"), ("U", "hostco", "EMPLOYEE"),
+    ]
+    assert mp.list_mappings(log, "U").count() == 1
     loaded = mp.load_mapping(latest, "T", "HOSTCO", "employee")
     assert loaded.fields == TWO_WAY.fields and loaded.id_path == "emp_id" and loaded.writeback == TWO_WAY.writeback
-    assert mp.load_mapping(latest, "T", "other", "employee") is None
+    assert mp.load_mapping(latest, "T", "nobody", "employee") is None
 
 
 def test_latest_by_key(spark):
