@@ -234,7 +234,7 @@ def intent_volumes(spark, sf_dir):
     "statute_search",
     with_views(
         ["messages", "statutes"],
-        """SELECT conv_id, turn, rn AS rank, score, statute_ord, act_name FROM (
+        """SELECT conv_id, turn, rn AS rank, score, statute_ord::BIGINT AS statute_ord, act_name FROM (
           SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, statute_ord) AS rn FROM (
             SELECT conv_id, turn, statute_ord, act_name, sum(1 + CASE WHEN contains(act_l, tok) THEN 3 ELSE 0 END
                 + CASE WHEN contains(title_l, tok) THEN 2 ELSE 0 END

@@ -361,7 +361,7 @@ def mapping_issues(spark, sf_dir):
     "mapping_quality",
     with_views(
         ["staff"],
-        """SELECT s.tenant_id AS tenant_id, n AS records_tested, 7 AS mapped_fields_count, e AS error_count, 0 AS warning_count,
+        """SELECT s.tenant_id AS tenant_id, n AS records_tested, 7::BIGINT AS mapped_fields_count, e AS error_count, 0::BIGINT AS warning_count,
           greatest(0.0, least(1.0, round(1 - 0.25 * e, 3)))::DOUBLE AS quality_score, e = 0 AS is_valid,
           round(e::DOUBLE / n, 6) AS error_rate
         FROM (SELECT tenant_id, count(*) AS n, count(*) FILTER (WHERE email IS NULL) AS e FROM staff GROUP BY 1) s""",
