@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,13 +64,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/crewframe/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store the rows as a table in the shared folder and go on from there.
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Store the rows as a table in the shared folder, in folders ``by`` column, and go on from there.
 
     A lost executor then does not replay the rounds before, the rows are computed once, and the
     planner knows their size.
     """
     spark = df.sparkSession
     path = scratch(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(spark: SparkSession, *stored: DataFrame | str) -> None:
+    """Delete tables of :func:`cut`, or folders of :func:`scratch`, that nothing reads any more."""
+    for item in stored:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(item if isinstance(item, str) else item.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_crewframe_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    bundle = os.path.join(tempfile.mkdtemp(prefix="crewframe-package-"), "crewframe.zip")
+    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(bundle)
+    context._crewframe_shipped = True

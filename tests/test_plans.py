@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from crewframe import plans as entry
 from crewframe.operators import attendance, compliance, expenses, profiling
 from crewframe.plans import adapters as ad
 

@@ -2,9 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__ as contract
 from check_oracle import compare, connect
 
+from crewframe import plans as entry
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -20,4 +22,4 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() > 0
+    assert contract.entry(spark).count() > 0
