@@ -40,6 +40,7 @@ def local_session(cores: int | str = "*", name: str = "crewframe", **conf: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return tune(spark)
 
 
