@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 MODULES = [
-    "line_dedup", "near_dup",
+    "line_dedup", "near_dup", "decontaminate", "toxicity",
 ]
 
 

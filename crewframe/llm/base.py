@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,11 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(full), F.xxhash64(F.lit("second"), full)]
 
 
+def row_key(docs: DataFrame) -> Column:
+    """64 bits over all columns that can be hashed: equal for rows that are alike in them."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not re.search("map<|variant", kind)])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (u, v): rows (node, root).
 

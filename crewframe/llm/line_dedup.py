@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewframe.llm.base import SPACE, ascii_lower, query, read, text_key
+from crewframe.llm.base import SPACE, ascii_lower, query, read, row_key, text_key
 from crewframe.session import cut, discard, scratch
 
 HASHES = ["h1", "h2"]
@@ -132,7 +132,7 @@ def drop_shared_lines(
     but ``n_lines`` and ``n_dropped`` are replaced.
     """
     shared = frequent_lines(docs.select(text), text, min_docs, min_chars, batches)
-    key = F.struct(*text_key(F.col(text)))
+    key = F.struct(row_key(docs).alias("row"), *text_key(F.col(text)))  # copies under other ids go to other tasks
     lines = docs.select(key.alias("_t"), F.posexplode(line_keys(F.col(text))).alias("_p", "_k"))
     hit = lines.select("_t", "_p", *hashed(F.col("_k"))).join(shared, HASHES, "left_semi")
     gone = hit.groupBy("_t").agg(F.collect_set("_p").alias("_gone"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewframe.llm.base import components, query, read
+from crewframe.llm.base import components, query, read, row_key
 from crewframe.session import cut
 
 BITS, SEED = 64, 42
@@ -191,8 +191,7 @@ def keep_one(docs: DataFrame, text: str = "text", width: int = 3, radius: int =
     Rows that repeat that doc_id within the component are told apart by a hash of their columns; rows equal
     in all of them count as one.  All columns stay as they are, also ones named like those used here.
     """
-    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    row = row_key(docs)
     prints = cut(docs.select("doc_id", row.alias("row"), fingerprint(F.col(text), width).alias("code")))
     groups = prints.join(classes(prints.select("doc_id", "code"), radius), "code")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
