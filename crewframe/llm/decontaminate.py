@@ -58,7 +58,8 @@ def items_of(benchmark: DataFrame, item: str, text: str, width: int) -> DataFram
     hashes = F.lit(None).cast("array<long>")
     for short in range(1, width + 1):
         hashes = F.when(F.col("width") == short, shingles(F.col("w"), short)).otherwise(hashes)
-    return cut(sized.withColumn("hashes", hashes).select("item", "n", "width", "hashes", simhash(F.col("hashes")).alias("code")))
+    listed = cut(sized.withColumn("hashes", hashes).drop("w"))
+    return cut(listed.withColumn("code", simhash(F.col("hashes"))))
 
 
 def leaks(
@@ -102,7 +103,8 @@ def leaks(
     hashes = F.lit(None).cast("array<long>")
     for size in sizes:
         hashes = F.when(F.least("n", F.lit(width)) == size, shingles(F.col("w"), size)).otherwise(hashes)
-    chosen = chosen.withColumn("hashes", hashes).filter(F.size("hashes") > 0)
+    # stored, as Catalyst would else put the shingles into every bit's count
+    chosen = cut(chosen.withColumn("hashes", hashes).filter(F.size("hashes") > 0).drop("w"))
     chosen = chosen.withColumn("code", simhash(F.col("hashes")))
 
     masks = F.array(*[F.lit(m).cast("long") for m in blocks(radius)])
@@ -110,7 +112,7 @@ def leaks(
         "value", F.col("code").bitwiseAND(F.col("mask"))
     )
     right = probe(items).select("n", "block", "value", "item", F.col("hashes").alias("item_hashes"), F.col("code").alias("item_code"))
-    met = probe(cut(chosen.drop("w"))).join(right, ["n", "block", "value"])
+    met = probe(cut(chosen)).join(right, ["n", "block", "value"])
     apart = F.col("code").bitwiseXOR(F.col("item_code"))
     first = F.array_position(F.transform(masks, lambda m: m.bitwiseAND(apart) == 0), True) - 1
     met = met.filter((first == F.col("block")) & (F.bit_count(apart) <= radius))
