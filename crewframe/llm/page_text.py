@@ -218,7 +218,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         lines = [[line_hash(line) for line, _, _ in lines_of(h)] for h in batch["html"]]
-        yield pd.DataFrame({"host": batch["host"], "digest": batch["digest"], "lines": lines})
+        yield pd.DataFrame({"host": list(batch["host"]), "digest": list(batch["digest"]), "lines": lines})
 
 
 HASHES = "host string, digest string, lines array<long>"

@@ -208,10 +208,11 @@ def replace(text: str | None, key: bytes, later: dict[tuple[str, str], int]) ->
 
 def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
+        rows = set()
         for text, *key in zip(batch["text"], batch["t1"], batch["t2"], strict=True):
-            rows += {(*key, m.kind, canonical(m.kind, m.value)) for m in find(text)}
-        yield pd.DataFrame(sorted(rows), columns=["t1", "t2", "kind", "value"])
+            rows |= {(*key, m.kind, canonical(m.kind, m.value)) for m in find(text)}
+        if rows:
+            yield pd.DataFrame(sorted(rows), columns=["t1", "t2", "kind", "value"])
 
 
 def attempts(entities: DataFrame, key: bytes) -> DataFrame:
