@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 MODULES = [
-    "line_dedup", "near_dup", "decontaminate", "toxicity", "mixing", "hamming_search", "warc", "page_text", "surrogates",
+    "line_dedup", "near_dup", "decontaminate", "toxicity", "mixing", "hamming_search", "warc", "page_text", "surrogates", "language_model",
 ]
 
 
