@@ -75,11 +75,13 @@ class LineRuns:
             self._compact(level)
             level += 1
 
+    def _plain(self, *names: str) -> DataFrame:
+        """Rows of runs, read as files: a union of bucketed scans claims a partitioning that it does not have."""
+        schema = self.spark.table(names[0]).schema
+        return self.spark.read.schema(schema).parquet(*[self.tables[name] for name in names])
+
     def _merged(self, names: list[str]) -> DataFrame:
-        merged = self.spark.table(names[0])
-        for name in names[1:]:
-            merged = merged.unionByName(self.spark.table(name))
-        return merged.groupBy(*HASHES).agg(F.sum("n_docs").alias("n_docs"))
+        return self._plain(*names).groupBy(*HASHES).agg(F.sum("n_docs").alias("n_docs"))
 
     def _compact(self, level: int) -> None:
         runs, self.levels[level] = self.levels[level], []
@@ -88,14 +90,14 @@ class LineRuns:
         merged = cut(self._merged(runs))
         self.levels[level + 1].append(self._store(merged.filter(F.col("n_docs") < self.min_docs)))
         risen = merged.filter(F.col("n_docs") >= self.min_docs).select(*HASHES)
-        old = self.settled
-        self.settled = self._store((risen.unionByName(self.spark.table(old)) if old else risen).distinct())
+        old = [self.settled] if self.settled else []
+        self.settled = self._store((risen.unionByName(self._plain(*old)) if old else risen).distinct())
         discard(self.spark, merged)
-        self._drop(*runs, *([old] if old else []))
+        self._drop(*runs, *old)
 
     def frequent(self) -> DataFrame:
         """Every key found in ``min_docs`` documents or more, as a stored table (h1, h2); drops the runs."""
-        parts = [self.spark.table(self.settled)] if self.settled else []
+        parts = [self._plain(self.settled)] if self.settled else []
         if runs := [name for level in self.levels for name in level]:
             parts.append(self._merged(runs).filter(F.col("n_docs") >= self.min_docs).select(*HASHES))
         found = parts[0]
