@@ -215,7 +215,7 @@ def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(sorted(rows), columns=["t1", "t2", "kind", "value"])
 
 
-def attempts(entities: DataFrame, key: bytes) -> DataFrame:
+def attempts(entities: DataFrame, key: bytes, make=surrogate) -> DataFrame:
     """``entities`` (kind, value) with the first attempt whose surrogate no other entity has.
 
     Kinds of one family (names of any gender) share a space; a name is an entity for each gender the texts give it.
@@ -225,7 +225,7 @@ def attempts(entities: DataFrame, key: bytes) -> DataFrame:
 
     @F.pandas_udf("string")
     def made(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, *e) for e in zip(kind, value, attempt, strict=True)], dtype=object)
+        return pd.Series([make(key, *e) for e in zip(kind, value, attempt, strict=True)], dtype=object)
 
     family = F.split("kind", ":")[0].alias("family")
     spark = entities.sparkSession
