@@ -106,7 +106,7 @@ TRAVEL_FIELDS = [
 ]
 
 
-def impossible_travel(punches: DataFrame, max_kmh: float = 850.0, bucket_seconds: int = 6 * 3600) -> DataFrame:
+def impossible_travel(punches: DataFrame, max_kmh: float = 850.0) -> DataFrame:
     """Compare every punch with the one before it.
 
     ``punches``: tenant_id, employee_id, punch_id, ts, lat, lng.  A punch without coordinates or
@@ -115,19 +115,19 @@ def impossible_travel(punches: DataFrame, max_kmh: float = 850.0, bucket_seconds
     located = punches.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
         "tenant_id", "employee_id", "ts", "punch_id", "lat", "lng"
     )
-    pairs = successive_pairs(located, ["tenant_id", "employee_id"], "ts", "punch_id", bucket_seconds)
+    pairs = successive_pairs(located, ["tenant_id", "employee_id"], "ts", "punch_id")
     return travel_columns(pairs, max_kmh).select(
         "tenant_id", "employee_id", F.col("cur")["punch_id"].alias("punch_id"), *TRAVEL_FIELDS
     )
 
 
-def daily_hours(punches: DataFrame, bucket_seconds: int = 6 * 3600) -> DataFrame:
+def daily_hours(punches: DataFrame) -> DataFrame:
     """Hours per employee and day from IN punches directly followed by an OUT punch.
 
     A shift across midnight counts on the day it began.
     """
     typed = punches.select("tenant_id", "employee_id", "ts", "punch_id", "punch_type")
-    pairs = successive_pairs(typed, ["tenant_id", "employee_id"], "ts", "punch_id", bucket_seconds)
+    pairs = successive_pairs(typed, ["tenant_id", "employee_id"], "ts", "punch_id")
     prev, cur = F.col("prev"), F.col("cur")
     return hours_by_day(
         pairs.filter((prev["punch_type"] == "IN") & (cur["punch_type"] == "OUT")).select(

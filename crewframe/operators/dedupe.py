@@ -10,19 +10,22 @@ found in rounds:
 2. a record that is first for all its keys starts a profile and owns them;
 3. records that hold an owned key are decided and leave.
 
-Each round shuffles (record, key) rows only, never gathers the rows of a key, and decides at least
-one record.  What is left once few rows remain is folded in order in one bounded task.
+A record is identified by its arrival, its id and a hash of the rest, in that order, so records that arrive
+at the same instant are told apart; records alike in everything are one for this purpose and stay together.
+Each round shuffles (record, key) rows only, never gathers the rows of a key, stores what is open and drops
+the table before.  The number of rounds is the longest chain in which each record waits for the one
+before it (half its length, as every round also settles the neighbours), whatever the number of rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crewframe.session import cut
+from crewframe.session import cut, discard
 
-FINISH_ROWS = 100_000
+def _who() -> Column:
+    return F.struct("arrival", "candidate_id", F.xxhash64("full_name", "email", "phone", "linkedin_url", "source").alias("tie"))
 
 
 def _text(df: DataFrame, names: list[str]) -> Column:
@@ -46,70 +49,64 @@ def normalise_candidates(df: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 
 def _key_rows(candidates: DataFrame) -> DataFrame:
-    """(arrival, key, priority, n_keys): the distinct keys of a record in one untyped namespace."""
+    """(who, key, priority, n_keys): the distinct keys of a record in one untyped namespace."""
     filled = F.array_distinct(F.filter(F.array("email", "phone", "linkedin_url"), lambda key: key != ""))
     return (
-        candidates.select("arrival", filled.alias("_keys"))
-        .select("arrival", F.size("_keys").alias("n_keys"), F.posexplode("_keys").alias("priority", "key"))
+        candidates.select(_who().alias("who"), filled.alias("_keys"))
+        .distinct()
+        .select("who", F.size("_keys").alias("n_keys"), F.posexplode("_keys").alias("priority", "key"))
     )
 
 
-def _fold_in_order(batches):
-    """The same rule record by record; only ever sees a set of checked size."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    owned: set = set()
-    out = []
-    for arrival, keys in rows.sort_values("arrival", kind="stable").groupby("arrival", sort=True)["key"]:
-        keys = list(keys)
-        if not owned.intersection(keys):
-            owned.update(keys)
-            out.extend((key, arrival) for key in keys)
-    yield pd.DataFrame(out, columns=["key", "starter"])
-
-
-def profile_owners(key_rows: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
+def profile_owners(key_rows: DataFrame) -> DataFrame:
     """(key, starter): which profile-starting record owns a key."""
-    kind = key_rows.schema["arrival"].dataType.simpleString()
-    left = cut(key_rows.select("arrival", "n_keys", "key"))
-    owners = None
+    spark = key_rows.sparkSession
+    left = cut(key_rows.select("who", "n_keys", "key"))
+    owners = []
     remaining = left.count()
     while remaining:
-        if owners is not None and remaining <= finish_rows:
-            rest = left.select("arrival", "key").coalesce(1).mapInPandas(_fold_in_order, f"key string, starter {kind}")
-            return cut(owners.unionByName(rest))
-        first = left.groupBy("key").agg(F.min(F.struct("arrival", "n_keys")).alias("_first"))
+        first = left.groupBy("key").agg(F.min(F.struct("who", "n_keys")).alias("_first"))
         # a record has at most three keys, so this grouping has no hot key
         starters = (
-            first.groupBy(F.col("_first.arrival").alias("starter"), F.col("_first.n_keys").alias("n_keys"))
+            first.groupBy(F.col("_first.who").alias("starter"), F.col("_first.n_keys").alias("n_keys"))
             .agg(F.collect_list("key").alias("_keys"))
             .filter(F.size("_keys") == F.col("n_keys"))
         )
         owned = cut(starters.select(F.explode("_keys").alias("key"), "starter"))
-        owners = owned if owners is None else owners.unionByName(owned)
-        # both sides of this join come from checkpoints: a hot key is split by the adaptive join
-        decided = left.join(owned, "key").select("arrival").distinct()
-        left = cut(left.join(decided, "arrival", "left_anti"))
-        remaining = left.count()
-    return owners if owners is not None else left.select("key", F.col("arrival").alias("starter"))
-
-
-def dedupe_members(candidates: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
-    """Every kept record with the arrival of the record that starts its profile.
+        owners.append(owned)
+        # both sides of this join come from stored tables: a hot key is split by the adaptive join
+        decided = left.join(owned, "key").select("who").distinct()
+        rest = cut(left.join(decided, "who", "left_anti"))
+        before, remaining = remaining, rest.count()
+        if remaining == before:
+            raise RuntimeError(f"a round decided none of {remaining} key rows")
+        discard(spark, left)
+        left = rest
+    if not owners:
+        return left.select("key", F.col("who").alias("starter"))
+    found = cut(spark.read.schema(owners[0].schema).parquet(*[o.stored_at for o in owners]))
+    discard(spark, left, *owners)
+    return found
+
+
+def dedupe_members(candidates: DataFrame) -> DataFrame:
+    """Every kept record with the record that starts its profile (``starter``).
 
     Records without any key are kept once per id, the last one.
     """
+    candidates = candidates.withColumn("who", _who())
     keys = cut(_key_rows(candidates))
-    owners = profile_owners(keys, finish_rows)
+    owners = profile_owners(keys)
     joined = (
         keys.join(owners, "key")
-        .filter(F.col("starter") <= F.col("arrival"))
-        .groupBy("arrival")
+        .filter(F.col("starter") <= F.col("who"))
+        .groupBy("who")
         .agg(F.min_by("starter", "priority").alias("starter"))
     )
-    with_key = candidates.join(joined, "arrival")
+    with_key = candidates.join(joined, "who")
     bare = candidates.filter((F.col("email") == "") & (F.col("phone") == "") & (F.col("linkedin_url") == ""))
-    last = bare.groupBy("candidate_id").agg(F.max("arrival").alias("arrival")).select("arrival")
-    without_key = bare.join(last, "arrival", "left_semi").withColumn("starter", F.col("arrival"))
+    last = bare.groupBy("candidate_id").agg(F.max("who").alias("who")).select("who")
+    without_key = bare.join(last, "who", "left_semi").dropDuplicates(["who"]).withColumn("starter", F.col("who"))
     return with_key.unionByName(without_key)
 
 
@@ -117,20 +114,20 @@ def merged_profiles(members: DataFrame) -> DataFrame:
     """One row per profile.  All aggregates combine on the map side, so a profile of any size is
     one buffer; the merged ids stay in long form (:func:`merged_ids`)."""
     main = members.groupBy("starter").agg(
-        F.min_by(F.struct("candidate_id", "full_name", "email"), "arrival").alias("_head"),
-        F.min_by("phone", F.when(F.col("phone") != "", F.col("arrival"))).alias("phone"),
-        F.min_by("linkedin_url", F.when(F.col("linkedin_url") != "", F.col("arrival"))).alias("linkedin_url"),
+        F.min_by(F.struct("candidate_id", "full_name", "email"), "who").alias("_head"),
+        F.min_by("phone", F.when(F.col("phone") != "", F.col("who"))).alias("phone"),
+        F.min_by("linkedin_url", F.when(F.col("linkedin_url") != "", F.col("who"))).alias("linkedin_url"),
         F.count("*").alias("application_count"),
     )
     # one row per channel of a profile before the list is built
     channels = (
         members.groupBy("starter", "source")
-        .agg(F.min("arrival").alias("_at"))
+        .agg(F.min("who").alias("_at"))
         .groupBy("starter")
         .agg(F.array_sort(F.collect_list(F.struct("_at", "source")))["source"].alias("merged_source_channels"))
     )
     return main.join(channels, "starter").select(
-        F.col("starter").alias("arrival"),
+        F.col("starter.arrival").alias("arrival"),
         F.col("_head.candidate_id").alias("primary_id"),
         F.col("_head.full_name").alias("full_name"),
         F.col("_head.email").alias("email"),
@@ -143,11 +140,11 @@ def merged_profiles(members: DataFrame) -> DataFrame:
 
 def merged_ids(members: DataFrame) -> DataFrame:
     """(profile, candidate_id) with the first arrival of each id, to be read in that order."""
-    return members.groupBy(F.col("starter").alias("profile"), "candidate_id").agg(
-        F.min("arrival").alias("first_arrival")
+    return members.groupBy(F.col("starter").alias("_profile"), "candidate_id").agg(F.min("arrival").alias("first_arrival")).select(
+        F.col("_profile.arrival").alias("profile"), "candidate_id", "first_arrival"
     )
 
 
-def dedupe_candidates(df: DataFrame, arrival: str = "arrival", finish_rows: int = FINISH_ROWS) -> DataFrame:
+def dedupe_candidates(df: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Merged candidate profiles of raw candidate rows."""
-    return merged_profiles(dedupe_members(normalise_candidates(df, arrival), finish_rows))
+    return merged_profiles(dedupe_members(normalise_candidates(df, arrival)))

@@ -48,12 +48,17 @@ def _verdict(claim_approved: Column) -> Column:
     ).when(_no_receipt(), F.lit("MISSING_DOCUMENTATION"))
 
 
-def _claim_terms(claims: DataFrame) -> DataFrame:
-    return claims.select(
-        "claim_id",
-        F.upper(F.coalesce("currency", F.lit("INR"))).alias("currency"),
-        F.upper(F.coalesce("tier", F.lit("METRO"))).alias("tier"),
-        F.coalesce("has_approved_travel_request", F.lit(True)).alias("_approved"),
+def _with_terms(lines: DataFrame, claims: DataFrame) -> DataFrame:
+    """Lines with the terms of their claim; a missing term, or a missing claim, has the default."""
+    terms = claims.select(
+        "claim_id", F.col("currency").alias("_currency"), F.col("tier").alias("_tier"),
+        F.col("has_approved_travel_request").alias("_allowed"),
+    )
+    return lines.join(terms, "claim_id", "left").select(
+        *lines.columns,
+        F.upper(F.coalesce("_currency", F.lit("INR"))).alias("currency"),
+        F.upper(F.coalesce("_tier", F.lit("METRO"))).alias("tier"),
+        F.coalesce("_allowed", F.lit(True)).alias("_approved"),
     )
 
 
@@ -74,7 +79,7 @@ def claim_report(lines: DataFrame, claims: DataFrame) -> DataFrame:
     cents = lambda c: (c * 100).cast("bigint")
     cap, amount = cents(per_diem(F.col("currency"), F.col("tier"))), F.col("_cents")
     judged = (
-        packed.join(_claim_terms(claims), "claim_id")
+        _with_terms(packed, claims)
         .withColumns(
             {"_cents": cents(F.col("_amount")), "_refused": F.when(barred, F.col("_lines")).otherwise(F.col("_unproven"))}
         )
@@ -128,10 +133,8 @@ def claim_line_findings(lines: DataFrame, claims: DataFrame) -> DataFrame:
         .filter(F.col("_n") > 1)
         .select(*RECEIPT, "_first", hashed.alias("_hash"))
     )
-    checked = (
-        marked.join(firsts, [*RECEIPT, "_hash"], "left")
-        .join(_claim_terms(claims), "claim_id")
-        .withColumn("_verdict", _verdict(F.col("_approved")))
+    checked = _with_terms(marked.join(firsts, [*RECEIPT, "_hash"], "left"), claims).withColumn(
+        "_verdict", _verdict(F.col("_approved"))
     )
     cap = per_diem(F.col("currency"), F.col("tier"))
     amount, category = F.col("_amount"), F.col("_category")

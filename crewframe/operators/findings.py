@@ -100,15 +100,16 @@ def compliance_report(findings: DataFrame, base: DataFrame, keys: list[str] | No
 def remediation_queue(findings: DataFrame, approvals: DataFrame) -> DataFrame:
     """Findings with a patch and what became of them under each approval.
 
-    ``approvals``: tenant_id, violation_id, approver_id, approver_role.  A role without
-    EXECUTE_REMEDIATION is refused.
+    ``approvals``: tenant_id, violation_id, entity_id, approver_id, approver_role.  Payroll findings of all batches
+    of a tenant share a violation_id, so an approval names the entity too.  A role without EXECUTE_REMEDIATION is
+    refused.
     """
     from crewframe.operators.governance import attribution_columns, role_allows
 
     allowed = role_allows(F.col("approver_role"), F.lit("EXECUTE_REMEDIATION"))
     queued = (
         findings.filter(F.col("remediation_patch").isNotNull())
-        .join(approvals, ["tenant_id", "violation_id"])
+        .join(approvals, ["tenant_id", "violation_id", "entity_id"])
         .withColumns(
             {
                 "queue_status": F.when(allowed, F.lit("APPROVED_AND_QUEUED")).otherwise(F.lit("REFUSED")),

@@ -225,10 +225,12 @@ def audit_bias(df: DataFrame, column: str = "jd_text") -> DataFrame:
 # ------------------------------------------------------------------------------- scores
 def candidates_with_requisition(candidates: DataFrame, requisitions: DataFrame) -> DataFrame:
     """Bring required skills and years; a requisition with very many candidates is an adaptive
-    skew split, because nothing after the join needs its partitioning."""
+    skew split, because nothing after the join needs its partitioning.  An application without a known
+    opening stays, with nothing required."""
     return candidates.join(
         requisitions.select("tenant_id", "requisition_id", "required_skills", "required_years"),
         ["tenant_id", "requisition_id"],
+        "left",
     )
 
 

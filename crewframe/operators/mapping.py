@@ -63,12 +63,27 @@ def _transformed(rule: FieldRule, texts: list[Column], value: Column) -> Column:
     return TEXT_TRANSFORMS[rule.transform](texts[0])
 
 
+def _natural(rule: FieldRule, value: Column) -> Column:
+    """The text a value map is asked for: a number without the zeros its column type adds, ``True`` and ``False``."""
+    text = value.cast("string")
+    kind = TRANSFORM_TYPES.get(rule.transform, "string")
+    if kind.startswith("decimal"):
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.initcap(text) if kind == "boolean" else text
+
+
+def _looked_up(rule: FieldRule, value: Column) -> Column:
+    """What the value map has for a value, null for nothing."""
+    table = F.create_map(*[F.lit(x) for pair in rule.values.items() for x in pair])
+    text = _natural(rule, value)
+    return F.coalesce(F.try_element_at(table, text), F.try_element_at(table, F.upper(text)))
+
+
 def _finished(rule: FieldRule, value: Column) -> Column:
     """Value map and default."""
     if rule.values and rule.transform != "list":
-        table = F.create_map(*[F.lit(x) for pair in rule.values.items() for x in pair])
-        text = value.cast("string")
-        value = F.coalesce(F.try_element_at(table, text), F.try_element_at(table, F.upper(text)), text)
+        plain = _natural(rule, value) if rule.transform == "decimal" else value.cast("string")
+        value = F.coalesce(_looked_up(rule, value), plain)
     kind = TRANSFORM_TYPES.get(rule.transform, "string")
     if kind == "array<string>":
         default = F.array().cast(kind) if rule.default is None else F.split(F.lit(rule.default), ",")
@@ -80,13 +95,25 @@ def _finished(rule: FieldRule, value: Column) -> Column:
     return value if rule.default is None else F.coalesce(value, F.lit(rule.default).cast(kind))
 
 
-def field_col(payload: Column, rule: FieldRule) -> Column:
-    """Value of one rule as one expression: first filled path, transform, value map, default."""
+def _raw_col(payload: Column, rule: FieldRule) -> Column:
+    """Value of one rule before value map and default: first filled path, transformed."""
     texts = [text_at(payload, p) for p in rule.source]
     if rule.transform != "join_names":
         texts = [F.coalesce(*[filled_text(payload, p, t) for p, t in zip(rule.source, texts)])]
     filled = [(lambda raw: F.when(is_filled(raw), raw))(path_col(payload, p)) for p in rule.source]
-    return _finished(rule, _transformed(rule, texts, F.coalesce(*filled)))
+    return _transformed(rule, texts, F.coalesce(*filled))
+
+
+def field_col(payload: Column, rule: FieldRule) -> Column:
+    """Value of one rule as one expression: first filled path, transform, value map, default."""
+    return _finished(rule, _raw_col(payload, rule))
+
+
+def mapped_to_text(payload: Column, rule: FieldRule) -> Column:
+    """Whether the value map turns a date or number of the rule into a text."""
+    if not rule.values or rule.transform not in ("date", "datetime", "decimal"):
+        return F.lit(False)
+    return _looked_up(rule, _raw_col(payload, rule)).isNotNull()
 
 
 def _is_empty(column: Column, rule: FieldRule) -> Column:

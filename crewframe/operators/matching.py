@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 from crewframe import refdata
 from crewframe.operators.mapping import FieldRule, Mapping
 
-# no entity has more targets than this, and one of them may use two fields
-REACH = max(len(block.strip().splitlines()) for block in refdata.CANONICAL_FIELDS.values()) + 1
+#: rules of one mapping that may come to the driver
+MAPPED = 10_000
+SPEC = refdata.canonical_spec()
+ENTITIES = sorted({row["entity"] for row in SPEC})
+# no entity has more targets than this, and one of them may use two fields: exact while no more than one does
+REACH = max(sum(row["entity"] == entity for row in SPEC) for entity in ENTITIES) + 1
+assert all(sum(bool(row["compound"]) for row in SPEC if row["entity"] == entity) <= 1 for entity in ENTITIES)
 
 _SPEC_FIELDS = (
     "entity:string,target:string,position:int,transform:string,synonyms:array<string>,compound:array<string>,"
@@ -231,7 +236,7 @@ def spec_from_profile(profile: DataFrame, keys: list[str]) -> DataFrame:
 
 def match_fields(profile: DataFrame, keys: list[str], entity: str = "entity_type") -> DataFrame:
     """Mapping rows per key group: target, source fields, transform, confidence, enum map, writeback."""
-    known = F.upper(F.col(entity)).isin(list(refdata.CANONICAL_FIELDS))
+    known = F.upper(F.col(entity)).isin(ENTITIES)
     rows = profile.filter(known).withColumnRenamed("enum_values", "enum_values_host")
     single = _single_candidates(rows, keys, entity)
     # row_number <= k is cut down inside each map task before anything is shuffled
@@ -313,8 +318,12 @@ def id_paths(profile: DataFrame, picked: DataFrame, keys: list[str], entity: str
 
 def mapping_of(matches: DataFrame, vendor: str, entity: str, id_path: str, **group: str) -> Mapping:
     """The rules of one group as a mapping; a few dozen rows come to the driver."""
-    rows = matches.filter(" AND ".join(f"{k} = '{v}'" for k, v in group.items()) or "true").orderBy("position", "target")
-    found = rows.collect()
+    rows = matches
+    for name, value in group.items():
+        rows = rows.filter(F.col(name).eqNullSafe(F.lit(value)))
+    found = rows.orderBy("position", "target").limit(MAPPED + 1).collect()
+    if len(found) > MAPPED:
+        raise ValueError(f"more than {MAPPED} rules: name the group whose mapping is wanted")
     return Mapping(
         vendor=vendor,
         entity=entity,

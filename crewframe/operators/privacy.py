@@ -152,33 +152,29 @@ def vault(df: DataFrame, column: str, secret: str, tenant: str = "tenant_id", ma
 def unmask_text(df: DataFrame, vault_df: DataFrame, column: str, row_key: str, tenant: str = "tenant_id") -> DataFrame:
     """Put original values back for tokens of the row's own tenant; other tokens stay.
 
-    Only rows that hold a token travel.  A token that fills a third of all texts is a hot key of
-    the vault join: the tokens are first made distinct per row, and the join is between two plain
-    shuffles, which the adaptive join splits.
+    Only rows that hold a token travel, the others are passed on as they are read.  A token that fills a third
+    of all texts is a hot key of the vault join: the tokens are first made distinct per row, and the join is
+    between two plain shuffles, which the adaptive join splits.
     """
-    tokens = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(f"({TOKEN})"), F.lit(1)))
-    marked = df.withColumn("_tokens", tokens)
+    text = F.col(column)
+    found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+    has_token = F.coalesce(text.rlike(TOKEN), F.lit(False))
+    tokened = df.filter(has_token)
     pairs = (
-        marked.filter(F.size("_tokens") > 0)
-        .select(row_key, tenant, F.explode("_tokens").alias("token"))
+        tokened.select(row_key, tenant, F.explode(F.array_distinct(found)).alias("token"))
         .join(vault_df.select(tenant, "token", "original_value"), [tenant, "token"])
         # bounded by the distinct tokens of one row
         .groupBy(row_key)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "original_value"))).alias("_back"))
     )
-    text = F.col(column)
-    found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
     pieces = F.split(text, TOKEN, -1)
     restore = lambda match, piece: F.concat(
         piece,
         F.when(match.isNull(), F.lit("")).otherwise(F.coalesce(F.element_at(F.col("_back"), match), match)),
     )
     restored = F.array_join(F.zip_with(found, pieces, restore), "")
-    return (
-        df.join(pairs, row_key, "left")
-        .withColumn(column, F.when(F.col("_back").isNotNull(), restored).otherwise(text))
-        .drop("_back")
-    )
+    back = tokened.join(pairs, row_key, "left").withColumn(column, F.when(F.col("_back").isNotNull(), restored).otherwise(text))
+    return back.select(*df.columns).unionByName(df.filter(~has_token))
 
 
 def mask_record(
@@ -219,26 +215,41 @@ def mask_record(
 def record_vault(
     df: DataFrame, secret: str, tenant: str = "tenant_id", sensitive: list[str] | None = None
 ) -> DataFrame:
-    """Vault rows of the top-level sensitive columns that :func:`mask_record` replaced."""
+    """Vault rows of every token :func:`mask_record` makes: sensitive fields at any depth, and what it finds in texts."""
     names = {s.lower() for s in (sensitive or refdata.SENSITIVE_KEYS)}
-    entries = []
-    for field in df.schema.fields:
-        if field.name.lower() in names and isinstance(
-            field.dataType, (T.StringType, T.NumericType, T.BooleanType)
-        ):
-            value, kind = F.col(field.name).cast("string"), F.lit(field.name.upper())
-            entries.append(
-                F.when(
-                    F.col(field.name).isNotNull(),
-                    F.struct(
-                        token(kind, value, F.col(tenant), secret).alias("token"),
-                        value.alias("original_value"),
-                        kind.alias("entity_type"),
-                    ),
-                )
-            )
-    found = F.array_compact(F.array(*entries)) if entries else F.array().cast(f"array<{VAULT_FIELDS}>")
-    return df.select(tenant, F.inline(found)).distinct()
+    owner = F.col(tenant)
+    none = F.array().cast("array<struct<entity_type:string,original_value:string>>")
+
+    def entries(value: Column, kind: T.DataType, name: str) -> Column | None:
+        scalar = isinstance(kind, (T.StringType, T.NumericType, T.BooleanType))
+        if scalar and name.lower() in names:
+            one = F.struct(F.lit(name.upper()).alias("entity_type"), value.cast("string").alias("original_value"))
+            return F.when(value.isNotNull(), F.array(one)).otherwise(none)
+        if isinstance(kind, T.StringType):
+            looked = F.when(_worth_looking(value, False), _found(value, owner, secret, False))
+            return F.coalesce(looked, none)
+        if isinstance(kind, T.StructType):
+            return _within(value, kind)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            if _within(F.lit(None), kind.elementType) is None:
+                return None
+            return F.coalesce(F.flatten(F.transform(value, lambda item: _within(item, kind.elementType))), none)
+        return None
+
+    def _within(value: Column, kind: T.StructType) -> Column | None:
+        parts = [entries(value[f.name], f.dataType, f.name) for f in kind.fields]
+        parts = [part for part in parts if part is not None]
+        return F.concat(*parts) if parts else None
+
+    parts = [entries(F.col(f.name), f.dataType, f.name) for f in df.schema.fields if f.name != tenant]
+    parts = [part for part in parts if part is not None] or [none]
+    return (
+        df.select(tenant, F.inline_outer(F.concat(*parts)))
+        .filter(F.col("entity_type").isNotNull())
+        .withColumn("token", token(F.col("entity_type"), F.col("original_value"), owner, secret))
+        .select(tenant, "token", "original_value", "entity_type")
+        .distinct()
+    )
 
 
 def pii_literals(df: DataFrame, row_key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crewframe import refdata
 from crewframe.functions.payload import as_text, is_object, variant_at
 from crewframe.operators.findings import text
-from crewframe.operators.mapping import Mapping, _is_empty, external_id, project
+from crewframe.operators.mapping import Mapping, _is_empty, external_id, mapped_to_text, project
 
 
 # -------------------------------------------------------------------------------- probe
@@ -16,15 +16,16 @@ def probe_issues(
     df: DataFrame, mapping: Mapping, order: str, keys: list[str], required: list[str] | None = None,
     payload: str = "payload",
 ) -> DataFrame:
-    """One row per problem: no id, a required field left empty, a required canonical field empty.
+    """One row per problem: no id, a required field left empty, a required canonical field empty, and as warnings
+    dates and numbers that a value map turns into text.
 
     A record whose own required field is empty has no projection, so it gives one
-    ``to_canonical`` issue and no further field checks.
+    ``to_canonical`` issue and no further field checks.  Without keys, no records at all are one issue.
     """
     rows = project(df, mapping, payload)
 
-    def issue(name: str, message: Column) -> Column:
-        return F.struct(F.lit("ERROR").alias("severity"), F.lit(name).alias("field"), message.alias("message"))
+    def issue(name: str, message: Column, severity: str = "ERROR") -> Column:
+        return F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("field"), message.alias("message"))
 
     broken = F.size("_errors") > 0
     checks = [
@@ -47,9 +48,22 @@ def probe_issues(
         checks.append(
             F.when(~broken & empty, issue(name, F.lit(f"Required canonical field {name!r} evaluated to empty/None")))
         )
-    return rows.select(
+    for rule in mapping.fields:
+        wanted = "Decimal" if rule.transform == "decimal" else "date/datetime"
+        message = F.lit(f"Field {rule.target!r} expected {wanted}, got str")
+        checks.append(
+            F.when(~broken & mapped_to_text(F.col(payload), rule), issue(rule.target, message, "WARNING"))
+        )
+    found = rows.select(
         *keys, F.col(order).alias("sample_index"), F.inline(F.array_compact(F.array(*checks)))
     )
+    if keys:
+        return found
+    nothing = df.agg(F.count("*").alias("_n")).filter(F.col("_n") == 0).select(
+        F.lit(None).cast(df.schema[order].dataType).alias("sample_index"), F.lit("ERROR").alias("severity"),
+        F.lit("payload").alias("field"), F.lit("Cannot probe mapping: zero sample records provided").alias("message"),
+    )
+    return found.unionByName(nothing)
 
 
 def probe_report(df: DataFrame, issues: DataFrame, mapping: Mapping, keys: list[str]) -> DataFrame:
@@ -96,7 +110,14 @@ def projections(df: DataFrame, mapping: Mapping, order: str, limit: int = 5, pay
 def detect_unmapped_fields(
     df: DataFrame, mapping: Mapping, order: str, keys: list[str], payload: str = "payload"
 ) -> DataFrame:
-    """Top-level payload keys no rule reads, one INFO event per key group and field.
+    """Top-level payload keys no rule reads, one INFO event per key group and field."""
+    return drift_as_events(unmapped_counts(df, mapping, order, keys, payload), mapping.entity, keys)
+
+
+def unmapped_counts(
+    df: DataFrame, mapping: Mapping, order: str, keys: list[str], payload: str = "payload"
+) -> DataFrame:
+    """(keys, field_name, occurrences, first): how often a key no rule reads occurs, and its first value by ``order``.
 
     The known names are a handful of literals, so they are taken out inside the row; only
     drifted keys are exploded, and their counts combine before the shuffle.
@@ -107,27 +128,28 @@ def detect_unmapped_fields(
         F.try_variant_get(F.col(payload), "$", "map<string,variant>"),
         lambda key, _: ~key.isin(sorted(heads)) & ~key.startswith("_"),
     )
-    name = F.col("field_name")
     return (
         df.select(*keys, F.col(order).alias("_ord"), F.explode(entries).alias("field_name", "_value"))
         .withColumn("_sample", as_text(F.col("_value")))
         .groupBy(*keys, "field_name")
-        .agg(F.count("*").alias("occurrences"), F.min_by("_sample", "_ord").alias("sample_value"))
-        .select(
-            *keys,
-            F.lit(mapping.entity).alias("entity_type"),
-            F.lit("INFO").alias("severity"),
-            "field_name",
-            text(
-                "Host response contains unmapped field '", name, "'. Consider synthesizing canonical binding."
-            ).alias("description"),
-            F.to_json(
-                F.struct(
-                    F.lit("ADD_MAPPING").alias("action"), name.alias("host_field"), F.col("sample_value")
-                )
-            ).alias("suggested_patch"),
-            "occurrences",
-        )
+        .agg(F.count("*").alias("occurrences"), F.min(F.struct(F.col("_ord").alias("at"), F.col("_sample").alias("sample"))).alias("first"))
+    )
+
+
+def drift_as_events(found: DataFrame, entity: str, keys: list[str]) -> DataFrame:
+    """Counts of :func:`unmapped_counts`, of one run or of many, as events with the first sample in a patch."""
+    name = F.col("field_name")
+    merged = found.groupBy(*keys, "field_name").agg(F.sum("occurrences").alias("occurrences"), F.min("first").alias("first"))
+    return merged.withColumn("sample_value", F.col("first.sample")).select(
+        *keys,
+        F.lit(entity).alias("entity_type"),
+        F.lit("INFO").alias("severity"),
+        "field_name",
+        text("Host response contains unmapped field '", name, "'. Consider synthesizing canonical binding.").alias("description"),
+        F.to_json(
+            F.struct(F.lit("ADD_MAPPING").alias("action"), name.alias("host_field"), F.col("sample_value"))
+        ).alias("suggested_patch"),
+        "occurrences",
     )
 
 

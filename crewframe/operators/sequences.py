@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crewframe.session import cut
 
-def successive_pairs(
-    df: DataFrame, keys: list[str], time: str, tie: str, bucket_seconds: int = 6 * 3600
-) -> DataFrame:
+
+def successive_pairs(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """(keys, prev struct, cur struct) for each row and the row before it in (time, tie) order.
 
-    A key may hold any share of the data, so rows are windowed per key *and* time bucket.
-    Each bucket then hands its last row to the next non-empty bucket of the key; that second
-    window sees one row per bucket, a number set by the time span and not by the row count.
-    Both branches read the same exchange.
+    A key, or one instant of it, may hold any share of the data, so rows are sorted over the whole cluster: each
+    task has a range of (keys, time, tie), stored with the task's number.  Windows run per range; each range then
+    hands its last row to the next, in a window that sees one row per task.
     """
     values = [c for c in df.columns if c not in keys]
-    bucket = F.floor(F.unix_seconds(F.col(time)) / F.lit(bucket_seconds))
     laid = df.filter(F.col(time).isNotNull()).select(
-        *keys, bucket.alias("_bucket"), F.struct(time, tie, *[v for v in values if v not in (time, tie)]).alias("cur")
-    ).repartition(*keys, "_bucket")
-    inside = (
-        laid.withColumn("prev", F.lag("cur").over(Window.partitionBy(*keys, "_bucket").orderBy("cur")))
-        .filter(F.col("prev").isNotNull())
-        .select(*keys, "prev", "cur")
-    )
-    edges = laid.groupBy(*keys, "_bucket").agg(F.min("cur").alias("cur"), F.max("cur").alias("_last"))
-    across = (
-        edges.withColumn("prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")))
-        .filter(F.col("prev").isNotNull())
-        .select(*keys, "prev", "cur")
+        *keys, F.struct(time, tie, *[v for v in values if v not in (time, tie)]).alias("cur")
     )
-    return inside.unionByName(across)
+    order = [*keys, "cur"]
+    ranges = cut(laid.repartitionByRange(*order).select(*order, F.spark_partition_id().alias("_range")))
+    row = F.struct(*order)
+    ends = ranges.groupBy("_range").agg(F.max(row).alias("_end"))
+    prior = F.lag("_end").over(Window.orderBy("_range"))  # one row per task
+    carried = F.broadcast(ends.select("_range", prior.alias("_prior")))
+    before = F.lag(row).over(Window.partitionBy("_range").orderBy(*order))
+    paired = ranges.withColumn("_before", before).join(carried, "_range")
+    paired = paired.withColumn("_before", F.coalesce("_before", "_prior"))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"_before.{key}").eqNullSafe(F.col(key))
+    return paired.filter(F.col("_before").isNotNull() & same).select(*keys, F.col("_before.cur").alias("prev"), "cur")
 
 
 def sessions(df: DataFrame, keys: list[str], time: str, tie: str, gap_seconds: float) -> DataFrame:

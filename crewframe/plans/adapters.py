@@ -32,16 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy row work all cores when the scan has fewer splits than the cluster.
-
-    One file with one row group is read by one task.  On inputs with as many splits as cores
-    this changes nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def cents(column: Column | str) -> Column:
     """A two-place double as whole cents."""
     value = F.col(column) if isinstance(column, str) else column
@@ -85,7 +75,7 @@ def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("l_partkey")
     pad = lambda c, n: F.lpad(F.col(c).cast("bigint").cast("string"), n, "0")
     columns = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_returnflag l_shipdate".split()
-    return spread(table(spark, sf_dir, "lineitem").select(*columns), "l_orderkey").select(
+    return table(spark, sf_dir, "lineitem").select(*columns).select(
         F.col("l_orderkey").alias("claim_id"),
         F.concat(
             pad("l_linenumber", 3), pad("l_partkey", 12), pad("l_suppkey", 12), pad("l_quantity", 6),
@@ -126,22 +116,23 @@ def punches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Openings from benchmark items: their first five words are the wanted skills."""
+    """Openings from benchmark items: all their words are the wanted skills."""
     return table(spark, sf_dir, "benchmark").select(
         F.lit("T").alias("tenant_id"),
         F.col("item_id").alias("requisition_id"),
-        F.slice(F.split("text", " "), 1, 5).alias("required_skills"),
+        F.split("text", " ").alias("required_skills"),
         (F.col("item_id") % 8).cast("double").alias("required_years"),
     )
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One application per document, spread over the first forty openings."""
+    """One application per document, dealt over all openings, which are numbered from 0."""
     key = F.col("doc_id")
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
+    openings = (table(spark, sf_dir, "benchmark").agg(F.max("item_id")).first()[0] or 0) + 1
+    return table(spark, sf_dir, "documents").select("doc_id", "text").select(
         F.lit("T").alias("tenant_id"),
         key.alias("candidate_id"),
-        (key % 40).alias("requisition_id"),
+        (key % openings).alias("requisition_id"),
         F.col("text").alias("resume_text"),
         (key % 10).cast("double").alias("candidate_years"),
     )
@@ -174,11 +165,11 @@ def messages_from(conversations: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_from(spread(table(spark, sf_dir, "conversations"), "conv_id"))
+    return messages_from(table(spark, sf_dir, "conversations"))
 
 
 def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.concat_ws(" ", "text", pick(BIAS_PHRASES, F.col("doc_id") % 9)).alias("jd_text"))
 
 
@@ -191,13 +182,13 @@ def private_texts_from(documents: DataFrame) -> DataFrame:
 
 def private_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an identifier appended; the source is the tenant."""
-    return private_texts_from(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"))
+    return private_texts_from(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def staff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tenant_id, employee_id, body) - one vendor record per customer as JSON text."""
     key = F.col("c_custkey")
-    customer = spread(table(spark, sf_dir, "customer"), "c_custkey")
+    customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     record = F.struct(
         key.alias("emp_id"),
@@ -237,7 +228,7 @@ def order_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"detail":"LastName and Department are mandatory, see company and naming_series"}',
         "plain text: missing required field 'email'",
     ]
-    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    return table(spark, sf_dir, "orders").select(
         key.alias("order_id"),
         pick(["EMPLOYEE", "LEAVE_REQUEST", "REQUISITION"], key % 3).alias("entity_type"),
         F.when(key % 2 == 0, 400).otherwise(422).alias("status_code"),

@@ -79,7 +79,7 @@ def remediation_queue(spark, sf_dir):
     """What became of every finding under its approval."""
     staff = ad.employees(spark, sf_dir)
     approvals = staff.select(
-        "tenant_id",
+        "tenant_id", F.col("id").alias("entity_id"),
         F.concat(F.lit("U"), F.col("employee_id").cast("string")).alias("approver_id"),
         ad.pick(ROLES, F.col("employee_id") % 6).alias("approver_role"),
         F.explode(F.array(F.concat(F.lit("VIO-PROB-"), "id"), F.concat(F.lit("VIO-PF-"), "id"))).alias("violation_id"),

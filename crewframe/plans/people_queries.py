@@ -175,8 +175,8 @@ def bias_audit(spark, sf_dir):
 
 @query(
     "candidate_scores",
-    f"""WITH r AS (SELECT item_id, string_split(text, ' ')[1:5] AS skills, (item_id % 8)::DOUBLE AS need FROM benchmark),
-    c AS (SELECT doc_id, doc_id % 40 AS req, lower(text) AS t, (doc_id % 10)::DOUBLE AS years FROM documents),
+    f"""WITH r AS (SELECT item_id, string_split(text, ' ') AS skills, (item_id % 8)::DOUBLE AS need FROM benchmark),
+    c AS (SELECT doc_id, doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS req, lower(text) AS t, (doc_id % 10)::DOUBLE AS years FROM documents),
     j AS (
       SELECT doc_id, need, years, len(skills) AS n, list_filter(skills, lambda s: contains(t, lower(s))) AS hit,
         list_filter(skills, lambda s: NOT contains(t, lower(s))) AS miss,
@@ -348,16 +348,16 @@ def masked_text(spark, sf_dir):
     return masked.select("doc_id", "tenant_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
-@query(
-    "pii_vault",
-    with_views(
-        ["private_texts"],
-        f"""SELECT DISTINCT tenant_id, {_token_sql('h.entity_type', 'h.original_value', 'tenant_id')} AS token,
-          h.original_value AS original_value, h.entity_type AS entity_type
-        FROM (SELECT tenant_id, unnest(hits) AS h FROM masked)""",
-        _mask_steps(),
-    ),
+PII_VAULT = with_views(
+    ["private_texts"],
+    f"""SELECT DISTINCT tenant_id, {_token_sql('h.entity_type', 'h.original_value', 'tenant_id')} AS token,
+      h.original_value AS original_value, h.entity_type AS entity_type
+    FROM (SELECT tenant_id, unnest(hits) AS h FROM masked)""",
+    _mask_steps(),
 )
+
+
+@query("pii_vault", PII_VAULT)
 def pii_vault(spark, sf_dir):
     """The vault of all documents."""
     return privacy.vault(ad.private_texts(spark, sf_dir), "text", SECRET)
@@ -399,6 +399,49 @@ def masked_records(spark, sf_dir):
     )
 
 
+RECORD_TEXT = """basic::VARCHAR || '|AE' || employee_id || '|card ABCDE' || lpad((employee_id % 10000)::VARCHAR, 4, '0')
+  || 'F|call +1 415-555-' || lpad((employee_id % 10000)::VARCHAR, 4, '0')"""
+
+
+def _nested_records(spark, sf_dir):
+    key = F.col("employee_id")
+    number = F.lpad((key % 10000).cast("string"), 4, "0")
+    return ad.employees(spark, sf_dir).select(
+        "employee_id", "tenant_id", (F.col("basic_salary") * 100).cast("bigint").alias("salary"),
+        F.struct(
+            F.concat(F.lit("AE"), key.cast("string")).alias("iban"), F.concat(F.lit("card ABCDE"), number, F.lit("F")).alias("note")
+        ).alias("bank"),
+        F.concat(F.lit("call +1 415-555-"), number).alias("memo"),
+    )
+
+
+@query(
+    "record_vault",
+    with_views(
+        ["employees"],
+        f"""SELECT DISTINCT tenant_id, {_token_sql('e.entity_type', 'e.original_value', 'tenant_id')} AS token, e.original_value AS original_value,
+          e.entity_type AS entity_type
+        FROM (SELECT tenant_id, unnest([{{'entity_type': 'SALARY', 'original_value': basic::VARCHAR}},
+            {{'entity_type': 'IBAN', 'original_value': 'AE' || employee_id}},
+            {{'entity_type': 'PAN', 'original_value': 'ABCDE' || lpad((employee_id % 10000)::VARCHAR, 4, '0') || 'F'}},
+            {{'entity_type': 'PHONE', 'original_value': '+1 415-555-' || lpad((employee_id % 10000)::VARCHAR, 4, '0')}}]) AS e
+          FROM employees)""",
+    ),
+)
+def record_vault(spark, sf_dir):
+    """Every token of the masked employee records: sensitive fields, nested ones, and identifiers inside texts."""
+    return privacy.record_vault(_nested_records(spark, sf_dir), SECRET)
+
+
+@query("unmasked_records", with_views(["employees"], f"SELECT employee_id, {RECORD_TEXT} AS record FROM employees"))
+def unmasked_records(spark, sf_dir):
+    """Mask nested records, store that, and put all values back from the vault."""
+    records = _nested_records(spark, sf_dir)
+    masked = cut(privacy.mask_record(records, SECRET))
+    flat = masked.select("employee_id", "tenant_id", F.concat_ws("|", "salary", "bank.iban", "bank.note", "memo").alias("record"))
+    return privacy.unmask_text(flat, privacy.record_vault(records, SECRET), "record", "employee_id").drop("tenant_id")
+
+
 @query(
     "pii_literal_leaks",
     with_views(

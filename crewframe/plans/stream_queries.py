@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crewframe.operators.retries import dedupe_mutations
 from crewframe.plans import adapters as ad
 from crewframe.plans.audit_queries import DAYS, SHIFTS, TRAVEL, TRAVEL_OUT
-from crewframe.plans.people_queries import SECRET, _mask_steps
+from crewframe.plans.people_queries import PII_VAULT, SECRET, _mask_steps
 from crewframe.plans.registry import query
 from crewframe.plans.schema_queries import KEYS, REJECTED, STAFF_MAPPING
 from crewframe.plans.sqlviews import with_views
@@ -16,13 +16,17 @@ from crewframe.session import scratch
 from crewframe.streaming import landing, mutations, punches
 
 
-def _replay(spark: SparkSession, rows: DataFrame, name: str, files: int = 3, last: DataFrame | None = None) -> DataFrame:
-    """Land a table as several files in the shared folder and read them back as a stream.
+#: state partitions of the registered streams; a stream's first start fixes them, so they are a parameter here
+STATE_PARTITIONS = 16
+
+
+def _replay(spark: SparkSession, rows: DataFrame, name: str, last: DataFrame | None = None) -> DataFrame:
+    """Land a table as files in the shared folder, as many as it is read in, and read them back as a stream.
 
     ``last`` lands after them: one row far ahead, which moves the watermark past everything.
     """
     folder = scratch(spark, f"landed-{name}")
-    rows.repartition(files).write.parquet(folder)
+    rows.write.parquet(folder)
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
@@ -45,14 +49,14 @@ def _event_stream(spark, sf_dir, name: str) -> DataFrame:
 def travel_alerts_stream(spark, sf_dir):
     """Speed between successive punches, from the event stream."""
     stream = ad.punches_from_events(_event_stream(spark, sf_dir, "travel"))
-    return landing.run_to_end(punches.travel_alerts(stream, "60 days"), "travel").drop("explanation")
+    return landing.run_to_end(punches.travel_alerts(stream, "60 days"), "travel", state_partitions=STATE_PARTITIONS).drop("explanation")
 
 
 @query("daily_hours_stream", with_views(["punches"], DAYS, SHIFTS))
 def daily_hours_stream(spark, sf_dir):
     """Hours per employee and day, from the event stream."""
     stream = ad.punches_from_events(_event_stream(spark, sf_dir, "hours"))
-    return punches.hours_from_shifts(landing.run_to_end(punches.shifts(stream, "60 days"), "hours"))
+    return punches.hours_from_shifts(landing.run_to_end(punches.shifts(stream, "60 days"), "hours", state_partitions=STATE_PARTITIONS))
 
 
 TTL_HOURS = 30
@@ -91,9 +95,10 @@ def mutation_dedupe_stream(spark, sf_dir):
         ["staff"],
         """SELECT tenant_id, 'EMPLOYEE' AS entity_type, 'INFO' AS severity, field_name,
           'Host response contains unmapped field ''' || field_name || '''. Consider synthesizing canonical binding.' AS description,
+          '{"action":"ADD_MAPPING","host_field":"' || field_name || '","sample_value":"' || arg_min(v, k) || '"}' AS suggested_patch,
           count(*) AS occurrences
-        FROM (SELECT tenant_id, 'badge_no' AS field_name FROM staff WHERE badge_no IS NOT NULL
-          UNION ALL SELECT tenant_id, 'is_manager' FROM staff) GROUP BY tenant_id, field_name""",
+        FROM (SELECT tenant_id, k, 'badge_no' AS field_name, badge_no AS v FROM staff WHERE badge_no IS NOT NULL
+          UNION ALL SELECT tenant_id, k, 'is_manager', is_manager::VARCHAR FROM staff) GROUP BY tenant_id, field_name""",
     ),
 )
 def drift_stream(spark, sf_dir):
@@ -112,6 +117,14 @@ def mask_stream(spark, sf_dir):
     )
 
 
+@query("mask_stream_vault", PII_VAULT)
+def mask_stream_vault(spark, sf_dir):
+    """The vault of the documents as they land."""
+    documents = ad.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    texts = ad.private_texts_from(_replay(spark, documents, "vault-documents"))
+    return landing.stream_vault(texts, "text", SECRET, "vault")
+
+
 @query(
     "rejection_stream",
     f"""{REJECTED} SELECT order_id, entity_type, field_name,

@@ -3,46 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from crewframe.operators import privacy, quality
 from crewframe.operators.mapping import Mapping
 from crewframe.session import scratch
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str, each=None):
+#: settings that hold while a stream starts: state partitions, and how many batches' progress it keeps
+STATE_PARTITIONS, KEPT_PROGRESS = "spark.sql.shuffle.partitions", "spark.sql.streaming.numRecentProgressUpdates"
+
+
+def append_to(stream: DataFrame, path: str, checkpoint: str, each=None, state_partitions: int | None = None):
     """Write every micro-batch below ``path`` in a folder of its own number.
 
     A batch that is replayed after a failure overwrites its own folder, so nothing is written
-    twice.  ``each`` maps the batch to what is stored.
+    twice.  ``each`` maps the batch to what is stored.  The first start fixes the number of state partitions for
+    ever: ``state_partitions`` says how many, the session's shuffle partitions if not given.  The progress of
+    every batch is kept, so that :func:`late_rows` counts them all.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         rows = each(batch) if each else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    conf, wide = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(wide)
-    # the number of state partitions is fixed by the first start: no more than there are cores
-    conf.set(wide, str(min(int(before), max(1, stream.sparkSession.sparkContext.defaultParallelism))))
+    conf = stream.sparkSession.conf
+    before = {name: conf.get(name) for name in (STATE_PARTITIONS, KEPT_PROGRESS)}
+    if state_partitions:
+        conf.set(STATE_PARTITIONS, str(state_partitions))
+    conf.set(KEPT_PROGRESS, str(2**31 - 1))
     try:
         writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
         return writer.trigger(availableNow=True).start()
     finally:
-        conf.set(wide, before)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
-def run_to_end(stream: DataFrame, name: str, each=None) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, each=None, state_partitions: int | None = None) -> DataFrame:
     """Drain what has landed and return the stored rows."""
     spark = stream.sparkSession
     base = scratch(spark, name)
-    running = append_to(stream, f"{base}/rows", f"{base}/checkpoint", each)
+    running = append_to(stream, f"{base}/rows", f"{base}/checkpoint", each, state_partitions)
     running.awaitTermination()
     return spark.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").drop("batch")
 
 
 def late_rows(running) -> int:
-    """Rows the stream dropped because they came behind the watermark."""
+    """Rows this run of the stream dropped because they came behind the watermark, over all its batches."""
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in running.recentProgress
@@ -52,11 +59,8 @@ def late_rows(running) -> int:
 
 def drift_events(stream: DataFrame, mapping: Mapping, order: str, keys: list[str], name: str) -> DataFrame:
     """Drift events of each micro-batch, merged per field: counts add up, the first sample stays."""
-    found = run_to_end(
-        stream, name, lambda batch: quality.detect_unmapped_fields(batch, mapping, order, keys)
-    )
-    fixed = ["entity_type", "severity", "field_name", "description"]
-    return found.groupBy(*keys, *fixed).agg(F.sum("occurrences").alias("occurrences"))
+    found = run_to_end(stream, name, lambda batch: quality.unmapped_counts(batch, mapping, order, keys))
+    return quality.drift_as_events(found, mapping.entity, keys)
 
 
 def masked_stream(stream: DataFrame, column: str, secret: str, tenant: str = "tenant_id") -> DataFrame:
@@ -64,6 +68,11 @@ def masked_stream(stream: DataFrame, column: str, secret: str, tenant: str = "te
     return privacy.mask_text(stream, column, secret, tenant)
 
 
+def stream_vault(stream: DataFrame, column: str, secret: str, name: str, tenant: str = "tenant_id") -> DataFrame:
+    """Vault rows of a masked stream: each micro-batch stores its distinct rows, equal ones of all batches are one."""
+    return run_to_end(stream, name, lambda batch: privacy.vault(batch, column, secret, tenant)).distinct()
+
+
 def rejection_stream(stream: DataFrame) -> DataFrame:
     """Rejection events; a projection as well."""
     return quality.diagnose_rejections(stream)

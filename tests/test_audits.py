@@ -80,8 +80,8 @@ def test_remediation_queue(spark):
         spark.createDataFrame([("T", "AE", "E1", 240), ("T", "AE", "E2", 240)], ["tenant_id", "jurisdiction", "id", "probation_days"])
     )
     approvals = spark.createDataFrame(
-        [("T", "VIO-PROB-E1", "U1", "HR_ADMIN"), ("T", "VIO-PROB-E2", "U2", "EMPLOYEE")],
-        ["tenant_id", "violation_id", "approver_id", "approver_role"],
+        [("T", "VIO-PROB-E1", "E1", "U1", "HR_ADMIN"), ("T", "VIO-PROB-E2", "E2", "U2", "EMPLOYEE")],
+        ["tenant_id", "violation_id", "entity_id", "approver_id", "approver_role"],
     )
     rows = {r["entity_id"]: r for r in findings.remediation_queue(found, approvals).collect()}
     assert rows["E1"]["queue_status"] == "APPROVED_AND_QUEUED" and rows["E2"]["queue_status"] == "REFUSED"
@@ -140,7 +140,7 @@ def test_impossible_travel(spark):
 
 
 def test_pairs_equal_a_plain_window(spark):
-    """Any bucket width gives the pairs of one lag over the whole key, hot key included."""
+    """Any number of ranges gives the pairs of one lag over the whole key, hot key included."""
     from pyspark.sql import Window
 
     from crewframe.operators.sequences import successive_pairs
@@ -155,9 +155,16 @@ def test_pairs_equal_a_plain_window(spark):
     )
     plain = df.withColumn("before", F.lag("id").over(Window.partitionBy("k").orderBy("ts", "id"))).filter("before is not null")
     want = {(r["k"], r["before"], r["id"]) for r in plain.collect()}
-    for width in (1, 600, 10**9):
-        got = successive_pairs(df, ["k"], "ts", "id", width)
-        assert {(r["k"], r["prev"]["id"], r["cur"]["id"]) for r in got.collect()} == want
+    name, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set(name, "false")
+        for width in ("1", "5", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            got = successive_pairs(df, ["k"], "ts", "id")
+            assert {(r["k"], r["prev"]["id"], r["cur"]["id"]) for r in got.collect()} == want
+    finally:
+        spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_daily_hours(spark):

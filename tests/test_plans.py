@@ -53,9 +53,28 @@ def test_pushdown_reaches_parquet(spark, tmp_path):
     assert re.search(r"PushedFilters: \[[^]]*EqualTo\(jurisdiction,AE\)", text)
 
 
-def test_pairs_share_one_exchange(spark):
-    text = executed(attendance.impossible_travel(ad.punches(spark, SMALL)))
-    assert "ReusedExchange" in text
+def test_hot_instant_is_spread_over_tasks(spark):
+    """A third of all rows at one instant of one key: its pairs are made in several tasks, and none is lost."""
+    from crewframe.operators.sequences import successive_pairs
+
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500).alias("user"),
+        F.when(F.col("id") % 3 == 0, F.lit("2024-01-01")).otherwise("2024-02-02").cast("timestamp").alias("ts"), F.col("id").alias("tie"),
+    )
+    name, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        pairs = successive_pairs(rows, ["user"], "ts", "tie")
+        tasks = pairs.filter("user = 1").select(F.spark_partition_id().alias("p"), "prev", "cur").collect()
+    finally:
+        spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ties = sorted(r["cur"]["tie"] for r in tasks)
+    mine = sorted(r["id"] for r in spark.range(30000).filter("id % 3 = 0 or id % 500 = 1").collect())
+    assert len(ties) == len(mine) - 1 and len({r["p"] for r in tasks}) >= 2
+    order = {(r["prev"]["ts"], r["prev"]["tie"]) < (r["cur"]["ts"], r["cur"]["tie"]) for r in tasks}
+    assert order == {True}
 
 
 def test_first_samples_are_cut_before_the_shuffle(spark):

@@ -63,7 +63,11 @@ def test_mask_record(spark):
     assert row["extra"]["Salary"].startswith("[VAULT_SALARY_") and "[VAULT_PAN_" in row["extra"]["note"]
     assert row["accounts"][0]["iban"].startswith("[VAULT_IBAN_")
     stored = {(r["token"], r["original_value"]) for r in privacy.record_vault(df, SECRET).collect()}
-    assert stored == {(row["salary"], "5000.0"), (row["bank_account"], "ACC-9")}
+    note = row["extra"]["note"].removeprefix("PAN ")
+    assert stored == {
+        (row["salary"], "5000.0"), (row["bank_account"], "ACC-9"), (row["extra"]["Salary"], "1"), (note, "ABCDE1234F"),
+        (row["accounts"][0]["iban"], "X"),
+    }
 
 
 def test_literals(spark):

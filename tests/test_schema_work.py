@@ -359,7 +359,7 @@ def test_matching_random_against_rules(spark):
     pool = [s for row in spec for s in row["synonyms"]] + ["first_name", "LastName", "fname", "empLname"]
     rows, want = [], {}
     for n in range(60):
-        entity = rng.choice(list(refdata.CANONICAL_FIELDS))
+        entity = rng.choice(sorted({row["entity"] for row in spec}))
         names = set()
         for name in rng.sample(pool, rng.randrange(3, 30)):
             names.add(rng.choice([name, name.upper(), name.replace("_", ""), "x_" + name, name + "_code", name.title()]))
@@ -475,3 +475,33 @@ def test_repair(spark):
     assert json.loads(rows[2]["repaired"]) == {"FirstName": "Z", "LastName": "Z", "Department": "General", "x": {"b": 1}}
     assert json.loads(rows[0]["repaired"]) == {"first_name": "A", "Department": "General"}
     assert not quality.repair_rejected(df, "workday", "EMPLOYEE").collect()[0]["is_repairable"]
+
+
+def test_value_map_reads_the_natural_number(spark):
+    from crewframe.operators import mapping as mp
+    from crewframe.operators import quality
+
+    rule = mp.FieldRule("grade", "n", "decimal", values={"1": "LOW", "2.5": "MID", "10": "TEN"})
+    flag = mp.FieldRule("boss", "b", "bool", values={"True": "YES"})
+    spec = mp.Mapping("v", "EMPLOYEE", "id", (rule, flag))
+    bodies = ['{"id": 1, "n": 1, "b": true}', '{"id": 2, "n": "2.50"}', '{"id": 3, "n": 10, "b": false}', '{"id": 4, "n": 7}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string").withColumn("payload", F.parse_json("body"))
+    rows = mp.project(df, spec).orderBy("k").select("m_grade", "m_boss").collect()
+    assert [tuple(r) for r in rows] == [("LOW", "YES"), ("MID", None), ("TEN", "false"), ("7", None)]
+    issues = quality.probe_issues(df, spec, "k", [])
+    found = [(r["sample_index"], r["severity"], r["message"]) for r in issues.orderBy("sample_index").collect()]
+    assert found == [(k, "WARNING", "Field 'grade' expected Decimal, got str") for k in (0, 1, 2)]
+    report = quality.probe_report(df, issues, spec, []).collect()[0]
+    assert report["is_valid"] and report["warning_count"] == 3 and report["quality_score"] == 0.85
+
+
+def test_probe_of_no_records(spark):
+    from crewframe.operators import mapping as mp
+    from crewframe.operators import quality
+
+    spec = mp.Mapping("v", "EMPLOYEE", "id", (mp.FieldRule("x", "x"),))
+    empty = spark.createDataFrame([], "k int, body string").withColumn("payload", F.parse_json("body"))
+    issues = quality.probe_issues(empty, spec, "k", [])
+    assert [(r["severity"], r["field"]) for r in issues.collect()] == [("ERROR", "payload")]
+    report = quality.probe_report(empty, issues, spec, []).collect()[0]
+    assert (report["records_tested"], report["is_valid"], report["quality_score"]) == (0, False, 0.0)
