@@ -7,7 +7,10 @@ engine and counted in the query progress.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -71,5 +74,8 @@ def in_order(
     """Apply ``step`` per key in event order; ``fields`` start with microseconds and a tie-breaker."""
     for name, value in STATE_CONF.items():
         stream.sparkSession.conf.set(name, value)
+    # the driver's own Python worker, which prepares a stateful operator, gets no files: send the code itself
+    for module in {InOrder.__module__, step.__module__}:
+        cloudpickle.register_pickle_by_value(sys.modules[module])
     processor = InOrder(keys, fields, field_types, output, step)
     return stream.groupBy(*keys).transformWithStateInPandas(processor, output_types, "append", "EventTime")
