@@ -240,7 +240,7 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.withColumns({"__host": host, "__digest": digest})
     named = pages.select(host.alias("host"), path.alias("path"), digest.alias("digest"), html.alias("html"))
     pairs = neighbours(named.select("host", "path", "digest"))
-    lines = cut(named.select("host", "digest", "html").mapInPandas(_hashes, HASHES).dropDuplicates(["host", "digest"]))
+    lines = named.select("host", "digest", "html").mapInPandas(_hashes, HASHES).dropDuplicates(["host", "digest"])
     partners = pairs.join(lines.select("host", F.col("digest").alias("partner"), "lines"), ["host", "partner"])
     partners = cut(partners.select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), F.col("lines").alias("__lines")))
 
