@@ -40,9 +40,10 @@ def segment(code: Column, low: int, high: int) -> Column:
     return F.shiftrightunsigned(code, low).bitwiseAND(F.lit(mask).cast("long"))
 
 
-def flips(width: int, ones: int) -> list[int]:
-    """All values of ``width`` bits with ``ones`` of them set."""
-    return [sum(1 << b for b in chosen) for chosen in combinations(range(width), ones)]
+def flips(width: int, ones: int) -> Column:
+    """All values of ``width`` bits with ``ones`` of them set, as one constant that is folded into the plan."""
+    listed = ",".join(str(sum(1 << b for b in chosen)) for chosen in combinations(range(width), ones))
+    return F.split(F.lit(listed), ",").cast("array<long>")
 
 
 def segments_for(rows: int) -> int:
@@ -88,11 +89,12 @@ def top_k(rows: DataFrame, k: int = 10, every: int = EVERY) -> DataFrame:
         for j, (a, b) in enumerate(spans):
             if s > b - a:
                 continue
-            masks = F.explode(F.array(*[F.lit(f).cast("long") for f in flips(b - a, s)])).alias("flip")
+            masks = F.explode(flips(b - a, s)).alias("flip")
             own = open_queries.select("q", F.lit(j).alias("j"), segment(F.col("q"), a, b).alias("home"), masks)
             own = own.select("q", "j", F.col("home").bitwiseXOR(F.col("flip")).alias("value"))
             probes = own if probes is None else probes.unionByName(own)
-        met = probes.join(index, ["j", "value"]).select("q", "j", "code", "held", "first_id")
+        # merged, as the planner can't see how many probes the flips make and would broadcast them
+        met = probes.hint("merge").join(index, ["j", "value"]).select("q", "j", "code", "held", "first_id")
         apart = F.array(*[F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), a, b)) for a, b in spans])
         # a code is met at its nearest segment, the first of them: each pair comes out once in all rounds
         met = met.withColumn("apart", apart).filter((F.array_min("apart") == s) & (F.array_position("apart", s) == F.col("j") + 1))
