@@ -18,13 +18,15 @@ from crewframe.llm.recurrent import TAILS, Trainer, Vocabulary, first_weights, l
 from crewframe.session import cut, discard
 
 #: most frequent words with a place of their own in the network
-PLACES = 4096
-#: most frequent words whose counts every task holds; counts of the others are joined
-HELD = 1 << 18
+PLACES = 1024
+#: most words whose counts every task holds, the frequent ones; counts of the others are joined
+HELD = 1 << 17
+#: steps of a doubling of the count at which the held words may end
+STEPS = 16
 #: longest word, in bytes, that is held or has a place
 WORD_BYTES = 64
 #: words of a document that the network is trained on: one run at a place that a hash of the id picks
-TRAINED_WORDS = 64
+TRAINED_WORDS = 32
 #: shares of the training documents; replicas meet after each
 ROUNDS = 4
 #: rows side by side in training
@@ -78,24 +80,39 @@ class Lexicon:
     def __init__(self, counts: DataFrame):
         self.total, self.distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         short = counts.filter(F.octet_length("word") <= WORD_BYTES)
-        held = [(r[0].encode(), r[1]) for r in short.orderBy(F.desc("n"), "word").limit(HELD).collect()]
+        # where to end comes from a histogram of at most 64 x STEPS bars, so only the held words come to the driver
+        bar = F.floor(F.log2("n") * STEPS)
+        least, so_far = float("inf"), 0
+        for number, words in sorted(short.groupBy(bar).count().collect(), reverse=True):
+            so_far += words
+            if so_far > HELD:
+                break
+            least = number
+        found = short.filter(bar >= F.lit(least)).collect()
+        held = sorted(((r[0].encode(), r[1]) for r in found), key=lambda h: (-h[1], h[0]))
         self.held = dict(held)
         self.place = {w: i for i, (w, _) in enumerate(held[:PLACES])}
         first = np.array([n for _, n in held[:PLACES]], float)
         # sums of the words without a place, by class
         rest = counts
-        if len(self.place) == PLACES:
-            word, n = held[PLACES - 1]
+        if self.place:
+            word, n = held[len(self.place) - 1]
             later = (F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word.decode()))
             rest = rest.filter(later | (F.octet_length("word") > WORD_BYTES))
-        else:
-            rest = rest.filter(F.octet_length("word") > WORD_BYTES)
         tail = (F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % TAILS).cast("int").alias("tail")
         sums = rest.groupBy(tail).agg(F.sum("n"), F.count("*")).collect()
         self.tail_n, self.tail_v = np.zeros(TAILS), np.zeros(TAILS)
         for at, n, v in sums:
             self.tail_n[at], self.tail_v[at] = n, v
         self.vocabulary = Vocabulary(first, self.tail_n)
+        # by place among the held words: the network's place, log10 share, and that within the tail class
+        self.index = {w: i for i, (w, _) in enumerate(held)}
+        self.ids = np.array([i if i < len(self.place) else self.tail_id(w) for i, (w, _) in enumerate(held)], np.int64)
+        self.bases = np.array([self.base(n) for _, n in held])
+        self.inside = np.array([0.0 if i < len(self.place) else self.in_tail(w, n) for i, (w, n) in enumerate(held)])
+
+    def tail_id(self, word: bytes) -> int:
+        return len(self.place) + tail_class(word)
 
     def base(self, n: float) -> float:
         return float(np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1))))
@@ -105,10 +122,20 @@ class Lexicon:
         at = tail_class(word)
         return float(np.log10((n + 0.5) / (self.tail_n[at] + 0.5 * (self.tail_v[at] + 1))))
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        get, n = self.place.get, len(self.place)
-        found = [get(w, -1) for w in words]
-        return np.array([self.vocabulary.start, *(n + tail_class(w) if p < 0 else p for p, w in zip(found, words, strict=True))])
+    def indexed(self, words: list[bytes]) -> np.ndarray:
+        """Place of each word among the held ones, or -1."""
+        get = self.index.get
+        return np.array([get(w, -1) for w in words], np.int64)
+
+    def places(self, words: list[bytes], indexed: np.ndarray | None = None) -> np.ndarray:
+        """The start and the network's place of each word."""
+        at = self.indexed(words) if indexed is None else indexed
+        out = np.empty(len(words) + 1, np.int64)
+        out[0] = self.vocabulary.start
+        out[1:] = self.ids[at] if len(self.ids) else 0
+        for i in np.flatnonzero(at < 0):
+            out[i + 1] = self.tail_id(words[i])
+        return out
 
 
 def training_runs(docs: DataFrame, lexicon) -> DataFrame:
@@ -196,27 +223,16 @@ def score(docs: DataFrame, lexicon, weights: dict[str, np.ndarray]) -> DataFrame
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: Lexicon = lexicon.value
-        held = known.held
-        bases = {n: known.base(n) for n in set(held.values())}
         for batch in batches:
             rows, runs = [], []
             for text in batch["text"]:
                 words = tokens(text)
-                seen = Counter(words)
-                runs.append(known.places(words))
-                base = tail = 0.0
-                n_held, rare = 0, []
-                for word, n in seen.items():
-                    c = held.get(word)
-                    if c is None:
-                        rare.append((word.decode(), n))
-                        continue
-                    n_held += n
-                    base += n * bases[c]
-                    if word not in known.place:
-                        tail += n * known.in_tail(word, c)
-                rare.sort()
-                rows.append((len(words), n_held, base, tail, [w for w, _ in rare], [n for _, n in rare]))
+                at = known.indexed(words)
+                runs.append(known.places(words, at))
+                held = at[at >= 0]
+                rare = sorted(Counter(words[i] for i in np.flatnonzero(at < 0)).items())
+                base, inside = float(known.bases[held].sum()), float(known.inside[held].sum())
+                rows.append((len(words), len(held), base, inside, [w.decode() for w, _ in rare], [n for _, n in rare]))
             logs = log_likelihoods(known.vocabulary, sent.value, runs) / np.log(10)
             out = pd.DataFrame(rows, columns=["n_tokens", "n_held", "base_held", "score_held", "words", "times"])
             out["score_held"] += logs
