@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The names of the transforms and the date formats they try, in this order.
+
 BLANKS = " \t\n\r\f\x0b"
 _INDEXED = re.compile(r"^([^\[\]]*)\[(\d*)\]$")
 

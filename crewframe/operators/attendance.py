@@ -9,6 +9,8 @@ from crewframe.functions.geo import haversine_km
 from crewframe.operators.findings import text
 from crewframe.operators.sequences import successive_pairs
 
+# The texts of leave decisions and alerts below must read exactly so.
+
 # Leave types a probationer may not take beyond the balance.
 PROBATION_TYPES = ["ANNUAL", "PRIVILEGE", "CASUAL"]
 

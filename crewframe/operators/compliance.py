@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crewframe.operators.findings import emit, finding, text
 
+# Rule keys, violation ids, sentences, penalties and advice of the findings below must read exactly so.
+
 
 def _pick(df: DataFrame, names: list[str], kind: str) -> Column:
     """First of several optional columns that is neither null nor empty nor zero."""

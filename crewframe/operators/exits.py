@@ -9,6 +9,8 @@ from crewframe import refdata
 from crewframe.functions.money import TENURE, at_least, dec, half_up, money
 from crewframe.operators.pay import _texts, india_gratuity_amount, uae_eosb_amount
 
+# The texts of certificates and deadlines below must read exactly so.
+
 
 def final_settlement(df: DataFrame) -> DataFrame:
     """Net amount owed at exit: unpaid days, leave encashment, gratuity and notice."""

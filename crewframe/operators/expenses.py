@@ -9,6 +9,8 @@ from crewframe import refdata
 from crewframe.functions.money import MONEY, dec, half_up, money, thousands
 from crewframe.operators.findings import text
 
+# The texts of verdicts, policies and explanations below must read exactly so.
+
 # What identifies the same receipt twice inside a claim; an undated line equals another undated one.
 RECEIPT = ["claim_id", "_date", "_amount", "_category"]
 

@@ -9,6 +9,8 @@ from crewframe import refdata
 from crewframe.functions.money import money, thousands
 from crewframe.operators.findings import text
 
+# The texts of letters, checks and score explanations below must read exactly so.
+
 
 # ------------------------------------------------------------------------------- offers
 def offers_with_bands(offers: DataFrame, bands: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ def india_salary(
     cap_pf: bool | Column = False,
     professional_tax: float | Column = 200,
 ) -> DataFrame:
+
+# The formula texts and citations below must read exactly so.
     """Monthly Indian salary structure from an annual cost to company."""
     capped = cap_pf if isinstance(cap_pf, Column) else F.lit(cap_pf)
     tax = professional_tax if isinstance(professional_tax, Column) else F.lit(str(professional_tax))

@@ -16,6 +16,8 @@ def probe_issues(
     df: DataFrame, mapping: Mapping, order: str, keys: list[str], required: list[str] | None = None,
     payload: str = "payload",
 ) -> DataFrame:
+
+# The messages of issues and drift events below must read exactly so.
     """One row per problem: no id, a required field left empty, a required canonical field empty, and as warnings
     dates and numbers that a value map turns into text.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crewframe import refdata
 
+# Vendor field names, constants and default texts below must read exactly so.
+
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
