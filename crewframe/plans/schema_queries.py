@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from crewframe import refdata
@@ -278,19 +281,16 @@ def _canonical(spark, sf_dir):
     return mp.to_canonical(ad.staff_payloads(spark, sf_dir), STAFF_MAPPING, tenant=F.col("tenant_id"))
 
 
-@query(
-    "canonical_employees",
-    with_views(
-        ["staff"],
-        f"""SELECT tenant_id, 'hostco:EMPLOYEE:' || k AS source_ref, first_name || ' ' || last_name AS full_name, trim(email) AS work_email,
+CANONICAL = with_views(
+    ["staff"],
+    f"""SELECT tenant_id, 'hostco:EMPLOYEE:' || k AS source_ref, first_name || ' ' || last_name AS full_name, trim(email) AS work_email,
           {STATUS} AS employment_status, base_cents::DOUBLE AS salary, 'INR' AS currency, doj AS joining_date,
           CASE WHEN k % 5 = 0 THEN 'SQL' ELSE 'JAVA' END AS designation
         FROM staff WHERE email IS NOT NULL""",
-    ),
 )
-def canonical_employees(spark, sf_dir):
-    """Canonical employees of every accepted staff record."""
-    good, _ = _canonical(spark, sf_dir)
+
+
+def _canonical_out(good):
     return good.select(
         "tenant_id",
         F.concat_ws(":", "source_ref.vendor", "source_ref.entity_type", "source_ref.external_id").alias("source_ref"),
@@ -298,6 +298,50 @@ def canonical_employees(spark, sf_dir):
     )
 
 
+@query("canonical_employees", CANONICAL)
+def canonical_employees(spark, sf_dir):
+    """Canonical employees of every accepted staff record."""
+    return _canonical_out(_canonical(spark, sf_dir)[0])
+
+
+@query("catalog_employees", CANONICAL)
+def catalog_employees(spark, sf_dir):
+    """The same with the mapping out of a catalog that was saved twice: the later one is listed and loaded."""
+    folder = scratch(spark, "catalog")
+    older = replace(STAFF_MAPPING, fields=STAFF_MAPPING.fields[:3], writeback={})
+    mp.save_mappings(spark, folder, "T0", [older], datetime(2024, 1, 1))
+    mp.save_mappings(spark, folder, "T0", [STAFF_MAPPING], datetime(2024, 6, 1))
+    listed_now = mp.list_mappings(spark.read.parquet(folder), "T0")
+    loaded = mp.load_mapping(listed_now, "T0", "HostCo", "employee")
+    good, _ = mp.to_canonical(ad.staff_payloads(spark, sf_dir), loaded, tenant=F.col("tenant_id"))
+    return _canonical_out(good)
+
+
+@query(
+    "unknown_entity_rules",
+    """WITH e AS (SELECT event_type, unnest(json_keys(j)) AS field, j FROM (
+        SELECT event_type, json_object('event_id', event_id, 'user_id', user_id, 'value', value, 'kind', event_type, 'flag', user_id % 2 = 0) AS j
+        FROM events)),
+    t AS (SELECT event_type, field, min(json_type(j, '$.' || field)) AS kind FROM e GROUP BY 1, 2)
+    SELECT event_type, field AS target, field AS source, CASE WHEN kind IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN kind = 'DOUBLE' THEN 'decimal'
+        WHEN kind = 'BOOLEAN' THEN 'bool' ELSE 'strip' END AS transform, 1.0::DOUBLE AS confidence, true AS writeback
+    FROM t""",
+)
+def unknown_entity_rules(spark, sf_dir):
+    """One-to-one rules for an entity without a canonical spec: events as landed records, by type."""
+    record = F.struct(
+        "event_id", "user_id", "value", F.col("event_type").alias("kind"), (F.col("user_id") % 2 == 0).alias("flag")
+    )
+    rows = ad.table(spark, sf_dir, "events").select(
+        "event_type", F.lit("hostco").alias("vendor"), F.lit("TELEMETRY").alias("entity_type"), "event_id",
+        F.parse_json(F.to_json(record)).alias("payload"),
+    )
+    keys = ["event_type", "vendor", "entity_type"]
+    profile = cut(profiling.profile_records(rows, keys, "event_id"))
+    rules = matching.match_fields(profile, keys)
+    return rules.select("event_type", "target", F.array_join("source", "|").alias("source"), "transform", "confidence", "writeback")
+
+
 @query(
     "canonical_table",
     with_views(

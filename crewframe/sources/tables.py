@@ -28,9 +28,13 @@ def latest_by_key(
 
 
 def write_canonical(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Persist canonical rows partitioned by tenant and entity, so readers prune by folder."""
+    """Persist canonical rows partitioned by tenant and entity, so readers prune by folder.
+
+    Rows are first rebalanced by folder: a small tenant gives one file, a big one as many as its size asks for.
+    """
     (
         df.withColumn("entity_type", F.col("source_ref.entity_type"))
+        .hint("rebalance", "tenant_id", "entity_type")
         .write.mode(mode)
         .partitionBy("tenant_id", "entity_type")
         .parquet(path)
