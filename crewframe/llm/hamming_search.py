@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,19 +45,18 @@ def flips(width: int, ones: int) -> Column:
     return F.split(F.lit(listed), ",").cast("array<long>")
 
 
-def segments_for(rows: int) -> int:
-    """As many segments as give about one row per value of a segment."""
-    return max(1, min(BITS // 4, round(BITS / max(4.0, math.log2(max(2, rows))))))
+#: Segments of a code: 16 bits each, about the logarithm of 10^4 to 10^6 codes; fewer segments suit larger tables.
+SEGMENTS = 4
 
 
-def top_k(rows: DataFrame, k: int = 10, every: int = EVERY) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 10, every: int = EVERY, segments: int = SEGMENTS) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the ``k`` nearest other rows of each query by (distance, id).
 
     ``rows``: (id, code).  Queries are the rows whose id is divisible by ``every``; rows with a null id are neither.
     A row that repeats an id stands once.  Fewer than ``k`` other rows give fewer neighbours.
 
     Equal codes are one entry of the index with their ``k`` + 1 smallest ids, and equal queries ask once, so a
-    common vector costs no more than a rare one.  Codes are cut into m segments, each an index by value.
+    common vector costs no more than a rare one.  Codes are cut into m ``segments``, each an index by value.
     Round s probes, for the queries still open, all segment values at exactly s flipped bits.  After it every
     code closer than m (s + 1) has been met, for at least one of its segments differs in s bits or fewer.  A query
     closes when its kth verified distance is below that, and at the latest when s has reached the segment's width.
@@ -69,8 +67,7 @@ def top_k(rows: DataFrame, k: int = 10, every: int = EVERY) -> DataFrame:
     ids = rows.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= k + 1)
     codes = cut(ids.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = cut(rows.filter(F.col("id") % every == 0))
-    n_codes = codes.count()
-    m = segments_for(n_codes)
+    m = segments
     edges = segment_edges(m)
     spans = list(zip(edges, edges[1:], strict=False))
 
