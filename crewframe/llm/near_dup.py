@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewframe.llm.base import components, query, read, row_key
-from crewframe.session import cut
+from crewframe.session import cut, discard
 
 BITS, SEED = 64, 42
 #: hashes of a long text that are counted at a time
 STEP = 1 << 16
+#: minima of a text's shingles under as many orders, in bands of so many that must all be equal for two texts to meet
+MINIMA, BAND = 120, 5
+#: estimated similarity (from the last byte of each minimum) below which a pair is not compared: 5 standard errors under 0.8
+DOUBT = 0.2
+ORDERS = np.random.default_rng(SEED).integers(1 << 63, size=(2, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -194,12 +199,140 @@ def keep_one(docs: DataFrame, text: str = "text", width: int = 3, radius: int =
     row = row_key(docs)
     prints = cut(docs.select("doc_id", row.alias("row"), fingerprint(F.col(text), width).alias("code")))
     groups = prints.join(classes(prints.select("doc_id", "code"), radius), "code")
+    return _first_rows(docs, row, groups)
+
+
+def _first_rows(docs: DataFrame, row, groups: DataFrame) -> DataFrame:
+    """The first row of ``docs`` of each root in ``groups`` (doc_id, row, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     kept = groups.groupBy("root").agg(first.alias("first")).select(F.struct("first.doc_id", "first.row").alias("__kept"))
     marked = docs.withColumn("__kept", F.struct("doc_id", row.alias("row")))
     return marked.join(kept, "__kept", "left_semi").dropDuplicates(["__kept"]).drop("__kept")
 
 
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash under each of MINIMA orders."""
+    out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12)]
+        np.minimum(out, (ORDERS[0][:, None] * part + ORDERS[1][:, None]).min(axis=1), out=out)
+    return out
+
+
+def sketch(text, width: int):
+    """Column: name of the set of shingles, its size, a value for each band of minima, and the last byte of each."""
+
+    @F.pandas_udf("code long, n int, bands array<long>, marks binary")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            hashes = np.unique(shingle_hashes(t, width))
+            least = minima(hashes)
+            bands = [xxhash.xxh64_intdigest(least[a : a + BAND].tobytes(), a) for a in range(0, MINIMA, BAND)]
+            code = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+            marks = (least >> np.uint64(56)).astype(np.uint8).tobytes()
+            rows.append((np.uint64(code).astype(np.int64), len(hashes), np.array(bands, np.uint64).view(np.int64), marks))
+        return pd.DataFrame(rows, columns=["code", "n", "bands", "marks"])
+
+    return sketched(text)
+
+
+def estimate(left, right):
+    """Column: similarity by the share of equal marks."""
+
+    @F.pandas_udf("double")
+    def estimated(left: pd.Series, right: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(map(bytes, m)), np.uint8).reshape(-1, MINIMA) for m in (left, right))
+        return pd.Series(((a == b).mean(axis=1) - 1 / 256) * 256 / 255)
+
+    return estimated(left, right)
+
+
+def jaccard(left, right, width: int):
+    """Column: shared shingles of two texts as a share of all."""
+
+    @F.pandas_udf("double")
+    def exact(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, last, held = [], None, None
+        for a, b in zip(left, right, strict=True):
+            if b != last:  # rows come sorted by the right text's code
+                last, held = b, np.unique(shingle_hashes(b, width))
+            own = np.unique(shingle_hashes(a, width))
+            both = len(np.intersect1d(own, held, assume_unique=True))
+            out.append(both / max(1, len(own) + len(held) - both))
+        return pd.Series(out, dtype="float64")
+
+    return exact(left, right)
+
+
+def similar_pairs(entries: DataFrame, least: float) -> DataFrame:
+    """(u, v, estimate): pairs of ``entries`` (code, n, bands, marks) that may have a similarity of ``least``.
+
+    Texts meet in buckets of equal bands; two of similarity 0.8 share one with a probability of 0.9999.  In a bucket every
+    text is paired with three of its texts, not with all, so a large group of near copies makes rows in proportion.
+    """
+    buckets = cut(entries.select("code", F.explode("bands").alias("bucket")))
+    drawn = F.min(F.struct(F.xxhash64("code", "bucket").alias("draw"), "code"))
+    hubs = buckets.groupBy("bucket").agg(F.min("code").alias("a"), F.max("code").alias("b"), drawn.alias("c"))
+    hubs = hubs.filter("a < b").select("bucket", F.array_distinct(F.array("a", "b", "c.code")).alias("hubs"))
+    met = buckets.join(hubs, "bucket").select("code", F.explode("hubs").alias("hub")).filter("code <> hub")
+    met = cut(met.selectExpr("greatest(code, hub) u", "least(code, hub) v").distinct())
+    discard(entries.sparkSession, buckets)
+    side = lambda c: entries.select(F.col("code").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}"))
+    sized = met.join(side("u"), "u").join(side("v"), "v").filter(F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v"))
+    near = sized.select("u", "v", estimate("m_u", "m_v").alias("estimate")).filter(F.col("estimate") >= least - DOUBT)
+    near = cut(near)
+    discard(entries.sparkSession, met)
+    return near
+
+
+def similar_roots(docs: DataFrame, entries: DataFrame, text: str, width: int, least: float) -> DataFrame:
+    """(node, root) of the codes linked by pairs of texts with a similarity of ``least``, each compared in full.
+
+    First each text with the one most like it, then the pairs that are not yet in one component.
+    """
+    spark = docs.sparkSession
+    near = similar_pairs(entries, least)
+    wanted = near.select(F.col("u").alias("code")).union(near.select("v")).distinct().join(entries.select("code", "name"), "code")
+    named = docs.select(F.xxhash64(F.col(text)).alias("name"), F.col(text).alias("text"))
+    texts = cut(named.join(wanted, "name").select("code", "text").dropDuplicates(["code"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = [texts.select(F.col("code").alias(c), F.col("text").alias(f"t_{c}")) for c in "uv"]
+        both = pairs.select("u", "v").join(sides[0], "u").join(sides[1], "v")
+        return cut(both.filter(jaccard(F.col("t_u"), F.col("t_v"), width) >= least).select("u", "v"))
+
+    best = near.groupBy("u").agg(F.max(F.struct("estimate", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    best = cut(best)
+    links = verified(best)
+    roots = cut(components(links))
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+    left = near.join(best, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
+    apart = F.coalesce("r_u", "u") != F.coalesce("r_v", "v")
+    more = verified(left.filter(apart))
+    out = cut(components(links.unionByName(more)))
+    discard(spark, near, texts, best, links, roots, more)
+    return out
+
+
+def keep_one_similar(docs: DataFrame, text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` less all but one row of each group of texts linked by a similarity of at least ``least``.
+
+    The similarity is the Jaccard index of the sets of shingles of ``width`` lower-case words, a text of fewer words
+    being one shingle.  Candidates come from :func:`similar_pairs`; only pairs whose whole texts were compared
+    link.  Which row stays is as in :func:`keep_one`; texts without words are one group.
+    """
+    row = row_key(docs)
+    made = docs.select("doc_id", row.alias("row"), F.xxhash64(F.col(text)).alias("name"), sketch(F.col(text), width).alias("s"))
+    prints = cut(made.select("doc_id", "row", "name", "s.*"))
+    firsts = [F.first(c).alias(c) for c in ("name", "n", "bands", "marks")]
+    entries = cut(prints.groupBy("code").agg(*firsts))
+    roots = similar_roots(docs, entries.filter("n > 0"), text, width, least)
+    discard(docs.sparkSession, entries)
+    groups = prints.select("doc_id", "row", "code").join(roots, F.col("code") == F.col("node"), "left")
+    return _first_rows(docs, row, groups.select("doc_id", "row", F.coalesce("root", "code").alias("root")))
+
+
 @query("op8_simhash_near_dup")
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""

@@ -109,3 +109,44 @@ def test_long_text_in_steps():
     finally:
         nd.STEP = step
     assert small == nd.simhash(h)
+
+
+def set_of(text, width=5):
+    w = words(text)
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def alike(rows, least=0.8):
+    """Group of each row, all pairs compared."""
+    sets, group = [set_of(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and (a == b or len(a & b) >= least * len(a | b)):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_texts_alike_meet(spark):
+    base = [prose(s, 300) for s in range(4)]
+    rows = [(i, base[i % 4]) for i in range(8)]
+    rows += [(10 + i, near(near(near(base[i % 4], i), i + 50), i + 90)) for i in range(24)]  # up to 15 shingles of 296
+    rows += [(60 + i, base[0][: 300 + 250 * i]) for i in range(5)] + [(100 + i, base[0]) for i in range(30)] + ODD
+    group = alike(rows)
+    far = [(print_of(rows[i][1]) ^ print_of(rows[i % 4][1])).bit_count() for i in range(8, 32)]
+    assert sum(d > 3 for d in far) > 3  # beyond the radius of op8
+    kept = nd.keep_one_similar(documents(spark, rows, extra=True))
+    assert "m" in kept.columns and "code" in kept.columns and "name" not in kept.columns
+    expected = [min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in set(group)]
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, expected))
+    assert nd.keep_one_similar(documents(spark, [])).collect() == []
+
+
+def test_only_compared_texts_link(spark, monkeypatch):
+    # every two texts are candidates; the whole texts decide
+    monkeypatch.setattr(nd, "DOUBT", 2.0)
+    w = prose(3, 100).split()
+    rows = [(1, " ".join(w)), (2, " ".join([*w, "eins", "zwei"])), (3, " ".join(w[:75])), (4, " ".join(w[10:]))]
+    got = {r.doc_id for r in nd.keep_one_similar(documents(spark, rows)).collect()}
+    group = alike(rows)
+    assert got == {min(i for (i, _), h in zip(rows, group) if h == g) for g in set(group)} != {1, 2, 3, 4}

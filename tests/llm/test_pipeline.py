@@ -94,3 +94,13 @@ def test_library_does_without_this_folder(tmp_path):
     (tmp_path / "crewframe" / "llm").rename(tmp_path / "elsewhere")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) >= 76 and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_near_copies_go(spark):
+    """Texts of 5-word similarity 0.8 whose fingerprints are further apart than three bits."""
+    base = [prose(i, 200).split() for i in range(6)]
+    change = lambda w, *at: " ".join("changed" if i in at else x for i, x in enumerate(w))
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(base)]
+    rows += [(10 + 10 * k + i, change(w, 20 + 30 * k, 101 + 15 * k), "en", "s", 1) for i, w in enumerate(base) for k in range(4)]
+    kept = cp.near_dup(spark, spark.createDataFrame(rows, DOC).repartition(3), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
