@@ -18,19 +18,21 @@ from crewframe.llm.recurrent import TAILS, Trainer, Vocabulary, first_weights, l
 from crewframe.session import cut, discard
 
 #: most frequent words with a place of their own in the network
-PLACES = 1024
+PLACES = 4096
 #: most words whose counts every task holds, the frequent ones; counts of the others are joined
 HELD = 1 << 17
 #: steps of a doubling of the count at which the held words may end
 STEPS = 16
 #: longest word, in bytes, that is held or has a place
 WORD_BYTES = 64
-#: words of a document that the network is trained on: one run at a place that a hash of the id picks
-TRAINED_WORDS = 32
+#: words of a piece of a training document; the state is carried within a piece
+PIECE = 512
 #: shares of the training documents; replicas meet after each
 ROUNDS = 4
 #: rows side by side in training
 ROWS = 64
+#: batches of pieces that wait to be put side by side with others of like length
+BATCHES = 16
 #: distinct words a task counts before it hands them on
 COUNTED = 500_000
 #: weights of replicas that one task averages
@@ -139,18 +141,20 @@ class Lexicon:
 
 
 def training_runs(docs: DataFrame, lexicon) -> DataFrame:
-    """(round, run) of each training document: the places of TRAINED_WORDS words in a row, with the one before them."""
+    """(round, run): the places of all words of each document, in pieces of PIECE words, each with the one before it.
+
+    The pieces of a document go to the rounds by a hash, so a long text is not learned from in one go.
+    """
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = lexicon.value
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"].astype(str), batch["text"], strict=True):
-                words = tokens(text)
-                spot = zlib.crc32(doc_id.encode(), 1)
-                first = spot % max(1, len(words) - TRAINED_WORDS + 1)
-                part = known.places(words[max(0, first - 1) : first + TRAINED_WORDS])
-                out.append((spot // 7 % ROUNDS, (part if first == 0 else part[1:]).tolist()))
+                places = known.places(tokens(text))
+                for number, first in enumerate(range(0, len(places) - 1, PIECE)):
+                    spot = zlib.crc32(f"{doc_id}/{number}".encode(), 1)
+                    out.append((spot % ROUNDS, places[first : first + PIECE + 1].tolist()))
             yield pd.DataFrame(out, columns=["round", "run"])
 
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id")
@@ -162,6 +166,13 @@ def _mean(weights: list[dict], shares: list[float]) -> dict[str, np.ndarray]:
     return {k: sum(w[k].astype(np.float64) * (s / total) for w, s in zip(weights, shares, strict=True)).astype(np.float32) for k in weights[0]}
 
 
+def learn_all(trainer: Trainer, pieces: list[np.ndarray]) -> None:
+    """Every piece once, ROWS of like length side by side."""
+    pieces = sorted(pieces, key=len, reverse=True)
+    for at in range(0, len(pieces), ROWS):
+        trainer.learn(pieces[at : at + ROWS])
+
+
 def train(runs: DataFrame, lexicon, epochs: int = 1) -> dict[str, np.ndarray]:
     """Weights after ROUNDS rounds: each task trains a replica on its part of the round's runs, then replicas are averaged.
 
@@ -179,11 +190,10 @@ def train(runs: DataFrame, lexicon, epochs: int = 1) -> dict[str, np.ndarray]:
             waiting: list[np.ndarray] = []
             for batch in batches:
                 waiting += [np.asarray(r, np.int64) for r in batch["run"]]
-                while len(waiting) >= ROWS:
-                    trainer.learn(waiting[:ROWS])
-                    waiting = waiting[ROWS:]
-            if waiting:
-                trainer.learn(waiting)
+                if len(waiting) >= ROWS * BATCHES:
+                    learn_all(trainer, waiting)
+                    waiting = []
+            learn_all(trainer, waiting)
             if trainer.tokens:
                 part = TaskContext.get().partitionId()
                 yield pd.DataFrame({"part": [part], "share": [float(trainer.tokens)], "weights": [pickle.dumps(trainer.weights)]})
@@ -248,7 +258,7 @@ def log_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (doc_id, text).
 
     A token is a word (A-Z in lower case) or the end.  The model learns from the rows where ``learn`` holds: counts
-    over all their words, and a network trained on one run of TRAINED_WORDS words of each.  ``score`` is the log10
+    over all their words, and a network trained on all their words.  ``score`` is the log10
     probability of the whole text: the network's state goes from window to window to the text's end.
     ``base_score`` is that of counts alone.  The two are sums over the words a task holds counts of, and over the
     others, which meet their counts in a join on the word: no such word is frequent, so no key of it is hot.

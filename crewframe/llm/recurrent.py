@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: hidden units
-HIDDEN = 16
+HIDDEN = 32
 #: classes that words without a place of their own fall into
 TAILS = 32
 #: words of a class at most
@@ -148,7 +148,9 @@ def backpropagate(vocabulary: Vocabulary, w: dict, inputs: np.ndarray, targets:
         grads["h"] += before.T @ recurrent
         d_gates[t] = np.concatenate([dz, dr, dn], axis=1)
         d_next = d * z + recurrent @ w["h"].T
-    np.add.at(grads["x"], inputs.T.ravel(), d_gates.reshape(-1, 3 * HIDDEN))
+    order = np.argsort(inputs.T.ravel(), kind="stable")
+    ids, first = np.unique(inputs.T.ravel()[order], return_index=True)
+    grads["x"][ids] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], first)
     return -float(out.sum()), len(real), grads, h
 
 
@@ -162,26 +164,35 @@ class Trainer:
         self.tokens, self.loss = 0, 0.0
 
     def learn(self, rows: list[np.ndarray]) -> None:
-        """Rows of places; the first of each is the input before its first word."""
-        longest = max(map(len, rows))
-        table = np.full((len(rows), longest), -1, np.int64)
+        """Rows of places; the first of each is the input before its first word.  A row that has ended is left out."""
+        rows = sorted(rows, key=len, reverse=True)
+        lengths = np.array([len(row) for row in rows])
+        table = np.full((len(rows), lengths[0]), -1, np.int64)
         for i, row in enumerate(rows):
             table[i, : len(row)] = row
         h = np.zeros((len(rows), HIDDEN), np.float32)
-        for at in range(0, longest - 1, self.window):
-            inputs = np.maximum(table[:, at : min(at + self.window, longest - 1)], 0)
-            targets = table[:, at + 1 : at + 1 + inputs.shape[1]]
-            if not (targets >= 0).any():
-                break
-            loss, n, grads, h = backpropagate(self.vocabulary, self.weights, inputs, targets, h)
+        for at in range(0, int(lengths[0]) - 1, self.window):
+            live = int((lengths - 1 > at).sum())
+            inputs = np.maximum(table[:live, at : min(at + self.window, int(lengths[0]) - 1)], 0)
+            targets = table[:live, at + 1 : at + 1 + inputs.shape[1]]
+            loss, n, grads, h = backpropagate(self.vocabulary, self.weights, inputs, targets, h[:live])
             self.loss, self.tokens = self.loss + loss, self.tokens + n
-            scale = 1.0 / len(rows)
-            norm = scale * float(np.sqrt(sum((g * g).sum(dtype=np.float64) for g in grads.values())))
-            scale *= min(1.0, 5.0 / max(norm, 1e-9))
-            for k, g in grads.items():
-                g *= np.float32(scale)
-                self.squares[k] += g * g
-                self.weights[k] -= np.float32(self.rate) * g / np.sqrt(self.squares[k])
+            self.update(grads, inputs, targets, 1.0 / live)
+
+    def update(self, grads: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, scale: float) -> None:
+        """Only rows that the window touched: the gradient of the others is zero, which moves nothing."""
+        met = np.zeros(self.vocabulary.n_head + TAILS, bool)
+        met[self.vocabulary.class_of[targets[targets >= 0]]] = True
+        words = np.flatnonzero(met[self.vocabulary.class_of[: len(self.vocabulary.counts)]])
+        rows = {"x": np.unique(inputs), "u": words, "ub": words}
+        grads = {k: g[rows[k]] if k in rows else g for k, g in grads.items()}
+        norm = scale * float(np.sqrt(sum((g * g).sum(dtype=np.float64) for g in grads.values())))
+        scale *= min(1.0, 5.0 / max(norm, 1e-9))
+        for k, g in grads.items():
+            g = g * np.float32(scale)
+            at = rows.get(k, slice(None))
+            self.squares[k][at] += g * g
+            self.weights[k][at] -= np.float32(self.rate) * g / np.sqrt(self.squares[k][at])
 
 
 def log_likelihoods(vocabulary: Vocabulary, w: dict, texts: list[np.ndarray], rows: int = 1024, window: int = 64) -> np.ndarray:

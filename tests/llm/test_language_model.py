@@ -121,3 +121,36 @@ def test_empty_and_without_training_rows(spark):
     assert lm.log_scores(documents(spark, [])).collect() == []
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
     check(lm.log_scores(documents(spark, [(i, "a b") for i in held])).collect(), [(i, "a b") for i in held])
+
+
+def test_all_words_are_learned_from(spark):
+    rows = [(1, prose(1, 3000)), (2, prose(2, 5)), (3, prose(3, 600)), (4, None), (None, prose(4, 1100))]
+    docs = documents(spark, rows).select("doc_id", "text")
+    lexicon = spark.sparkContext.broadcast(lm.Lexicon(lm.word_counts(docs).cache()))
+    runs = [(r.round, r.run) for r in lm.training_runs(docs, lexicon).collect()]
+    want = [p for _, t in rows for p in lexicon.value.places(lm.tokens(t))[1:]]
+    assert sorted(p for _, run in runs for p in run[1:]) == sorted(want)
+    starts = [run for _, run in runs if run[0] == lexicon.value.vocabulary.start]
+    assert len(starts) == len(rows) and len({number for number, _ in runs}) > 1
+
+
+def test_every_piece_is_learned_whole():
+    draw, known, _ = tiny(5)
+    pieces = [np.concatenate([[known.start], draw.integers(0, len(known.class_of), n)]) for n in (1, 2, 16, 17, 40, 500, 500) * 30]
+    trainer = rn.Trainer(known, rn.first_weights(known))
+    lm.learn_all(trainer, pieces)
+    assert trainer.tokens == sum(len(p) - 1 for p in pieces)
+
+
+def test_rows_that_a_window_does_not_touch_stay():
+    draw, known, _ = tiny(6)
+    rows = [np.concatenate([[known.start], draw.integers(0, 40, 12)]) for _ in range(8)]
+    first = rn.first_weights(known)
+    trainer = rn.Trainer(known, first)
+    trainer.learn(rows)
+    table = np.stack(rows)
+    _, _, grads, _ = rn.backpropagate(known, first, table[:, :-1], table[:, 1:], np.zeros((8, rn.HIDDEN), np.float32))
+    norm = np.sqrt(sum((g * g).sum() for g in grads.values())) / 8
+    for k, g in grads.items():
+        g = g / 8 * min(1, 5 / norm)
+        assert np.allclose(trainer.weights[k], first[k] - 0.1 * g / np.sqrt(1e-2 + g * g), atol=1e-5), k
