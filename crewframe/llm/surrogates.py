@@ -36,9 +36,9 @@ UPPER = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]"
 LOWER = r"[a-zà-öø-ÿα-ωά-ώа-яё]"
 PATTERNS = [
     ("SECRET", re.compile(
-        r"""(?i)\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|password|passwd|pwd)["']?\s*[:=]\s*["']?(?P<v>[A-Za-z0-9+/_.=-]{8,512})"""
+        r"""(?i)\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|password|passwd|pwd)["']?\s*[:=]\s*["']?(?P<v>[A-Za-z0-9+/_.=-]{8,}+)"""
     )),
-    ("SECRET", re.compile(r"\b(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9]{20,255})\b")),
+    ("SECRET", re.compile(r"\b(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)\b")),
     ("EMAIL", re.compile(r"(?<![\w.+-])(?P<v>[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+)")),
     ("IBAN", re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
     ("IP", re.compile(r"(?<![\d.])(?P<v>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?![\d]|\.\d)")),

@@ -90,3 +90,16 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("text", ["1234567890123456789", "v1.2.3.4.5", "page 555-5132", "2021-03-04", "Mr who", "a@b", "999.1.1.1"])
 def test_leaves_alone(text):
     assert sg.replace(text, KEY, {}) == (text, [])
+
+
+@pytest.mark.parametrize("size", [300, 5000])
+@pytest.mark.parametrize("before", ["token=", 'password: "', "sk-", "ghp_"])
+def test_long_secrets_go_whole(before, size):
+    value = ("aB3dE6gH9k" * (size // 10 + 1))[:size]
+    text = f"use {before}{value} here"
+    mention = sg.find(text)
+    assert [(m.kind, len(m.value)) for m in mention] == [("SECRET", size + (len(before) if before in ("sk-", "ghp_") else 0))]
+    new, kinds = sg.replace(text, KEY, {})
+    assert kinds == ["SECRET"] and len(new) == len(text) and new.startswith(f"use {before}") and new.endswith(" here")
+    old, got = value, new[len(f"use {before}") : -len(" here")]
+    assert not any(old[i : i + 12] in got for i in range(0, size - 12))
