@@ -41,41 +41,47 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 
 
-def is_chrome(tag: str, attributes: str) -> bool:
-    """Whether an element is by its tag, names, role or style no part of a page's main text."""
+def evidence(tag: str, attributes: str) -> int:
+    """Whether an element is no part of a page's main text: 2 by its tag, role, style or a whole class or id, 1 by a part
+    of a class or id only ("search-result", "no-sidebar"), else 0.  An article or main part is not judged by its names.
+    """
     if tag in CHROME_TAGS:
-        return True
+        return 2
     if not attributes or tag in ("body", "html"):
-        return False
+        return 0
+    found = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return 2
         if name == "role" and value in CHROME_ROLES:
-            return True
-        if name in ("class", "id") and not CHROME_NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+            return 2
+        if name in ("class", "id") and tag not in CONTAINER_TAGS:
+            if not CHROME_NAMES.isdisjoint(value.split()):
+                return 2
+            if not CHROME_NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
+                found = 1
+    return found
 
 
-def lines_of(html: str | None) -> list[tuple[str, int, bool]]:
+def lines_of(html: str | None) -> list[tuple[str, int, int]]:
     """(line, container, chrome) of a page: its text by block, with white space made one blank.
 
-    ``container`` is 2 inside an article, 1 inside a main part, else 0.  Scripts, styles, comments and markup give
+    ``container`` is 2 inside an article, 1 inside a main part, else 0; ``chrome`` is the :func:`evidence`.  Scripts, styles, comments and markup give
     no line.  Tags that are not closed end with the element around them.
     """
     html = html or ""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, container and chrome within it
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int, int]] = []  # tag, container and chrome within it
     depth: dict[str, int] = {}
     words: list[str] = []
 
     def end_line() -> None:
         line = " ".join(unescape("".join(words)).split()) if words else ""
         if line:
-            _, container, chrome = stack[-1] if stack else ("", 0, False)
+            _, container, chrome = stack[-1] if stack else ("", 0, 0)
             out.append((line, container, chrome))
         words.clear()
 
@@ -106,13 +112,13 @@ def lines_of(html: str | None) -> list[tuple[str, int, bool]]:
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
             continue
-        _, container, chrome = stack[-1] if stack else ("", 0, False)
-        if tag in CONTAINER_TAGS and not is_chrome(tag, attributes):
+        _, container, chrome = stack[-1] if stack else ("", 0, 0)
+        if tag in CONTAINER_TAGS and not evidence(tag, attributes):
             # a form around the whole page is no reason to lose the article in it
-            chrome = chrome and not all(t == "form" or not is_chrome(t, "") for t, _, _ in stack)
+            chrome = 0 if all(t == "form" or not evidence(t, "") for t, _, _ in stack) else chrome
             container = max(container, CONTAINER_TAGS[tag])
         else:
-            chrome = chrome or is_chrome(tag, attributes)
+            chrome = max(chrome, evidence(tag, attributes))
         stack.append((tag, container, chrome))
         depth[tag] = depth.get(tag, 0) + 1
     words.append(html[at:])
@@ -171,15 +177,19 @@ def main_text(html: str | None, partner: list[int] | None) -> str:
     """Lines of a page that are neither chrome nor shared with ``partner``, the line hashes of a page near it.
 
     Lines inside the page's article (its main part, if there is no article) stay even when the partner has them:
-    articles quote each other.  The rest of a page that has one goes.
+    articles quote each other.  Of the rest, and of blocks with weak evidence of chrome anywhere, what the partner
+    has goes and what is the page's own stays.  Without a partner such blocks go, and the rest of a page that has
+    an article or main part.
     """
     lines = lines_of(html)
-    best = max((container for _, container, chrome in lines if not chrome), default=0)
-    shared = common([line_hash(line) for line, _, _ in lines], partner) if partner else [False] * len(lines)
-    kept = (
-        line for (line, container, chrome), twice in zip(lines, shared, strict=True)
-        if not chrome and (container == best if best else not twice)
-    )
+    sure = max((container for _, container, chrome in lines if not chrome), default=0)
+    shared = common([line_hash(line) for line, _, _ in lines], partner) if partner else None
+    kept = []
+    for i, (line, container, chrome) in enumerate(lines):
+        if not chrome and sure and container == sure:
+            kept.append(line)
+        elif chrome < 2 and not shared[i] if shared else not chrome and not sure:
+            kept.append(line)
     return " ".join(kept)
 
 

@@ -87,3 +87,21 @@ def test_neighbours_do_not_depend_on_the_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         want = want or got
         assert got == want and all(p is not None and p != d for _, d, p in got)
+
+
+def test_the_difference_decides_on_weak_evidence(spark):
+    body = (
+        '<div class="site-banner-wrap"><p>Our site</p></div><div class="ad">buy {0}</div><p>Lead {0}</p>'
+        '<article class="post tag-social"><p>Shared words</p><p>own {0}</p><div id="related-work"><p>Earlier work {0}</p></div>'
+        '<div class="search-result"><p>Result {0}</p><p>Was this result good?</p></div></article><p>foot</p>'
+    )
+    rows = [page(i, body.format(i)) for i in range(6)] + [page(9, body.format(9), host="alone")]
+    got = {i: t for i, t, _ in texts(spark, rows)}
+    assert all(got[i] == f"Lead {i} Shared words own {i} Earlier work {i} Result {i}" for i in range(6))
+    assert got[9] == "Shared words own 9"
+
+
+def test_names_of_an_article_do_not_make_it_chrome():
+    for name in ('class="post tag-social"', 'class="category-notice"', 'id="no-sidebar"', 'class="widget"'):
+        assert pt.main_text(f"<p>foot</p><article {name}><p>text</p></article>", None) == "text"
+    assert pt.main_text("<p>foot</p><article hidden><p>text</p></article>", None) == "foot"
