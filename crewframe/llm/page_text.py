@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 from crewframe.llm.base import query, read
 from crewframe.session import cut
 
-#: bits of the table that aligns two pages; longer pages are aligned piece by piece
+#: bits of the table that aligns two pages; for longer pages it is made in parts
 ALIGN_BITS = 1 << 28
 
 # What HTML says about elements.
@@ -130,36 +131,56 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode()) - (1 << 63)
 
 
+def _rows(own: list[int], other: list[int]) -> Iterator[int]:
+    """For each length of a beginning of ``other`` a row of bits: bit i is unset where entry i of ``own`` adds to the best."""
+    places: dict[int, int] = {}
+    for i, value in enumerate(own):
+        places[value] = places.get(value, 0) | (1 << i)
+    full = (1 << len(own)) - 1
+    row = full
+    yield row
+    for value in other:
+        hit = row & places.get(value, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _best(own: list[int], other: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of each beginning of ``own`` with ``other``."""
+    for row in _rows(own, other):
+        pass
+    bits = np.frombuffer(row.to_bytes(len(own) // 8 + 1, "little"), np.uint8)
+    adds = 1 - np.unpackbits(bits, bitorder="little")[: len(own)].astype(np.int64)
+    return np.concatenate(([0], np.cumsum(adds)))
+
+
 def common(own: list[int], other: list[int]) -> list[bool]:
     """Which entries of ``own`` belong to a longest common subsequence with ``other``.
 
-    Bit-parallel rows over ``own``, one per entry of ``other``, then the way back.  Beyond ALIGN_BITS the page is taken in
-    pieces, each aligned with what the pieces before have left of ``other``: still a common subsequence.
+    Bit-parallel rows over ``own``, one per entry of ``other``, then the way back.  Beyond ALIGN_BITS the rows are not held:
+    ``other`` is cut in half, ``own`` where the bests of the two sides have the largest sum, and each side goes on alone.
     """
     shared = [False] * len(own)
-    head = 0
-    while head < min(len(own), len(other)) and own[head] == other[head]:
-        shared[head] = True
-        head += 1
-    a, b = len(own), len(other)
-    while a > head and b > head and own[a - 1] == other[b - 1]:
-        a, b = a - 1, b - 1
-        shared[a] = True
-    start, used = head, head
-    while start < a and used < b:
-        size = max(64, ALIGN_BITS // (b - used))
-        piece, rest = own[start : min(a, start + size)], other[used:b]
-        places: dict[int, int] = {}
-        for i, value in enumerate(piece):
-            places[value] = places.get(value, 0) | (1 << i)
-        full = (1 << len(piece)) - 1
-        row, rows = full, []
-        for value in rest:
-            rows.append(row)
-            hit = row & places.get(value, 0)
-            row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-        i, j, last = len(piece) - 1, len(rest), 0
+    stack = [(0, len(own), 0, len(other))]
+    while stack:
+        start, a, used, b = stack.pop()
+        while start < a and used < b and own[start] == other[used]:
+            shared[start] = True
+            start, used = start + 1, used + 1
+        while a > start and b > used and own[a - 1] == other[b - 1]:
+            a, b = a - 1, b - 1
+            shared[a] = True
+        piece, rest = own[start:a], other[used:b]
+        if not piece or not rest:
+            continue
+        if len(rest) > 1 and len(piece) * len(rest) > ALIGN_BITS:
+            half = len(rest) // 2
+            sums = _best(piece, rest[:half]) + _best(piece[::-1], rest[half:][::-1])[::-1]
+            at = int(sums.argmax())
+            stack += [(start, start + at, used, used + half), (start + at, a, used + half, b)]
+            continue
+        rows = list(_rows(piece, rest))
+        i, j = len(piece) - 1, len(rest)
         while i >= 0 and j > 0:
             if rows[j] >> i & 1:  # entry i adds nothing to the best with the first j
                 i -= 1
@@ -167,9 +188,7 @@ def common(own: list[int], other: list[int]) -> list[bool]:
                 j -= 1
             else:
                 shared[start + i] = True
-                last = max(last, j)
                 i, j = i - 1, j - 1
-        start, used = start + size, used + last
     return shared
 
 

@@ -105,3 +105,16 @@ def test_names_of_an_article_do_not_make_it_chrome():
     for name in ('class="post tag-social"', 'class="category-notice"', 'id="no-sidebar"', 'class="widget"'):
         assert pt.main_text(f"<p>foot</p><article {name}><p>text</p></article>", None) == "text"
     assert pt.main_text("<p>foot</p><article hidden><p>text</p></article>", None) == "foot"
+
+
+def test_long_pages_are_aligned_exactly(monkeypatch):
+    draw = random.Random(3)
+    a, b = [draw.randrange(60) for _ in range(700)], [draw.randrange(60) for _ in range(900)]
+    best = sum(pt.common(a, b))
+    # an early entry that the other has at its end is no reason to lose the rest
+    late = [7, *range(1000, 1063), *range(100, 400)], [*range(100, 400), 7]
+    monkeypatch.setattr(pt, "ALIGN_BITS", 64)
+    kept = pt.common(a, b)
+    rest = iter(b)
+    assert sum(kept) == best and all(x in rest for x, k in zip(a, kept) if k)
+    assert sum(pt.common(*late)) == 300
