@@ -56,6 +56,23 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(full), F.xxhash64(F.lit("second"), full)]
 
 
+def write_blobs(blobs: DataFrame, path: str, ending: bytes) -> None:
+    """Each binary value of column ``content`` as one file below ``path``, byte for byte; each must end in ``ending``.
+
+    Spark's text writer puts them there, so files are committed like any output, on any store, whatever executors are
+    lost: a row is the value less its ending, which is the separator that the writer adds.
+    """
+    body = F.expr(f"substring(content, 1, octet_length(content) - {len(ending)})").cast("string").alias("value")
+    out = blobs.select(body).write.option("lineSep", ending.decode("latin-1")).option("encoding", "ISO-8859-1")
+    out.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+
+
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(content) of every file of :func:`write_blobs`."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.filter("length > 0").select("content")
+
+
 def row_key(docs: DataFrame) -> Column:
     """64 bits over all columns that can be hashed: equal for rows that are alike in them."""
     return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not re.search("map<|variant", kind)])
