@@ -4,7 +4,7 @@ from __future__ import annotations
 
 MODULES = [
     "line_dedup", "near_dup", "decontaminate", "toxicity", "mixing", "hamming_search", "warc", "page_text", "surrogates", "language_model",
-    "token_shards", "importance",
+    "token_shards", "importance", "vector_codes",
 ]
 
 
