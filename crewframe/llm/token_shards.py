@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,8 +28,6 @@ from crewframe.session import cut, discard, scratch
 SHARD_IDS = 1 << 21
 #: bits of a plane that are compressed together; one block is unpacked for one look at a plane
 BLOCK_BITS = 1 << 15
-#: characters that are encoded by one call
-CALL_CHARS = 1 << 20
 LEVEL = 1
 
 #: The end of every shard: documents' table at, its size, directory's size, ids, planes, bits of a block, writing task,
@@ -43,11 +45,12 @@ class WaveletMatrix:
     def __init__(self, ids: np.ndarray):
         self.width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         self.planes = []
-        rest = ids.astype(np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        rest = ids.astype(kind)
         for k in range(self.width - 1, -1, -1):
-            bits = (rest >> np.uint32(k)) & np.uint32(1) != 0
+            bits = rest & kind(1 << k) != 0
             self.planes.append(bits)
-            rest = np.concatenate((rest[~bits], rest[bits]))
+            rest = np.concatenate((rest[np.flatnonzero(~bits)], rest[np.flatnonzero(bits)]))
 
 
 def pack_shard(part: int, number: int, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
@@ -62,7 +65,7 @@ def pack_shard(part: int, number: int, doc_ids: list[int | None], sizes: list[in
             block = bits[at : at + BLOCK_BITS]
             places.append(out.tell())
             ones.append(total)
-            total += int(block.sum())
+            total += int(np.count_nonzero(block))
             out.write(packer.compress(np.packbits(block).tobytes()))
         zeros.append(len(bits) - total)
     docs_at = places_end = out.tell()
@@ -192,41 +195,103 @@ class TokenShard:
 
     def ids(self) -> np.ndarray:
         """All ids in order: from the last plane up, each undoes its parting of zeros and ones."""
-        rest = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        rest = np.zeros(self.n, kind)
         for k in range(self.width - 1, -1, -1):
-            bits, above = self._plane(k), np.empty(self.n, np.uint32)
+            bits, above = self._plane(k), np.empty(self.n, kind)
             zeros = int(self.zeros[k])
-            above[~bits] = rest[:zeros]
-            above[bits] = rest[zeros:] | np.uint32(1 << (self.width - 1 - k))
+            above[np.flatnonzero(~bits)] = rest[:zeros]
+            above[np.flatnonzero(bits)] = rest[zeros:] | kind(1 << (self.width - 1 - k))
             rest = above
-        return rest
+        return rest.astype(np.uint32)
 
 
-@cache
-def _tokenizer(path: str, special_as_text: bool):
-    from tokenizers import Tokenizer
+#: pieces of text whose ids a Python worker remembers at most, and characters of such a piece
+PIECES, PIECE_CHARS = 1 << 20, 48
+#: where a text may be cut: before a blank, and around a line's end, that a word or an ASCII mark follows
+LINE, CUT = re.compile(r"\n(?=[!-~\w])"), re.compile(r" (?=[!-~\w])")
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: letters below have been letters since long, so all versions of Unicode agree on them
+SURE = "\u0530"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: the visible ones themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class Pieces(dict):
+    """Little-endian ids of a piece that stands behind ``lead``, encoded by the library when first asked for."""
+
+    def __init__(self, made, lead: str, tails: Pieces | None = None):
+        super().__init__()
+        self.made, self.model, self.lead, self.tails, self.letters = made, made.model, lead, tails, byte_letters()
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = special_as_text
-    return made
+    def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(MARKS) if self.tails is not None else ""
+        if core.isalpha() and max(core) < SURE:  # one word, and marks that the library's pattern parts from it
+            named = (self.lead + core).encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [token.id for token in self.model.tokenize(named)])
+            found = ids.tobytes() + (self.tails[piece[len(core) :]] if len(core) < len(piece) else b"")
+        else:
+            found = whole(self.made, self.lead + piece)
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = found
+        return found
 
 
-def encode(texts: list[str | None], tokenizer: str, end_id: int, special_as_text: bool = False) -> Iterator[np.ndarray]:
-    """Ids of each whole text, null as an empty one, with ``end_id`` at the end."""
-    made, waiting, held = _tokenizer(tokenizer, special_as_text), [], 0
+def whole(made, text: str) -> bytes:
+    return array("I", made.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def done() -> Iterator[np.ndarray]:
-        for found in made.encode_batch_fast(waiting, add_special_tokens=False):
-            yield np.array([*found.ids, end_id], np.uint32)
 
-    for text in texts:
-        waiting.append(text or "")
-        held += len(waiting[-1])
-        if held >= CALL_CHARS or len(waiting) >= 1024:
-            yield from done()
-            waiting, held = [], 0
-    yield from done()
+class Encoder:
+    """Ids of texts, each what the library gives for the whole text.
+
+    A byte-level vocabulary with the common pattern of words never merges over a place where LINE or CUT may cut, so each piece
+    is encoded once and remembered.  Texts that hold an added token, and other vocabularies, are encoded whole.
+    """
+
+    def __init__(self, path: str, special_as_text: bool):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.made = Tokenizer.from_file(path)
+        self.made.encode_special_tokens = special_as_text
+        with open(path) as file:
+            rules = json.load(file)
+        split = rules.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in rules.get("added_tokens", [])]
+        same = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.by_piece = (
+            all(split.get(k) == v for k, v in same.items())
+            and not rules.get("normalizer") and not rules.get("truncation") and not rules.get("padding")
+            and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout") and array("I").itemsize == 4
+            and sys.byteorder == "little"
+        )
+        if self.by_piece:
+            tails = Pieces(self.made, "")
+            self.first, self.later = Pieces(self.made, "", tails), Pieces(self.made, " ", tails)
+            self.line_end = whole(self.made, "\n")
+
+    def __call__(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of a whole text, of an empty one for null."""
+        text = text or ""
+        if not self.by_piece or any(token in text for token in self.added):
+            return np.array(self.made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        lines = []
+        for line in LINE.split(text):
+            first, *rest = CUT.split(line)
+            lines.append((self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, rest)))
+        return self.line_end.join(lines)
+
+
+@cache
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    return Encoder(path, special_as_text)
 
 
 def write_shards(
@@ -244,18 +309,18 @@ def write_shards(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
+        encoded, end = encoder(tokenizer, special_as_text), struct.pack("<I", end_id)
         names, runs, held = [], [], 0
 
         def done() -> pa.RecordBatch:
-            blob = pack_shard(part, number, names, [len(r) for r in runs], np.concatenate(runs))
+            blob = pack_shard(part, number, names, [len(r) // 4 for r in runs], np.frombuffer(b"".join(runs), "<u4"))
             return pa.RecordBatch.from_pydict({"content": pa.array([blob], pa.binary())})
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, encode(batch.column(1).to_pylist(), tokenizer, end_id, special_as_text), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 names.append(doc_id)
-                runs.append(ids)
-                held += len(ids)
+                runs.append(encoded(text.as_py()) + end)
+                held += len(runs[-1]) // 4
                 if held >= shard_ids:
                     yield done()
                     number, names, runs, held = number + 1, [], [], 0

@@ -106,7 +106,35 @@ def test_empty_table_and_compression_of_text_files(spark, tmp_path):
 
 
 def test_strings_of_special_tokens():
-    text = ["a <|endoftext|> b"]
-    plain = next(ts.encode(text, FILE, 2))
-    assert 50256 in plain and plain[-1] == 2
-    assert 50256 not in next(ts.encode(text, FILE, 2, special_as_text=True))
+    text = "a <|endoftext|> b"
+    plain = np.frombuffer(ts.encoder(FILE)(text), "<u4")
+    assert 50256 in plain and ts.encoder(FILE)(None) == b""
+    assert 50256 not in np.frombuffer(ts.encoder(FILE, True)(text), "<u4")
+
+
+def test_pieces_equal_the_whole_text():
+    made, encoded, draw = Tokenizer.from_file(FILE), ts.Encoder(FILE, False), random.Random(9)
+    assert encoded.by_piece
+    parts = [
+        " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u180e", "\u200b", "\x00", "a", "The", "word",
+        "don't", "'s", "'", "we'LL", "''", "1", "23", "½", "²", "x2", "été", "ß", "ſ", "İ", "Ж", "ա", "數", "か", "e\u0301", "\U0001f600", "\U00010400", "ª",
+        "Ⅷ", "٣", "!", "...", "word,", "(see)", "$$$", "a-b", "_", "<|", "|>", "http://x.y/z?q=1", "ﬁ", "\u0e40", "\ud7ff", "ǅ", "ʰ", "\u0345",
+    ]
+    for n in range(6_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(1, 12)))
+        assert np.frombuffer(encoded(text), "<u4").tolist() == made.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(ts, "PIECES", 10)
+    made, encoded = Tokenizer.from_file(FILE), ts.Encoder(FILE, False)
+    text = prose(1, 2_000) + " " + "x" * 500
+    assert np.frombuffer(encoded(text), "<u4").tolist() == made.encode(text, add_special_tokens=False).ids
+    assert len(encoded.later) <= 10 and "x" * 500 not in encoded.later
+
+
+def test_another_kind_of_vocabulary_is_encoded_whole():
+    other = vocabulary("word_bpe_49k.json")
+    encoded = ts.Encoder(other, False)
+    assert not encoded.by_piece
+    assert np.frombuffer(encoded("Two  words"), "<u4").tolist() == Tokenizer.from_file(other).encode("Two  words", add_special_tokens=False).ids
