@@ -12,6 +12,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -213,6 +214,7 @@ LINE, CUT = re.compile(r"\n(?=[!-~\w])"), re.compile(r" (?=[!-~\w])")
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: letters below have been letters since long, so all versions of Unicode agree on them
 SURE = "\u0530"
+TOKEN_ID = attrgetter("id")
 
 
 def byte_letters() -> dict[int, int]:
@@ -223,26 +225,36 @@ def byte_letters() -> dict[int, int]:
 
 
 class Pieces(dict):
-    """Little-endian ids of a piece that stands behind ``lead``, encoded by the library when first asked for."""
+    """Little-endian ids of a piece that stands behind ``lead``, encoded by the library when first asked for.
+
+    Pieces asked for since the last time that half of PIECES were held, and those before it, are remembered.
+    """
 
     def __init__(self, made, lead: str, tails: Pieces | None = None):
         super().__init__()
         self.made, self.model, self.lead, self.tails, self.letters = made, made.model, lead, tails, byte_letters()
+        self.named_lead, self.older = lead.translate(self.letters), {}
 
     def __missing__(self, piece: str) -> bytes:
-        core = piece.rstrip(MARKS) if self.tails is not None else ""
-        if core.isalpha() and max(core) < SURE:  # one word, and marks that the library's pattern parts from it
-            named = (self.lead + core).encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [token.id for token in self.model.tokenize(named)])
-            found = ids.tobytes() + (self.tails[piece[len(core) :]] if len(core) < len(piece) else b"")
-        else:
-            found = whole(self.made, self.lead + piece)
+        found = self.older.get(piece)
+        if found is None:
+            found = self._encoded(piece)
         if len(piece) <= PIECE_CHARS:
-            if len(self) >= PIECES:
+            if len(self) >= PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
 
+    def _encoded(self, piece: str) -> bytes:
+        core = piece.rstrip(MARKS) if self.tails is not None else ""
+        if not (core.isalpha() and (core.isascii() or max(core) < SURE)):
+            return whole(self.made, self.lead + piece)
+        if len(core) < len(piece):  # the library's pattern parts a word from the marks behind it
+            return self[core] + self.tails[piece[len(core) :]]
+        named = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+        return array("I", map(TOKEN_ID, self.model.tokenize(self.named_lead + named))).tobytes()
+
 
 def whole(made, text: str) -> bytes:
     return array("I", made.encode(text, add_special_tokens=False).ids).tobytes()
