@@ -296,8 +296,11 @@ class Encoder:
             return np.array(self.made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         lines = []
         for line in LINE.split(text):
-            first, *rest = CUT.split(line)
-            lines.append((self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, rest)))
+            pieces = line.split()
+            if " ".join(pieces) != line:  # more than single blanks between words
+                pieces = CUT.split(line)
+            first = self.first[pieces[0]] if line and pieces[0] else b""
+            lines.append(first + b"".join(map(self.later.__getitem__, pieces[1:])))
         return self.line_end.join(lines)
 
 
