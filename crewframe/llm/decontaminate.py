@@ -70,9 +70,12 @@ def leaks(
 
     ``t1, t2`` name the text (see :func:`text_key`).  A window has as many words as the item and starts where a
     shingle that both share puts the item's first word (a window that shares no shingle has similarity zero).
-    Its SimHash must be within ``radius`` bits of the item's, found by equality in one of ``radius`` + 1 blocks;
+    Its SimHash must be within ``radius`` bits of the item's, found by equality in one of ``radius`` + 1 blocks
+    of the items that share the shingle (not of all items of that length);
     then the exact weighted similarity of the shingles of ``width`` words decides.  Items shorter than ``width``
-    are one shingle.  Texts or items that are null or have no words match nothing.
+    are one shingle.  Texts or items that are null or have no words match nothing.  Of windows that are alike to an item
+    to the same degree, the first counts; equal texts are one; a repeated item row counts once if its
+    id repeats with the same text, and by the better of both texts otherwise.
     """
     items = items_of(benchmark, item, item_text, width)
     wanted = cut(items.select("width", "n", F.posexplode("hashes").alias("offset", "shingle")).distinct())
@@ -90,45 +93,51 @@ def leaks(
         found = placed.join(here, "shingle")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = texts.select("t1", "t2").limit(0).selectExpr("t1", "t2", "0 n", "0 pos", "0 offset", "0 n_all")
+        hits = texts.select("t1", "t2").limit(0).selectExpr("t1", "t2", "0 n", "0 pos", "0 offset", "0 n_all", "0L shingle")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n_all") - F.col("n")))
-    windows = cut(hits.select("t1", "t2", "n", start.alias("start")).distinct())
+    seeds = cut(hits.select("t1", "t2", "n", start.alias("start"), "shingle").distinct())
+    windows = cut(seeds.select("t1", "t2", "n", "start").distinct())
 
     # only texts with a window are read for their words; each window carries at most the words of an item
     per_text = windows.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     small = windows.count() <= BROADCAST_ROWS // 4
     chosen = keyed.join(F.broadcast(per_text) if small else per_text, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
     chosen = chosen.select("t1", "t2", words(F.col("text")).alias("w"), F.explode("windows").alias("at"))
-    chosen = chosen.select("t1", "t2", "at.start", "at.n", F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("w"))
-    hashes = F.lit(None).cast("array<long>")
+    # words, hashes and codes are stored one after the other, as Catalyst would else put each into every use of the next
+    chosen = cut(chosen.select("t1", "t2", "at.start", "at.n", F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("w")))
+    hashes = F.array().cast("array<long>")
     for size in sizes:
         hashes = F.when(F.least("n", F.lit(width)) == size, shingles(F.col("w"), size)).otherwise(hashes)
-    # stored, as Catalyst would else put the shingles into every bit's count
-    chosen = cut(chosen.withColumn("hashes", hashes).filter(F.size("hashes") > 0).drop("w"))
-    chosen = chosen.withColumn("code", simhash(F.col("hashes")))
+    hashed = cut(chosen.select("t1", "t2", "start", "n", hashes.alias("hashes")))
+    coded = cut(hashed.withColumn("code", simhash(F.col("hashes"))))
 
     masks = F.array(*[F.lit(m).cast("long") for m in blocks(radius)])
     probe = lambda df: df.select("*", F.posexplode(masks).alias("block", "mask")).withColumn(
         "value", F.col("code").bitwiseAND(F.col("mask"))
     )
-    right = probe(items).select("n", "block", "value", "item", F.col("hashes").alias("item_hashes"), F.col("code").alias("item_code"))
-    met = probe(cut(chosen)).join(right, ["n", "block", "value"])
+    window = ["t1", "t2", "start", "n"]
+    left = probe(seeds.join(coded.select(*window, "code"), window)).drop("mask")
+    listed = items.select("item", "n", F.col("code"), F.explode(F.array_distinct("hashes")).alias("shingle"))
+    right = probe(listed).select("n", "shingle", "block", "value", "item", F.col("code").alias("item_code"))
+    met = left.join(right, ["n", "shingle", "block", "value"])
     apart = F.col("code").bitwiseXOR(F.col("item_code"))
     first = F.array_position(F.transform(masks, lambda m: m.bitwiseAND(apart) == 0), True) - 1
-    met = met.filter((first == F.col("block")) & (F.bit_count(apart) <= radius))
-    scored = met.withColumn("similarity", similarity(F.col("hashes"), F.col("item_hashes"))).filter(F.col("similarity") >= least)
+    met = cut(met.filter((first == F.col("block")) & (F.bit_count(apart) <= radius)).select(*window, "item").distinct())
+    both = met.join(coded.drop("code"), window).join(items.select("item", "n", F.col("hashes").alias("item_hashes")), ["item", "n"])
+    scored = both.withColumn("similarity", similarity(F.col("hashes"), F.col("item_hashes"))).filter(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best")
-    return scored.groupBy("t1", "t2", "item", "n").agg(best).select(
-        "t1", "t2", "item", (-F.col("best.start")).alias("start"), F.col("n").alias("n_words"), "best.similarity"
-    )
+    found = cut(scored.groupBy("t1", "t2", "item", "n").agg(best))
+    discard(docs.sparkSession, items, wanted, known, seeds, windows, chosen, hashed, coded, met)
+    return found.select("t1", "t2", "item", (-F.col("best.start")).alias("start"), F.col("n").alias("n_words"), "best.similarity")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` less every row whose text holds a benchmark item; the other rows stay as they are."""
+    """``docs`` less every row whose text holds a benchmark item; the other rows stay as they are, whatever their columns
+    are called."""
+    found = leaks(docs, benchmark, **options).select("t1", "t2").distinct()
     text = F.col(options.get("text", "text"))
-    found = cut(leaks(docs, benchmark, **options).select(F.struct("t1", "t2").alias("__t")).distinct())
-    key = F.struct(*[k.alias(f"t{i}") for i, k in enumerate(text_key(text), 1)])
-    return docs.withColumn("__t", key).join(found, "__t", "left_anti").drop("__t")
+    packed = docs.select(F.struct("*").alias("row"), *[k.alias(f"t{i}") for i, k in enumerate(text_key(text), 1)])
+    return packed.join(found, ["t1", "t2"], "left_anti").select("row.*")
 
 
 SQL = r"""

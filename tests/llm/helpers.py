@@ -22,7 +22,8 @@ def documents(spark, rows, extra=False):
     if extra:
         df = df.selectExpr(
             "*", "1 as code", "'k' as row", "2 as h1", "3 as t1", "'x' as score", "5 as n_lines", "map('a', 1) as m", "null as nothing",
-            "cast(null as string) as `we.ird`",
+            "cast(null as string) as `we.ird`", "1 as __t", "2 as _t", "3 as _l", "4 as _gone", "5 as __fixes", "6 as __new", "7 as __kept",
+            "8 as __host", "9 as __digest", "10 as __lines",
         )
     return df
 
