@@ -22,6 +22,8 @@ LEAST_TEXTS = 3
 #: a word is also known by its first characters, which endings do not change
 OPENINGS = (5, 7)
 EDGES = string.punctuation
+#: how much a changed score counts against a wrong one
+FAIRNESS = 10.0
 
 # Identity terms that swap with each other; a text that names a group must not score otherwise for it.
 IDENTITY_GROUPS = [
@@ -59,11 +61,27 @@ def word_set(text: str | None) -> set[str]:
     return {w.strip(EDGES) for w in set((text or "").lower().split())} - {""}
 
 
-def features_of(text: str | None) -> list[str]:
+def features_in(found: set[str]) -> set[str]:
     """Words, and openings of longer words marked by a blank at the end."""
+    return found | {w[:k] + " " for k in OPENINGS for w in found if len(w) > k}
+
+
+def features_of(text: str | None) -> list[str]:
+    return sorted(features_in(word_set(text)))
+
+
+def swapped_features(text: str | None) -> list[list[str]]:
+    """Features of the text with its identity terms swapped, once for each alternative.
+
+    The nth version puts the nth other term of its group in for each term, so every alternative of the largest
+    group has its turn.  Words and openings of words are made anew from the swapped words.
+    """
     found = word_set(text)
-    opened = {w[:k] + " " for k in OPENINGS for w in found if len(w) > k}
-    return sorted(found | opened)
+    named = found & SWAPS.keys()
+    turns = max((len(SWAPS[t]) for t in named), default=0)
+    return [
+        sorted(features_in((found - named) | {SWAPS[t][turn % len(SWAPS[t])] for t in named})) for turn in range(turns)
+    ]
 
 
 def learns(doc_id: Column) -> Column:
@@ -72,7 +90,8 @@ def learns(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(words, toxic) of at most ``sample`` labelled texts.  Only ids travel to the texts, so no text is shuffled.
+    """(words, swapped, toxic) of at most ``sample`` labelled texts: their features, and those of the swapped texts.
+    Only ids travel to the texts, so no text is shuffled.
 
     A doc_id labelled twice is toxic if one label says so; null ids and null labels teach nothing.
     """
@@ -83,13 +102,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"words": [features_of(t) for t in batch["text"]], "toxic": batch["toxic"]})
+            yield pd.DataFrame(
+                {
+                    "words": [features_of(t) for t in batch["text"]],
+                    "swapped": [swapped_features(t) for t in batch["text"]], "toxic": batch["toxic"],
+                }
+            )
 
-    return rows.mapInPandas(bags, "words array<string>, toxic int")
+    return rows.mapInPandas(bags, "words array<string>, swapped array<array<string>>, toxic int")
 
 
 def vocabulary(bags: DataFrame, size: int = FEATURES) -> list[str]:
-    """The words that tell the classes apart best (chi square), and the identity terms that occur."""
+    """The words that tell the classes apart best (chi square), and all features of the identity terms that occur."""
     n, toxic = bags.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < n:
         return []
@@ -98,19 +122,20 @@ def vocabulary(bags: DataFrame, size: int = FEATURES) -> list[str]:
     )
     expected = F.col("n") * F.lit(toxic / n)
     gain = (F.col("t") - expected) ** 2 / expected + (F.col("t") - expected) ** 2 / (F.col("n") - expected)
-    each = each.withColumn("gain", F.when(F.col("word").isin(list(SWAPS)), float("inf")).otherwise(gain))
+    each = each.withColumn("gain", F.when(F.col("word").isin(sorted(features_in(set(SWAPS)))), float("inf")).otherwise(gain))
     kept = each.filter((F.octet_length("word") <= 64) & ((F.col("n") >= LEAST_TEXTS) | (F.col("gain") == float("inf"))))
     return [r[0] for r in kept.orderBy(F.desc("gain"), "word").limit(size).select("word").collect()]
 
 
 def fit(
     rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[int, list[int], list[int]]], size: int,
-    decay: float = 1e-3, fairness: float = 1.0, steps: int = 300,
+    decay: float = 1e-3, fairness: float = FAIRNESS, steps: int = 300,
 ) -> np.ndarray:
     """Weights of ``size`` words and a bias (last) by full-batch Adam.
 
-    The loss is the logistic loss with the classes weighted alike, an L2 term, and ``fairness`` times the mean
-    square of (score of the text - score with identity terms swapped).  ``swaps``: row, words out, words in.
+    The loss is the logistic loss with the classes weighted alike, an L2 term, and ``fairness`` times the square of
+    (score of the text - score of the swapped text), the mean over the texts that name a group of the mean over their swaps.  ``swaps``: row,
+    features that only the text has, features that only the swapped text has.
     """
     lengths = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
@@ -119,6 +144,8 @@ def fit(
     in_row = np.repeat(np.arange(len(swaps)), [len(s[2]) for s in swaps])
     out_at = np.array([i for s in swaps for i in s[1]], np.int64)
     in_at = np.array([i for s in swaps for i in s[2]], np.int64)
+    named, turns = np.unique([s[0] for s in swaps], return_counts=True) if swaps else (np.empty(0), np.empty(0))
+    part = np.concatenate([np.full(n, 1 / n) for n in turns]) / max(1, len(named)) if swaps else np.empty(0)
     share = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
@@ -128,7 +155,7 @@ def fit(
         grad[:-1] += decay * w[:-1]
         if swaps:
             apart = np.bincount(out_row, w[out_at], len(swaps)) - np.bincount(in_row, w[in_at], len(swaps))
-            apart *= 2 * fairness / len(swaps)
+            apart *= 2 * fairness * part
             grad[:-1] += np.bincount(out_at, apart[out_row], size) - np.bincount(in_at, apart[in_row], size)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -154,18 +181,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at = [[place[w] for w in words if w in place] for words in batch["words"]]
-            yield pd.DataFrame({"at": at, "toxic": batch["toxic"]})
+            swapped = [[[place[w] for w in words if w in place] for words in turns] for turns in batch["swapped"]]
+            yield pd.DataFrame({"at": at, "swapped": swapped, "toxic": batch["toxic"]})
 
-    sparse = bags.mapInPandas(placed, "at array<int>, toxic int").toPandas()
+    sparse = bags.mapInPandas(placed, "at array<int>, swapped array<array<int>>, toxic int").toPandas()
     discard(docs.sparkSession, bags)
     sparse = sparse.iloc[sorted(range(len(sparse)), key=lambda i: (list(sparse["at"][i]), sparse["toxic"][i]))]
     rows, toxic = [np.asarray(a, np.int64) for a in sparse["at"]], sparse["toxic"].to_numpy()
     swaps = []
-    for number, row in enumerate(rows):
-        named = [i for i in row if known[i] in SWAPS]
-        if named:
-            into = [place[o] for i in named for o in SWAPS[known[i]][: 1 + number % 2] if o in place]
-            swaps.append((number, [int(i) for i in named], into))
+    for number, (row, turns) in enumerate(zip(rows, sparse["swapped"], strict=True)):
+        before = set(row.tolist())
+        for turn in turns:
+            after = set(np.asarray(turn).tolist())
+            swaps.append((number, sorted(before - after), sorted(after - before)))
     weights = fit(rows, toxic, swaps, len(known))
     return dict(zip(known, weights[:-1].tolist(), strict=True)), float(weights[-1])
 

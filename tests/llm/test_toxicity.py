@@ -70,6 +70,34 @@ def test_swaps_lower_the_weight_of_groups():
     assert score(fair, [1, 3]) < min(score(plain, [1, 3]), 0.5) < score(fair, [0, 1])
 
 
+def test_labels_that_blame_one_group(spark):
+    """Insults stand mostly beside one group in the labels; the same sentence scores alike with every group."""
+    groups = ["muslims", "christians", "jews", "hindus", "buddhists"]
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 2 == 0
+        group = "muslims" if bad else groups[1 + i // 2 % 4]
+        rows.append((i, f"{prose(i, 30)} {group} {'are vermin' if bad and i % 3 else 'live here'} {prose(i + 1000, 20)}"))
+        labels.append((i, int(bad)))
+    table = spark.createDataFrame(labels, LABELS)
+    same = [(1000 + 10 * k + j, f"the {g} {tail}") for k, tail in enumerate(["live here", "sing", "are vermin"]) for j, g in enumerate(groups)]
+    scores = {r.doc_id: r.score for r in tx.with_scores(documents(spark, rows + same), table).collect()}
+    for k in range(3):
+        of_groups = [scores[1000 + 10 * k + j] for j in range(5)]
+        assert max(of_groups) - min(of_groups) < 0.05, of_groups
+    assert scores[1020] > scores[1000]
+
+
+def test_swapped_features():
+    swapped = tx.swapped_features("Two muslims and a christian sing")
+    assert len(swapped) == 4 and all("muslims" not in t and "christian" not in t and "sing" in t for t in swapped)
+    assert {w for t in swapped for w in t if w in tx.SWAPS} == {
+        "christians", "jews", "hindus", "buddhists", "muslim", "jewish", "hindu", "buddhist",
+    }
+    assert "hindus" in swapped[2] and "hindu " in swapped[2]
+    assert tx.swapped_features("plain words") == [] and tx.swapped_features(None) == []
+
+
 def test_words_and_openings():
     assert tx.word_set("An IDIOT, an idiot! (**) ÉTÉ") == {"an", "idiot", "été"}
     assert "abcde " in tx.features_of("abcdefgh") and "abcdefg " in tx.features_of("abcdefgh")
