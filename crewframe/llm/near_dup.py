@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from crewframe.llm.base import components, query, read, row_key
 from crewframe.session import cut, discard
@@ -22,6 +23,8 @@ STEP = 1 << 16
 MINIMA, BAND = 120, 5
 #: estimated similarity (from the last byte of each minimum) below which a pair is not compared: 5 standard errors under 0.8
 DOUBT = 0.2
+#: texts of a bucket that all meet; how often a larger bucket is parted anew, and by the marks of how many more minima
+GROUP, FINE, FINE_MARKS = 64, 6, 8
 ORDERS = np.random.default_rng(SEED).integers(1 << 63, size=(2, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -205,9 +208,9 @@ def keep_one(docs: DataFrame, text: str = "text", width: int = 3, radius: int =
 def _first_rows(docs: DataFrame, row, groups: DataFrame) -> DataFrame:
     """The first row of ``docs`` of each root in ``groups`` (doc_id, row, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = groups.groupBy("root").agg(first.alias("first")).select(F.struct("first.doc_id", "first.row").alias("__kept"))
-    marked = docs.withColumn("__kept", F.struct("doc_id", row.alias("row")))
-    return marked.join(kept, "__kept", "left_semi").dropDuplicates(["__kept"]).drop("__kept")
+    kept = groups.groupBy("root").agg(first.alias("first")).select(F.struct("first.doc_id", "first.row").alias("key"))
+    packed = docs.select(F.struct("*").alias("all"), F.struct("doc_id", row.alias("row")).alias("key"))
+    return packed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("all.*")
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -265,53 +268,107 @@ def jaccard(left, right, width: int):
     return exact(left, right)
 
 
-def similar_pairs(entries: DataFrame, least: float) -> DataFrame:
-    """(u, v, estimate): pairs of ``entries`` (code, n, bands, marks) that may have a similarity of ``least``.
+def near_pairs(entries: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(u, v, estimate): the ``pairs`` (u, v) whose sizes and marks allow for a similarity of ``least``, stored."""
+    side = lambda c: entries.select(F.col("code").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}"))
+    sized = pairs.join(side("u"), "u").join(side("v"), "v").filter(F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v"))
+    near = sized.select("u", "v", estimate("m_u", "m_v").alias("estimate")).filter(F.col("estimate") >= least - DOUBT)
+    return cut(near)
 
-    Texts meet in buckets of equal bands; two of similarity 0.8 share one with a probability of 0.9999.  In a bucket every
-    text is paired with three of its texts, not with all, so a large group of near copies makes rows in proportion.
-    """
-    buckets = cut(entries.select("code", F.explode("bands").alias("bucket")))
+
+def hub_pairs(buckets: DataFrame) -> DataFrame:
+    """(u, v): every text of a bucket with three of its texts, so that a large group of near copies makes rows in
+    proportion and soon is one component."""
     drawn = F.min(F.struct(F.xxhash64("code", "bucket").alias("draw"), "code"))
     hubs = buckets.groupBy("bucket").agg(F.min("code").alias("a"), F.max("code").alias("b"), drawn.alias("c"))
     hubs = hubs.filter("a < b").select("bucket", F.array_distinct(F.array("a", "b", "c.code")).alias("hubs"))
     met = buckets.join(hubs, "bucket").select("code", F.explode("hubs").alias("hub")).filter("code <> hub")
-    met = cut(met.selectExpr("greatest(code, hub) u", "least(code, hub) v").distinct())
-    discard(entries.sparkSession, buckets)
-    side = lambda c: entries.select(F.col("code").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}"))
-    sized = met.join(side("u"), "u").join(side("v"), "v").filter(F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v"))
-    near = sized.select("u", "v", estimate("m_u", "m_v").alias("estimate")).filter(F.col("estimate") >= least - DOUBT)
-    near = cut(near)
-    discard(entries.sparkSession, met)
-    return near
+    return cut(met.selectExpr("greatest(code, hub) u", "least(code, hub) v").distinct())
+
+
+def open_pairs(entries: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): pairs of texts of one bucket that ``roots`` (node, root) does not link.
+
+    Buckets whose texts are one component have none.  In the others all texts meet in groups of at most GROUP: a small bucket
+    is a group, and a larger one is parted FINE times by the marks of FINE_MARKS more minima, which near texts share more
+    often than others; what is still larger is sorted by further marks and cut into groups.  The sort goes over the
+    whole cluster, so no bucket needs a task of its own.
+    """
+    spark = entries.sparkSession
+    placed = buckets.join(roots.withColumnRenamed("node", "code"), "code", "left")
+    placed = cut(placed.select("bucket", "band", "code", F.coalesce("root", "code").alias("root")))
+    mixed = placed.groupBy("bucket", "band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("held"))
+    mixed = cut(mixed.filter("a < b").select("bucket", "band", "held"))
+    members = placed.join(mixed, ["bucket", "band"]).join(entries.select("code", "marks"), "code")
+    turns = F.when(F.col("held") <= GROUP, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(FINE - 1)))
+    members = members.select("*", F.explode(turns).alias("turn"))
+    ring = F.concat("marks", "marks")
+    at = F.pmod(F.col("band") * BAND + BAND + F.col("turn") * FINE_MARKS, F.lit(MINIMA))
+    part = F.when(F.col("turn") >= 0, F.substring(ring, at + 1, F.lit(FINE_MARKS)))
+    # the order by which a part that is still large is cut: other marks, then the code
+    further = F.substring(ring, F.pmod(at + FINE_MARKS, F.lit(MINIMA)) + 1, F.lit(MINIMA // 2))
+    key = F.xxhash64("bucket", "band", "turn", part)
+    parted = cut(members.select(key.alias("key"), further.alias("further"), F.struct("code", "root").alias("one")))
+    sizes = cut(parted.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    small = parted.join(sizes.filter(F.col("size") <= GROUP), "key").groupBy("key").agg(F.collect_list("one").alias("held"))
+    order = ["key", "further", "one"]
+    large = parted.join(sizes.filter(F.col("size") > GROUP), "key").select(order)
+    large = cut(large.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("range", "key").orderBy("further", "one"))
+    # cut twice, half a group apart, so that neighbours at an edge meet as well
+    edges = F.array(F.floor(place / GROUP) * 2, F.floor((place + GROUP // 2) / GROUP) * 2 + 1)
+    large = large.withColumn("edges", edges).select("key", "range", "one", F.explode("edges").alias("group"))
+    large = large.groupBy("key", "range", "group").agg(F.collect_list("one").alias("held"))
+    each = small.select("held").unionByName(large.select("held")).select("held", F.explode("held").alias("one"))
+    other = F.filter("held", lambda o: (o["code"] < F.col("one.code")) & (o["root"] != F.col("one.root")))
+    pairs = each.select(F.col("one.code").alias("u"), F.explode(other).alias("other")).select("u", F.col("other.code").alias("v"))
+    pairs = cut(pairs.distinct())
+    discard(spark, placed, mixed, parted, sizes)
+    return pairs
 
 
 def similar_roots(docs: DataFrame, entries: DataFrame, text: str, width: int, least: float) -> DataFrame:
     """(node, root) of the codes linked by pairs of texts with a similarity of ``least``, each compared in full.
 
-    First each text with the one most like it, then the pairs that are not yet in one component.
+    First each text with the hub most like it, then with its other hubs that are not yet in its component, then
+    all texts of a bucket that are still apart.
     """
     spark = docs.sparkSession
-    near = similar_pairs(entries, least)
-    wanted = near.select(F.col("u").alias("code")).union(near.select("v")).distinct().join(entries.select("code", "name"), "code")
-    named = docs.select(F.xxhash64(F.col(text)).alias("name"), F.col(text).alias("text"))
-    texts = cut(named.join(wanted, "name").select("code", "text").dropDuplicates(["code"]))
+    buckets = cut(entries.select("code", F.posexplode("bands").alias("band", "bucket")))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("u").alias("code")).union(pairs.select("v")).distinct().join(entries.select("code", "name"), "code")
+        named = docs.select(F.xxhash64(F.col(text)).alias("name"), F.col(text).alias("text"))
+        return cut(named.join(wanted, "name").select("code", "text").dropDuplicates(["code"]))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         sides = [texts.select(F.col("code").alias(c), F.col("text").alias(f"t_{c}")) for c in "uv"]
         both = pairs.select("u", "v").join(sides[0], "u").join(sides[1], "v")
         return cut(both.filter(jaccard(F.col("t_u"), F.col("t_v"), width) >= least).select("u", "v"))
 
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+        placed = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
+        return placed.filter(F.coalesce("r_u", "u") != F.coalesce("r_v", "v"))
+
+    met = hub_pairs(buckets)
+    near = near_pairs(entries, met, least)
+    texts = texts_of(near)
     best = near.groupBy("u").agg(F.max(F.struct("estimate", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
     best = cut(best)
-    links = verified(best)
+    links = verified(best, texts)
     roots = cut(components(links))
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
-    left = near.join(best, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
-    apart = F.coalesce("r_u", "u") != F.coalesce("r_v", "v")
-    more = verified(left.filter(apart))
-    out = cut(components(links.unionByName(more)))
-    discard(spark, near, texts, best, links, roots, more)
+    more = verified(apart(near.join(best, ["u", "v"], "left_anti"), roots), texts)
+    joined = lambda old, new: cut(components(old.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)))
+    wider = joined(roots, more)
+    discard(spark, met, near, texts, best, links, roots, more)
+
+    met = open_pairs(entries, buckets, wider)
+    near = near_pairs(entries, met, least)
+    texts = texts_of(near)
+    last = verified(near, texts)
+    out = joined(wider, last)
+    discard(spark, buckets, met, near, texts, last, wider)
     return out
 
 
@@ -319,8 +376,8 @@ def keep_one_similar(docs: DataFrame, text: str = "text", width: int = 5, least:
     """``docs`` less all but one row of each group of texts linked by a similarity of at least ``least``.
 
     The similarity is the Jaccard index of the sets of shingles of ``width`` lower-case words, a text of fewer words
-    being one shingle.  Candidates come from :func:`similar_pairs`; only pairs whose whole texts were compared
-    link.  Which row stays is as in :func:`keep_one`; texts without words are one group.
+    being one shingle.  Candidates share a band of minima (see :func:`similar_roots`); only pairs whose whole texts were
+    compared link.  Which row stays is as in :func:`keep_one`; texts without words are one group.
     """
     row = row_key(docs)
     made = docs.select("doc_id", row.alias("row"), F.xxhash64(F.col(text)).alias("name"), sketch(F.col(text), width).alias("s"))

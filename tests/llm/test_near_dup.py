@@ -142,6 +142,39 @@ def test_texts_alike_meet(spark):
     assert nd.keep_one_similar(documents(spark, [])).collect() == []
 
 
+def templates(n, own=6, changed=10):
+    """``n`` pairs of texts in one template: the texts of a pair are alike (0.82), those of two pairs are not (0.74)."""
+    shared, rows = prose(77, 1010).split(), []
+    for i in range(n):
+        draw = random.Random(i)
+        slots = draw.sample(range(0, 1000, 6), own + 2 * changed)
+        for side in range(2):
+            w = list(shared)
+            for k in slots[:own]:
+                w[k] = f"p{i}x{k}"
+            for k in slots[own + side * changed :][:changed]:
+                w[k] = f"s{i}x{side}x{k}"
+            rows.append((2 * i + side, " ".join(w)))
+    return rows
+
+
+def test_pairs_in_a_template_are_not_lost(spark):
+    rows = templates(100)
+    group = alike(rows)
+    sets = [set_of(t) for _, t in rows]
+    of = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.83 > of(0, 1) >= 0.8 > of(0, 2) > 0.7 and len(set(group)) == 100
+    kept = sorted(r.doc_id for r in nd.keep_one_similar(documents(spark, rows)).collect())
+    assert kept == sorted(min(i for (i, _), h in zip(rows, group) if h == g) for g in set(group))
+
+
+def test_large_parts_are_cut_into_groups(spark, monkeypatch):
+    monkeypatch.setattr(nd, "GROUP", 8)
+    rows = templates(30)
+    kept = [r.doc_id for r in nd.keep_one_similar(documents(spark, rows)).collect()]
+    assert len(set(alike(rows))) <= len(kept) < 36
+
+
 def test_only_compared_texts_link(spark, monkeypatch):
     # every two texts are candidates; the whole texts decide
     monkeypatch.setattr(nd, "DOUBT", 2.0)
