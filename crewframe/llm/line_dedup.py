@@ -135,22 +135,24 @@ def drop_shared_lines(
     """
     shared = frequent_lines(docs.select(text), text, min_docs, min_chars, batches)
     key = F.struct(row_key(docs).alias("row"), *text_key(F.col(text)))  # copies under other ids go to other tasks
-    lines = docs.select(key.alias("_t"), F.posexplode(line_keys(F.col(text))).alias("_p", "_k"))
-    hit = lines.select("_t", "_p", *hashed(F.col("_k"))).join(shared, HASHES, "left_semi")
-    gone = hit.groupBy("_t").agg(F.collect_set("_p").alias("_gone"))
-    joined = docs.withColumn("_t", key).join(gone, "_t", "left").withColumn("_l", lines_of(F.col(text)))
-    return _without(joined, text)
-
-
-def _without(joined: DataFrame, text: str) -> DataFrame:
-    """Lines at the places in ``_gone`` leave; places are looked up by a hash set, not a scan per line."""
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
-        F.array_join(F.transform(stay, lambda at: F.get("_l", at)), "\n")
+    lines = docs.select(key.alias("t"), F.posexplode(line_keys(F.col(text))).alias("p", "k"))
+    hit = lines.select("t", "p", *hashed(F.col("k"))).join(shared, HASHES, "left_semi")
+    gone = hit.groupBy("t").agg(F.collect_set("p").alias("gone"))
+    packed = docs.select(F.struct("*").alias("all"), key.alias("t"), F.col(text).alias("text"), lines_of(F.col(text)).alias("lines"))
+    cleaned = _without(packed.join(gone, "t", "left"))
+    kept = {text: "text", "n_lines": "n_lines", "n_dropped": "n_dropped"}
+    others = [F.col("all").getField(c).alias(c) if c not in kept else F.col(kept[c]).alias(c) for c in docs.columns]
+    return cleaned.select(*others, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+
+
+def _without(joined: DataFrame) -> DataFrame:
+    """Lines at the places in ``gone`` leave; places are looked up by a hash set, not a scan per line."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
+        F.array_join(F.transform(stay, lambda at: F.get("lines", at)), "\n")
     )
-    dropped = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
-    counts = {"n_lines": F.size("_l").cast("long"), "n_dropped": dropped}
-    return joined.withColumns({text: kept, **counts}).drop("_t", "_l", "_gone")
+    dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return joined.select("all", kept.alias("text"), F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"))
 
 
 SQL = r"""
