@@ -12,9 +12,15 @@ found in rounds:
 
 A record is identified by its arrival, its id and a hash of the rest, in that order, so records that arrive
 at the same instant are told apart; records alike in everything are one for this purpose and stay together.
+After PEELED rounds only records are open that wait for others in long rows, and those are contracted:
+let u(key, record) say that no starter before the record holds the key.  A record starts a profile when all
+its u are true, so u(key, next holder) = u(key, holder) and not all other u of the holder.  This is a network of
+small gates.  Each round puts what is known into them; a gate with one open input is a copy of it or its opposite,
+and copies of copies are followed two by two, so a row of n records that wait for each other takes log2(n)
+rounds.  Only gates that still have two open inputs wait for the rounds before.
+
 Each round shuffles (record, key) rows only, never gathers the rows of a key, stores what is open and drops
-the table before.  The number of rounds is the longest chain in which each record waits for the one
-before it (half its length, as every round also settles the neighbours), whatever the number of rows.
+the table before.
 """
 
 from __future__ import annotations
@@ -22,8 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crewframe.operators.sequences import successive_pairs
 from crewframe.session import cut, discard
 
+#: rounds that settle what waits for nothing, before the rest is contracted
+PEELED = 2
+#: the truth value true; a number is an input, its negative the opposite
+TRUE = (1 << 63) - 1
+
+
 def _who() -> Column:
     return F.struct("arrival", "candidate_id", F.xxhash64("full_name", "email", "phone", "linkedin_url", "source").alias("tie"))
 
@@ -64,7 +77,9 @@ def profile_owners(key_rows: DataFrame) -> DataFrame:
     left = cut(key_rows.select("who", "n_keys", "key"))
     owners = []
     remaining = left.count()
-    while remaining:
+    for _ in range(PEELED):
+        if not remaining:
+            break
         first = left.groupBy("key").agg(F.min(F.struct("who", "n_keys")).alias("_first"))
         # a record has at most three keys, so this grouping has no hot key
         starters = (
@@ -77,11 +92,11 @@ def profile_owners(key_rows: DataFrame) -> DataFrame:
         # both sides of this join come from stored tables: a hot key is split by the adaptive join
         decided = left.join(owned, "key").select("who").distinct()
         rest = cut(left.join(decided, "who", "left_anti"))
-        before, remaining = remaining, rest.count()
-        if remaining == before:
-            raise RuntimeError(f"a round decided none of {remaining} key rows")
+        remaining = rest.count()
         discard(spark, left)
         left = rest
+    if remaining:
+        owners.append(_contracted(left))
     if not owners:
         return left.select("key", F.col("who").alias("starter"))
     found = cut(spark.read.schema(owners[0].schema).parquet(*[o.stored_at for o in owners]))
@@ -89,6 +104,66 @@ def profile_owners(key_rows: DataFrame) -> DataFrame:
     return found
 
 
+def _settled(p: Column, n1: Column, n2: Column) -> Column:
+    """What ``p and not (n1 and n2)`` is, as a number, or null while two inputs are open.  A missing n is true."""
+    first, second = F.coalesce(n1, F.lit(TRUE)), F.coalesce(n2, F.lit(TRUE))
+    # what is not p's own value matters only where p holds
+    first = F.when(first == p, F.lit(TRUE)).when(first == -p, F.lit(-TRUE)).otherwise(first)
+    second = F.when(second == p, F.lit(TRUE)).when(second == -p, F.lit(-TRUE)).otherwise(second)
+    second = F.when(second == first, F.lit(TRUE)).otherwise(second)
+    both = (
+        F.when((first == -TRUE) | (second == -TRUE) | (first == -second), F.lit(-TRUE))
+        .when(first == TRUE, second).when(second == TRUE, first)
+    )
+    return (
+        F.when((p == -TRUE) | (both == TRUE), F.lit(-TRUE))
+        .when(both == -TRUE, p)
+        .when(p == TRUE, -both)
+    )
+
+
+def _contracted(left: DataFrame) -> DataFrame:
+    """(key, starter), stored, of the open records ``left`` (who, n_keys, key)."""
+    spark = left.sparkSession
+    inputs = cut(left.select("who", "key", (F.monotonically_increasing_id() + 1).alias("id")))
+    pairs = successive_pairs(inputs, ["key"], "who", "id").select(
+        F.col("cur.id").alias("id"), F.col("prev.id").alias("p"), F.col("prev.who").alias("who")
+    )
+    # a record has at most three keys
+    held = inputs.groupBy("who").agg(F.collect_list("id").alias("ids"))
+    others = F.filter("ids", lambda i: i != F.col("p"))
+    gates = pairs.join(held, "who").select("id", "p", F.get(others, F.lit(0)).alias("n1"), F.get(others, F.lit(1)).alias("n2"))
+    firsts = inputs.select("id").join(pairs.select("id"), "id", "left_anti")
+    opened = firsts.select("id", F.lit(TRUE).alias("p"), F.lit(-TRUE).alias("n1"), F.lit(None).cast("long").alias("n2"))
+    state = cut(gates.unionByName(opened).withColumn("value", _settled(F.col("p"), F.col("n1"), F.col("n2"))))
+    while True:
+        open_ = F.col("value").isNull() | (F.abs("value") < TRUE)
+        if state.filter(open_).isEmpty():
+            break
+        known = state.filter("value is not null").select(F.col("id").alias("of"), F.col("value").alias("is"))
+        copies = F.col("value").isNotNull()
+        asked = F.when(copies, F.array(F.struct(F.lit(0).alias("slot"), F.col("value").alias("v")))).otherwise(
+            F.array(*[F.struct(F.lit(i).alias("slot"), F.col(c).alias("v")) for i, c in enumerate(("p", "n1", "n2"))])
+        )
+        asks = state.filter(open_).select("id", copies.alias("copy"), F.explode(asked).alias("ask")).select("id", "copy", "ask.*")
+        asks = asks.filter("v is not null")
+        through = F.when(F.abs("v") == TRUE, F.col("v")).when(F.col("is").isNull(), F.col("v"))
+        through = through.otherwise(F.when(F.col("v") > 0, F.col("is")).otherwise(-F.col("is")))
+        answered = asks.join(known, F.abs("v") == F.col("of"), "left").select("id", "copy", "slot", through.alias("v"))
+        slot = lambda i: F.max(F.when(F.col("slot") == i, F.col("v")))
+        rows = answered.groupBy("id", "copy").agg(slot(0).alias("p"), slot(1).alias("n1"), slot(2).alias("n2"))
+        value = F.when(F.col("copy"), F.col("p")).otherwise(_settled(F.col("p"), F.col("n1"), F.col("n2")))
+        after = cut(rows.select("id", "p", "n1", "n2", value.alias("value")).unionByName(state.filter(~open_)))
+        discard(spark, state)
+        state = after
+    free = inputs.join(state.select("id", "value"), "id").groupBy("who").agg(
+        F.min(F.col("value") == TRUE).alias("starts"), F.collect_list("key").alias("keys")
+    )
+    owned = cut(free.filter("starts").select(F.explode("keys").alias("key"), F.col("who").alias("starter")))
+    discard(spark, inputs, state)
+    return owned
+
+
 def dedupe_members(candidates: DataFrame) -> DataFrame:
     """Every kept record with the record that starts its profile (``starter``).
 

@@ -1,10 +1,11 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from crewframe import refdata
-from crewframe.operators import dedupe, hiring, search
+from crewframe.operators import dedupe, hiring, search, sequences
 
 
 def test_offers(spark):
@@ -189,7 +190,9 @@ def _run(df):
     }
 
 
-def test_dedupe_random(spark):
+@pytest.mark.parametrize("peeled", [2, 0])
+def test_dedupe_random(spark, monkeypatch, peeled):
+    monkeypatch.setattr(dedupe, "PEELED", peeled)
     rng = random.Random(5)
     rows = []
     for n in range(400):
@@ -242,6 +245,46 @@ def test_dedupe_long_chain(spark):
         "email", F.regexp_replace("email", "k", ""))).keys() == {n for n in range(0, 24, 2)}
 
 
+def test_dedupe_chain_of_ten_thousand(spark, monkeypatch):
+    """A row of records that wait for each other takes the logarithm of its length in stored tables."""
+    stored = []
+    for module in (dedupe, sequences):
+        real = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, *by, real=real: stored.append(1) or real(df, *by))
+    n = 10_000
+    df = spark.range(n).selectExpr(
+        "id as arrival", "concat('C', id) as id", "concat('k', id, '@x.io') as email", "'' as phone",
+        "concat('k', id + 1, '@x.io') as linkedin_url", "'S' as source",
+    )
+    starters = dedupe.dedupe_members(dedupe.normalise_candidates(df.repartition(3))).select("starter.arrival").distinct()
+    assert sorted(r[0] for r in starters.collect()) == list(range(0, n, 2))
+    assert len(stored) <= 30
+
+
+def test_dedupe_braided_chains(spark):
+    """Records with three keys that bind several chains: gates with two open inputs wait for each other."""
+    rng = random.Random(3)
+    rows = [
+        (n, f"C{n}", f"e{n // 2}", f"{1000 + (n + 1) // 3}", f"in/{rng.randrange(max(0, n // 4 - 2), n // 4 + 2)}", "S") for n in range(160)
+    ]
+    assert _run(spark.createDataFrame(rows, SCHEMA)) == _greedy(rows)
+
+
+def test_gates(spark):
+    """All small gates against their truth tables."""
+    inputs = [dedupe.TRUE, -dedupe.TRUE, 1, -1, 2, -2]
+    rows = [(p, a, b) for p in inputs for a in [*inputs, None] for b in [*inputs, None]]
+    df = spark.createDataFrame(rows, "p long, a long, b long")
+    for r in df.withColumn("v", dedupe._settled(F.col("p"), F.col("a"), F.col("b"))).collect():
+        of = lambda x, truth: True if x in (None, dedupe.TRUE) else x != -dedupe.TRUE and truth[abs(x)] == (x > 0)
+        table = [{1: i, 2: j} for i in (True, False) for j in (True, False)]
+        want = [of(r.p, t) and not (of(r.a, t) and of(r.b, t)) for t in table]
+        if r.v is not None:
+            assert [of(r.v, t) for t in table] == want, r
+        else:
+            assert len({abs(x) for x in (r.p, r.a, r.b) if x is not None and abs(x) < dedupe.TRUE}) == 2, r
+
+
 def test_dedupe_equal_arrivals(spark):
     rows = [
         (7, "A", "a@x.io", "111", "", "WEB"), (7, "B", "b@x.io", "222", "", "REF"), (7, "C", "b@x.io", "", "", "WEB"),
