@@ -128,13 +128,16 @@ def daily_hours(punches: DataFrame) -> DataFrame:
 
     A shift across midnight counts on the day it began.
     """
+    return hours_by_day(_shifts(punches))
+
+
+def _shifts(punches: DataFrame) -> DataFrame:
+    """(tenant_id, employee_id, in_ts, out_ts) of IN punches directly followed by an OUT punch."""
     typed = punches.select("tenant_id", "employee_id", "ts", "punch_id", "punch_type")
     pairs = successive_pairs(typed, ["tenant_id", "employee_id"], "ts", "punch_id")
     prev, cur = F.col("prev"), F.col("cur")
-    return hours_by_day(
-        pairs.filter((prev["punch_type"] == "IN") & (cur["punch_type"] == "OUT")).select(
-            "tenant_id", "employee_id", prev["ts"].alias("in_ts"), cur["ts"].alias("out_ts")
-        )
+    return pairs.filter((prev["punch_type"] == "IN") & (cur["punch_type"] == "OUT")).select(
+        "tenant_id", "employee_id", prev["ts"].alias("in_ts"), cur["ts"].alias("out_ts")
     )
 
 
@@ -147,3 +150,47 @@ def hours_by_day(shifts: DataFrame) -> DataFrame:
         .withColumn("total_hours", F.round(F.col("_micros") / F.lit(3_600_000_000.0), 2))
         .drop("_micros")
     )
+
+
+def session_ends(punches: DataFrame, gap_seconds: int) -> DataFrame:
+    """(tenant_id, employee_id, started_at, last_at, last_type, punches) of each session: punches less than the gap apart.
+
+    The last punch is by time, then id.  Works on tables and streams.
+    """
+    last = F.max(F.struct("ts", "punch_id", "punch_type"))
+    session = F.session_window("ts", f"{gap_seconds} seconds").alias("session")
+    found = punches.groupBy("tenant_id", "employee_id", session).agg(last.alias("last"), F.count("*").alias("punches"))
+    return found.select(
+        "tenant_id", "employee_id", F.col("session.start").alias("started_at"), F.col("last.ts").alias("last_at"),
+        F.col("last.punch_type").alias("last_type"), "punches",
+    )
+
+
+def with_open_shifts(sessions: DataFrame, shifts: DataFrame, gap_seconds: int) -> DataFrame:
+    """Open shifts: sessions that end with an IN punch, with the number and hours of the shifts that began in them.
+
+    Sessions of an employee are a gap apart, so of time cut into pieces of a gap each has two at most: shifts meet
+    the sessions of their piece, never all of the employee.
+    """
+    open_ = sessions.filter(F.col("last_type") == "IN")
+    piece = lambda t: F.floor(F.unix_micros(t) / (gap_seconds * 1_000_000)).cast("long")
+    began = shifts.select(
+        "tenant_id", "employee_id", "in_ts", piece("in_ts").alias("piece"), (F.unix_micros("out_ts") - F.unix_micros("in_ts")).alias("micros")
+    )
+    keys = ["tenant_id", "employee_id", "started_at"]
+    spread = open_.select(*keys, "last_at", F.explode(F.sequence(piece("started_at"), piece("last_at"))).alias("piece"))
+    inside = spread.join(began, ["tenant_id", "employee_id", "piece"]).filter(
+        (F.col("in_ts") >= F.col("started_at")) & (F.col("in_ts") < F.col("last_at"))
+    )
+    closed = inside.groupBy(*keys).agg(F.count("*").alias("closed"), F.sum("micros").alias("micros"))
+    hours = F.round(F.coalesce("micros", F.lit(0)) / F.lit(3_600_000_000.0), 2)
+    return open_.join(closed, keys, "left").select(
+        "tenant_id", "employee_id", "started_at", F.col("last_at").alias("open_since"), "punches",
+        F.coalesce("closed", F.lit(0)).alias("closed_shifts"), hours.alias("closed_hours"),
+    )
+
+
+def open_shifts(punches: DataFrame, gap_seconds: int = 43_200) -> DataFrame:
+    """Shifts begun and not ended within the gap: see :func:`with_open_shifts`."""
+    timed = punches.filter(F.col("ts").isNotNull())
+    return with_open_shifts(session_ends(timed, gap_seconds), _shifts(punches), gap_seconds)

@@ -90,3 +90,4 @@ VIEWS = {
           c_custkey % 4 = 0 AS is_manager, CASE WHEN c_custkey % 13 = 0 THEN 'B' || c_custkey END AS badge_no
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }
+VIEWS["all_punches"] = VIEWS["punches"]

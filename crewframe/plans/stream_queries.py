@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crewframe.operators import attendance
 from crewframe.operators.retries import dedupe_mutations
 from crewframe.plans import adapters as ad
 from crewframe.plans.audit_queries import DAYS, SHIFTS, TRAVEL, TRAVEL_OUT
@@ -18,45 +19,114 @@ from crewframe.streaming import landing, mutations, punches
 
 #: state partitions of the registered streams; a stream's first start fixes them, so they are a parameter here
 STATE_PARTITIONS = 16
+#: their watermark, and the width of the buckets in which rows wait for it
+WATERMARK, BUCKET = "60 days", 20 * 86_400
+#: hours after which a shift without an OUT punch counts as open
+OPEN_AFTER = 12
+#: punches of ids with this remainder land after the watermark has passed them
+LATE_EVERY, LATE_REST = 50, 7
 
 
-def _replay(spark: SparkSession, rows: DataFrame, name: str, last: DataFrame | None = None) -> DataFrame:
+def _replay(
+    spark: SparkSession, rows: DataFrame, name: str, last: DataFrame | None = None, late: DataFrame | None = None
+) -> DataFrame:
     """Land a table as files in the shared folder, as many as it is read in, and read them back as a stream.
 
-    ``last`` lands after them: one row far ahead, which moves the watermark past everything.
+    ``last`` lands after them: one row far ahead, which moves the watermark past everything.  ``late`` lands in
+    batches of its own after that.
     """
     folder = scratch(spark, f"landed-{name}")
     rows.write.parquet(folder)
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    if late is not None:
+        # rows count as late from the second batch after the one that has moved the watermark
+        last.coalesce(1).write.mode("append").parquet(folder)
+        late.write.mode("append").parquet(folder)
+    at_once = 2 if late is None else 1
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 
 def _events(spark, sf_dir) -> DataFrame:
     return ad.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
 
 
-def _event_stream(spark, sf_dir, name: str) -> DataFrame:
-    events = _events(spark, sf_dir)
+def _event_stream(spark, sf_dir, name: str, some=None, late=None) -> DataFrame:
+    whole = _events(spark, sf_dir)
+    events = whole if some is None else whole.filter(some)
     ahead = events.agg(
         F.lit(-1).cast("bigint").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"),
         F.lit(-1).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"),
     )
-    return _replay(spark, events, name, last=ahead)
+    return _replay(spark, events, name, last=ahead, late=None if late is None else whole.filter(late))
 
 
 @query("travel_alerts_stream", with_views(["punches"], TRAVEL_OUT, TRAVEL))
 def travel_alerts_stream(spark, sf_dir):
     """Speed between successive punches, from the event stream."""
     stream = ad.punches_from_events(_event_stream(spark, sf_dir, "travel"))
-    return landing.run_to_end(punches.travel_alerts(stream, "60 days"), "travel", state_partitions=STATE_PARTITIONS).drop("explanation")
+    alerts = punches.travel_alerts(stream, WATERMARK, bucket_seconds=BUCKET)
+    return landing.run_to_end(alerts, "travel", state_partitions=STATE_PARTITIONS).drop("explanation")
 
 
 @query("daily_hours_stream", with_views(["punches"], DAYS, SHIFTS))
 def daily_hours_stream(spark, sf_dir):
     """Hours per employee and day, from the event stream."""
     stream = ad.punches_from_events(_event_stream(spark, sf_dir, "hours"))
-    return punches.hours_from_shifts(landing.run_to_end(punches.shifts(stream, "60 days"), "hours", state_partitions=STATE_PARTITIONS))
+    shifts = punches.shifts(stream, WATERMARK, BUCKET)
+    return punches.hours_from_shifts(landing.run_to_end(shifts, "hours", state_partitions=STATE_PARTITIONS))
+
+
+@query(
+    "late_punches_stream",
+    with_views(
+        ["all_punches"],
+        "SELECT tenant_id, employee_id, d::VARCHAR AS work_date, shifts, total_hours, "
+        f"(SELECT count(*) FROM all_punches WHERE punch_id % {LATE_EVERY} = {LATE_REST}) AS late_rows FROM days",
+        f"punches AS (SELECT * FROM all_punches WHERE punch_id % {LATE_EVERY} <> {LATE_REST}),\n{SHIFTS}",
+    ),
+)
+def late_punches_stream(spark, sf_dir):
+    """Hours from the event stream when some punches land behind the watermark: they are left out and counted."""
+    late = F.col("event_id") % LATE_EVERY == LATE_REST
+    stream = ad.punches_from_events(_event_stream(spark, sf_dir, "late", ~late, late))
+    shifts = landing.run_to_end(punches.shifts(stream, WATERMARK, BUCKET), "late", state_partitions=STATE_PARTITIONS, late="late_rows")
+    dropped = shifts.agg(F.max("late_rows")).first()[0]
+    return punches.hours_from_shifts(shifts).withColumn("late_rows", F.lit(dropped))
+
+
+OPEN_SHIFTS = f"""marked AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL {OPEN_AFTER} HOUR THEN 0 ELSE 1 END AS opens FROM punches
+  WINDOW w AS (PARTITION BY tenant_id, employee_id ORDER BY ts, punch_id)),
+numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY tenant_id, employee_id ORDER BY ts, punch_id ROWS UNBOUNDED PRECEDING) AS n FROM marked),
+ends AS (
+  SELECT tenant_id, employee_id, n, min(ts) AS started_at, max(ts) AS open_since, count(*) AS punches,
+    arg_max(punch_type, (ts, punch_id)) AS last_type FROM numbered GROUP BY ALL)"""
+
+
+OPEN_OUT = """SELECT e.tenant_id, e.employee_id, strftime(e.started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
+  strftime(e.open_since, '%Y-%m-%d %H:%M:%S.%f') AS open_since, any_value(e.punches) AS punches, count(s.in_ts) AS closed_shifts,
+  round(coalesce(sum(epoch_us(out_ts) - epoch_us(in_ts)), 0)::DOUBLE / 3600000000.0, 2) AS closed_hours
+FROM ends e LEFT JOIN shifts s ON s.tenant_id = e.tenant_id AND s.employee_id = e.employee_id AND s.in_ts >= e.started_at
+  AND s.in_ts < e.open_since
+WHERE e.last_type = 'IN' GROUP BY e.tenant_id, e.employee_id, e.started_at, e.open_since"""
+
+
+@query("open_shifts", with_views(["punches"], OPEN_OUT, f"{SHIFTS},\n{OPEN_SHIFTS}"))
+def open_shifts(spark, sf_dir):
+    """Shifts begun and not ended within half a day."""
+    return attendance.open_shifts(ad.punches(spark, sf_dir), OPEN_AFTER * 3600)
+
+
+@query("open_shifts_stream", with_views(["punches"], OPEN_OUT, f"{SHIFTS},\n{OPEN_SHIFTS}"))
+def open_shifts_stream(spark, sf_dir):
+    """The same from the event stream: session windows merged with the finished shifts.  The row that moves the watermark
+    never ends a session, and its employee has no other punch."""
+    ends = punches.sessions(ad.punches_from_events(_event_stream(spark, sf_dir, "sessions")), OPEN_AFTER * 3600, WATERMARK)
+    pairs = punches.shifts(ad.punches_from_events(_event_stream(spark, sf_dir, "pairs")), WATERMARK, BUCKET)
+    stored = [landing.run_to_end(s, n, state_partitions=STATE_PARTITIONS) for s, n in ((ends, "sessions"), (pairs, "pairs"))]
+    return punches.open_shifts(*stored, OPEN_AFTER * 3600)
 
 
 TTL_HOURS = 30
@@ -84,7 +154,8 @@ def mutation_dedupe_stream(spark, sf_dir):
     """The same rule on the event stream."""
     stream = _event_stream(spark, sf_dir, "writes").withColumn("done", F.col("event_type") != "error")
     kept = landing.run_to_end(
-        mutations.dedupe_mutations(stream, "user_id", "ts", "event_id", TTL_HOURS * 3600, "60 days", "done"), "writes"
+        mutations.dedupe_mutations(stream, "user_id", "ts", "event_id", TTL_HOURS * 3600, WATERMARK, "done", BUCKET), "writes",
+        state_partitions=STATE_PARTITIONS,
     )
     return kept.select(F.col("key").cast("bigint").alias("user_id"), F.col("tie").alias("event_id"), "kept_at")
 

@@ -2,15 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from crewframe.operators import privacy, quality
 from crewframe.operators.mapping import Mapping
 from crewframe.session import scratch
 
+STATE_PARTITIONS = "spark.sql.shuffle.partitions"
+#: settings that hold while a stream starts
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # sessions of a key are merged before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
+
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that each run of a stream drops behind its watermark: one number for a run, whatever its batches."""
+
+    def __init__(self):
+        self.changed, self.rows, self.ended = threading.Condition(), {}, set()
+
+    def onQueryStarted(self, event) -> None:
+        with self.changed:
+            self.rows.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        dropped = sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+        with self.changed:
+            self.rows[run] = self.rows.get(run, 0) + dropped
 
-#: settings that hold while a stream starts: state partitions, and how many batches' progress it keeps
-STATE_PARTITIONS, KEPT_PROGRESS = "spark.sql.shuffle.partitions", "spark.sql.streaming.numRecentProgressUpdates"
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        """Comes after the progress of every batch."""
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def total(self, run: str, wait: float | None) -> int:
+        with self.changed:
+            if wait is not None and not self.changed.wait_for(lambda: run in self.ended, wait):
+                raise TimeoutError(f"the end of run {run} was not reported within {wait} s")
+            return self.rows.get(run, 0)
+
+
+def late_listener(spark: SparkSession) -> LateRows:
+    """The session's counter, added at its first use."""
+    context = spark.sparkContext
+    if getattr(context, "_crewframe_late", None) is None:
+        context._crewframe_late = LateRows()
+        spark.streams.addListener(context._crewframe_late)
+    return context._crewframe_late
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, each=None, state_partitions: int | None = None):
@@ -18,43 +69,44 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, each=None, state_pa
 
     A batch that is replayed after a failure overwrites its own folder, so nothing is written
     twice.  ``each`` maps the batch to what is stored.  The first start fixes the number of state partitions for
-    ever: ``state_partitions`` says how many, the session's shuffle partitions if not given.  The progress of
-    every batch is kept, so that :func:`late_rows` counts them all.
+    ever: ``state_partitions`` says how many, the session's shuffle partitions if not given.  The session's settings
+    are as before when the stream has started.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         rows = each(batch) if each else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    conf = stream.sparkSession.conf
-    before = {name: conf.get(name) for name in (STATE_PARTITIONS, KEPT_PROGRESS)}
-    if state_partitions:
-        conf.set(STATE_PARTITIONS, str(state_partitions))
-    conf.set(KEPT_PROGRESS, str(2**31 - 1))
+    spark = stream.sparkSession
+    late_listener(spark)
+    wanted = STREAM_CONF | ({STATE_PARTITIONS: str(state_partitions)} if state_partitions else {})
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
         return writer.trigger(availableNow=True).start()
     finally:
         for name, value in before.items():
-            conf.set(name, value)
+            spark.conf.set(name, value)
 
 
-def run_to_end(stream: DataFrame, name: str, each=None, state_partitions: int | None = None) -> DataFrame:
-    """Drain what has landed and return the stored rows."""
+def run_to_end(
+    stream: DataFrame, name: str, each=None, state_partitions: int | None = None, late: str | None = None
+) -> DataFrame:
+    """Drain what has landed and return the stored rows; ``late`` names a column with the rows that came too late."""
     spark = stream.sparkSession
     base = scratch(spark, name)
     running = append_to(stream, f"{base}/rows", f"{base}/checkpoint", each, state_partitions)
     running.awaitTermination()
-    return spark.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").drop("batch")
+    rows = spark.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").drop("batch")
+    return rows if late is None else rows.withColumn(late, F.lit(late_rows(running)).cast("long"))
 
 
-def late_rows(running) -> int:
-    """Rows this run of the stream dropped because they came behind the watermark, over all its batches."""
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in running.recentProgress
-        for operator in progress["stateOperators"]
-    )
+def late_rows(running, wait: float = 60.0) -> int:
+    """Rows this run of the stream dropped because they came behind the watermark, over all its batches so far; of
+    a run that has ended, all of them."""
+    return late_listener(SparkSession.active()).total(str(running.runId), None if running.isActive else wait)
 
 
 def drift_events(stream: DataFrame, mapping: Mapping, order: str, keys: list[str], name: str) -> DataFrame:

@@ -22,12 +22,12 @@ class _Keep:
 
 def dedupe_mutations(
     stream: DataFrame, key: str, time: str, tie: str, ttl_seconds: float = 120.0, watermark: str = "10 minutes",
-    succeeded: str | None = None,
+    succeeded: str | None = None, bucket_seconds: float = 60.0,
 ) -> DataFrame:
     """(key, time, tie) of the writes that count; failed writes are not remembered.
 
     Exact for any arrival order within the watermark.  State per key is the last kept write and
-    the rows the watermark has not passed yet.
+    the rows the watermark has not passed yet, in buckets of ``bucket_seconds``.
     """
     done = stream.filter(F.col(succeeded)) if succeeded else stream
     timed = done.withWatermark(time, watermark).select(
@@ -35,7 +35,7 @@ def dedupe_mutations(
     )
     kept = in_order(
         timed, ["key"], ["at", "tie"], "at long, tie long", ["kept_at", "kept_tie"],
-        "key string, kept_at long, kept_tie long", _Keep(int(ttl_seconds * 1_000_000)),
+        "key string, kept_at long, kept_tie long", _Keep(int(ttl_seconds * 1_000_000)), bucket_seconds,
     )
     return kept.select("key", F.timestamp_micros("kept_at").alias("kept_at"), F.col("kept_tie").alias("tie"))
 

@@ -1,66 +1,80 @@
 """Per-key processing in event-time order on a stream.
 
-Micro-batches bring rows in any order.  A key's rows wait in state until the watermark has
-passed them, then meet the row before them.  Rows behind the watermark are dropped by the
-engine and counted in the query progress.
+Micro-batches bring rows in any order.  A key's rows wait in state, in buckets of event time, until the watermark has
+passed their bucket, then meet the row before them.  Rows behind the watermark are dropped by the
+engine and counted (:func:`crewframe.streaming.landing.late_rows`).
 """
 
 from __future__ import annotations
 
 import sys
+from collections import defaultdict
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
-}
+#: rows of one entry of a bucket
+PART_ROWS = 4096
 
 
 class InOrder(StatefulProcessor):
-    """Buffers (at, tie, *fields) rows and calls ``step(last, row)`` in (at, tie) order.
+    """Calls ``step(last, row)`` on the (at, tie, *fields) rows of a key in (at, tie) order.
 
-    ``step`` returns (new last row, output row or None); rows are plain tuples.
+    ``step`` returns (new last row, output row or None); rows are plain tuples.  A bucket's rows are written as they
+    arrive, in parts of their own, and read once, when its timer fires; rows of other buckets are not touched.
     """
 
-    def __init__(self, keys: list[str], fields: list[str], field_types: str, output: list[str], step):
+    def __init__(self, keys: list[str], fields: list[str], field_types: str, output: list[str], step, bucket_micros: int):
+        if bucket_micros % 1000 or bucket_micros <= 0:
+            raise ValueError("a bucket is a whole number of milliseconds")
         self.keys, self.fields, self.types, self.output, self.step = keys, fields, field_types, output, step
+        self.width = bucket_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.types)
+        columns = ", ".join(f"{name} array<{kind}>" for name, kind in (part.split(" ") for part in self.types.split(", ")))
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", columns)
+        self.parts = handle.getMapState("parts", "bucket long", "held long")
         self.last = handle.getValueState("last", self.types)
 
     def handleInputRows(self, key, rows, timerValues):
-        """Only note the rows; the timer serves them once the watermark has passed."""
-        arrived = [
-            tuple(r) for pdf in rows for r in pdf[self.fields].astype(object).where(pdf[self.fields].notna(), None).values.tolist()
-        ]
-        if arrived:
-            self.waiting.appendList(arrived)
-            self.handle.registerTimer(min(r[0] for r in arrived) // 1000 + 1)
+        """Only note the rows; each bucket's timer serves them once the watermark has passed it."""
+        arrived = defaultdict(list)
+        for pdf in rows:
+            plain = pdf[self.fields].astype(object)
+            for row in plain.where(pdf[self.fields].notna(), None).values.tolist():
+                arrived[row[0] // self.width].append(row)
+        for bucket, held in arrived.items():
+            known = self.parts.getValue((bucket,))
+            n = known[0] if known else 0
+            if not n:
+                self.handle.registerTimer((bucket + 1) * self.width // 1000)
+            for at in range(0, len(held), PART_ROWS):
+                self.waiting.updateValue((bucket, n), tuple(map(list, zip(*held[at : at + PART_ROWS], strict=True))))
+                n += 1
+            self.parts.updateValue((bucket,), (n,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        later = [r for r in rows if r[0] >= until]
+        """Timers of a key fire in the order of their buckets."""
+        bucket = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.width - 1
+        rows = []
+        for part in range(self.parts.getValue((bucket,))[0]):
+            rows += zip(*self.waiting.getValue((bucket, part)), strict=True)
+            self.waiting.removeKey((bucket, part))
+        self.parts.removeKey((bucket,))
+        rows.sort(key=lambda r: (r[0], r[1] is None, r[1]))
         last, out = tuple(self.last.get()) if self.last.exists() else None, []
-        for row in sorted(r for r in rows if r[0] < until):
+        if last is not None and rows[0][0] < last[0]:
+            raise RuntimeError("a bucket was served before an earlier one")
+        for row in rows:
             last, made = self.step(last, row)
             if made is not None:
                 out.append((*key, *made))
         if last is not None:
             self.last.update(last)
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[0] for r in later) // 1000 + 1)
-        else:
-            self.waiting.clear()
         if out:
             yield pd.DataFrame(out, columns=[*self.keys, *self.output])
 
@@ -69,13 +83,17 @@ class InOrder(StatefulProcessor):
 
 
 def in_order(
-    stream: DataFrame, keys: list[str], fields: list[str], field_types: str, output: list[str], output_types: str, step
+    stream: DataFrame, keys: list[str], fields: list[str], field_types: str, output: list[str], output_types: str, step,
+    bucket_seconds: float,
 ) -> DataFrame:
-    """Apply ``step`` per key in event order; ``fields`` start with microseconds and a tie-breaker."""
-    for name, value in STATE_CONF.items():
-        stream.sparkSession.conf.set(name, value)
+    """Apply ``step`` per key in event order; ``fields`` start with microseconds and a tie-breaker.
+
+    Rows wait until the watermark has passed the end of their bucket of ``bucket_seconds``: narrow ones come out sooner, wide ones
+    need fewer timers; a bucket of one key is sorted in memory.  Start the result with
+    :func:`crewframe.streaming.landing.append_to`, or set the RocksDB state store yourself.
+    """
     # the driver's own Python worker, which prepares a stateful operator, gets no files: send the code itself
     for module in {InOrder.__module__, step.__module__}:
         cloudpickle.register_pickle_by_value(sys.modules[module])
-    processor = InOrder(keys, fields, field_types, output, step)
+    processor = InOrder(keys, fields, field_types, output, step, round(bucket_seconds * 1000) * 1000)
     return stream.groupBy(*keys).transformWithStateInPandas(processor, output_types, "append", "EventTime")

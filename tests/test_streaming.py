@@ -60,6 +60,86 @@ def test_builtin_window_dedupe(spark, tmp_path):
     assert sorted(r["user_id"] for r in rows) == [-1, 1, 2, 3, 4]
 
 
+def test_open_shifts_equal_batch_and_rule(spark, tmp_path):
+    batch, stream = _events(spark, tmp_path)
+    table = ad.punches_from_events(batch)
+    ends = landing.run_to_end(punches.sessions(ad.punches_from_events(stream), 5400, "30 days"), "sessions")
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    pairs = landing.run_to_end(punches.shifts(ad.punches_from_events(stream), "30 days"), "pairs")
+    got = sorted(map(tuple, punches.open_shifts(ends, pairs, 5400).collect()))
+    assert got == sorted(map(tuple, attendance.open_shifts(table, 5400).collect()))
+
+    rows = sorted((r.employee_id, r.ts, r.punch_id, r.punch_type) for r in table.collect())
+    want, session = [], []
+    for row, after in zip(rows, [*rows[1:], None]):
+        session.append(row)
+        if after is None or after[0] != row[0] or (after[1] - row[1]).total_seconds() >= 5400:
+            pairs = [(a[1], b[1]) for a, b in zip(session, session[1:]) if (a[3], b[3]) == ("IN", "OUT")]
+            if row[3] == "IN":
+                hours = round(sum((b - a).total_seconds() for a, b in pairs) / 3600, 2)
+                want.append((row[0], session[0][1], row[1], len(session), len(pairs), hours))
+            session = []
+    assert [tuple(r[1:]) for r in got] == sorted(want, key=lambda r: (f"T{r[0] % 5}", *r)) and len(got) > 5
+
+
+def test_a_bucket_is_read_once_and_alone(monkeypatch):
+    """State reads are those of the rows served, whatever waits in other buckets."""
+    from types import SimpleNamespace
+
+    class Map(dict):
+        reads = 0
+
+        def getValue(self, key):
+            found = self.get(key)
+            Map.reads += len(found[0]) if found and isinstance(found[0], list) else 0
+            return found
+
+        updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
+    class Value(list):
+        get, exists = (lambda self: self[0]), (lambda self: bool(self))
+
+        def update(self, value):
+            self[:] = [value]
+
+    import pandas as pd
+
+    from crewframe.streaming import ordered
+
+    monkeypatch.setattr(ordered, "PART_ROWS", 7)
+    work = ordered.InOrder(["k"], ["at", "tie"], "at long, tie long", ["a", "b"], lambda last, row: (row, row), 10_000)
+    timers = []
+    handle = SimpleNamespace(
+        getMapState=lambda *a: Map(), getValueState=lambda *a: Value(), registerTimer=timers.append,
+    )
+    work.init(handle)
+    rows = [(at * 97 % 50_000, at) for at in range(1000)]
+    for n in range(0, 1000, 100):
+        list(work.handleInputRows(("x",), iter([pd.DataFrame(rows[n : n + 100], columns=["at", "tie"])]), None))
+    assert sorted(timers) == [10, 20, 30, 40, 50]
+    served = []
+    for timer in sorted(timers):
+        Map.reads = 0
+        out = list(work.handleExpiredTimer(("x",), None, SimpleNamespace(getExpiryTimeInMs=lambda t=timer: t)))
+        assert Map.reads == len(out[0])
+        served += out[0][["a", "b"]].values.tolist()
+    assert served == sorted(map(list, rows)) and not work.waiting and not work.parts
+
+
+def test_a_million_rows_of_one_key_wait(spark, tmp_path):
+    n = 1_000_000
+    rows = spark.range(n).selectExpr(
+        "id as event_id", "timestamp_seconds(1704067200 + (id * 7919) % 1000000) as ts", "cast(7 as long) as user_id"
+    )
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    far = spark.range(1).selectExpr("-1L as event_id", "timestamp_seconds(1804067200) as ts", "cast(-1 as long) as user_id")
+    far.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = mutations.dedupe_mutations(stream, "user_id", "ts", "event_id", 100, "30 days", bucket_seconds=43_200)
+    got = landing.run_to_end(kept, "million", state_partitions=2).filter("key = '7'").agg(F.count("*"), F.sum(F.unix_seconds("kept_at") % 100)).first()
+    assert tuple(got) == (10_000, 0)
+
+
 def test_drift_stream(spark, tmp_path):
     rows = [(n, "T", f'{{"id": {n}, "badge": "B{n}"}}') for n in range(9)]
     stream = feed(spark, tmp_path, rows, "n int, tenant_id string, body string", 3, (99, "T", '{"id": 1}'))
@@ -93,6 +173,19 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
         running = landing.append_to(kept, str(out), str(tmp_path / "check"))
         running.awaitTermination()
         dropped = landing.late_rows(running)
+        assert spark.conf.get(landing.STATE_PARTITIONS) == "4"
         assert dropped == (1 if name == "c" else 0), name
     rows = spark.read.option("basePath", str(out)).parquet(str(out)).collect()
     assert sorted(r["tie"] for r in rows) == [1, 2]
+
+
+def test_the_late_counter_holds_one_number_for_a_run():
+    from types import SimpleNamespace as Fake
+
+    counter = landing.LateRows()
+    counter.onQueryStarted(Fake(runId="r"))
+    for n in range(10_000):
+        counter.onQueryProgress(Fake(progress=Fake(runId="r", stateOperators=[Fake(numRowsDroppedByWatermark=n % 3), Fake(numRowsDroppedByWatermark=1)])))
+    counter.onQueryTerminated(Fake(runId="r"))
+    assert counter.total("r", 1.0) == sum(n % 3 + 1 for n in range(10_000))
+    assert len(counter.rows) == 1 and counter.total("unknown", None) == 0
