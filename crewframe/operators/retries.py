@@ -7,51 +7,30 @@ The rule reads one key's times in order, but no key is ever walked in one task:
 
 1. A write with a gap of at least ``ttl`` before it is kept whatever came earlier.
 2. After a kept time ``t`` the next kept time is the first one at or after ``t + ttl``.  That jump
-   is found for all times at once, per key and time bucket.
+   is found for all times at once, sorted over the cluster.
 3. What the certain ones of step 1 reach by jumps is marked by doubling the jumps, so a run of
    n kept writes takes log2(n) rounds.  Repeats that all end within one ``ttl`` need none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewframe.operators.sequences import successive_pairs
-from crewframe.session import cut
+from crewframe.operators.sequences import next_marks, successive_pairs
+from crewframe.session import cut, discard
 
 
 def _jumps(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
     """(keys, t, nxt): the first time at or after ``t + ttl`` microseconds."""
-    bucket = lambda c: F.floor(c / F.lit(ttl)).cast("bigint")
-    marks = times.select(*keys, F.col("t").alias("at"), F.lit(None).cast("bigint").alias("asks"))
-    asks = times.select(*keys, (F.col("t") + ttl).alias("at"), F.col("t").alias("asks"))
-    rows = marks.unionByName(asks).withColumn("bucket", bucket(F.col("at"))).repartition(*keys, "bucket")
-    is_time = F.when(F.col("asks").isNull(), F.col("at"))
-    # a question sorts before a time at the same instant, so an equal time answers it
-    ahead = (
-        Window.partitionBy(*keys, "bucket")
-        .orderBy("at", F.col("asks").isNull().cast("int"))
-        .rowsBetween(1, Window.unboundedFollowing)
-    )
-    here = rows.withColumn("nxt", F.first(is_time, ignorenulls=True).over(ahead)).filter(F.col("asks").isNotNull())
-    # per bucket one row: the first time of the next bucket that has any
-    later = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
-    beyond = (
-        rows.groupBy(*keys, "bucket")
-        .agg(F.min(is_time).alias("first"))
-        .withColumn("beyond", F.first("first", ignorenulls=True).over(later))
-        .select(*keys, "bucket", "beyond")
-    )
-    return (
-        here.join(beyond, [*keys, "bucket"])
-        .select(*keys, F.col("asks").alias("t"), F.coalesce("nxt", "beyond").alias("nxt"))
-        .filter(F.col("nxt").isNotNull())
-    )
+    asks = times.select(*keys, (F.col("t") + ttl).alias("at"), F.col("t"))
+    return next_marks(times.select(*keys, F.col("t").alias("at")), asks, keys, "at").select(*keys, "t", "nxt")
 
 
 def kept_times(times: DataFrame, keys: list[str], ttl_micros: int) -> DataFrame:
     """(keys, t) of the kept writes among distinct times in microseconds."""
+    spark = times.sparkSession
+    times = cut(times)
     stamped = times.withColumns({"at": F.timestamp_micros("t"), "tie": F.lit(0)})
     pairs = successive_pairs(stamped.select(*keys, "at", "tie"), keys, "at", "tie")
     apart = F.unix_micros(F.col("cur")["at"]) - F.unix_micros(F.col("prev")["at"])
@@ -70,10 +49,12 @@ def kept_times(times: DataFrame, keys: list[str], ttl_micros: int) -> DataFrame:
         # jumps of 2**i from the first 2**i kept times of a run reach the next 2**i: nothing twice
         fresh = cut(steps.join(kept, [*keys, "t"], "left_semi").select(*keys, F.col("nxt").alias("t")))
         if fresh.isEmpty():
+            discard(spark, times, follows, steps, fresh)
             return kept
         kept = kept.unionByName(fresh)
         onward = steps.select(*keys, F.col("t").alias("nxt"), F.col("nxt").alias("far"))
-        steps = cut(steps.join(onward, [*keys, "nxt"]).select(*keys, "t", F.col("far").alias("nxt")))
+        before, steps = steps, cut(steps.join(onward, [*keys, "nxt"]).select(*keys, "t", F.col("far").alias("nxt")))
+        discard(spark, before)
 
 
 def dedupe_mutations(

@@ -41,3 +41,34 @@ def sessions(df: DataFrame, keys: list[str], time: str, tie: str, gap_seconds: f
     opened = pairs.filter(far).select(*keys, F.col("cur")[time].alias("opens_at"))
     first = df.groupBy(*keys).agg(F.min(time).alias("opens_at"))
     return opened.unionByName(first)
+
+
+def next_marks(marks: DataFrame, asks: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """``asks`` with ``nxt``: the smallest ``at`` of ``marks`` (keys, at) of the same key at or after the ask's own.
+
+    Marks and asks are sorted together over the whole cluster, so a key, or a burst of it, spreads over tasks.  Windows run
+    backwards within a range; each range then hands its first mark to the ranges before it, in a window that sees
+    one row per task.  Asks without a later mark of their key are dropped.
+    """
+    names = [c for c in asks.columns if c not in keys and c != at]
+    given = F.struct(*names) if names else F.lit(None)
+    both = marks.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_mark"), F.lit(None).alias("_ask")).unionByName(
+        asks.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_mark"), given.alias("_ask"))
+    )
+    # an ask sorts before a mark at the same place, so an equal mark answers it; the last key deals out asks that are alike
+    order = [*keys, "_at", "_mark", "_row"]
+    laid = both.withColumn("_row", F.monotonically_increasing_id())
+    ranges = cut(laid.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    mark = F.when(F.col("_mark") == 1, F.struct(*keys, "_at"))
+    backwards = Window.partitionBy("_range").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    heads = ranges.groupBy("_range").agg(F.min(mark).alias("_head"))
+    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    carried = F.broadcast(heads.select("_range", F.last("_head", ignorenulls=True).over(later).alias("_beyond")))
+    found = ranges.withColumn("_here", F.last(mark, ignorenulls=True).over(backwards)).join(carried, "_range")
+    found = found.filter("_mark = 0").withColumn("_next", F.coalesce("_here", "_beyond"))
+    same = F.col("_next").isNotNull()
+    for key in keys:
+        same = same & F.col(f"_next.{key}").eqNullSafe(F.col(key))
+    return found.filter(same).select(
+        *keys, F.col("_at").alias(at), *[F.col(f"_ask.{n}").alias(n) for n in names], F.col("_next._at").alias("nxt")
+    )

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from crewframe.operators import sequences
 from crewframe.operators.retries import dedupe_mutations
 
 
@@ -31,3 +32,39 @@ def test_replays_do_not_extend(spark):
     rows = [("a", t, i, True) for i, t in enumerate((0, 100, 119, 120, 200, 240, 241))]
     df = spark.createDataFrame(rows, "k string, s long, id long, ok boolean").withColumn("at", F.timestamp_seconds("s"))
     assert sorted(r["s"] for r in dedupe_mutations(df, ["k"], "at", "id").collect()) == [0, 120, 240]
+
+
+def test_next_marks_against_search(spark, monkeypatch, request):
+    """One key on a third of the rows, all of them within one time to live, is sorted by several tasks."""
+    import bisect
+
+    rng = random.Random(2)
+    key = lambda: "hot" if rng.random() < 0.34 else rng.choice([None, *"abcdefgh"])
+    marks = {(key(), rng.randrange(3000)) for _ in range(3000)}
+    asks = [(key(), rng.randrange(3300), n) for n in range(3000)]
+    stored = []
+    real = sequences.cut
+    monkeypatch.setattr(sequences, "cut", lambda df, *by: stored.append(real(df, *by)) or stored[-1])
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")
+    request.addfinalizer(lambda: spark.conf.unset(small))
+    got = sequences.next_marks(
+        spark.createDataFrame(list(marks), "k string, at long").repartition(4),
+        spark.createDataFrame(asks, "k string, at long, id long").repartition(4), ["k"], "at",
+    )
+    by_key = {}
+    for k, at in sorted(marks, key=lambda m: m[1]):
+        by_key.setdefault(k, []).append(at)
+    want = set()
+    for k, at, n in asks:
+        place = bisect.bisect_left(by_key.get(k, []), at)
+        if place < len(by_key.get(k, [])):
+            want.add((k, at, n, by_key[k][place]))
+    assert {tuple(r) for r in got.select("k", "at", "id", "nxt").collect()} == want
+    assert stored[0].filter("k = 'hot'").select("_range").distinct().count() > 1
+
+
+def test_a_burst_within_one_time_to_live(spark):
+    rows = [("hot", n, n, True) for n in range(0, 400)] + [("hot", 1000 + n, 400 + n, True) for n in range(0, 400, 3)] + [("b", 5, 9000, True)]
+    df = spark.createDataFrame(rows, "k string, s long, id long, ok boolean").withColumn("at", F.timestamp_seconds("s"))
+    assert {r["id"] for r in dedupe_mutations(df, ["k"], "at", "id", 450.0).collect()} == walk(rows, 450)
