@@ -239,27 +239,39 @@ def candidates_with_requisition(candidates: DataFrame, requisitions: DataFrame)
 def score_candidates(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Weighted skills, experience and education score of resume_text."""
     weights = {**refdata.SCORE_WEIGHTS, **(weights or {})}
-    resume = F.lower(F.coalesce(F.col("resume_text"), F.lit("")))
     wanted = F.coalesce(F.col("required_skills"), F.array().cast("array<string>"))
     matched, total = F.size("matched_skills"), F.size(wanted)
     years, needed = F.col("candidate_years"), F.col("required_years")
-    degree = F.lit(False)
-    for word in refdata.DEGREE_WORDS:
-        degree = degree | F.contains(resume, F.lit(word))
     composite = (
         F.col("_skills") * weights["skills"]
         + F.col("_experience") * weights["experience"]
         + F.col("_education") * weights["education"]
     )
     one = lambda c: F.format_string("%.1f", c)
-    has = lambda skill: F.contains(resume, F.lower(skill))
+
+    def looked_up(resume: Column) -> Column:
+        """Everything that is read from a resume, in one pass over the wanted skills."""
+        degree = F.lit(False)
+        for word in refdata.DEGREE_WORDS:
+            degree = degree | F.contains(resume, F.lit(word))
+        # each skill once, however often the opening names it
+        held = F.filter(F.array_distinct(F.transform(wanted, F.lower)), lambda skill: F.contains(resume, skill))
+        return F.struct(held.alias("held"), degree.alias("degree"))
+
+    # bound to lambda variables: the text is lower-cased once and every skill is looked up once, wherever filters move
+    bound = F.transform(F.array(F.lower(F.coalesce(F.col("resume_text"), F.lit("")))), looked_up)
+    listed = F.transform(
+        bound,
+        lambda found: F.struct(
+            F.filter(wanted, lambda skill: F.array_contains(found["held"], F.lower(skill))).alias("matched"),
+            F.filter(wanted, lambda skill: ~F.array_contains(found["held"], F.lower(skill))).alias("missing"),
+            found["degree"].alias("degree"),
+        ),
+    )
+    degree = F.col("_found.degree")
     return (
-        df.withColumns(
-            {
-                "matched_skills": F.filter(wanted, has),
-                "missing_skills": F.filter(wanted, lambda skill: ~F.contains(resume, F.lower(skill))),
-            }
-        )
+        df.withColumn("_found", F.get(listed, F.lit(0)))
+        .withColumns({"matched_skills": F.col("_found.matched"), "missing_skills": F.col("_found.missing")})
         .withColumns(
             {
                 "_skills": F.when(total > 0, matched / total * 100.0).otherwise(F.lit(100.0)),
@@ -289,5 +301,5 @@ def score_candidates(df: DataFrame, weights: dict[str, float] | None = None) ->
                 ),
             }
         )
-        .drop("_skills", "_experience", "_education")
+        .drop("_found", "_skills", "_experience", "_education")
     )
