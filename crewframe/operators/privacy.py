@@ -65,19 +65,26 @@ def _names(mask_emails: bool) -> list[str]:
     return [name for name, _ in refdata.PII_PATTERNS if mask_emails or name != "EMAIL"]
 
 
-def _replace_one(text: Column, name: str, tenant: Column, secret: str) -> Column:
-    """Put tokens in place of the matches of one pattern."""
-    pattern = F.lit(f"({_pattern(name)})")
-    found = F.regexp_extract_all(text, pattern, F.lit(1))
-    pieces = F.split(text, _pattern(name), -1)
+# A match is set between marks, so one scan of a pattern gives the matches and what lies between them.  Control
+# characters of a text that look like marks are written otherwise meanwhile; no pattern takes one, and none is part of a word.
+_MARK, _ESCAPE, _FOR_ESCAPE, _FOR_MARK = "\u0003", "\u0002", "\u0004", "\u0005"
 
-    def joined(match: Column, piece: Column) -> Column:
-        # the list of matches is one shorter than the list of pieces
-        put = F.when(match.isNull(), F.lit("")).otherwise(token(_kind(name, match), match, tenant, secret))
-        return F.concat(piece, put)
 
-    rebuilt = F.array_join(F.zip_with(found, pieces, joined), "")
-    return F.when(F.size(found) > 0, rebuilt).otherwise(text)
+def _guarded(text: Column) -> Column:
+    escaped = F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + _FOR_ESCAPE))
+    escaped = F.replace(escaped, F.lit(_MARK), F.lit(_ESCAPE + _FOR_MARK))
+    return F.when(F.contains(text, F.lit(_ESCAPE)) | F.contains(text, F.lit(_MARK)), escaped).otherwise(text)
+
+
+def _unguarded(text: Column) -> Column:
+    plain = F.replace(text, F.lit(_ESCAPE + _FOR_MARK), F.lit(_MARK))
+    plain = F.replace(plain, F.lit(_ESCAPE + _FOR_ESCAPE), F.lit(_ESCAPE))
+    return F.when(F.contains(text, F.lit(_ESCAPE)), plain).otherwise(text)
+
+
+def _parted(text: Column, pattern: str) -> Column:
+    """The text in pieces: every second one is a match."""
+    return F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
 
 
 def _once(value: Column, step) -> Column:
@@ -89,46 +96,79 @@ def _once(value: Column, step) -> Column:
     return F.get(F.transform(F.array(value), step), F.lit(0))
 
 
-def masked(text: Column, tenant: Column, secret: str, mask_emails: bool = False) -> Column:
-    """The text with all patterns replaced, in their fixed order."""
-
-    def step(name: str):
-        return lambda one: _replace_one(one, name, tenant, secret)
+_HITS = "array<struct<entity_type:string,original_value:string,token:string>>"
 
-    out = text
-    for name in _names(mask_emails):
-        out = _once(out, step(name))
-    return F.when(_worth_looking(text, mask_emails), out).otherwise(text)
 
+def scanned(text: Column, tenant: Column, secret: str, mask_emails: bool = False) -> Column:
+    """struct<text, found>: the text with all patterns replaced in their fixed order, and what they took.
 
-def _found(text: Column, tenant: Column, secret: str, mask_emails: bool) -> Column:
-    """array<struct<entity_type, original_value>> of everything the patterns take, in order."""
-    none = F.array().cast("array<struct<entity_type:string,original_value:string>>")
-    state = F.struct(text.alias("text"), none.alias("found"))
+    Each pattern scans the text once, and each match is hashed once, for both.
+    """
 
     def step(name: str):
-        def tagged(value: Column) -> Column:
-            return F.struct(_kind(name, value).alias("entity_type"), value.alias("original_value"))
+        def taken(value: Column) -> Column:
+            def hit(kind: Column) -> Column:
+                return F.struct(kind.alias("entity_type"), value.alias("original_value"), token(kind, value, tenant, secret).alias("token"))
+
+            return _once(_kind(name, value), hit)
+
+        def piece(value: Column, at: Column) -> Column:
+            none = F.lit(None).cast("string")
+            plain = F.struct(none.alias("entity_type"), none.alias("original_value"), value.alias("token"))
+            return F.when(at % 2 == 1, taken(value)).otherwise(plain)
 
         def advance(before: Column) -> Column:
-            hits = F.regexp_extract_all(before["text"], F.lit(f"({_pattern(name)})"), F.lit(1))
-            return F.struct(
-                _replace_one(before["text"], name, tenant, secret).alias("text"),
-                F.concat(before["found"], F.transform(hits, tagged)).alias("found"),
-            )
+            def joined(pieces: Column) -> Column:
+                hits = F.filter(pieces, lambda one: one["entity_type"].isNotNull())
+                return F.struct(F.array_join(pieces["token"], "").alias("text"), F.concat(before["found"], hits).alias("found"))
+
+            def built(pieces: Column) -> Column:
+                return F.when(F.size(pieces) > 1, _once(F.transform(pieces, piece), joined)).otherwise(before)
+
+            return _once(_parted(before["text"], _pattern(name)), built)
 
         return advance
 
+    none = F.array().cast(_HITS)
+    state = F.struct(_guarded(text).alias("text"), none.alias("found"))
     for name in _names(mask_emails):
         state = _once(state, step(name))
-    return state["found"]
+    done = _once(state, lambda end: F.struct(_unguarded(end["text"]).alias("text"), end["found"].alias("found")))
+    return F.when(_worth_looking(text, mask_emails), done).otherwise(F.struct(text.alias("text"), none.alias("found")))
+
+
+def masked(text: Column, tenant: Column, secret: str, mask_emails: bool = False) -> Column:
+    """The text with all patterns replaced, in their fixed order."""
+    return scanned(text, tenant, secret, mask_emails)["text"]
+
+
+def _found(text: Column, tenant: Column, secret: str, mask_emails: bool) -> Column:
+    """array<struct<entity_type, original_value>> of everything the patterns take, in order."""
+    return F.transform(scanned(text, tenant, secret, mask_emails)["found"], lambda hit: hit.dropFields("token"))
 
 
 def mask_text(
-    df: DataFrame, column: str, secret: str, tenant: str = "tenant_id", mask_emails: bool = False
+    df: DataFrame, column: str, secret: str, tenant: str = "tenant_id", mask_emails: bool = False, found: str | None = None
 ) -> DataFrame:
-    """Replace personal data in a text column."""
-    return df.withColumn(column, masked(F.col(column), F.col(tenant), secret, mask_emails))
+    """Replace personal data in a text column.
+
+    ``found`` names a column for what was taken, from the same scan: store the result and give it to
+    :func:`vault_of`, and the patterns run once for texts and vault together.
+    """
+    one = scanned(F.col(column), F.col(tenant), secret, mask_emails)
+    if found is None:
+        return df.withColumn(column, one["text"])
+    # one generator row holds the struct, so that the scan is not repeated for its fields
+    both = df.select("*", F.inline(F.array(one)).alias("_masked", "_found"))
+    named = {column: F.col("_masked").alias(column), found: F.col("_found").alias(found)}
+    kept = [named.get(c, F.col(f"`{c}`")) for c in df.columns]
+    return both.select(*kept, *([named[found]] if found not in df.columns else []))
+
+
+def vault_of(masked_texts: DataFrame, found: str, tenant: str = "tenant_id") -> DataFrame:
+    """The distinct vault rows of texts masked with ``found``; duplicates go on the map side."""
+    hits = masked_texts.select(tenant, F.inline(F.col(found)))
+    return hits.select(tenant, "token", "original_value", "entity_type").distinct()
 
 
 def found_values(df: DataFrame, column: str, secret: str, tenant: str = "tenant_id", mask_emails: bool = False) -> DataFrame:
@@ -137,9 +177,8 @@ def found_values(df: DataFrame, column: str, secret: str, tenant: str = "tenant_
     # the outer form keeps the optimizer from running the whole scan again as a filter in front
     return (
         df.filter(_worth_looking(text, mask_emails))
-        .select(tenant, F.inline_outer(_found(text, F.col(tenant), secret, mask_emails)))
+        .select(tenant, F.inline_outer(scanned(text, F.col(tenant), secret, mask_emails)["found"]))
         .filter(F.col("entity_type").isNotNull())
-        .withColumn("token", token(F.col("entity_type"), F.col("original_value"), F.col(tenant), secret))
         .select(tenant, "token", "original_value", "entity_type")
     )
 
@@ -157,23 +196,23 @@ def unmask_text(df: DataFrame, vault_df: DataFrame, column: str, row_key: str, t
     between two plain shuffles, which the adaptive join splits.
     """
     text = F.col(column)
-    found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    has_token = F.coalesce(text.rlike(TOKEN), F.lit(False))
-    tokened = df.filter(has_token)
+    # a plain search finds the rows that may hold a token; what only looks like one finds no vault row
+    has_token = F.coalesce(F.contains(text, F.lit("[VAULT_")), F.lit(False))
+    parted = df.filter(has_token).withColumn("_parts", _parted(_guarded(text), TOKEN))
+    tokens = F.array_distinct(F.filter("_parts", lambda _, at: at % 2 == 1))
     pairs = (
-        tokened.select(row_key, tenant, F.explode(F.array_distinct(found)).alias("token"))
+        parted.select(row_key, tenant, F.explode(tokens).alias("token"))
         .join(vault_df.select(tenant, "token", "original_value"), [tenant, "token"])
         # bounded by the distinct tokens of one row
         .groupBy(row_key)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "original_value"))).alias("_back"))
     )
-    pieces = F.split(text, TOKEN, -1)
-    restore = lambda match, piece: F.concat(
-        piece,
-        F.when(match.isNull(), F.lit("")).otherwise(F.coalesce(F.element_at(F.col("_back"), match), match)),
-    )
-    restored = F.array_join(F.zip_with(found, pieces, restore), "")
-    back = tokened.join(pairs, row_key, "left").withColumn(column, F.when(F.col("_back").isNotNull(), restored).otherwise(text))
+
+    def restore(piece: Column, at: Column) -> Column:
+        return F.when(at % 2 == 1, F.coalesce(F.element_at(F.col("_back"), piece), piece)).otherwise(_unguarded(piece))
+
+    restored = F.array_join(F.transform("_parts", restore), "")
+    back = parted.join(pairs, row_key, "left").withColumn(column, F.when(F.col("_back").isNotNull(), restored).otherwise(text))
     return back.select(*df.columns).unionByName(df.filter(~has_token))
 
 

@@ -367,8 +367,8 @@ def pii_vault(spark, sf_dir):
 def unmasked_text(spark, sf_dir):
     """Mask every document, store that, and put the values back: the original text again."""
     texts = ad.private_texts(spark, sf_dir)
-    masked = cut(privacy.mask_text(texts, "text", SECRET))
-    back = privacy.unmask_text(masked, privacy.vault(texts, "text", SECRET), "text", "doc_id")
+    masked = cut(privacy.mask_text(texts, "text", SECRET, found="found"))
+    back = privacy.unmask_text(masked.drop("found"), privacy.vault_of(masked, "found"), "text", "doc_id")
     return back.select("doc_id", F.md5("text").alias("text_md5"))
 
 

@@ -126,3 +126,37 @@ def test_versions(spark):
     assert rows["2"]["conflict_message"] == (
         "Optimistic concurrency conflict on EMPLOYEE '2': expected version 'v1' but remote is 'v2'."
     )
+
+
+def test_control_characters_in_texts(spark):
+    texts = ["\x03ABCDE1234F\x03", "\x02\x05 ABCDE1234F \x02\x04\x03", "\x02\x03", "a\x03\x02ABCDE1234F", "\x05\x04 784-1990-1234567-1"]
+    df = spark.createDataFrame([(i, "T", t) for i, t in enumerate(texts)], "row_id int, tenant_id string, text string")
+    one = privacy.mask_text(df, "text", SECRET, found="hits")
+    assert one.columns == ["row_id", "tenant_id", "text", "hits"]
+    rows = {r["row_id"]: r for r in one.collect()}
+    pan = rows[0]["hits"][0]["token"]
+    assert [rows[i]["text"] for i in range(4)] == [f"\x03{pan}\x03", f"\x02\x05 {pan} \x02\x04\x03", "\x02\x03", f"a\x03\x02{pan}"]
+    back = privacy.unmask_text(one.drop("hits"), privacy.vault_of(one, "hits"), "text", "row_id")
+    assert {r["row_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_texts_and_vault_from_one_scan(spark):
+    df = spark.createDataFrame(
+        [(1, "T1", TEXT), (2, "T1", "again ABCDE1234F and ABCDE1234F"), (3, "T2", None), (4, "T2", "")], "row_id int, tenant_id string, text string"
+    ).withColumn("hits", F.lit("old"))
+    one = privacy.mask_text(df, "text", SECRET, mask_emails=True, found="hits")
+    assert one.columns == df.columns
+    assert sorted(map(tuple, one.drop("hits").collect()), key=str) == sorted(
+        map(tuple, privacy.mask_text(df, "text", SECRET, mask_emails=True).drop("hits").collect()), key=str
+    )
+    assert sorted(privacy.vault_of(one, "hits").collect()) == sorted(privacy.vault(df, "text", SECRET, mask_emails=True).collect())
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("784[ -]?") == 1  # each pattern once
+
+
+def test_unmask_leaves_what_only_looks_like_a_token(spark):
+    vault = spark.createDataFrame([("T", "[VAULT_PAN_" + "A" * 20 + "]", "X")], "tenant_id string, token string, original_value string")
+    texts = ["[VAULT_", "[VAULT_PAN_AB]", "[VAULT_PAN_" + "B" * 20 + "]", "a [VAULT_PAN_" + "A" * 20 + "][VAULT_PAN_" + "B" * 20 + "]"]
+    df = spark.createDataFrame([(i, "T", t) for i, t in enumerate(texts)], "row_id int, tenant_id string, text string")
+    got = {r["row_id"]: r["text"] for r in privacy.unmask_text(df, vault, "text", "row_id").collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: texts[2], 3: "a X[VAULT_PAN_" + "B" * 20 + "]"}
