@@ -17,14 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crewframe.operators.sequences import next_marks, successive_pairs
+from crewframe.operators.sequences import nearest_marks, reached, successive_pairs
 from crewframe.session import cut, discard
 
 
 def _jumps(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
     """(keys, t, nxt): the first time at or after ``t + ttl`` microseconds."""
     asks = times.select(*keys, (F.col("t") + ttl).alias("at"), F.col("t"))
-    return next_marks(times.select(*keys, F.col("t").alias("at")), asks, keys, "at").select(*keys, "t", "nxt")
+    found = nearest_marks(times.select(*keys, F.col("t").alias("at")), asks, keys, "at")
+    return found.select(*keys, "t", F.col("mark.at").alias("nxt"))
 
 
 def kept_times(times: DataFrame, keys: list[str], ttl_micros: int) -> DataFrame:
@@ -41,20 +42,12 @@ def kept_times(times: DataFrame, keys: list[str], ttl_micros: int) -> DataFrame:
     if follows.isEmpty():
         return certain
     busy = follows.select(*keys).distinct()
-    kept = cut(certain)
     steps = _jumps(times.join(busy, keys, "left_semi"), keys, ttl_micros)
     # jumps onto a certain time add nothing
-    steps = cut(steps.join(follows.withColumnRenamed("t", "nxt"), [*keys, "nxt"], "left_semi"))
-    while True:
-        # jumps of 2**i from the first 2**i kept times of a run reach the next 2**i: nothing twice
-        fresh = cut(steps.join(kept, [*keys, "t"], "left_semi").select(*keys, F.col("nxt").alias("t")))
-        if fresh.isEmpty():
-            discard(spark, times, follows, steps, fresh)
-            return kept
-        kept = kept.unionByName(fresh)
-        onward = steps.select(*keys, F.col("t").alias("nxt"), F.col("nxt").alias("far"))
-        before, steps = steps, cut(steps.join(onward, [*keys, "nxt"]).select(*keys, "t", F.col("far").alias("nxt")))
-        discard(spark, before)
+    steps = steps.join(follows.withColumnRenamed("t", "nxt"), [*keys, "nxt"], "left_semi")
+    kept = reached(certain, steps, keys)
+    discard(spark, times, follows)
+    return kept
 
 
 def dedupe_mutations(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewframe.session import cut
+from crewframe.session import cut, discard
 
 
 def successive_pairs(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -43,32 +43,59 @@ def sessions(df: DataFrame, keys: list[str], time: str, tie: str, gap_seconds: f
     return opened.unionByName(first)
 
 
-def next_marks(marks: DataFrame, asks: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """``asks`` with ``nxt``: the smallest ``at`` of ``marks`` (keys, at) of the same key at or after the ask's own.
+def nearest_marks(marks: DataFrame, asks: DataFrame, keys: list[str], at: str, before: bool = False) -> DataFrame:
+    """``asks`` with ``mark``: the row of ``marks`` of the same key that is nearest at or after the ask's ``at``, or with
+    ``before`` nearest before it, as struct of ``at`` and the other columns of ``marks``.
 
     Marks and asks are sorted together over the whole cluster, so a key, or a burst of it, spreads over tasks.  Windows run
-    backwards within a range; each range then hands its first mark to the ranges before it, in a window that sees
-    one row per task.  Asks without a later mark of their key are dropped.
+    within a range; each range then hands its nearest mark to the ranges beyond, in a window that sees
+    one row per task.  Asks that have no such mark are dropped.
     """
-    names = [c for c in asks.columns if c not in keys and c != at]
-    given = F.struct(*names) if names else F.lit(None)
-    both = marks.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_mark"), F.lit(None).alias("_ask")).unionByName(
-        asks.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_mark"), given.alias("_ask"))
-    )
-    # an ask sorts before a mark at the same place, so an equal mark answers it; the last key deals out asks that are alike
-    order = [*keys, "_at", "_mark", "_row"]
+    asked = [c for c in asks.columns if c not in keys and c != at]
+    told = [c for c in marks.columns if c not in keys and c != at]
+    mark = F.struct(*keys, F.col(at).alias("_at"), *told)
+    none = marks.select(mark.alias("_mark")).schema["_mark"].dataType
+    given = F.struct(*asked) if asked else F.struct(F.lit(True).alias("_"))
+    blank = asks.select(given.alias("_ask")).schema["_ask"].dataType
+    # an ask sorts before a mark at the same place, so an equal mark is after it; the last key deals out rows that are alike
+    both = marks.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), mark.alias("_mark"), F.lit(None).cast(blank).alias("_ask"))
+    both = both.unionByName(asks.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(none).alias("_mark"), given.alias("_ask")))
+    order = [*keys, "_at", "_kind", "_row"]
     laid = both.withColumn("_row", F.monotonically_increasing_id())
     ranges = cut(laid.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    mark = F.when(F.col("_mark") == 1, F.struct(*keys, "_at"))
-    backwards = Window.partitionBy("_range").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    heads = ranges.groupBy("_range").agg(F.min(mark).alias("_head"))
-    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row per task
-    carried = F.broadcast(heads.select("_range", F.last("_head", ignorenulls=True).over(later).alias("_beyond")))
-    found = ranges.withColumn("_here", F.last(mark, ignorenulls=True).over(backwards)).join(carried, "_range")
-    found = found.filter("_mark = 0").withColumn("_next", F.coalesce("_here", "_beyond"))
-    same = F.col("_next").isNotNull()
+    turned = (lambda c: F.asc(c)) if before else (lambda c: F.desc(c))
+    passed = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.when(F.col("_kind") == 1, F.struct(*order))
+    pick = F.max_by if before else F.min_by
+    heads = ranges.groupBy("_range").agg(pick("_mark", place).alias("_head"))
+    carried = F.last("_head", ignorenulls=True).over(passed(Window.orderBy(turned("_range"))))  # one row per task
+    carried = F.broadcast(heads.select("_range", carried.alias("_beyond")))
+    within = passed(Window.partitionBy("_range").orderBy(*[turned(c) for c in order]))
+    found = ranges.withColumn("_here", F.last("_mark", ignorenulls=True).over(within)).join(carried, "_range")
+    found = found.filter("_kind = 0").withColumn("_near", F.coalesce("_here", "_beyond"))
+    same = F.col("_near").isNotNull()
     for key in keys:
-        same = same & F.col(f"_next.{key}").eqNullSafe(F.col(key))
+        same = same & F.col(f"_near.{key}").eqNullSafe(F.col(key))
+    near = F.struct(F.col("_near._at").alias(at), *[F.col(f"_near.{c}").alias(c) for c in told])
     return found.filter(same).select(
-        *keys, F.col("_at").alias(at), *[F.col(f"_ask.{n}").alias(n) for n in names], F.col("_next._at").alias("nxt")
+        *keys, F.col("_at").alias(at), *[F.col(f"_ask.{n}").alias(n) for n in asked], near.alias("mark")
     )
+
+
+def reached(firsts: DataFrame, steps: DataFrame, keys: list[str], t: str = "t", nxt: str = "nxt") -> DataFrame:
+    """(keys, t): the places that jumps ``steps`` (keys, t, nxt) reach from ``firsts`` (keys, t), those included.
+
+    The jumps are doubled per round: from the first 2**i places of a run those of 2**i reach the next 2**i, so a run of n
+    places takes log2(n) rounds and nothing is reached twice.  A place has one jump, and jumps lead onwards.
+    """
+    spark = steps.sparkSession
+    kept, steps = cut(firsts.select(*keys, t)), cut(steps.select(*keys, t, nxt))
+    while True:
+        fresh = cut(steps.join(kept, [*keys, t], "left_semi").select(*keys, F.col(nxt).alias(t)))
+        if fresh.isEmpty():
+            discard(spark, steps, fresh)
+            return kept
+        kept = kept.unionByName(fresh)
+        onward = steps.select(*keys, F.col(t).alias(nxt), F.col(nxt).alias("_far"))
+        before, steps = steps, cut(steps.join(onward, [*keys, nxt]).select(*keys, t, F.col("_far").alias(nxt)))
+        discard(spark, before)

@@ -537,3 +537,34 @@ def version_conflicts(spark, sf_dir):
     return governance.version_conflicts(
         rows.drop("current_version"), rows.drop("expected_version")
     ).select("entity_id", "is_conflict", "conflict_message")
+
+
+BATCH_CONFLICTS = """WITH RECURSIVE u AS (
+  SELECT o_custkey AS entity_id, o_orderkey AS update_id, CASE WHEN o_orderkey % 11 <> 0 THEN 'v' || (o_orderkey % 3) END AS e,
+    'v' || ((o_orderkey // 4) % 3) AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+held AS (SELECT DISTINCT entity_id, CASE WHEN entity_id % 5 <> 0 THEN 'v0' END AS version FROM u),
+done AS (
+  SELECT entity_id, 0::BIGINT AS n, version FROM held
+  UNION ALL
+  SELECT d.entity_id, min(u.n), arg_min(u.v, u.n) FROM done d JOIN u ON u.entity_id = d.entity_id AND u.n > d.n
+    AND (u.e IS NULL OR u.e = d.version) GROUP BY d.entity_id),
+met AS (SELECT u.*, d.version AS remote FROM u ASOF JOIN done d ON u.entity_id = d.entity_id AND u.n > d.n)
+SELECT entity_id, update_id, coalesce(remote, '') AS remote_version, e IS NOT NULL AND e IS DISTINCT FROM remote AS is_conflict,
+  CASE WHEN e IS NOT NULL AND e IS DISTINCT FROM remote THEN 'Optimistic concurrency conflict on EMPLOYEE ''' || entity_id
+    || ''': expected version ''' || e || ''' but remote is ''' || coalesce(remote, 'None') || '''.' ELSE '' END AS conflict_message
+FROM met"""
+
+
+@query("batch_version_conflicts", BATCH_CONFLICTS)
+def batch_version_conflicts(spark, sf_dir):
+    """Orders as writes of their customer's record, applied one after the other: the second writer of a version conflicts."""
+    key = F.col("o_orderkey")
+    updates = ad.table(spark, sf_dir, "orders").select(
+        F.lit("EMPLOYEE").alias("entity_type"), F.col("o_custkey").alias("entity_id"), key.alias("update_id"),
+        F.when(key % 11 != 0, F.concat(F.lit("v"), (key % 3).cast("string"))).alias("expected_version"),
+        F.concat(F.lit("v"), (F.floor(key / 4) % 3).cast("string")).alias("new_version"), F.col("o_orderdate").alias("written_at"),
+    )
+    current = updates.select("entity_type", "entity_id").distinct().filter(F.col("entity_id") % 5 != 0).withColumn("current_version", F.lit("v0"))
+    return governance.applied_in_order(updates, current, "written_at", "update_id").select(
+        "entity_id", "update_id", "remote_version", "is_conflict", "conflict_message"
+    )

@@ -34,7 +34,7 @@ def test_replays_do_not_extend(spark):
     assert sorted(r["s"] for r in dedupe_mutations(df, ["k"], "at", "id").collect()) == [0, 120, 240]
 
 
-def test_next_marks_against_search(spark, monkeypatch, request):
+def test_nearest_marks_against_search(spark, monkeypatch, request):
     """One key on a third of the rows, all of them within one time to live, is sorted by several tasks."""
     import bisect
 
@@ -48,19 +48,25 @@ def test_next_marks_against_search(spark, monkeypatch, request):
     small = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(small, "false")
     request.addfinalizer(lambda: spark.conf.unset(small))
-    got = sequences.next_marks(
-        spark.createDataFrame(list(marks), "k string, at long").repartition(4),
-        spark.createDataFrame(asks, "k string, at long, id long").repartition(4), ["k"], "at",
-    )
+    tables = [
+        spark.createDataFrame([(k, at, f"m{at}") for k, at in marks], "k string, at long, name string").repartition(4),
+        spark.createDataFrame(asks, "k string, at long, id long").repartition(4),
+    ]
+    after = sequences.nearest_marks(*tables, ["k"], "at").select("k", "at", "id", "mark.at", "mark.name").collect()
+    before = sequences.nearest_marks(*tables, ["k"], "at", before=True).select("k", "at", "id", "mark.at").collect()
     by_key = {}
     for k, at in sorted(marks, key=lambda m: m[1]):
         by_key.setdefault(k, []).append(at)
-    want = set()
+    later, earlier = set(), set()
     for k, at, n in asks:
-        place = bisect.bisect_left(by_key.get(k, []), at)
-        if place < len(by_key.get(k, [])):
-            want.add((k, at, n, by_key[k][place]))
-    assert {tuple(r) for r in got.select("k", "at", "id", "nxt").collect()} == want
+        held = by_key.get(k, [])
+        place = bisect.bisect_left(held, at)
+        if place < len(held):
+            later.add((k, at, n, held[place], f"m{held[place]}"))
+        if place > 0:
+            earlier.add((k, at, n, held[place - 1]))
+    assert set(map(tuple, after)) == later and len(after) == len(later)
+    assert set(map(tuple, before)) == earlier and len(before) == len(earlier)
     assert stored[0].filter("k = 'hot'").select("_range").distinct().count() > 1
 
 
