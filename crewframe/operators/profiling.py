@@ -39,8 +39,12 @@ def field_rows(df: DataFrame, keys: list[str], order: str, payload: str = "paylo
     )
 
 
-def profile_records(df: DataFrame, keys: list[str], order: str, payload: str = "payload") -> DataFrame:
-    """Per key group and field: type of the first value, nullability, enum values, first samples.
+def profile_parts(df: DataFrame, keys: list[str], order: str, payload: str = "payload") -> DataFrame:
+    """What a profile needs of one landing, small and mergeable: store it, and later landings need not read this one again.
+
+    Per key group and field: ``non_null_count``, ``first`` (order, type), ``values`` (the distinct texts, null
+    beyond ENUM_LIMIT of them) and ``samples`` (the first three, with their order); per key group one row without
+    field with ``records``.  ``order`` must go on over the landings.
 
     One pass with buffers of fixed size per field: the distinct values come from a frequent-items
     sketch that is exact up to 48 values, and is used only where the distinct estimate says there
@@ -62,7 +66,7 @@ def profile_records(df: DataFrame, keys: list[str], order: str, payload: str = "
     # rows whose value is null have no order and leave every aggregate alone
     values = rows.groupBy(*group).agg(
         F.count("_ord").alias("non_null_count"),
-        F.min_by("_type", "_ord").alias("data_type"),
+        F.min(F.when(F.col("_ord").isNotNull(), F.struct("_ord", "_type"))).alias("first"),
         F.approx_count_distinct("_text").alias("_estimate"),
         F.expr(f"approx_top_k(_text, {ENUM_LIMIT + 1}, 64) FILTER (WHERE _text IS NOT NULL)").alias("_top"),
     )
@@ -70,28 +74,57 @@ def profile_records(df: DataFrame, keys: list[str], order: str, payload: str = "
         present.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_ord")))
         .filter(F.col("_n") <= SAMPLES)
         .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "_text")))["_text"].alias("sample_values"))
+        .agg(F.array_sort(F.collect_list(F.struct("_ord", "_text"))).alias("samples"))
+    )
+    few = (F.col("_estimate") <= 2 * ENUM_LIMIT) & (F.size("_top") <= ENUM_LIMIT)
+    fields = values.join(first, group, "left").select(
+        *group, "non_null_count", "first", F.when(few, F.array_sort(F.col("_top")["item"])).alias("values"), "samples",
+        F.lit(None).cast("bigint").alias("records"),
+    )
+    totals = df.groupBy(*keys).agg(F.count("*").alias("records"))
+    return fields.unionByName(totals, allowMissingColumns=True)
+
+
+def merge_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts of several landings as one: the parts of all their records together."""
+    over = F.max(F.col("field").isNotNull() & (F.col("non_null_count") > 0) & F.col("values").isNull())
+    found = parts.groupBy(*keys, "field").agg(
+        F.sum("non_null_count").alias("non_null_count"), F.min("first").alias("first"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("values"),
+        # three of each landing
+        F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, SAMPLES).alias("samples"),
+        F.sum("records").alias("records"), over.alias("_over"),
     )
-    totals = df.groupBy(*keys).agg(F.count("*").alias("record_count"))
-    filled = F.col("non_null_count")
-    few = (filled > 0) & (F.col("_estimate") <= 2 * ENUM_LIMIT) & (F.size("_top") <= ENUM_LIMIT)
-    none = F.array().cast("array<string>")
+    fits = ~F.col("_over") & (F.size("values") <= ENUM_LIMIT)
+    return found.withColumn("values", F.when(fits, F.col("values"))).drop("_over")
+
+
+def finished_profile(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key group and field: type of the first value, nullability, enum values, first samples."""
+    filled, none = F.col("non_null_count"), F.array().cast("array<string>")
+    totals = parts.filter("field is null").select(*keys, F.col("records").alias("record_count"))
     return (
-        values.join(first, group, "left")
+        parts.filter("field is not null")
         .join(totals, keys)
         .select(
-            *group,
-            F.coalesce("data_type", F.lit("string")).alias("data_type"),
+            *keys,
+            "field",
+            F.coalesce("first._type", F.lit("string")).alias("data_type"),
             (filled < F.col("record_count")).alias("is_nullable"),
             (filled == F.col("record_count")).alias("is_required"),
-            F.when(few, F.array_sort(F.col("_top")["item"])).otherwise(none).alias("enum_values"),
-            F.coalesce("sample_values", none).alias("sample_values"),
+            F.when(filled > 0, F.coalesce("values", none)).otherwise(none).alias("enum_values"),
+            F.coalesce(F.col("samples")["_text"], none).alias("sample_values"),
             filled.alias("non_null_count"),
             "record_count",
         )
     )
 
 
+def profile_records(df: DataFrame, keys: list[str], order: str, payload: str = "payload") -> DataFrame:
+    """The profile of one table of records, see :func:`profile_parts` and :func:`finished_profile`."""
+    return finished_profile(profile_parts(df, keys, order, payload), keys)
+
+
 def pick_id_field(profile: DataFrame, keys: list[str], entity: str = "entity_type") -> DataFrame:
     """The id field per key group: known names in order, else the first field that looks like one."""
     name, lower = F.col("field"), F.lower(F.col(entity))

@@ -95,6 +95,24 @@ def employees_json_audit(spark, sf_dir):
     )
 
 
+@query(
+    "employees_array_audit",
+    with_views(["employees"], "SELECT tenant_id, violation_id, severity, statutory_citation FROM found", FINDINGS),
+)
+def employees_array_audit(spark, sf_dir):
+    """The same from files that each hold one JSON array over several lines, as the audit's input file does."""
+    folder = scratch(spark, "staff-arrays")
+    staff = ad.employees(spark, sf_dir)
+    record = F.to_json(F.struct([c for c in staff.columns if c not in ("employee_id", "tenure_years", "on_probation")]))
+    files = staff.select(F.floor(F.col("employee_id") / 500).alias("file"), record.alias("record")).groupBy("file")
+    body = F.concat(F.lit("[\n  "), F.array_join(F.collect_list("record"), ",\n  "), F.lit("\n]"))
+    files.agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    staff = landed.read_employees_json(spark, folder)
+    return attach_citation(compliance.audit_employees(staff).drop("statutory_citation")).select(
+        "tenant_id", "violation_id", "severity", "statutory_citation"
+    )
+
+
 # -------------------------------------------------------------------- profile and match
 KEYS = ["tenant_id", "vendor", "entity_type"]
 # field -> (type, value as text, nullable text) of the staff records, for the SQL side
@@ -118,24 +136,33 @@ UNPIVOT = (
 )
 
 
-@query(
-    "field_profile",
-    with_views(
-        ["staff"],
-        """SELECT c.tenant_id AS tenant_id, 'hostco' AS vendor, 'EMPLOYEE' AS entity_type, field, arg_min(t, k) AS data_type,
-          count(*) < any_value(n) AS is_nullable, count(*) = any_value(n) AS is_required,
-          CASE WHEN count(DISTINCT v) <= 12 THEN array_to_string(list_sort(list_distinct(list(v))), '|') ELSE '' END AS enum_values,
-          array_to_string(list(v ORDER BY k)[1:3], '|') AS sample_values, count(*) AS non_null_count, any_value(n) AS record_count
-        FROM cells c JOIN (SELECT tenant_id, count(*) AS n FROM staff GROUP BY 1) s ON c.tenant_id = s.tenant_id
-        WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4""",
-        UNPIVOT,
-    ),
+FIELD_PROFILE = with_views(
+    ["staff"],
+    """SELECT c.tenant_id AS tenant_id, 'hostco' AS vendor, 'EMPLOYEE' AS entity_type, field, arg_min(t, k) AS data_type,
+      count(*) < any_value(n) AS is_nullable, count(*) = any_value(n) AS is_required,
+      CASE WHEN count(DISTINCT v) <= 12 THEN array_to_string(list_sort(list_distinct(list(v))), '|') ELSE '' END AS enum_values,
+      array_to_string(list(v ORDER BY k)[1:3], '|') AS sample_values, count(*) AS non_null_count, any_value(n) AS record_count
+    FROM cells c JOIN (SELECT tenant_id, count(*) AS n FROM staff GROUP BY 1) s ON c.tenant_id = s.tenant_id
+    WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    UNPIVOT,
 )
+
+
+@query("field_profile", FIELD_PROFILE)
 def field_profile(spark, sf_dir):
     """Profile of every field of every tenant's staff records."""
     return profiling.profile_records(ad.staff_payloads(spark, sf_dir), KEYS, "employee_id")
 
 
+@query("merged_profile", FIELD_PROFILE)
+def merged_profile(spark, sf_dir):
+    """The same from two landings: each is profiled alone and stored, then only the stored parts are merged."""
+    records = ad.staff_payloads(spark, sf_dir)
+    first = F.col("employee_id") % 3 == 0
+    stored = [cut(profiling.profile_parts(records.filter(part), KEYS, "employee_id")) for part in (first, ~first)]
+    return profiling.finished_profile(profiling.merge_parts(stored[0].unionByName(stored[1]), KEYS), KEYS)
+
+
 @query(
     "id_fields",
     "SELECT DISTINCT 'T' || n_regionkey AS tenant_id, 'hostco' AS vendor, 'EMPLOYEE' AS entity_type, 'emp_id' AS id_field "
@@ -618,21 +645,37 @@ def export_iceipts_requisitions(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------------- log
-@query(
-    "latest_by_key",
-    """SELECT o_custkey AS key, arg_max(o_orderkey, u) AS value FROM (
+LATEST = """SELECT o_custkey AS key, arg_max(o_orderkey, u) AS value FROM (
         SELECT o_custkey, o_orderkey, (o_orderdate, o_orderkey) AS u,
           CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 100 DAY END AS x FROM orders)
-    GROUP BY o_custkey HAVING arg_max(coalesce(x, TIMESTAMP '2999-01-01'), u) >= TIMESTAMP '2001-06-01'""",
-)
-def latest_by_key(spark, sf_dir):
-    """Orders as an append-only log per customer: the latest write, unless it has expired."""
+    GROUP BY o_custkey HAVING arg_max(coalesce(x, TIMESTAMP '2999-01-01'), u) >= TIMESTAMP '2001-06-01'"""
+
+
+def _order_log(spark, sf_dir):
     at = F.col("o_orderdate").cast("timestamp")
-    log = ad.table(spark, sf_dir, "orders").select(
+    return ad.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), at.alias("updated_at"),
         F.when(F.col("o_orderkey") % 3 == 0, at + F.expr("INTERVAL 100 DAYS")).alias("expires_at"),
     )
+
+
+@query("latest_by_key", LATEST)
+def latest_by_key(spark, sf_dir):
+    """Orders as an append-only log per customer: the latest write, unless it has expired."""
+    log = _order_log(spark, sf_dir)
     return tables.latest_by_key(log, ["key"], F.lit("2001-06-01").cast("timestamp"), tie="value").select("key", "value")
 
 
+@query("compacted_log", LATEST)
+def compacted_log(spark, sf_dir):
+    """The same over a log that is compacted between its appends."""
+    log, path = _order_log(spark, sf_dir), scratch(spark, "log")
+    for part in range(3):
+        tables.append_log(log.filter(F.col("value") % 3 == part), path)
+        if part < 2:
+            tables.compact_log(spark, path, ["key"], tie="value")
+    rows = tables.read_log(spark, path)
+    return tables.latest_by_key(rows, ["key"], F.lit("2001-06-01").cast("timestamp"), tie="value").select("key", "value")
+
+
 assert set(ENVELOPES) == set(refdata.VENDORS)

@@ -505,3 +505,97 @@ def test_probe_of_no_records(spark):
     assert [(r["severity"], r["field"]) for r in issues.collect()] == [("ERROR", "payload")]
     report = quality.probe_report(empty, issues, spec, []).collect()[0]
     assert (report["records_tested"], report["is_valid"], report["quality_score"]) == (0, False, 0.0)
+
+
+# ------------------------------------------------------------------- compaction and merging
+LOG = "key string, value int, updated_at timestamp, expires_at timestamp"
+
+
+def _log_rows(n, seed):
+    import datetime as dt
+    import random
+
+    rng, day = random.Random(seed), dt.datetime(2024, 1, 1)
+    ends = lambda: None if rng.random() < 0.5 else day + dt.timedelta(days=rng.randrange(120))
+    return [
+        ("hot" if rng.random() < 0.3 else f"k{rng.randrange(40)}", seed * 1000 + i, day + dt.timedelta(hours=rng.randrange(2000)), ends())
+        for i in range(n)
+    ]
+
+
+def test_compaction_changes_no_reader_and_is_idempotent(spark, tmp_path):
+    from crewframe.sources import tables
+
+    path, rows = str(tmp_path / "log"), []
+    as_of = F.lit("2024-03-01").cast("timestamp")
+    latest = lambda df: sorted(map(tuple, tables.latest_by_key(df, ["key"], as_of, tie="value").collect()))
+    for part in range(4):
+        more = _log_rows(120, part + 1)
+        rows += more
+        tables.append_log(spark.createDataFrame(more, LOG), path)
+        before = tables.read_log(spark, path)
+        want = latest(spark.createDataFrame(rows, LOG))
+        assert latest(before) == want
+        if part < 3:
+            assert tables.compact_log(spark, path, ["key"], tie="value") == part + 1
+            assert tables.compact_log(spark, path, ["key"], tie="value") == part + 1  # nothing new
+            assert latest(before) == want  # a reader of the state before
+            after = tables.read_log(spark, path)
+            assert latest(after) == want and after.count() == len({r[0] for r in rows})
+            assert after.columns == before.columns
+
+
+def test_a_base_without_its_mark_does_not_count(spark, tmp_path):
+    from crewframe.sources import tables
+
+    path = str(tmp_path / "log")
+    tables.append_log(spark.createDataFrame(_log_rows(30, 1), LOG), path)
+    want = tables.read_log(spark, path).count()
+    broken = tmp_path / "log" / "base" / "version=1"
+    spark.createDataFrame(_log_rows(3, 9), LOG).write.parquet(str(broken))
+    (broken / "_SUCCESS").unlink()
+    assert tables.read_log(spark, path).count() == want
+    assert tables.compact_log(spark, path, ["key"], tie="value") == 1
+
+
+def test_expired_writes_hide_older_ones_until_they_are_forgotten(spark, tmp_path):
+    import datetime as dt
+
+    from crewframe.sources import tables
+
+    path, day = str(tmp_path / "log"), dt.datetime(2024, 1, 1)
+    at = lambda n: day + dt.timedelta(days=n)
+    tables.append_log(spark.createDataFrame([("a", 2, at(5), at(6)), ("b", 1, at(5), None)], LOG), path)
+    tables.compact_log(spark, path, ["key"])
+    tables.append_log(spark.createDataFrame([("a", 1, at(1), None)], LOG), path)  # arrives late
+    now = F.lit("2024-02-01").cast("timestamp")
+    assert [r.key for r in tables.latest_by_key(tables.read_log(spark, path), ["key"], now).collect()] == ["b"]
+    tables.compact_log(spark, path, ["key"], forget_before=now)
+    assert [r.key for r in tables.read_log(spark, path).collect()] == ["b"]
+
+
+def test_profile_of_parts_is_the_profile_of_all(spark):
+    import json
+    import random
+
+    from crewframe.operators import profiling
+
+    rng = random.Random(4)
+    rows = []
+    for n in range(300):
+        body = {"id": n, "few": rng.choice("abc"), "many": f"v{rng.randrange(40)}", "twelve": n % 12, "thirteen": n % 13}
+        if n % 3:
+            body["some"] = rng.choice([None, True, "2024-01-01"])
+        if n == 250:
+            body["late"] = 1.5
+        rows.append(("T" if n % 5 else "U", n, json.dumps(body)))
+    df = spark.createDataFrame(rows, "tenant_id string, n int, body string").withColumn("payload", F.parse_json("body"))
+    whole = profiling.profile_records(df, ["tenant_id"], "n")
+    parts = [profiling.profile_parts(df.filter(f"n % 4 = {i}"), ["tenant_id"], "n") for i in range(4)]
+    merged = profiling.merge_parts(parts[0].unionByName(parts[1]), ["tenant_id"])
+    for part in parts[2:]:  # merged parts merge on
+        merged = profiling.merge_parts(merged.unionByName(part), ["tenant_id"])
+    got = profiling.finished_profile(merged, ["tenant_id"])
+    assert got.columns == whole.columns and sorted(got.collect()) == sorted(whole.collect())
+    enums = {r["field"]: len(r["enum_values"]) for r in got.filter("tenant_id = 'T'").collect()}
+    assert (enums["few"], enums["twelve"], enums["thirteen"], enums["many"]) == (3, 12, 0, 0)
