@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crewframe import refdata
 from crewframe.operators.sequences import nearest_marks, reached
@@ -36,9 +37,32 @@ def denied_actions(df: DataFrame) -> DataFrame:
     return authorize_actions(df).filter(~F.col("allowed"))
 
 
-def canonical_json(payload: Column) -> Column:
-    """JSON with keys sorted at every level: a variant object keeps its keys sorted."""
-    return F.to_json(F.parse_json(F.to_json(payload)))
+#: scalars whose JSON is the same from a struct and from a variant
+_PLAIN = (T.StringType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)
+
+
+def _key_sorted(value: Column, kind: T.DataType) -> Column | None:
+    """The value with the fields of all its structs in order of their names; None if its JSON must be read to be sorted."""
+    if isinstance(kind, _PLAIN):
+        return value
+    if isinstance(kind, T.ArrayType):
+        inner = _key_sorted(F.lit(None).cast(kind.elementType), kind.elementType)
+        return None if inner is None else F.transform(value, lambda item: _key_sorted(item, kind.elementType))
+    if isinstance(kind, T.StructType) and len({f.name for f in kind}) == len(kind):
+        parts = [(f.name, _key_sorted(value.getField(f.name), f.dataType)) for f in sorted(kind, key=lambda f: f.name)]
+        if all(part is not None for _, part in parts) and parts:
+            return F.when(value.isNotNull(), F.struct(*[part.alias(name) for name, part in parts]))
+    return None
+
+
+def canonical_json(payload: Column, kind: T.DataType | None = None) -> Column:
+    """JSON with keys sorted at every level, without null fields.
+
+    Structs of plain fields (``kind``) are sorted in the plan and written once; of others the JSON is read
+    as a variant, whose objects keep their keys sorted.
+    """
+    ready = _key_sorted(payload, kind) if isinstance(kind, T.StructType) else None
+    return F.to_json(ready) if ready is not None else F.to_json(F.parse_json(F.to_json(payload)))
 
 
 def idempotency_key(
@@ -59,7 +83,7 @@ def idempotency_key(
         F.col(entity),
         F.lower(F.col(action)),
         filled(actor, "anonymous"),
-        canonical_json(F.col(payload)),
+        canonical_json(F.col(payload), df.schema[payload].dataType if payload in df.columns else None),
     )
     return df.withColumn("idempotency_key", F.sha2(raw, 256))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewframe import refdata
+from crewframe.session import cut
 
 
 def _any_of(lowered: Column, words: list[str]) -> Column:
@@ -57,6 +60,12 @@ def _token_weight(statute: dict, token: Column) -> Column:
     ).otherwise(0.0)
 
 
+def _tokens(query: Column) -> Column:
+    """Words of a query longer than two characters, repeats included."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))
+    return F.filter(found, lambda token: F.length(token) > 2)
+
+
 def search_statutes(df: DataFrame, query: str = "query", limit: int = 5, jurisdiction: str | None = None) -> DataFrame:
     """Rank the constant corpus for every query row; one output row per hit.
 
@@ -64,10 +73,7 @@ def search_statutes(df: DataFrame, query: str = "query", limit: int = 5, jurisdi
     tokens: no join, no shuffle, and a long query never leaves its task.  ``jurisdiction`` names
     an optional column; null searches everything.
     """
-    tokens = F.filter(
-        F.regexp_extract_all(F.lower(F.coalesce(F.col(query), F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1)),
-        lambda token: F.length(token) > 2,
-    )
+    tokens = _tokens(F.col(query))
     wanted = F.upper(F.col(jurisdiction)) if jurisdiction else F.lit(None).cast("string")
 
     def scored(position: int, statute: dict) -> Column:
@@ -119,3 +125,88 @@ def statutes(spark) -> DataFrame:
         "statute_ord int, jurisdiction string, act_name string, chapter string, section string, gazette_ref string, "
         "title string, summary string, penalty string, rules map<string,double>, citation string",
     )
+
+
+# ------------------------------------------------------------------------- a corpus as a table
+GRAM = 3
+#: parts of a text that weigh more where a token is found in them, and the bit of each in a posting
+PARTS = {"act_name": (1, 3.0), "title": (2, 2.0), "section": (4, 2.5), "summary": (8, 0.0), "chapter": (8, 0.0)}
+
+
+class CorpusIndex(NamedTuple):
+    """Stored tables: ``texts`` (ord, jurisdiction, act_name), ``postings`` (word, ord, jurisdiction, parts) and
+    ``grams`` (gram, words, word)."""
+
+    texts: DataFrame
+    postings: DataFrame
+    grams: DataFrame
+
+
+def _grams(word: Column) -> Column:
+    places = F.sequence(F.lit(1), F.length(word) - (GRAM - 1))
+    return F.array_distinct(F.transform(places, lambda at: F.substring(word, at, F.lit(GRAM))))
+
+
+def index_corpus(corpus: DataFrame, ord_: str = "statute_ord") -> CorpusIndex:
+    """Index texts (ord, jurisdiction, act_name, title, section, summary, chapter) for :func:`search_corpus`.
+
+    A token counts where it is found anywhere in a text, so it is looked up among the words of the corpus by their runs of
+    three characters; the postings of a word say in which parts of which texts it stands.
+    """
+    cell = lambda name: F.transform(
+        F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(name), F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1))),
+        lambda word: F.struct(word.alias("word"), F.lit(PARTS[name][0]).alias("part")),
+    )
+    words = corpus.select(F.col(ord_).alias("ord"), "jurisdiction", F.inline(F.concat(*[cell(name) for name in PARTS])))
+    long_ = words.filter(F.length("word") >= GRAM)
+    postings = cut(long_.groupBy("word", "ord", "jurisdiction").agg(F.bit_or("part").alias("parts")))
+    grams = postings.select("word").distinct().select(F.explode(_grams(F.col("word"))).alias("gram"), "word")
+    sizes = grams.groupBy("gram").agg(F.count("*").alias("words"))
+    texts = cut(corpus.select(F.col(ord_).alias("ord"), "jurisdiction", "act_name"))
+    return CorpusIndex(texts, postings, cut(grams.join(sizes, "gram")))
+
+
+def search_corpus(
+    df: DataFrame, index: CorpusIndex, keys: list[str], query: str = "query", limit: int = 5, jurisdiction: str | None = None
+) -> DataFrame:
+    """Rank an indexed corpus of any size for every query row, as :func:`search_statutes` ranks the constant one:
+    (keys, rank, score, ord, act_name).
+
+    Each distinct token of all queries is looked up once, by its rarest run of three characters; only texts that hold a
+    token are scored, and the best ``limit`` of a query are kept before the last shuffle.  ``keys`` name a query row; a
+    null query, or one without tokens, lists the texts in scope in their order.
+    """
+    scope = F.upper(F.col(jurisdiction)) if jurisdiction else F.lit(None).cast("string")
+    asked = cut(df.select(*keys, scope.alias("scope"), _tokens(F.col(query)).alias("tokens")))
+    counted = asked.select(*keys, "scope", F.explode("tokens").alias("token")).groupBy(*keys, "scope", "token").agg(
+        F.count("*").alias("times")
+    )
+    counted = cut(counted)
+    looked = counted.select("token").distinct().select("token", F.explode(_grams(F.col("token"))).alias("gram"))
+    # a token with a run that no word has is in no text: the count of its runs tells
+    held = looked.join(index.grams.select("gram", "words").distinct(), "gram").groupBy("token").agg(
+        F.min_by("gram", F.struct("words", "gram")).alias("gram"), F.count("*").alias("known")
+    )
+    held = held.filter(F.col("known") == F.size(_grams(F.col("token")))).select("token", "gram")
+    named = held.join(index.grams.select("gram", "word"), "gram").filter(F.contains("word", F.col("token")))
+    found = named.select("token", "word").join(index.postings, "word")
+    found = found.groupBy("token", "ord", "jurisdiction").agg(F.bit_or("parts").alias("parts"))
+    weight = F.lit(1.0)
+    for bit, more in sorted({v for v in PARTS.values() if v[1]}):
+        weight = weight + F.when(F.col("parts").bitwiseAND(F.lit(bit)) != 0, more).otherwise(0.0)
+    in_scope = F.col("scope").isNull() | (F.col("jurisdiction") == "GLOBAL") | (F.col("jurisdiction") == F.col("scope"))
+    scored = counted.join(found.withColumn("weight", weight), "token").filter(in_scope)
+    scored = scored.groupBy(*keys, "ord").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+
+    # the first texts of each jurisdiction and of all; those of every scope are at most ``limit``
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("ord"))
+    first = index.texts.select("ord", F.explode(F.array("jurisdiction", F.lit("*"))).alias("of"))
+    first = first.withColumn("n", order("of")).filter(F.col("n") <= limit).select("ord", "of")
+    empty = asked.filter(F.size("tokens") == 0).select(
+        *keys, F.explode(F.when(F.col("scope").isNull(), F.array(F.lit("*"))).otherwise(F.array_distinct(F.array("scope", F.lit("GLOBAL"))))).alias("of")
+    )
+    listed = empty.join(first, "of").select(*keys, "ord", F.lit(0.0).alias("score"))
+
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "ord")
+    ranked = scored.unionByName(listed).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    return ranked.join(index.texts.select("ord", "act_name"), "ord").select(*keys, "rank", "score", "ord", "act_name")

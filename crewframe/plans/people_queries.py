@@ -230,22 +230,22 @@ def intent_volumes(spark, sf_dir):
     return search.intent_volumes(search.label_intent(ad.messages(spark, sf_dir)))
 
 
-@query(
-    "statute_search",
-    with_views(
-        ["messages", "statutes"],
-        """SELECT conv_id, turn, rn AS rank, score, statute_ord::BIGINT AS statute_ord, act_name FROM (
-          SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, statute_ord) AS rn FROM (
-            SELECT conv_id, turn, statute_ord, act_name, sum(1 + CASE WHEN contains(act_l, tok) THEN 3 ELSE 0 END
-                + CASE WHEN contains(title_l, tok) THEN 2 ELSE 0 END
-                + CASE WHEN contains(section_l, tok) THEN 2.5 ELSE 0 END)::DOUBLE AS score
-            FROM toks JOIN statutes ON contains(everything, tok) AND (want = '' OR jurisdiction = want)
-            GROUP BY 1, 2, 3, 4)) WHERE rn <= 5""",
-        r"""toks AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'IN' WHEN conv_id % 3 = 1 THEN 'AE' ELSE '' END AS want,
-              tok FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS tok FROM messages)
-              WHERE len(tok) > 2)""",
-    ),
+STATUTE_SEARCH = with_views(
+    ["messages", "statutes"],
+    """SELECT conv_id, turn, rn AS rank, score, statute_ord::BIGINT AS statute_ord, act_name FROM (
+      SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, statute_ord) AS rn FROM (
+        SELECT conv_id, turn, statute_ord, act_name, sum(1 + CASE WHEN contains(act_l, tok) THEN 3 ELSE 0 END
+            + CASE WHEN contains(title_l, tok) THEN 2 ELSE 0 END
+            + CASE WHEN contains(section_l, tok) THEN 2.5 ELSE 0 END)::DOUBLE AS score
+        FROM toks JOIN statutes ON contains(everything, tok) AND (want = '' OR jurisdiction = want)
+        GROUP BY 1, 2, 3, 4)) WHERE rn <= 5""",
+    r"""toks AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'IN' WHEN conv_id % 3 = 1 THEN 'AE' ELSE '' END AS want,
+          tok FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS tok FROM messages)
+          WHERE len(tok) > 2)""",
 )
+
+
+@query("statute_search", STATUTE_SEARCH)
 def statute_search(spark, sf_dir):
     """Top five statutes for every message."""
     wanted = F.when(F.col("conv_id") % 3 == 0, "IN").when(F.col("conv_id") % 3 == 1, "AE")
@@ -255,6 +255,38 @@ def statute_search(spark, sf_dir):
     )
 
 
+@query("statute_search_table", STATUTE_SEARCH)
+def statute_search_table(spark, sf_dir):
+    """The same with the statutes as an indexed table."""
+    wanted = F.when(F.col("conv_id") % 3 == 0, "IN").when(F.col("conv_id") % 3 == 1, "AE")
+    asked = ad.messages(spark, sf_dir).select("conv_id", "turn", wanted.alias("where"), F.col("text").alias("query"))
+    found = search.search_corpus(asked, search.index_corpus(search.statutes(spark)), ["conv_id", "turn"], limit=5, jurisdiction="where")
+    return found.select("conv_id", "turn", "rank", "score", F.col("ord").cast("bigint").alias("statute_ord"), "act_name")
+
+
+@query(
+    "document_search",
+    r"""WITH toks AS (
+      SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS tok FROM benchmark),
+    d AS (SELECT doc_id, source, lower(lang) AS title_l, lower(text) AS text_l, lower(source) AS act_l FROM documents),
+    t AS (SELECT item_id, tok, count(*) AS times FROM toks WHERE len(tok) > 2 GROUP BY ALL),
+    s AS (SELECT item_id, doc_id, any_value(source) AS source, sum(times * (1 + CASE WHEN contains(act_l, tok) THEN 3 ELSE 0 END
+        + CASE WHEN contains(title_l, tok) THEN 2 ELSE 0 END))::DOUBLE AS score
+      FROM t JOIN d ON contains(text_l, tok) OR contains(act_l, tok) OR contains(title_l, tok) GROUP BY item_id, doc_id)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, score, doc_id, source
+    FROM s QUALIFY rank <= 10""",
+)
+def document_search(spark, sf_dir):
+    """The ten documents that hold most words of each benchmark item."""
+    corpus = ad.table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit("GLOBAL").alias("jurisdiction"), F.col("source").alias("act_name"), F.col("lang").alias("title"),
+        F.lit("").alias("section"), F.col("text").alias("summary"), F.lit("").alias("chapter"),
+    )
+    asked = ad.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    found = search.search_corpus(asked, search.index_corpus(corpus, "doc_id"), ["item_id"], limit=10)
+    return found.select("item_id", "rank", "score", F.col("ord").alias("doc_id"), F.col("act_name").alias("source"))
+
+
 # -------------------------------------------------------------------------------- dedupe
 CANDIDATES = """WITH RECURSIVE c AS (
   SELECT c_custkey AS arrival, 'CAND-' || (c_custkey // 2) AS id, c_name AS full_name,

@@ -302,3 +302,54 @@ def test_dedupe_runs_no_python(spark, monkeypatch):
         monkeypatch.setattr(DataFrame, name, None)
     rows = [(n, f"C{n}", f"m{n % 5}@x.io", "", "", "S") for n in range(20)]
     assert dedupe.dedupe_candidates(spark.createDataFrame(rows, SCHEMA)).count() == 5
+
+
+# ------------------------------------------------------------------------------ corpus search
+CORPUS = "statute_ord long, jurisdiction string, act_name string, title string, section string, summary string, chapter string"
+
+
+def _ranked(corpus, text, scope, limit):
+    """The ranking text by text, written from its description."""
+    tokens = [t for t in re.findall(r"\w+", (text or "").lower()) if len(t) > 2]
+    out = []
+    for row in corpus:
+        if scope and row[1] not in (scope, "GLOBAL"):
+            continue
+        act, title, section, summary, chapter = ((x or "").lower() for x in row[2:])
+        score = 0.0
+        for token in tokens:
+            if any(token in part for part in (act, title, section, summary, chapter)):
+                score += 1 + 3 * (token in act) + 2 * (token in title) + 2.5 * (token in section)
+        if score or not tokens:
+            out.append((-score, row[0], row[2]))
+    return [(n, -s, o, a) for n, (s, o, a) in enumerate(sorted(out)[:limit], 1)]
+
+
+def test_corpus_search_against_search_text_by_text(spark):
+    rng = random.Random(6)
+    words = ["leave", "wage", "wages", "Gratuity", "pay", "Überstunden", "x1_y", "probation", "employ", "employer", "act", "of"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    corpus = [(i, rng.choice(["IN", "AE", "GLOBAL"]), some(4), some(5) or None, some(3), some(12), some(3)) for i in range(80)]
+    asked = [(i, rng.choice(["in", "AE", None]), some(6)) for i in range(60)]
+    asked += [(100, None, None), (101, "AE", "of an"), (102, "XX", ""), (103, None, "employ employ wag zzz loy"), (104, "IN", "zzzz")]
+    index = search.index_corpus(spark.createDataFrame(corpus, CORPUS).repartition(3))
+    df = spark.createDataFrame(asked, "q long, where string, query string")
+    got = {}
+    for r in search.search_corpus(df, index, ["q"], limit=4, jurisdiction="where").orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["score"], r["ord"], r["act_name"]))
+    want = {q: _ranked(corpus, text, scope and scope.upper(), 4) for q, scope, text in asked}
+    assert got == {q: rows for q, rows in want.items() if rows}
+
+
+def test_corpus_of_a_hundred_thousand_texts(spark):
+    corpus = spark.range(100_000).selectExpr(
+        "id as statute_ord", "if(id % 3 = 0, 'IN', 'AE') as jurisdiction", "concat('act', id % 1000) as act_name",
+        "concat('rule ', id) as title", "'s' as section", "concat('about topic', id % 77, ' common words') as summary", "'' as chapter",
+    )
+    index = search.index_corpus(corpus)
+    df = spark.createDataFrame([(1, "act999 topic5 common"), (2, "rule 99999")], "q long, query string")
+    got = [tuple(r) for r in search.search_corpus(df, index, ["q"], limit=2).orderBy("q", "rank").collect()]
+    # act999 stands where the id ends in 999; topic5 also in topic50 to topic59
+    five = [i for i in range(999, 100_000, 1000) if str(i % 77).startswith("5")]
+    assert got[:2] == [(1, n + 1, 6.0, i, "act999") for n, i in enumerate(five[:2])]
+    assert got[2:] == [(2, 1, 6.0, 99_999, "act999"), (2, 2, 3.0, 0, "act0")]

@@ -193,3 +193,19 @@ def test_updates_of_one_batch_in_order(spark):
     rows = {r["n"]: (r["is_conflict"], r["remote_version"]) for r in governance.applied_in_order(twice, base, "at", "n").collect()}
     assert rows == {1: (False, "v0"), 2: (True, "v1"), 3: (False, "v1")}
     assert governance.applied_in_order(twice.limit(0), base, "at", "n").collect() == []
+
+
+def test_keys_sorted_in_the_plan_and_by_variant_agree(spark):
+    shape = "struct<b:string,a:struct<z:bigint,y:array<struct<k:int,j:string>>>,n:string,flag:boolean>"
+    df = spark.sql(
+        f"""SELECT cast(named_struct('b', 'x "q" ü', 'a', named_struct('z', 5L, 'y', array(named_struct('k', 1, 'j', 'p'), null)),
+        'n', null, 'flag', true) as {shape}) AS payload UNION ALL SELECT cast(null as {shape})"""
+    )
+    kind = df.schema["payload"].dataType
+    rows = df.select(governance.canonical_json(F.col("payload"), kind).alias("a"), governance.canonical_json(F.col("payload")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"].startswith('{"a":{"y":[{"j":"p","k":1},null],"z":5},"b":')
+    plan = df.select(governance.canonical_json(F.col("payload"), kind))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse" not in plan.lower()
+    money = spark.sql("SELECT named_struct('b', cast(10.00 as decimal(9,2)), 'a', 1) AS payload")
+    assert governance.canonical_json(F.col("payload"), money.schema["payload"].dataType) is not None
+    assert money.select(governance.canonical_json(F.col("payload"), money.schema["payload"].dataType)).first()[0] == '{"a":1,"b":10}'
