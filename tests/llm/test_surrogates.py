@@ -50,20 +50,109 @@ def test_collisions_are_solved(spark):
     assert {f"10.0.0.{3 * i}" for i in range(30)} & narrowest
 
 
-def test_texts_get_the_attempts_of_their_entities(spark, monkeypatch):
-    rows = [(i, f"ip 10.1.{i}.{j} and 10.1.{i}.{j} again") for i in range(6) for j in range(6)]
-    later = [("IP", "10.1.2.3", 5)]
-
-    def attempts(entities, key):
-        made = entities.sparkSession.createDataFrame(later, "kind string, value string, attempt int").selectExpr("*", "'x' made", "'IP' family")
-        from crewframe.session import cut
-
-        return cut(made)
-
-    monkeypatch.setattr(sg, "attempts", attempts)
-    got = {r.doc_id * 10 + int(k): r.text for k, r in enumerate(sg.pseudonymize(documents(spark, rows), KEY).orderBy("doc_id").collect()) if r}
-    new = sg.surrogate(KEY, "IP", "10.1.2.3", 5)
-    assert sum(f"ip {new} and {new} again" == t for t in got.values()) == 1
+def settle(entities):
+    """Entity by entity: which attempt each one ends with."""
+    state, taken, real = {}, set(), {(k.split(":")[0], v) for k, v in entities}
+    open_, attempt = sorted(entities, key=lambda e: e[1]), 0
+    while open_:
+        made = {}
+        for kind, value in open_:
+            made.setdefault((kind.split(":")[0], sg.surrogate(KEY, kind, value, attempt)), []).append((kind, value))
+        open_ = []
+        for place, who in made.items():
+            if place in real or place in taken:
+                open_ += who
+            else:
+                state[who[0]] = attempt
+                open_ += who[1:]
+        taken |= {(k.split(":")[0], sg.surrogate(KEY, k, v, n)) for (k, v), n in state.items()}
+        open_.sort(key=lambda e: e[1])
+        attempt += 1
+    return state
+
+
+def brute(rows):
+    """The whole result from plain dictionaries."""
+    genders = {}
+    for _, text in rows:
+        for m in sg.find(text):
+            if m.kind.startswith("NAME"):
+                genders.setdefault(m.value, set()).add(m.kind[-1])
+    whole = {v: "NAME:" + (next(iter(g - {"n"})) if len(g - {"n"}) == 1 else "n") for v, g in genders.items()}
+    kind_of = lambda m: whole[m.value] if m.kind.startswith("NAME") else m.kind
+    state = settle({(kind_of(m), sg.canonical(m.kind, m.value)) for _, t in rows for m in sg.find(t)})
+    out = []
+    for i, text in rows:
+        new, at = [], 0
+        for m in sg.find(text):
+            known = sg.canonical(m.kind, m.value)
+            made = sg.surrogate(KEY, kind_of(m), known, state[kind_of(m), known])
+            new += [text[at : m.start], sg.render(m.kind, m.value, made)]
+            at = m.end
+        out.append((i, None if text is None else "".join([*new, text[at:]]), [m.kind for m in sg.find(text)]))
+    return sorted(out, key=repr)
+
+
+def test_whole_result_equals_brute_force(spark):
+    rows = [(i, f"ip 192.168.{i % 2}.{i % 7} and 10.1.{i}.{i} again, mail {'abcdefgh'[i % 8]}@x.io") for i in range(60)]
+    # most one-letter addresses of one domain
+    rows += [(100 + i, f"{c}@full.org and {c.upper()}@full.org") for i, c in enumerate("abcdefghijklmnop")]
+    rows += [(200, "Dr Smith and Mr Weber"), (201, "Mr Smith"), (202, "Dr Weber"), (203, "Mrs Kim, Kim"), (204, "Mr Kim"), (205, TEXT), (205, TEXT)]
+    rows += ODD + [(300, "İnfo@example.com ıß@ﬁ.de"), (301, "Mr O'Brien O'Brien"), (302, "Mr. Juan de la Cruz Lopez Perez Garcia")]
+    got = sg.pseudonymize(documents(spark, rows), KEY)
+    assert sorted(((r.doc_id, r.text, r.kinds) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_one_name_one_surrogate_in_all_texts(spark):
+    rows = [(1, "Dr Smith"), (2, "Mr Smith"), (3, "Mrs Smith and Smith"), (4, "Dr Weber"), (5, "Mr Weber")]
+    got = {r.doc_id: r.text.split() for r in sg.pseudonymize(documents(spark, rows), KEY).collect()}
+    assert len({got[1][1], got[2][1], got[3][1], got[3][3]}) == 1 and got[1][1].endswith("el")
+    assert got[4][1] == got[5][1] and got[4][1].endswith("n")
+
+
+def test_full_space_ends(spark):
+    rows = [(i, f"{i}@full.org") for i in range(10)]
+    new = [r.text for r in sg.pseudonymize(documents(spark, rows), KEY).collect()]
+    assert len(set(new)) == 10 and all(re.fullmatch(r"[0-9][a-z]*@[a-z]{4}\.org", t) for t in new)
+
+
+def test_formats_grow_after_the_tries():
+    wide = [sg.surrogate(KEY, "EMAIL", "a@full.org", sg.TRIES + n).split("@")[0] for n in (2, 3, 7, 40)]
+    assert [len(w) for w in wide] == [1, 2, 3, 11]
+    assert not sg.surrogate(KEY, "IP", "10.0.0.1", sg.TRIES + 3).startswith("10.0.") and sg.surrogate(KEY, "IP", "10.0.0.1", 9).startswith("10.")
+    assert len(sg.surrogate(KEY, "SECRET", "ab1", sg.TRIES + 3)) == 4
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("Mr Juan Carlos Garcia Lopez Perez", ["Juan", "Carlos", "Garcia", "Lopez", "Perez"]), ("Mr O'Brien", ["O'Brien"]),
+        ("Mr. de la Cruz", ["Cruz"]), ("Dr. J. R. Smith-Jones", ["Smith", "Jones"]), ("Mrs McDonald said", ["McDonald"]),
+        ("Frau von der Leyen", ["Leyen"]),
+    ],
+)
+def test_names_of_any_length(text, parts):
+    assert [m.value for m in sg.find(text)] == parts
+    new, _ = sg.replace(text, KEY, {})
+    assert not any(p in new for p in parts) and new.count(" ") == text.count(" ")
+
+
+def test_texts_that_change_length_in_lower_case():
+    for text in ["İnfo@example.com", "a İ İİ@İ.com, ẞ@x.DE", "ǅ@ŉ.io"]:
+        new, kinds = sg.replace(text, KEY, {})
+        assert "EMAIL" in kinds and new != text
+
+
+def test_sums_and_codes():
+    assert sg.find("1234 5678 9012 3456 order") == [] and sg.find("4539 1488 0343 6467")[0].kind == "CARD"
+    for code, number in [("49", "+49 30 1234 5678"), ("971", "+971 50 123 4567"), ("7", "+7 495 123 4567")]:
+        new, kinds = sg.replace(f"call {number}", KEY, {})
+        assert kinds == ["PHONE"] and new.startswith(f"call +{code} ") and new != f"call {number}"
+    new, _ = sg.replace("DE89 3704 0044 0532 0130 00", KEY, {})
+    plain = new.replace(" ", "")
+    assert plain.startswith("DE") and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert sg.find("password=abc1")[0].value == "abc1" and sg.find("the token: none") == []
+    assert [m.value for m in sg.find("a" * 70 + "@mail.com")] == ["a" * 70 + "@mail.com"]
 
 
 def test_distinct_and_the_same_everywhere(spark):
