@@ -34,7 +34,15 @@ CHROME_NAMES = set(
     "newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies related "
     "recommended recommendations trending search pagination pager toolbar widget widgets skip copyright".split()
 )
+#: parts of a class or id that say enough wherever they stand in it, unless another part denies or only mentions them
+CHROME_PARTS = set(
+    "comment comments disqus sidebar cookie cookies consent gdpr advert adverts advertisement adsense sponsored breadcrumb breadcrumbs "
+    "newsletter masthead topbar navbar pagination".split()
+)
+MENTIONS = set("no not without has have with is hide hidden".split())
 CONTAINER_TAGS = {"article": 2, "main": 1}
+#: whole classes or ids of an element that holds the article where no tag says so
+CONTAINER_NAMES = set("article article-body article-content post-content entry-content post-body story-body main-content".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""", re.DOTALL
@@ -43,8 +51,9 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s
 
 
 def evidence(tag: str, attributes: str) -> int:
-    """Whether an element is no part of a page's main text: 2 by its tag, role, style or a whole class or id, 1 by a part
-    of a class or id only ("search-result", "no-sidebar"), else 0.  An article or main part is not judged by its names.
+    """Whether an element is no part of a page's main text: 2 by its tag, role, style, a whole class or id, or a part of one
+    that says enough ("comment-list", "left-sidebar"), 1 by another part
+    ("search-result", "no-sidebar"), else 0.  An article or main part is not judged by its names.
     """
     if tag in CHROME_TAGS:
         return 2
@@ -62,15 +71,27 @@ def evidence(tag: str, attributes: str) -> int:
         if name in ("class", "id") and tag not in CONTAINER_TAGS:
             if not CHROME_NAMES.isdisjoint(value.split()):
                 return 2
-            if not CHROME_NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
-                found = 1
+            for one in value.split():
+                parts = set(re.split(r"[_-]+", one))
+                if not CHROME_PARTS.isdisjoint(parts) and MENTIONS.isdisjoint(parts):
+                    return 2
+                if not CHROME_NAMES.isdisjoint(parts):
+                    found = 1
     return found
 
 
+def holds_article(attributes: str) -> bool:
+    """Whether a class or id of an element names the article."""
+    return any(
+        name.lower() in ("class", "id") and not CONTAINER_NAMES.isdisjoint(value.strip("\"'").lower().split())
+        for name, value in ATTRIBUTE.findall(attributes)
+    )
+
+
 def lines_of(html: str | None) -> list[tuple[str, int, int]]:
     """(line, container, chrome) of a page: its text by block, with white space made one blank.
 
-    ``container`` is 2 inside an article, 1 inside a main part, else 0; ``chrome`` is the :func:`evidence`.  Scripts, styles, comments and markup give
+    ``container`` is 2 inside an article, 1 inside a main part or an element named as the article's, else 0; ``chrome`` is the :func:`evidence`.  Scripts, styles, comments and markup give
     no line.  Tags that are not closed end with the element around them.
     """
     html = html or ""
@@ -120,6 +141,8 @@ def lines_of(html: str | None) -> list[tuple[str, int, int]]:
             container = max(container, CONTAINER_TAGS[tag])
         else:
             chrome = max(chrome, evidence(tag, attributes))
+            if attributes and tag in ("div", "section", "td") and holds_article(attributes):
+                container = max(container, 1)
         stack.append((tag, container, chrome))
         depth[tag] = depth.get(tag, 0) + 1
     words.append(html[at:])
@@ -266,19 +289,21 @@ def extract(pages: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract(where, "^[^/?#]*([^?#]*)", 1), r"(\.html?)?/*$", "")
     html = F.coalesce(F.col("html"), F.lit(""))
     digest = F.md5(html.cast("binary"))
-    keyed = pages.withColumns({"__host": host, "__digest": digest})
     named = pages.select(host.alias("host"), path.alias("path"), digest.alias("digest"), html.alias("html"))
     pairs = neighbours(named.select("host", "path", "digest"))
     lines = named.select("host", "digest", "html").mapInPandas(_hashes, HASHES).dropDuplicates(["host", "digest"])
     partners = pairs.join(lines.select("host", F.col("digest").alias("partner"), "lines"), ["host", "partner"])
-    partners = cut(partners.select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), F.col("lines").alias("__lines")))
+    partners = cut(partners.select("host", "digest", "lines"))
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series, near: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, None if n is None else list(n)) for h, n in zip(htmls, near, strict=True)], dtype=object)
 
-    out = keyed.join(partners, ["__host", "__digest"], "left").withColumn("text", text(F.col("html"), F.col("__lines")))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).drop("__host", "__digest", "__lines")
+    packed = pages.select(F.struct("*").alias("all"), host.alias("host"), digest.alias("digest"))
+    out = packed.join(partners, ["host", "digest"], "left").select("all", text(F.col("all.html"), F.col("lines")).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    kept = [new[c].alias(c) if c in new else F.col("all").getField(c).alias(c) for c in pages.columns]
+    return out.select(*kept, *[v.alias(c) for c, v in new.items() if c not in pages.columns])
 
 
 @query("op10_page_text")

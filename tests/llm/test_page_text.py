@@ -53,6 +53,28 @@ def test_markup():
     assert pt.main_text("<form><article>in a form</article></form>", None) == "in a form"
 
 
+def test_comments_and_sidebars_are_out_by_a_part_of_their_name():
+    html = (
+        '<article><p>text</p><div class="comment-list"><p>reader says</p></div><div class="sidebar-left">side</div>'
+        '<div id="user_comments">more</div><div class="no-sidebar">kept</div><div id="related-work">own</div></article>'
+    )
+    assert pt.main_text(html, [1]) == "text kept own"
+    assert pt.main_text(html, None) == "text"
+    assert pt.main_text('<div class="top">menu</div><div class="article">the text</div><div>end</div>', None) == "the text"
+    assert pt.main_text('<article class="post tag-sidebar comments">all of it</article>', None) == "all of it"
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = "__host __digest __lines host digest lines partner all path n_chars text we.ird".split()
+    df = spark.createDataFrame([page(1, "<article>a</article>"), (2, None, None), page(3, "<p>b</p>")], PAGE)
+    df = df.select("*", *[pt.F.lit(f"{n}!").alias(n) for n in names])
+    got = pt.extract(df)
+    assert got.columns == df.columns
+    rows = {r["page_id"]: r for r in got.collect()}
+    assert [rows[i]["text"] for i in (1, 2, 3)] == ["a", "", "b"] and rows[1]["n_chars"] == 1
+    assert all(r[n] == f"{n}!" for r in rows.values() for n in names if n not in ("text", "n_chars"))
+
+
 def test_shared_lines_of_near_pages_go(spark):
     frame = "<div>Welcome to us</div>{}<div>All rights with us</div><span>bottom</span>"
     rows = [page(i, frame.format(f"<p>Story {i}</p><p>Told once more {i}</p>")) for i in range(12)]
