@@ -30,9 +30,9 @@ PIECE = 512
 #: shares of the training documents; replicas meet after each
 ROUNDS = 4
 #: rows side by side in training
-ROWS = 64
+ROWS = 256
 #: batches of pieces that wait to be put side by side with others of like length
-BATCHES = 16
+BATCHES = 4
 #: distinct words a task counts before it hands them on
 COUNTED = 500_000
 #: weights of replicas that one task averages
@@ -90,9 +90,10 @@ class Lexicon:
             if so_far > HELD:
                 break
             least = number
-        found = short.filter(bar >= F.lit(least)).collect()
-        held = sorted(((r[0].encode(), r[1]) for r in found), key=lambda h: (-h[1], h[0]))
-        self.held = dict(held)
+        found = short.filter(bar >= F.lit(least)).toArrow()  # columns, not a row object for each word
+        words = (w.as_py().encode() for w in found.column("word"))
+        held = sorted(zip(words, found.column("n").to_pylist(), strict=True), key=lambda h: (-h[1], h[0]))
+        del found
         self.place = {w: i for i, (w, _) in enumerate(held[:PLACES])}
         first = np.array([n for _, n in held[:PLACES]], float)
         # sums of the words without a place, by class
@@ -272,7 +273,7 @@ def log_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     counts = cut(word_counts(taught))
     known = Lexicon(counts)
     lexicon = spark.sparkContext.broadcast(known)
-    runs = cut(training_runs(taught, lexicon))
+    runs = cut(training_runs(taught, lexicon), "round")  # a round reads its own folder
     weights = train(runs, lexicon)
     discard(spark, runs)
     # stored with a row number, so that the number stays when a task runs again
