@@ -222,22 +222,35 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(text, width: int):
-    """Column: name of the set of shingles, its size, a value for each band of minima, and the last byte of each."""
+SKETCH = "name long, code long, n int, bands array<long>, marks binary"
 
-    @F.pandas_udf("code long, n int, bands array<long>, marks binary")
-    def sketched(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            hashes = np.unique(shingle_hashes(t, width))
-            least = minima(hashes)
-            bands = [xxhash.xxh64_intdigest(least[a : a + BAND].tobytes(), a) for a in range(0, MINIMA, BAND)]
-            code = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-            marks = (least >> np.uint64(56)).astype(np.uint8).tobytes()
-            rows.append((np.uint64(code).astype(np.int64), len(hashes), np.array(bands, np.uint64).view(np.int64), marks))
-        return pd.DataFrame(rows, columns=["code", "n", "bands", "marks"])
 
-    return sketched(text)
+def sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """(doc_id, row, SKETCH) of each row of ``docs`` (doc_id, row, name, text): name of the set of shingles, its size, a value
+    for each band of minima, and the last byte of each.  Texts are taken from the Arrow batch one by one."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, sizes, bands, marks = [], [], [], []
+            for t in batch.column("text"):
+                hashes = np.unique(shingle_hashes(t.as_py(), width))
+                least = minima(hashes)
+                values = [xxhash.xxh64_intdigest(least[a : a + BAND].tobytes(), a) for a in range(0, MINIMA, BAND)]
+                codes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                sizes.append(len(hashes))
+                bands.append(np.array(values, np.uint64).view(np.int64))
+                marks.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
+            made = {c: batch.column(c) for c in ("doc_id", "row", "name")}
+            yield pa.RecordBatch.from_pydict(
+                made | {
+                    "code": pa.array(np.array(codes, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()),
+                    "bands": pa.array(bands, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary()),
+                }
+            )
+
+    rows = docs.select("doc_id", "row", "name", F.col(text).alias("text"))
+    return rows.mapInArrow(sketched, f"doc_id {kind}, row long, {SKETCH}")
 
 
 def estimate(left, right):
@@ -251,21 +264,25 @@ def estimate(left, right):
     return estimated(left, right)
 
 
-def jaccard(left, right, width: int):
-    """Column: shared shingles of two texts as a share of all."""
+def alike(pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """(u, v) of the ``pairs`` (u, v, t_u, t_v) whose whole texts share enough shingles.
 
-    @F.pandas_udf("double")
-    def exact(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, held = [], None, None
-        for a, b in zip(left, right, strict=True):
-            if b != last:  # rows come sorted by the right text's code
-                last, held = b, np.unique(shingle_hashes(b, width))
-            own = np.unique(shingle_hashes(a, width))
-            both = len(np.intersect1d(own, held, assume_unique=True))
-            out.append(both / max(1, len(own) + len(held) - both))
-        return pd.Series(out, dtype="float64")
+    Texts are taken from the Arrow batch one by one, so a task holds a batch and the sets of two texts.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            kept = []
+            for v, left, right in zip(batch.column("v").to_pylist(), batch.column("t_u"), batch.column("t_v"), strict=True):
+                if held is None or v != last:  # rows mostly come sorted by the right text's code
+                    last, held = v, np.unique(shingle_hashes(right.as_py(), width))
+                own = np.unique(shingle_hashes(left.as_py(), width))
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                kept.append(both >= least * max(1, len(own) + len(held) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return exact(left, right)
+    return pairs.select("u", "v", "t_u", "t_v").mapInArrow(compare, "u long, v long")
 
 
 def near_pairs(entries: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -344,7 +361,7 @@ def similar_roots(docs: DataFrame, entries: DataFrame, text: str, width: int, le
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         sides = [texts.select(F.col("code").alias(c), F.col("text").alias(f"t_{c}")) for c in "uv"]
         both = pairs.select("u", "v").join(sides[0], "u").join(sides[1], "v")
-        return cut(both.filter(jaccard(F.col("t_u"), F.col("t_v"), width) >= least).select("u", "v"))
+        return cut(alike(both, width, least))
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
@@ -380,8 +397,8 @@ def keep_one_similar(docs: DataFrame, text: str = "text", width: int = 5, least:
     compared link.  Which row stays is as in :func:`keep_one`; texts without words are one group.
     """
     row = row_key(docs)
-    made = docs.select("doc_id", row.alias("row"), F.xxhash64(F.col(text)).alias("name"), sketch(F.col(text), width).alias("s"))
-    prints = cut(made.select("doc_id", "row", "name", "s.*"))
+    named = docs.select("doc_id", row.alias("row"), F.xxhash64(F.col(text)).alias("name"), F.col(text).alias("text"))
+    prints = cut(sketches(named, "text", width))
     firsts = [F.first(c).alias(c) for c in ("name", "n", "bands", "marks")]
     entries = cut(prints.groupBy("code").agg(*firsts))
     roots = similar_roots(docs, entries.filter("n > 0"), text, width, least)
