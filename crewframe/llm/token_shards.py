@@ -208,7 +208,7 @@ class TokenShard:
 
 
 #: pieces of text whose ids a Python worker remembers at most, and characters of such a piece
-PIECES, PIECE_CHARS = 1 << 20, 48
+PIECES, PIECE_CHARS = 3 << 19, 48
 #: where a text may be cut: before a blank, and around a line's end, that a word or an ASCII mark follows
 LINE, CUT = re.compile(r"\n(?=[!-~\w])"), re.compile(r" (?=[!-~\w])")
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
