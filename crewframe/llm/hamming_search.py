@@ -17,7 +17,10 @@ EVERY = 50
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
-    """Bit i is set where component i is above zero; a null vector, a short one or NaN components leave bits unset."""
+    """Bit i is set where component i is above zero; a null vector, a short one or NaN components leave bits unset.
+
+    A vector with more than ``bits`` components has no code of that size: the query ends with an error that says so.
+    """
     def bit(i: int) -> Column:
         at = F.get(vector, F.lit(i))
         on = F.coalesce((at > 0) & ~F.isnan(at), F.lit(False))
@@ -27,7 +30,8 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
     out = bit(0)
     for i in range(1, bits):
         out = out.bitwiseOR(bit(i))
-    return out
+    longer = F.raise_error(F.concat(F.size(vector).cast("string"), F.lit(f" components, a code holds {bits}")))
+    return F.when(F.size(vector) > bits, longer.cast("long")).otherwise(out)
 
 
 def segment_edges(segments: int) -> list[int]:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from crewframe.llm import hamming_search as hs
@@ -43,3 +44,9 @@ def test_sign_code(spark):
     vectors = [([1.0] * 63 + [2.0],), ([-1.0] * 64,), (None,), ([float("nan"), 1.0],), ([0.0, None, 3.0],)]
     got = [r[0] for r in spark.createDataFrame(vectors, "v array<float>").select(hs.sign_code(F.col("v"))).collect()]
     assert got == [-1, 0, 0, 2, 4]
+
+
+def test_longer_vectors_are_an_error(spark):
+    vectors = spark.createDataFrame([([1.0] * 65,)], "v array<float>")
+    with pytest.raises(Exception, match="65 components, a code holds 64"):
+        vectors.select(hs.sign_code(F.col("v"))).collect()
