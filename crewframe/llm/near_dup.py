@@ -17,6 +17,8 @@ from crewframe.llm.base import components, query, read, row_key
 from crewframe.session import cut, discard
 
 BITS, SEED = 64, 42
+#: codes of a shard that one tree holds before its shard is parted anew, and families of shards at most
+SHARD, FAMILIES = 1 << 14, 1 << 12
 #: hashes of a long text that are counted at a time
 STEP = 1 << 16
 #: minima of a text's shingles under as many orders, in bands of so many that must all be equal for two texts to meet
@@ -100,22 +102,28 @@ def _one(root: np.ndarray, members: np.ndarray) -> bool:
     return bool((root[members] == root[members[0]]).all())
 
 
-def shard_keys(code, radius: int, agree: int = 2) -> list:
-    """Shards of a code so that any two codes within ``radius`` bits share one.
+def family_masks(radius: int, agree: int = 2, fixed: int = 0) -> list[int]:
+    """The bits that a family's shards share, for each family, so that any two codes that are equal in the ``fixed`` bits and
+    within ``radius`` bits share a shard.
 
-    The bits are cut into ``radius + agree`` blocks; at most ``radius`` blocks differ, so at least ``agree`` blocks
-    are equal, and each choice of ``agree`` blocks is a family of shards.  Two blocks give keys of some
-    25 bits, which keeps shards small where one block would not.
+    The other bits are cut into ``radius + agree`` blocks; at most ``radius`` blocks differ, so at least ``agree`` blocks
+    are equal, and each choice of ``agree`` blocks is a family.  Two blocks give keys of some 25 of 64 bits, which keeps
+    shards small where one block would not.
     """
+    free = [bit for bit in range(BITS) if not fixed >> bit & 1]
     blocks = radius + agree
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    masks = [sum(1 << bit for bit in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    keys = []
-    for family, chosen in enumerate(combinations(range(blocks), agree)):
-        mask = sum(masks[i] for i in chosen)
-        signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
-        keys.append(F.struct(F.lit(family).alias("family"), code.bitwiseAND(F.lit(signed).cast("long")).alias("block")))
-    return keys
+    edges = [round(i * len(free) / blocks) for i in range(blocks + 1)]
+    masks = [sum(1 << bit for bit in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [fixed | sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), agree)]
+
+
+def _placed(rows: DataFrame, masks: list[list[int]], first: int) -> DataFrame:
+    """(family, block, code) of the rows (parent, code) in each family of their parent; families count from ``first``."""
+    signed = [[m - (1 << BITS) if m >> (BITS - 1) else m for m in group] for group in masks]
+    of_parent = F.split(F.element_at(F.array(*[F.lit(",".join(map(str, g))) for g in signed]), F.col("parent") + 1), ",")
+    met = rows.select("parent", "code", F.posexplode(of_parent.cast("array<long>")).alias("at", "mask"))
+    family = (F.col("parent") * len(masks[0]) + F.col("at") + first).cast("int")
+    return met.select(family.alias("family"), F.col("code").bitwiseAND(F.col("mask")).alias("block"), "code")
 
 
 def _forest(radius: int):
@@ -158,12 +166,34 @@ def link_codes(codes: DataFrame, radius: int) -> DataFrame:
 
     The components of the links are those of all pairs within the radius.  Each shard's tree goes to one task
     with the shard's codes, by a shuffle: trees of a whole corpus have no size bound to broadcast under.
+
+    A shard of more than SHARD codes is parted anew by its other bits, in the same way, so no task holds a dense cloud of
+    codes: at a radius of 3 the third parting leaves 16 bits at most, so 2^16 distinct codes to a tree at most.  A wide
+    radius has so many families that it stops earlier (FAMILIES).
     """
-    shards = codes.select("code", F.explode(F.array(*shard_keys(F.col("code"), radius))).alias("shard"))
-    shards = shards.select("shard.family", "shard.block", "code")
-    n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = shards.repartition(n, "family", "block").sortWithinPartitions("family", "block", "code")
-    return placed.mapInArrow(_forest(radius), "u long, v long")
+    spark = codes.sparkSession
+    masks, first = [family_masks(radius)], 0
+    shards = _placed(codes.select(F.lit(0).alias("parent"), "code"), masks, first)
+    ready, passing = None, []
+    while True:
+        heavy = cut(shards.groupBy("family", "block").agg(F.count("*").alias("held")).filter(F.col("held") > SHARD))
+        passing.append(heavy)
+        deeper = [family_masks(radius, fixed=mask) for group in masks for mask in group]
+        last = heavy.isEmpty() or len(deeper) * len(deeper[0]) > FAMILIES
+        light = shards if last else shards.join(heavy, ["family", "block"], "left_anti")
+        ready = light if ready is None else ready.unionByName(light)
+        if last:
+            break
+        split = shards.join(heavy, ["family", "block"], "left_semi").select((F.col("family") - first).alias("parent"), "code")
+        first += len(deeper)
+        masks = deeper
+        shards = cut(_placed(split, masks, first))
+        passing.append(shards)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = ready.select("family", "block", "code").repartition(n, "family", "block").sortWithinPartitions("family", "block", "code")
+    links = cut(placed.mapInArrow(_forest(radius), "u long, v long"))
+    discard(spark, *passing)
+    return links
 
 
 def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
@@ -172,7 +202,9 @@ def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
     Equal codes meet before anything is linked, so a large group of copies is one code.
     """
     firsts = cut(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")))
-    roots = components(link_codes(firsts.select("code"), radius))
+    links = link_codes(firsts.select("code"), radius)
+    roots = components(links)
+    discard(prints.sparkSession, links)
     placed = firsts.join(roots, firsts.code == roots.node, "left").select(
         "code", "first_id", F.coalesce("root", "code").alias("root")
     )

@@ -183,3 +183,30 @@ def test_only_compared_texts_link(spark, monkeypatch):
     got = {r.doc_id for r in nd.keep_one_similar(documents(spark, rows)).collect()}
     group = alike(rows)
     assert got == {min(i for (i, _), h in zip(rows, group) if h == g) for g in set(group)} != {1, 2, 3, 4}
+
+
+def test_heavy_shards_are_parted_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SHARD", 4)
+    draw = random.Random(8)
+    centres = [draw.getrandbits(64) for _ in range(3)]
+    codes = {centres[i % 3] ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(4))) for i in range(150)}
+    codes = sorted(codes | {draw.getrandbits(64) for _ in range(40)})
+    rows = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
+    roots = {r.node: r.root for r in components(nd.link_codes(spark.createDataFrame(rows, "code long"), 3)).collect()}
+    group = list(range(len(codes)))
+    for i, a in enumerate(codes):
+        for j in range(i):
+            if (a ^ codes[j]).bit_count() <= 3 and group[i] != group[j]:
+                new, old = group[j], group[i]
+                group = [new if g == old else g for g in group]
+    found = [roots.get(r[0], r[0]) for r in rows]
+    for i in range(len(codes)):
+        for j in range(i):
+            assert (found[i] == found[j]) == (group[i] == group[j])
+
+
+def test_three_partings_bound_a_shard():
+    masks = nd.family_masks(3)
+    for _ in range(2):
+        masks = [m for fixed in masks for m in nd.family_masks(3, fixed=fixed)]
+    assert len(masks) == 1000 and min(m.bit_count() for m in masks) >= 48
