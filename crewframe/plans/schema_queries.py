@@ -201,12 +201,13 @@ def _plain_name(name: str) -> str:
     return name.replace("_", "").lower()
 
 
-# One recursion step per target in spec order, carrying the host fields already used.
-MATCHES = (
-    UNPIVOT
-    + f""",
+def _matches_sql(cells: str, entity: str) -> str:
+    """One recursion step per target in spec order, carrying the host fields already used."""
+    return (
+        cells
+        + f""",
 fields AS (SELECT DISTINCT tenant_id, field FROM cells WHERE v IS NOT NULL),
-{_spec_sql("EMPLOYEE")},
+{_spec_sql(entity)},
 pairs AS (SELECT tenant_id, {_name_part(0, "first_name")} AS a, {_name_part(1, "last_name")} AS b, list(field) AS all_fields
   FROM fields GROUP BY tenant_id),
 cand AS (
@@ -240,7 +241,10 @@ steps AS (
   GROUP BY s.tenant_id, s.at),
 picked AS (SELECT tenant_id, pick.target AS target, pick.source AS source, pick.confidence AS confidence, pick.transform AS transform
   FROM steps WHERE pick IS NOT NULL)"""
-)
+    )
+
+
+MATCHES = _matches_sql(UNPIVOT, "EMPLOYEE")
 
 
 @query(
@@ -255,7 +259,10 @@ picked AS (SELECT tenant_id, pick.target AS target, pick.source AS source, pick.
 )
 def field_matches(spark, sf_dir):
     """Canonical target of every tenant's fields."""
-    _, matches = _matched(spark, sf_dir)
+    return _matches_out(_matched(spark, sf_dir)[1])
+
+
+def _matches_out(matches):
     pairs = F.array_sort(F.transform(F.map_entries("enum_map"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return matches.select(
         "tenant_id", "target", "source", "confidence", "transform", F.array_join(pairs, "|").alias("enum_map"), "writeback"
@@ -283,6 +290,85 @@ def match_report(spark, sf_dir):
     return matching.match_report(profile, cut(matches), KEYS)
 
 
+# Records of other entities, field by field: entity -> table, key, tenant, and SQL of each host field.
+HOST_RECORDS = {
+    "LEAVE_REQUEST": (
+        "orders", "o_orderkey", "o_custkey % 3",
+        {
+            "empId": "o_custkey", "leaveType": "o_orderpriority", "fromDate": "o_orderdate", "leave_to": "o_orderdate",
+            "duration": "o_orderkey % 9 + 1", "justification_text": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END",
+            "approval_status": "CASE o_orderstatus WHEN 'O' THEN 'submitted' WHEN 'F' THEN 'Approved' ELSE 'withdrawn' END",
+        },
+    ),
+    "EXPENSE_CLAIM": (
+        "lineitem", "l_orderkey", "l_suppkey % 4",
+        {
+            "claimant_id": "l_suppkey", "expenseType": "CASE l_returnflag WHEN 'N' THEN 'meal' ELSE 'hotel' END", "claim_amount": "l_quantity", "curr": "CASE WHEN l_linenumber > 1 THEN 'INR' END",
+            "incurred_on": "l_shipdate", "purpose_of_trip": "l_linestatus",
+            "claim_state": "l_returnflag", "claim-status": "CASE l_linestatus WHEN 'O' THEN ' draft ' ELSE 'reimbursed late' END",
+        },
+    ),
+    "PUNCH": (
+        "events", "event_id", "user_id % 5",
+        {
+            "user_id": "user_id", "logTime": "ts", "direction": "CASE WHEN event_id % 2 = 0 THEN 'in' ELSE 'CheckOut' END",
+            "terminal": "CASE WHEN event_id % 7 = 0 THEN 'gate' END", "reader_id": "event_id % 11",
+        },
+    ),
+}
+
+
+def _host_cells(entity: str) -> str:
+    source, _, tenant, fields = HOST_RECORDS[entity]
+    rows = (f"SELECT 'T' || ({tenant}) AS tenant_id, {text(f)} AS field, ({v})::VARCHAR AS v FROM {source}" for f, v in fields.items())
+    return "cells AS (" + " UNION ALL ".join(rows) + ")"
+
+
+def _enums_sql(entity: str) -> str:
+    """enums: the aligned values of each picked target, from the host's few values and the canonical keys in test order."""
+    keys = [
+        f"({text(target)}, {n}, {text(key)}, {text(value)})"
+        for (owner, target), values in refdata.CANONICAL_ENUMS.items() if owner == entity
+        for n, (key, value) in enumerate(values.items())
+    ]
+    return f"""
+enum_keys(target, n, key, value) AS (VALUES {", ".join(keys)}),
+host_values AS (SELECT DISTINCT p.tenant_id, p.target, c.v FROM picked p JOIN cells c ON c.tenant_id = p.tenant_id AND c.field = p.source[1]
+  WHERE c.v IS NOT NULL),
+few AS (SELECT tenant_id, target FROM host_values GROUP BY 1, 2 HAVING count(*) <= 12),
+aligned AS (SELECT h.tenant_id, h.target, h.v, arg_min(k.value, (upper(trim(h.v)) <> k.key, k.n)) AS value
+  FROM host_values h JOIN few USING (tenant_id, target) JOIN enum_keys k ON k.target = h.target
+    AND (contains(upper(trim(h.v)), k.key) OR contains(k.key, upper(trim(h.v)))) GROUP BY 1, 2, 3),
+enums AS (SELECT tenant_id, target, string_agg(v || '=' || value, '|' ORDER BY v || '=' || value) AS enum_map FROM aligned GROUP BY 1, 2)"""
+
+
+def _entity_matches(name: str, entity: str):
+    source, key, tenant, fields = HOST_RECORDS[entity]
+
+    @query(
+        name,
+        "WITH RECURSIVE " + _matches_sql(_host_cells(entity), entity) + "," + _enums_sql(entity)
+        + """
+SELECT p.tenant_id AS tenant_id, p.target AS target, array_to_string(source, '|') AS source, confidence, transform,
+  coalesce(enum_map, '') AS enum_map, confidence >= 0.8 AND len(source) = 1 AS writeback
+FROM picked p LEFT JOIN enums e ON e.tenant_id = p.tenant_id AND e.target = p.target""",
+    )
+    def entity_matches(spark, sf_dir):
+        record = F.struct(*[F.expr(f"CAST({v} AS STRING)").alias(f) for f, v in fields.items()])
+        rows = ad.table(spark, sf_dir, source).select(
+            F.concat(F.lit("T"), F.expr(tenant).cast("string")).alias("tenant_id"), F.lit("hostco").alias("vendor"),
+            F.lit(entity).alias("entity_type"), F.expr(key).alias("record_id"), F.try_parse_json(F.to_json(record)).alias("payload"),
+        )
+        profile = cut(profiling.profile_records(rows, KEYS, "record_id"))
+        return _matches_out(matching.match_fields(profile, KEYS))
+
+    entity_matches.__doc__ = f"Canonical target of every field of landed {entity} records."
+
+
+for _name, _entity in (("leave_field_matches", "LEAVE_REQUEST"), ("expense_field_matches", "EXPENSE_CLAIM"), ("punch_field_matches", "PUNCH")):
+    _entity_matches(_name, _entity)
+
+
 # ------------------------------------------------------------------------------- mapping
 STAFF_MAPPING = mp.Mapping(
     vendor="hostco",
@@ -615,6 +701,46 @@ def export_zoho_leave(spark, sf_dir):
     return export.export_vendor_payload(rows, "zoho", "LEAVE_REQUEST").select("request_id", "LeaveType", "From", "Employee_ID")
 
 
+@query(
+    "export_zoho_requisitions",
+    """SELECT p_partkey AS requisition_id, p_name AS "JobTitle", coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_brand END, 'General') AS "Department",
+      p_type AS "JobDescription" FROM part""",
+)
+def export_zoho_requisitions(spark, sf_dir):
+    """Requisitions in form-field names with a default department."""
+    rows = ad.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("requisition_id"), F.col("p_name").alias("title"),
+        F.when(F.col("p_partkey") % 4 != 0, F.col("p_brand")).alias("department"), F.col("p_type").alias("description"),
+    )
+    return export.export_vendor_payload(rows, "zoho", "REQUISITION").select("requisition_id", "JobTitle", "Department", "JobDescription")
+
+
+@query(
+    "export_zoho_punches",
+    """SELECT event_id AS punch_id, user_id::VARCHAR AS "empId", strftime(ts, '%Y-%m-%d %H:%M') AS "punchTime" FROM events""",
+)
+def export_zoho_punches(spark, sf_dir):
+    """Punches in form-field names."""
+    rows = ad.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("punch_id"), F.col("user_id").cast("string").alias("employee_ref"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm").alias("punch_time"),
+    )
+    return export.export_vendor_payload(rows, "zoho", "PUNCH").select("punch_id", "empId", "punchTime")
+
+
+@query(
+    "export_bamboohr_leave",
+    """SELECT o_orderkey AS request_id, o_orderdate::DATE::VARCHAR AS "start", (o_orderdate::DATE + (o_orderkey % 9)::INT)::VARCHAR AS "end" FROM orders""",
+)
+def export_bamboohr_leave(spark, sf_dir):
+    """Leave requests with the dates under the names of one vendor."""
+    rows = ad.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.to_date("o_orderdate").alias("start_date"),
+        F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 9).cast("int")).alias("end_date"),
+    )
+    return export.export_vendor_payload(rows, "bamboohr", "LEAVE_REQUEST").select("request_id", "start", "end")
+
+
 @query(
     "export_iceipts_requisitions",
     """SELECT p_name AS title, p_brand AS department,
