@@ -163,10 +163,17 @@ def merged_profile(spark, sf_dir):
     return profiling.finished_profile(profiling.merge_parts(stored[0].unionByName(stored[1]), KEYS), KEYS)
 
 
+ID_NAMES = listed([name.format(entity="employee") for name in refdata.ID_FIELDS])
+
+
 @query(
     "id_fields",
-    "SELECT DISTINCT 'T' || n_regionkey AS tenant_id, 'hostco' AS vendor, 'EMPLOYEE' AS entity_type, 'emp_id' AS id_field "
-    "FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    with_views(
+        ["staff"],
+        f"""SELECT tenant_id, 'hostco' AS vendor, 'EMPLOYEE' AS entity_type, arg_min(field, list_position({ID_NAMES}, field)) AS id_field
+          FROM cells WHERE v IS NOT NULL AND list_contains({ID_NAMES}, field) GROUP BY tenant_id""",
+        UNPIVOT,
+    ),
 )
 def id_fields(spark, sf_dir):
     """The id field of every tenant's staff records."""
@@ -247,14 +254,35 @@ picked AS (SELECT tenant_id, pick.target AS target, pick.source AS source, pick.
 MATCHES = _matches_sql(UNPIVOT, "EMPLOYEE")
 
 
+def _enums_sql(entity: str) -> str:
+    """enums: the aligned values of each picked target, from the host's few values and the canonical keys in test order."""
+    keys = [
+        f"({text(target)}, {n}, {text(key)}, {text(value)})"
+        for (owner, target), values in refdata.CANONICAL_ENUMS.items() if owner == entity
+        for n, (key, value) in enumerate(values.items())
+    ]
+    return f"""
+enum_keys(target, n, key, value) AS (VALUES {", ".join(keys)}),
+host_values AS (SELECT DISTINCT p.tenant_id, p.target, c.v FROM picked p JOIN cells c ON c.tenant_id = p.tenant_id AND c.field = p.source[1]
+  WHERE c.v IS NOT NULL),
+few AS (SELECT tenant_id, target FROM host_values GROUP BY 1, 2 HAVING count(*) <= 12),
+aligned AS (SELECT h.tenant_id, h.target, h.v, arg_min(k.value, (upper(trim(h.v)) <> k.key, k.n)) AS value
+  FROM host_values h JOIN few USING (tenant_id, target) JOIN enum_keys k ON k.target = h.target
+    AND (contains(upper(trim(h.v)), k.key) OR contains(k.key, upper(trim(h.v)))) GROUP BY 1, 2, 3),
+enums AS (SELECT tenant_id, target, string_agg(v || '=' || value, '|' ORDER BY v || '=' || value) AS enum_map FROM aligned GROUP BY 1, 2)"""
+
+
+MATCHED_ROWS = """SELECT p.tenant_id AS tenant_id, p.target AS target, array_to_string(source, '|') AS source, confidence, transform,
+  coalesce(enum_map, '') AS enum_map, confidence >= 0.8 AND len(source) = 1 AS writeback
+FROM picked p LEFT JOIN enums e ON e.tenant_id = p.tenant_id AND e.target = p.target"""
+
+
 @query(
     "field_matches",
     with_views(
         ["staff"],
-        """SELECT tenant_id, target, array_to_string(source, '|') AS source, confidence, transform,
-          CASE WHEN target = 'status' THEN 'notice=NOTICE_PERIOD' ELSE '' END AS enum_map,
-          confidence >= 0.8 AND len(source) = 1 AS writeback FROM picked""",
-        MATCHES,
+        MATCHED_ROWS,
+        MATCHES + "," + _enums_sql("EMPLOYEE"),
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def field_matches(spark, sf_dir):
@@ -324,34 +352,13 @@ def _host_cells(entity: str) -> str:
     return "cells AS (" + " UNION ALL ".join(rows) + ")"
 
 
-def _enums_sql(entity: str) -> str:
-    """enums: the aligned values of each picked target, from the host's few values and the canonical keys in test order."""
-    keys = [
-        f"({text(target)}, {n}, {text(key)}, {text(value)})"
-        for (owner, target), values in refdata.CANONICAL_ENUMS.items() if owner == entity
-        for n, (key, value) in enumerate(values.items())
-    ]
-    return f"""
-enum_keys(target, n, key, value) AS (VALUES {", ".join(keys)}),
-host_values AS (SELECT DISTINCT p.tenant_id, p.target, c.v FROM picked p JOIN cells c ON c.tenant_id = p.tenant_id AND c.field = p.source[1]
-  WHERE c.v IS NOT NULL),
-few AS (SELECT tenant_id, target FROM host_values GROUP BY 1, 2 HAVING count(*) <= 12),
-aligned AS (SELECT h.tenant_id, h.target, h.v, arg_min(k.value, (upper(trim(h.v)) <> k.key, k.n)) AS value
-  FROM host_values h JOIN few USING (tenant_id, target) JOIN enum_keys k ON k.target = h.target
-    AND (contains(upper(trim(h.v)), k.key) OR contains(k.key, upper(trim(h.v)))) GROUP BY 1, 2, 3),
-enums AS (SELECT tenant_id, target, string_agg(v || '=' || value, '|' ORDER BY v || '=' || value) AS enum_map FROM aligned GROUP BY 1, 2)"""
-
-
 def _entity_matches(name: str, entity: str):
     source, key, tenant, fields = HOST_RECORDS[entity]
 
     @query(
         name,
         "WITH RECURSIVE " + _matches_sql(_host_cells(entity), entity) + "," + _enums_sql(entity)
-        + """
-SELECT p.tenant_id AS tenant_id, p.target AS target, array_to_string(source, '|') AS source, confidence, transform,
-  coalesce(enum_map, '') AS enum_map, confidence >= 0.8 AND len(source) = 1 AS writeback
-FROM picked p LEFT JOIN enums e ON e.tenant_id = p.tenant_id AND e.target = p.target""",
+        + "\n" + MATCHED_ROWS,
     )
     def entity_matches(spark, sf_dir):
         record = F.struct(*[F.expr(f"CAST({v} AS STRING)").alias(f) for f, v in fields.items()])
@@ -530,16 +537,22 @@ def mapping_quality(spark, sf_dir):
     return quality.probe_report(rows, issues, STAFF_MAPPING, ["tenant_id"])
 
 
+# first segments of every path that a rule reads
+KNOWN_HEADS = {
+    path.replace("[", ".").split(".")[0]
+    for rule in STAFF_MAPPING.fields for path in ((rule.source,) if isinstance(rule.source, str) else rule.source)
+} | {STAFF_MAPPING.id_path, *refdata.DRIFT_IGNORED_KEYS}
 DRIFT = """SELECT tenant_id, 'EMPLOYEE' AS entity_type, 'INFO' AS severity, field_name,
   'Host response contains unmapped field ''' || field_name || '''. Consider synthesizing canonical binding.' AS description,
   '{"action":"ADD_MAPPING","host_field":"' || field_name || '","sample_value":"' || arg_min(v, k) || '"}' AS suggested_patch,
   count(*) AS occurrences
-FROM (SELECT tenant_id, k, 'badge_no' AS field_name, badge_no AS v FROM staff WHERE badge_no IS NOT NULL
-  UNION ALL SELECT tenant_id, k, 'is_manager', is_manager::VARCHAR FROM staff)
-GROUP BY tenant_id, field_name"""
+FROM (SELECT tenant_id, k, field AS field_name, CASE WHEN t = 'boolean' THEN lower(v) ELSE v END AS v FROM cells
+  WHERE v IS NOT NULL AND NOT starts_with(field, '_') AND NOT list_contains({known}, field))
+GROUP BY tenant_id, field_name""".replace("{known}", listed(sorted(KNOWN_HEADS)))
+DRIFT = with_views(["staff"], DRIFT, UNPIVOT)
 
 
-@query("unmapped_fields", with_views(["staff"], DRIFT))
+@query("unmapped_fields", DRIFT)
 def unmapped_fields(spark, sf_dir):
     """Fields of the staff records no rule reads."""
     return quality.detect_unmapped_fields(ad.staff_payloads(spark, sf_dir), STAFF_MAPPING, "employee_id", ["tenant_id"])

@@ -11,7 +11,7 @@ from crewframe.plans import adapters as ad
 from crewframe.plans.audit_queries import DAYS, SHIFTS, TRAVEL, TRAVEL_OUT
 from crewframe.plans.people_queries import PII_VAULT, SECRET, _mask_steps
 from crewframe.plans.registry import query
-from crewframe.plans.schema_queries import KEYS, REJECTED, STAFF_MAPPING
+from crewframe.plans.schema_queries import DRIFT, KEYS, REJECTED, STAFF_MAPPING
 from crewframe.plans.sqlviews import with_views
 from crewframe.session import scratch
 from crewframe.streaming import landing, mutations, punches
@@ -160,18 +160,7 @@ def mutation_dedupe_stream(spark, sf_dir):
     return kept.select(F.col("key").cast("bigint").alias("user_id"), F.col("tie").alias("event_id"), "kept_at")
 
 
-@query(
-    "drift_stream",
-    with_views(
-        ["staff"],
-        """SELECT tenant_id, 'EMPLOYEE' AS entity_type, 'INFO' AS severity, field_name,
-          'Host response contains unmapped field ''' || field_name || '''. Consider synthesizing canonical binding.' AS description,
-          '{"action":"ADD_MAPPING","host_field":"' || field_name || '","sample_value":"' || arg_min(v, k) || '"}' AS suggested_patch,
-          count(*) AS occurrences
-        FROM (SELECT tenant_id, k, 'badge_no' AS field_name, badge_no AS v FROM staff WHERE badge_no IS NOT NULL
-          UNION ALL SELECT tenant_id, k, 'is_manager', is_manager::VARCHAR FROM staff) GROUP BY tenant_id, field_name""",
-    ),
-)
+@query("drift_stream", DRIFT)
 def drift_stream(spark, sf_dir):
     """Unmapped fields of the staff records as they land."""
     stream = _replay(spark, ad.staff_json(spark, sf_dir), "staff").withColumn("payload", F.try_parse_json("body")).drop("body")
