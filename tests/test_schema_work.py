@@ -599,3 +599,24 @@ def test_profile_of_parts_is_the_profile_of_all(spark):
     assert got.columns == whole.columns and sorted(got.collect()) == sorted(whole.collect())
     enums = {r["field"]: len(r["enum_values"]) for r in got.filter("tenant_id = 'T'").collect()}
     assert (enums["few"], enums["twelve"], enums["thirteen"], enums["many"]) == (3, 12, 0, 0)
+
+
+def test_profile_takes_few_records_apart_twice(spark):
+    """The first records of a field are told by order alone: no sort and no window sees the other rows."""
+    rows = [(None if n % 7 == 0 else n // 2, "a" if n % 3 else "b") for n in range(20_000)]
+    df = spark.createDataFrame(rows, "n int, g string")
+    reach = {r["g"]: r["reach"] for r in df.groupBy("g").agg(profiling._reach(F.col("n")).alias("reach")).collect()}
+    for g, bound in reach.items():
+        held = sorted(n for n, of in rows if of == g and n is not None)
+        assert held[2] <= bound and sum(n <= bound for n in held) < 100
+    few = spark.createDataFrame([(1,), (1,), (2,)], "n int").agg(profiling._reach(F.col("n")).alias("reach"))
+    assert few.collect()[0]["reach"] is None
+
+
+def test_profile_of_repeated_orders_and_booleans(spark):
+    rows = [("T", n // 3, json.dumps({"flag": n % 2 == 0, "said": "true", "late": n if n > 80 else None, "rare": 5} if n != 7 else {})) for n in range(90)]
+    df = spark.createDataFrame(rows, "tenant_id string, n int, body string").withColumn("payload", F.parse_json("body"))
+    got = {r["field"]: r for r in profiling.profile_records(df, ["tenant_id"], "n").collect()}
+    assert got["flag"]["enum_values"] == ["False", "True"] and got["said"]["enum_values"] == ["true"]
+    assert got["late"]["sample_values"] == ["81", "82", "83"] and got["late"]["non_null_count"] == 9
+    assert got["rare"]["sample_values"] == ["5"] * 3 and got["rare"]["data_type"] == "integer" and got["rare"]["is_nullable"]
