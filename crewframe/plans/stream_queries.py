@@ -27,23 +27,29 @@ OPEN_AFTER = 12
 LATE_EVERY, LATE_REST = 50, 7
 
 
+#: micro-batches that a landed table is read in, about: more files go into a batch where there are more
+LANDINGS = 8
+
+
 def _replay(
     spark: SparkSession, rows: DataFrame, name: str, last: DataFrame | None = None, late: DataFrame | None = None
 ) -> DataFrame:
     """Land a table as files in the shared folder, as many as it is read in, and read them back as a stream.
 
     ``last`` lands after them: one row far ahead, which moves the watermark past everything.  ``late`` lands in
-    batches of its own after that.
+    batches of its own after that.  A batch takes a file for each core or more, so all cores work on it and
+    the number of batches does not grow with the table.
     """
     folder = scratch(spark, f"landed-{name}")
     rows.write.parquet(folder)
+    files = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+    at_once = max(2, spark.sparkContext.defaultParallelism, -(-files // LANDINGS))
     if last is not None:
-        last.coalesce(1).write.mode("append").parquet(folder)
+        # rows count as late from the second batch after the one that has moved the watermark: fill a batch between
+        copies = 1 if late is None else 2 * at_once
+        last.crossJoin(spark.range(0, copies, 1, copies).drop("id")).write.mode("append").parquet(folder)
     if late is not None:
-        # rows count as late from the second batch after the one that has moved the watermark
-        last.coalesce(1).write.mode("append").parquet(folder)
         late.write.mode("append").parquet(folder)
-    at_once = 2 if late is None else 1
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 

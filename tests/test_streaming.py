@@ -189,3 +189,35 @@ def test_the_late_counter_holds_one_number_for_a_run():
     counter.onQueryTerminated(Fake(runId="r"))
     assert counter.total("r", 1.0) == sum(n % 3 + 1 for n in range(10_000))
     assert len(counter.rows) == 1 and counter.total("unknown", None) == 0
+
+
+def test_keys_share_shards_and_null_keys_and_ties_stay_whole(spark, tmp_path):
+    """A batch costs by shards: three hundred keys in four shards, some without key or tie."""
+    import datetime as dt
+
+    from crewframe.streaming import ordered
+
+    start, big = dt.datetime(2024, 1, 1), 2**53 + 1
+    rows = [(None if n % 50 == 3 else big + n, start + dt.timedelta(minutes=n), None if n % 60 == 7 else n % 300) for n in range(1200)]
+    stream = feed(spark, tmp_path, rows, EVENTS, 3, (10**6, start + dt.timedelta(days=400), -1))
+    timed = stream.withWatermark("ts", "30 days").withColumn("at", F.unix_micros("ts"))
+    found = ordered.in_order(
+        timed.select("user_id", "ts", "at", "event_id"), ["user_id"], ["at", "event_id"], "at long, event_id long", ["p", "c"],
+        "user_id long, p long, c long", lambda last, row: (row, None if last is None else (last[1], row[1])), 86_400, shards=4,
+    )
+    got = [tuple(r) for r in landing.run_to_end(found, "shards", state_partitions=2).collect()]
+    last, want = {}, []
+    for event, _, user in rows:
+        if user in last:
+            want.append((user, last[user], event))
+        last[user] = event
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_batches_do_not_grow_with_files(spark):
+    from crewframe.plans import stream_queries as sq
+
+    rows = spark.range(400).repartition(40)
+    got = landing.run_to_end(sq._replay(spark, rows, "many-files"), "many-files")
+    batches = {f.split("batch=")[1].split("/")[0] for f in got.inputFiles()}
+    assert got.count() == 400 and len(batches) <= sq.LANDINGS
