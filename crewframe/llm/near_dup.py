@@ -68,13 +68,14 @@ def distances(codes: np.ndarray, code: np.uint64) -> np.ndarray:
     return np.bitwise_count(codes ^ code)
 
 
-def tree_links(codes: np.ndarray, radius: int) -> np.ndarray:
+def tree_links(codes: np.ndarray, radius: int, met: list | None = None) -> np.ndarray:
     """Root of each code: the first code of its component at ``radius``, by position.
 
     A BK-tree holds the codes: a node's children are keyed by their distance to it.  It is built and searched
     in one walk: the codes that look for neighbours travel together and follow only the edges whose distance
     is within ``radius`` of their own distance to the node, so a node is visited once for all of them.  Only one
-    link per component is kept, never the pairs of a dense group.
+    link per component is kept, never the pairs of a dense group.  ``met`` receives, for each two components that
+    meet, one pair of positions that are within ``radius`` themselves.
     """
     root = np.arange(len(codes))
     stack = [(np.arange(len(codes)), np.arange(len(codes)))]
@@ -85,6 +86,9 @@ def tree_links(codes: np.ndarray, radius: int) -> np.ndarray:
         near = seekers[away <= radius]
         near_roots = np.unique(root[near])
         if len(near_roots) > 1:
+            if met is not None:
+                firsts = near[np.unique(root[near], return_index=True)[1]]
+                met.extend((int(one), int(node)) for one in firsts[root[firsts] != root[node]])
             root[np.isin(root, near_roots)] = near_roots[0]
         if not len(rest):
             continue
@@ -126,7 +130,7 @@ def _placed(rows: DataFrame, masks: list[list[int]], first: int) -> DataFrame:
     return met.select(family.alias("family"), F.col("code").bitwiseAND(F.col("mask")).alias("block"), "code")
 
 
-def _forest(radius: int):
+def _forest(radius: int, near: bool = False):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (family, block, code); a shard may go over the end of a batch."""
 
@@ -136,9 +140,11 @@ def _forest(radius: int):
             us, vs = [], []
             for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
                 codes = code[at : at + n].view(np.uint64)
-                root = tree_links(codes, radius)
+                met = [] if near else None
+                root = tree_links(codes, radius, met)
                 child = np.flatnonzero(root != np.arange(n))
-                us.append(codes[child].view(np.int64)), vs.append(codes[root[child]].view(np.int64))
+                ends = (child, root[child]) if met is None else np.array(met, np.int64).reshape(-1, 2).T
+                us.append(codes[ends[0]].view(np.int64)), vs.append(codes[ends[1]].view(np.int64))
             empty = [np.empty(0, np.int64)]
             return pa.record_batch(
                 [pa.array(np.concatenate(us or empty)), pa.array(np.concatenate(vs or empty))], names=["u", "v"]
@@ -161,10 +167,11 @@ def _forest(radius: int):
     return links
 
 
-def link_codes(codes: DataFrame, radius: int) -> DataFrame:
+def link_codes(codes: DataFrame, radius: int, near: bool = False) -> DataFrame:
     """Forests of links between distinct codes (``code``) of at most ``radius`` differing bits: rows (u, v).
 
-    The components of the links are those of all pairs within the radius.  Each shard's tree goes to one task
+    The components of the links are those of all pairs within the radius; with ``near`` each link is itself such a pair, not
+    one to the first code of the component.  Each shard's tree goes to one task
     with the shard's codes, by a shuffle: trees of a whole corpus have no size bound to broadcast under.
 
     A shard of more than SHARD codes is parted anew by its other bits, in the same way, so no task holds a dense cloud of
@@ -191,7 +198,7 @@ def link_codes(codes: DataFrame, radius: int) -> DataFrame:
         passing.append(shards)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = ready.select("family", "block", "code").repartition(n, "family", "block").sortWithinPartitions("family", "block", "code")
-    links = cut(placed.mapInArrow(_forest(radius), "u long, v long"))
+    links = cut(placed.mapInArrow(_forest(radius, near), "u long, v long"))
     discard(spark, *passing)
     return links
 
@@ -254,29 +261,30 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "name long, code long, n int, bands array<long>, marks binary"
+SKETCH = "name long, code long, print long, n int, bands array<long>, marks binary"
 
 
 def sketches(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(doc_id, row, SKETCH) of each row of ``docs`` (doc_id, row, name, text): name of the set of shingles, its size, a value
+    """(doc_id, row, SKETCH) of each row of ``docs`` (doc_id, row, name, text): name of the set of shingles, its SimHash, its size, a value
     for each band of minima, and the last byte of each.  Texts are taken from the Arrow batch one by one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, sizes, bands, marks = [], [], [], []
+            codes, prints, sizes, bands, marks = [], [], [], [], []
             for t in batch.column("text"):
                 hashes = np.unique(shingle_hashes(t.as_py(), width))
                 least = minima(hashes)
                 values = [xxhash.xxh64_intdigest(least[a : a + BAND].tobytes(), a) for a in range(0, MINIMA, BAND)]
                 codes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                prints.append(simhash(hashes))
                 sizes.append(len(hashes))
                 bands.append(np.array(values, np.uint64).view(np.int64))
                 marks.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
             made = {c: batch.column(c) for c in ("doc_id", "row", "name")}
             yield pa.RecordBatch.from_pydict(
                 made | {
-                    "code": pa.array(np.array(codes, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()),
+                    "code": pa.array(np.array(codes, np.uint64).view(np.int64)), "print": pa.array(prints, pa.int64()), "n": pa.array(sizes, pa.int32()),
                     "bands": pa.array(bands, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary()),
                 }
             )
@@ -325,6 +333,19 @@ def near_pairs(entries: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return cut(near)
 
 
+def print_pairs(entries: DataFrame, radius: int) -> DataFrame:
+    """(u, v): every text with the first one of its SimHash, and the first texts of SimHashes that a BK-tree links."""
+    spark = entries.sparkSession
+    firsts = cut(entries.groupBy("print").agg(F.min("code").alias("first")))
+    links = link_codes(firsts.select(F.col("print").alias("code")), radius, near=True)
+    first = lambda c: firsts.select(F.col("print").alias(c), F.col("first").alias(f"f_{c}"))
+    wide = links.join(first("u"), "u").join(first("v"), "v").selectExpr("greatest(f_u, f_v) u", "least(f_u, f_v) v")
+    equal = entries.select("code", "print").join(firsts, "print").filter("code <> first").selectExpr("code u", "first v")
+    pairs = cut(wide.unionByName(equal).distinct())
+    discard(spark, firsts, links)
+    return pairs
+
+
 def hub_pairs(buckets: DataFrame) -> DataFrame:
     """(u, v): every text of a bucket with three of its texts, so that a large group of near copies makes rows in
     proportion and soon is one component."""
@@ -376,10 +397,12 @@ def open_pairs(entries: DataFrame, buckets: DataFrame, roots: DataFrame) -> Data
     return pairs
 
 
-def similar_roots(docs: DataFrame, entries: DataFrame, text: str, width: int, least: float) -> DataFrame:
+def similar_roots(docs: DataFrame, entries: DataFrame, text: str, width: int, least: float, radius: int) -> DataFrame:
     """(node, root) of the codes linked by pairs of texts with a similarity of ``least``, each compared in full.
 
-    First each text with the hub most like it, then with its other hubs that are not yet in its component, then
+    First the texts whose SimHashes BK-trees link within ``radius`` bits (see :func:`print_pairs`).  Texts of the least similarity
+    differ in some ten bits, a radius at which a tree prunes nothing, so those still apart meet by bands of minima:
+    each text with the hub most like it, then with its other hubs that are not yet in its component, then
     all texts of a bucket that are still apart.
     """
     spark = docs.sparkSession
@@ -400,17 +423,24 @@ def similar_roots(docs: DataFrame, entries: DataFrame, text: str, width: int, le
         placed = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
         return placed.filter(F.coalesce("r_u", "u") != F.coalesce("r_v", "v"))
 
+    joined = lambda old, new: cut(components(old.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)))
+    met = print_pairs(entries, radius)
+    texts = texts_of(met)
+    links = verified(met, texts)
+    linked = cut(components(links))
+    discard(spark, met, texts, links)
+
     met = hub_pairs(buckets)
-    near = near_pairs(entries, met, least)
+    sized = near_pairs(entries, met, least)
+    near = cut(apart(sized, linked).select("u", "v", "estimate"))
     texts = texts_of(near)
     best = near.groupBy("u").agg(F.max(F.struct("estimate", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
     best = cut(best)
     links = verified(best, texts)
-    roots = cut(components(links))
+    roots = joined(linked, links)
     more = verified(apart(near.join(best, ["u", "v"], "left_anti"), roots), texts)
-    joined = lambda old, new: cut(components(old.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)))
     wider = joined(roots, more)
-    discard(spark, met, near, texts, best, links, roots, more)
+    discard(spark, met, sized, near, texts, best, links, linked, roots, more)
 
     met = open_pairs(entries, buckets, wider)
     near = near_pairs(entries, met, least)
@@ -421,19 +451,19 @@ def similar_roots(docs: DataFrame, entries: DataFrame, text: str, width: int, le
     return out
 
 
-def keep_one_similar(docs: DataFrame, text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one_similar(docs: DataFrame, text: str = "text", width: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """``docs`` less all but one row of each group of texts linked by a similarity of at least ``least``.
 
     The similarity is the Jaccard index of the sets of shingles of ``width`` lower-case words, a text of fewer words
-    being one shingle.  Candidates share a band of minima (see :func:`similar_roots`); only pairs whose whole texts were
+    being one shingle.  Candidates have SimHashes that a BK-tree links, or share a band of minima (see :func:`similar_roots`); only pairs whose whole texts were
     compared link.  Which row stays is as in :func:`keep_one`; texts without words are one group.
     """
     row = row_key(docs)
     named = docs.select("doc_id", row.alias("row"), F.xxhash64(F.col(text)).alias("name"), F.col(text).alias("text"))
     prints = cut(sketches(named, "text", width))
-    firsts = [F.first(c).alias(c) for c in ("name", "n", "bands", "marks")]
+    firsts = [F.first(c).alias(c) for c in ("name", "print", "n", "bands", "marks")]
     entries = cut(prints.groupBy("code").agg(*firsts))
-    roots = similar_roots(docs, entries.filter("n > 0"), text, width, least)
+    roots = similar_roots(docs, entries.filter("n > 0"), text, width, least, radius)
     discard(docs.sparkSession, entries)
     groups = prints.select("doc_id", "row", "code").join(roots, F.col("code") == F.col("node"), "left")
     return _first_rows(docs, row, groups.select("doc_id", "row", F.coalesce("root", "code").alias("root")))

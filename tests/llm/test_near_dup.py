@@ -210,3 +210,33 @@ def test_three_partings_bound_a_shard():
     for _ in range(2):
         masks = [m for fixed in masks for m in nd.family_masks(3, fixed=fixed)]
     assert len(masks) == 1000 and min(m.bit_count() for m in masks) >= 48
+
+
+def test_tree_tells_pairs_that_are_near_themselves():
+    rng = np.random.default_rng(5)
+    codes = np.unique(np.bitwise_xor.accumulate(np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)))
+    met = []
+    root = nd.tree_links(codes, 3, met)
+    assert all(int(codes[a] ^ codes[b]).bit_count() <= 3 for a, b in met)
+    parent = list(range(len(codes)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in met:
+        parent[top(a)] = top(b)
+    assert len({top(x) for x in range(len(codes))}) == len(set(root.tolist()))
+
+
+def test_similar_texts_meet_by_trees_alone(spark, monkeypatch):
+    """The pipeline's near-dedup links SimHashes with BK-trees first; a link counts after its texts were compared."""
+    words = [f"w{n}" for n in range(400)]
+    near = words[:399] + ["other"]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1])), (4, " ".join(words).upper())]
+    none = lambda *a: nd.cut(spark.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(nd, "hub_pairs", none)
+    monkeypatch.setattr(nd, "open_pairs", none)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nd.keep_one_similar(docs).collect()) == [1, 3]
