@@ -189,7 +189,8 @@ def search_corpus(
     )
     held = held.filter(F.col("known") == F.size(_grams(F.col("token")))).select("token", "gram")
     named = held.join(index.grams.select("gram", "word"), "gram").filter(F.contains("word", F.col("token")))
-    found = named.select("token", "word").join(index.postings, "word")
+    # what a query finds in one text is added up where the text's postings lie, so query and text pairs are never shuffled
+    found = named.select("token", "word").join(index.postings, "word").repartition("ord")
     found = found.groupBy("token", "ord", "jurisdiction").agg(F.bit_or("parts").alias("parts"))
     weight = F.lit(1.0)
     for bit, more in sorted({v for v in PARTS.values() if v[1]}):
