@@ -221,3 +221,17 @@ def test_batches_do_not_grow_with_files(spark):
     got = landing.run_to_end(sq._replay(spark, rows, "many-files"), "many-files")
     batches = {f.split("batch=")[1].split("/")[0] for f in got.inputFiles()}
     assert got.count() == 400 and len(batches) <= sq.LANDINGS
+
+
+def test_late_rows_land_two_batches_after_the_mark(spark):
+    """However many files a batch takes, late rows are never in the batch that moves the watermark or the one after."""
+    from crewframe.plans import stream_queries as sq
+
+    rows = spark.range(12).selectExpr("id", "timestamp'2024-01-01' + make_interval(0, 0, 0, id) ts").repartition(3)
+    last = rows.agg(F.lit(-1).cast("long").alias("id"), (F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+    stream = sq._replay(spark, rows, "late-test", last=last, late=rows.withColumn("id", F.col("id") + 100))
+    got = landing.run_to_end(stream, "late-test", lambda batch: batch.distinct())
+    where = {}
+    for id_, path in got.select("id", F.input_file_name()).collect():
+        where.setdefault(id_, set()).add(int(path.split("batch=")[1].split("/")[0]))
+    assert min(min(where[n]) for n in range(100, 112)) >= min(where[-1]) + 2
