@@ -112,3 +112,14 @@ def test_hot_receipt_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_search_shuffles_no_pairs_of_query_and_text(spark):
+    import re
+
+    from crewframe.operators import search
+
+    asked = spark.createDataFrame([(1, "wages and hours")], "item_id long, query string")
+    found = search.search_corpus(asked, search.index_corpus(search.statutes(spark)), ["item_id"])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(ord#", text) and not re.search(r"hashpartitioning\(item_id#\d+L?, ord#", text)
