@@ -10,6 +10,9 @@ from crewframe import refdata
 from crewframe.operators.sequences import nearest_marks, reached
 from crewframe.session import cut, discard
 
+#: most updates of an entity that one task walks
+WALKED = 1024
+
 
 def role_allows(role: Column, permission: Column) -> Column:
     """Does the role hold the permission?  Six constant arrays in one CASE: no join."""
@@ -132,6 +135,39 @@ def version_conflicts(updates: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def _walked(rows: DataFrame, current: DataFrame, kind: T.DataType) -> DataFrame:
+    """(row, remote_version) of the updates of entities of which each has few, and one row in ``current`` at most.
+
+    ``rows``: entity_type, entity_id, expected_version, new_version, place, row; versions are of type ``kind``.  Updates at
+    one place count as one step.
+    """
+    keys = ["entity_type", "entity_id"]
+    # nothing is before the place that has neither order nor tie
+    placed = rows.filter(F.col("place.o").isNotNull() | F.col("place.i").isNotNull())
+    update = F.struct("place", "expected_version", "new_version", "row")
+    found = placed.groupBy(*keys).agg(F.collect_list(update).alias("updates")).join(current, keys, "left")
+    known = F.col("entity_type").isNotNull() & F.col("entity_id").isNotNull()  # what has no key has no version
+    by_place = lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+
+    def walk(done: Column, update: Column) -> Column:
+        again = update["place"].eqNullSafe(done["place"])
+        remote = F.when(again, done["remote"]).otherwise(done["version"])
+        expected, new = update["expected_version"], update["new_version"].cast(kind)
+        applies = F.col("known") & (expected.isNull() | F.coalesce(expected == remote, F.lit(False)))
+        return F.struct(
+            update["place"].alias("place"), remote.alias("remote"),
+            F.when(applies, new).otherwise(done["version"]).alias("version"),
+            F.array_append(done["out"], F.struct(update["row"].alias("row"), remote.alias("remote_version"))).alias("out"),
+        )
+
+    out = T.ArrayType(T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("remote_version", kind)]))
+    held = F.col("current_version").cast(kind)
+    nowhere = F.lit(None).cast(rows.schema["place"].dataType)
+    start = F.struct(nowhere.alias("place"), held.alias("remote"), held.alias("version"), F.array().cast(out).alias("out"))
+    walked = F.aggregate(F.array_sort("updates", by_place), start, walk, lambda done: done["out"])
+    return found.withColumn("known", known).select(F.explode(walked).alias("met")).select("met.*")
+
+
 def applied_in_order(updates: DataFrame, current: DataFrame, order: str, tie: str) -> DataFrame:
     """``updates`` of one batch applied in (order, tie) order of each entity: ``remote_version`` that each one meets,
     ``is_conflict`` and ``conflict_message``.
@@ -141,15 +177,42 @@ def applied_in_order(updates: DataFrame, current: DataFrame, order: str, tie: st
     of two writers that read the same version conflicts.  An entity that is not in ``current`` (entity_type,
     entity_id, current_version) has no version.
 
-    What an update leaves decides which update is applied next: the first after it that expects that version or none.  These
-    jumps are found for all updates at once and followed by doubling, so an entity with very many updates is
-    never walked in one task.
+    An entity of at most WALKED updates is walked.  An entity with more is never walked in one task, see :func:`_jumped`.
     """
     keys = ["entity_type", "entity_id"]
     spark = updates.sparkSession
     place = F.struct(F.col(order).alias("o"), F.col(tie).alias("i"), F.lit(0).alias("f"))
     whole = F.struct(*[F.col(f"`{c}`") for c in updates.columns]).alias("row")
     rows = cut(updates.select(*keys, "expected_version", "new_version", place.alias("place"), whole))
+    held = cut(current.select(*keys, "current_version"))
+    kind = rows.select("new_version").union(held.select("current_version")).schema[0].dataType
+    more = lambda df, n: df.groupBy(*keys).count().filter(F.col("count") > n).select(*keys)
+    # whose version is stored twice is left to the jumps as well
+    many = cut(more(rows, WALKED).unionByName(more(held, 1)).distinct())
+    if many.isEmpty():
+        met = _walked(rows, held, kind)
+    else:
+        named = many.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = F.col("_entity_type").eqNullSafe(F.col("entity_type")) & F.col("_entity_id").eqNullSafe(F.col("entity_id"))
+        met = _walked(rows.join(named, same, "left_anti"), held, kind)
+        met = met.unionByName(_jumped(rows.join(named, same, "left_semi"), held))
+    expected, remote = F.col("expected_version"), F.col("remote_version")
+    conflict = expected.isNotNull() & ~expected.eqNullSafe(remote)
+    out = met.select("row.*", "remote_version").withColumn("is_conflict", conflict)
+    out = cut(out.withColumn("conflict_message", F.when(conflict, _conflict_message(expected, remote))))
+    discard(spark, rows, held, many)
+    return out
+
+
+def _jumped(rows: DataFrame, current: DataFrame) -> DataFrame:
+    """(row, remote_version) of the updates of entities of any size; ``rows`` as in :func:`_walked`.
+
+    What an update leaves decides which update is applied next: the first after it that expects that version or none.  These
+    jumps are found for all updates at once and followed by doubling, so an entity with very many updates is
+    never walked in one task.
+    """
+    keys = ["entity_type", "entity_id"]
+    spark, rows = rows.sparkSession, cut(rows)
     stored = rows.select(*keys).distinct().join(current.select(*keys, "current_version"), keys, "left")
     kinds = rows.schema["place"].dataType
     # nulls sort first: before every update
@@ -173,10 +236,6 @@ def applied_in_order(updates: DataFrame, current: DataFrame, order: str, tie: st
         stored.select(*keys, "place", F.col("current_version").alias("version"))
     )
     met = nearest_marks(versions, rows.select(*keys, "place", "row"), keys, "place", before=True)
-    out = met.select("row.*", F.col("mark.version").alias("remote_version"))
-    expected, remote = F.col("expected_version"), F.col("remote_version")
-    conflict = expected.isNotNull() & ~expected.eqNullSafe(remote)
-    out = out.withColumn("is_conflict", conflict)
-    out = cut(out.withColumn("conflict_message", F.when(conflict, _conflict_message(expected, remote))))
+    out = cut(met.select("row", F.col("mark.version").alias("remote_version")))
     discard(spark, rows, stored)
     return out

@@ -195,6 +195,40 @@ def test_updates_of_one_batch_in_order(spark):
     assert governance.applied_in_order(twice.limit(0), base, "at", "n").collect() == []
 
 
+def test_small_entities_are_walked_and_agree_with_the_jumps(spark, monkeypatch):
+    """Entities of few updates take no sort over the cluster; repeated rows, null keys and null places come out alike."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for n in range(400):
+        entity = rng.choice([None, "A", "B", *(f"E{i}" for i in range(30))])
+        expected = None if rng.random() < 0.2 else f"v{rng.randrange(3)}"
+        at = None if rng.random() < 0.1 else rng.randrange(40)
+        rows.append((None if rng.random() < 0.05 else "EMPLOYEE", entity, expected, rng.choice([None, "v0", "v1", "v2"]), at, n))
+    rows += rng.sample(rows, 60)
+    rows.append(("EMPLOYEE", "A", "v0", "v1", None, None))
+    shape = "entity_type string, entity_id string, expected_version string, new_version string, at long, n long"
+    updates = spark.createDataFrame(rows, shape).repartition(3)
+    held = [("EMPLOYEE", "A", "v0"), ("EMPLOYEE", None, "v0"), *(("EMPLOYEE", f"E{i}", "v1") for i in range(0, 30, 2))]
+    current = spark.createDataFrame(held, "entity_type string, entity_id string, current_version string")
+
+    def found():
+        return sorted((tuple(r) for r in governance.applied_in_order(updates, current, "at", "n").collect()), key=repr)
+
+    monkeypatch.setattr(governance, "WALKED", 0)
+    jumped = found()
+    monkeypatch.setattr(governance, "WALKED", 20)
+    assert found() == jumped
+    monkeypatch.undo()
+
+    def sorts(*_, **__):
+        raise AssertionError("sorted over the cluster")
+
+    monkeypatch.setattr(governance, "nearest_marks", sorts)
+    assert found() == jumped and len(jumped) == len(rows) - 1
+
+
 def test_keys_sorted_in_the_plan_and_by_variant_agree(spark):
     shape = "struct<b:string,a:struct<z:bigint,y:array<struct<k:int,j:string>>>,n:string,flag:boolean>"
     df = spark.sql(
