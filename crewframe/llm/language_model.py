@@ -6,9 +6,11 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,7 +130,7 @@ class Lexicon:
     def indexed(self, words: list[bytes]) -> np.ndarray:
         """Place of each word among the held ones, or -1."""
         get = self.index.get
-        return np.array([get(w, -1) for w in words], np.int64)
+        return np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
 
     def places(self, words: list[bytes], indexed: np.ndarray | None = None) -> np.ndarray:
         """The start and the network's place of each word."""
@@ -136,8 +138,8 @@ class Lexicon:
         out = np.empty(len(words) + 1, np.int64)
         out[0] = self.vocabulary.start
         out[1:] = self.ids[at] if len(self.ids) else 0
-        for i in np.flatnonzero(at < 0):
-            out[i + 1] = self.tail_id(words[i])
+        rare = np.flatnonzero(at < 0)
+        out[rare + 1] = [self.tail_id(words[i]) for i in rare.tolist()]
         return out
 
 
@@ -147,19 +149,23 @@ def training_runs(docs: DataFrame, lexicon) -> DataFrame:
     The pieces of a document go to the rounds by a hash, so a long text is not learned from in one go.
     """
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon.value
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].astype(str), batch["text"], strict=True):
+            rounds, pieces = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 places = known.places(tokens(text))
                 for number, first in enumerate(range(0, len(places) - 1, PIECE)):
                     spot = zlib.crc32(f"{doc_id}/{number}".encode(), 1)
-                    out.append((spot % ROUNDS, places[first : first + PIECE + 1].tolist()))
-            yield pd.DataFrame(out, columns=["round", "run"])
+                    rounds.append(spot % ROUNDS)
+                    pieces.append(places[first : first + PIECE + 1])
+            if pieces:
+                ends = np.cumsum([0, *map(len, pieces)])
+                run = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(pieces), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int32()), run], ["round", "run"])
 
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id")
-    return docs.select(ids, "text").mapInPandas(runs, "round int, run array<int>")
+    return docs.select(ids, "text").mapInArrow(runs, "round int, run array<int>")
 
 
 def _mean(weights: list[dict], shares: list[float]) -> dict[str, np.ndarray]:
@@ -241,7 +247,7 @@ def score(docs: DataFrame, lexicon, weights: dict[str, np.ndarray]) -> DataFrame
                 at = known.indexed(words)
                 runs.append(known.places(words, at))
                 held = at[at >= 0]
-                rare = sorted(Counter(words[i] for i in np.flatnonzero(at < 0)).items())
+                rare = sorted(Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items())
                 base, inside = float(known.bases[held].sum()), float(known.inside[held].sum())
                 rows.append((len(words), len(held), base, inside, [w.decode() for w, _ in rare], [n for _, n in rare]))
             logs = log_likelihoods(known.vocabulary, sent.value, runs) / np.log(10)

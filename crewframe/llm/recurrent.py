@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +14,12 @@ HIDDEN = 32
 TAILS = 32
 #: words of a class at most
 CLASS_WORDS = 128
+#: logits as far apart as this get one shift before they are raised; float32 holds their powers
+SPREAD = 60
+#: rows of an id that are added up for all ids at once
+AT_ONCE = 16
+#: words of the texts that are packed into lanes at once
+PACKED = 1 << 22
 
 
 @dataclass
@@ -61,60 +69,210 @@ def first_weights(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarra
     }
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """By exp, which numpy has vectorised for more processors than tanh; far values end at 0 and 1."""
-    return 1 / (1 + np.exp(np.minimum(-x, 80)))
+class Room:
+    """Arrays that are used again from window to window, as touching new memory costs more than the arithmetic on it."""
 
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
 
-def step(w: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray) -> tuple:
-    """The state after one more input of each row, and the gates."""
-    gates = w["x"][ids]
-    back = h @ w["h"]
-    zr = sigmoid(gates[:, : 2 * HIDDEN] + back[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = 2 * sigmoid(2 * (gates[:, 2 * HIDDEN :] + r * back[:, 2 * HIDDEN :])) - 1
-    return n + z * (h - n), (z, r, n, back[:, 2 * HIDDEN :])
+    def __call__(self, name: str, shape: tuple[int, ...], like: np.ndarray) -> np.ndarray:
+        """An array of any content, valid until the next of its ``name``."""
+        size = math.prod(shape)
+        held = self.held.get(name)
+        if held is None or held.size < size or held.dtype != like.dtype:
+            held = self.held[name] = np.empty(size, like.dtype)
+        return held[:size].reshape(shape)
+
+
+def _gates(rows: np.ndarray) -> np.ndarray:
+    """A view of rows of three gates, of any shape before them, that has the gates first."""
+    return np.moveaxis(rows.reshape(*rows.shape[:-1], 3, HIDDEN), -2, 0)
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of ``at`` in each column, and the probabilities (in the place of the logits)."""
-    logits -= logits.max(axis=0)
-    own = logits[at, np.arange(len(at))]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=0)
-    return own - np.log(total), np.divide(logits, total, out=logits)
+def _walk(x: np.ndarray, h3: np.ndarray, h: np.ndarray, room: Room, fresh: np.ndarray | None = None) -> tuple:
+    """States of rows over a window, the one before it first; twice the gates z and r with half the third of ``h`` times the weights; n.
+
+    ``x`` is what the inputs add to the gates (half of it for z and r), as (gate, step, row, unit), and ``h3`` the recurrent weights as
+    (gate, unit, unit).  Rows marked in ``fresh`` (step, row) forget their state before that step.
+    """
+    states = room("states", (x.shape[1] + 1, *x.shape[2:]), x)
+    states[0] = h
+    back, n = room("back", x.shape, x), room("n", x.shape[1:], x)
+    # a sigmoid is half of one more than the tanh of half its input
+    h3 = h3 * h3.dtype.type(0.5)
+    begun = fresh.any(axis=1) if fresh is not None else np.zeros(x.shape[1], bool)
+    for t in range(x.shape[1]):
+        before, gates, new, after = states[t], back[:, t], n[t], states[t + 1]
+        if begun[t]:
+            before = np.where(fresh[t][:, None], before.dtype.type(0), before)
+        np.matmul(before, h3, out=gates)
+        zr = gates[:2]
+        zr += x[:2, t]
+        np.tanh(zr, out=zr)
+        zr += 1
+        np.multiply(gates[1], gates[2], out=new)
+        new += x[2, t]
+        np.tanh(new, out=new)
+        np.subtract(before, new, out=after)
+        after *= gates[0]
+        after *= 0.5
+        after += new
+    return states, back, n
 
 
-def log_probs(vocabulary: Vocabulary, w: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
+def step(w: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray) -> tuple:
+    """The state after one more input of each row, and the gates."""
+    x = _gates(w["x"][ids[None]])
+    x[:2] *= 0.5
+    states, back, n = _walk(x, np.ascontiguousarray(_gates(w["h"])), h, Room())
+    return states[1], (back[0, 0] / 2, back[1, 0] / 2, n[0], back[2, 0] * 2)
+
+
+def log_probs(vocabulary: Vocabulary, w: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None, room: Room | None = None):
     """Log probability (natural) of each target after its state: class, then word within the class.
 
-    With ``grads``, adds the gradient of the negative sum to it and returns the states' gradient as well.
+    With ``grads``, puts the gradient of the negative sum into it and returns the states' gradient as well.
+
+    The logits of all classes' words, and of the classes, are blocks (choice, target) of one flat array.
     """
-    classes = vocabulary.class_of[targets]
-    out, p = _softmax(w["c"].T @ states.T + w["cb"][:, None], classes)
-    d_states = None
-    if grads is not None:
-        p[classes, np.arange(len(targets))] -= 1
-        grads["c"] += (p @ states).T
-        grads["cb"] += p.sum(axis=1)
-        d_states = (w["c"] @ p).T
-    order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(vocabulary.n_head + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        a, b = vocabulary.edges[c], vocabulary.edges[c + 1]
-        if b - a == 1:
-            continue
-        rows = order[bounds[c] : bounds[c + 1]]
-        inside = states[rows]
-        words = targets[rows] - a
-        own, p = _softmax(w["u"][a:b] @ inside.T + w["ub"][a:b, None], words)
-        out[rows] += own
-        if grads is not None:
-            p[words, np.arange(len(rows))] -= 1
-            grads["u"][a:b] += p @ inside
-            grads["ub"][a:b] += p.sum(axis=1)
-            d_states[rows] += p.T @ w["u"][a:b]
-    return (out, d_states) if grads is not None else out
+    room = room or Room()
+    order = np.argsort(vocabulary.class_of[targets].astype(np.int16), kind="stable")
+    # side by side by class, so that a class is a slice, with a one for the bias
+    words = targets.take(order)
+    classes = vocabulary.class_of[words]
+    laid = room("laid", (len(words), HIDDEN + 1), states)
+    laid[:, :HIDDEN] = states.take(order, axis=0, out=room("sorted", states.shape, states), mode="clip")
+    laid[:, HIDDEN] = 1
+    by_class, by_word = np.column_stack([w["c"].T, w["cb"]]), np.column_stack([w["u"], w["ub"]])
+    # the words that have others in their class: by class its first word, its words, its targets, where these begin
+    sizes = np.append(np.diff(vocabulary.edges), np.zeros(TAILS, int))
+    keep = np.flatnonzero(sizes[classes] > 1)
+    bounds = np.searchsorted(classes[keep], np.arange(len(sizes) + 1))
+    times = np.diff(bounds)
+    begin = np.cumsum(sizes * times) - sizes * times + len(by_class) * len(words)
+    flat = room("logits", (len(by_class) * len(words) + int((sizes * times).sum()),), states)
+    top = flat[: len(by_class) * len(words)].reshape(len(by_class), len(words))
+    inner = laid.take(keep, axis=0, out=room("inner", (len(keep), HIDDEN + 1), states), mode="clip")
+    blocks = [
+        (slice(vocabulary.edges[c], vocabulary.edges[c + 1]), slice(bounds[c], bounds[c + 1]),
+         flat[begin[c] : begin[c] + sizes[c] * times[c]].reshape(sizes[c], times[c]))
+        for c in np.flatnonzero(times)
+    ]
+    np.matmul(by_class, laid.T, out=top)
+    for of, part, block in blocks:
+        np.matmul(by_word[of], inner[part].T, out=block)
+    most = flat.max(initial=-np.inf)
+    if most - flat.min(initial=np.inf) < SPREAD:
+        flat -= most
+    else:
+        for block in [top, *(block for _, _, block in blocks)]:
+            block -= block.max(axis=0)
+    at = classes[keep]
+    within = begin[at] + (words[keep] - vocabulary.edges[at]) * times[at] + np.arange(len(keep)) - bounds[at]
+    place = np.concatenate([classes * len(words) + np.arange(len(words)), within])
+    own = flat.take(place)
+    np.exp(flat, out=flat)
+    total = np.empty_like(own)
+    ones = np.ones(max(len(by_class), CLASS_WORDS), states.dtype)
+    np.matmul(ones[: len(by_class)], top, out=total[: len(words)])
+    in_total = total[len(words) :]
+    for _, part, block in blocks:
+        np.matmul(ones[: len(block)], block, out=in_total[part])
+    logs = own - np.log(total)
+    out = logs[: len(words)].copy()
+    out[keep] += logs[len(words) :]
+    found = np.empty_like(out)
+    found[order] = out
+    if grads is None:
+        return found
+    # powers less the total at the target are the gradient times the total, by which the states are divided instead
+    flat[place] -= total
+    share, in_share = np.split(1 / total[:, None], [len(words)])
+    laid *= share
+    d_class = top @ laid
+    d_laid = np.matmul(top.T, by_class[:, :HIDDEN], out=room("d_laid", (len(words), HIDDEN), states))
+    d_laid *= share
+    inner *= in_share
+    d_word, d_inner = room("d_word", by_word.shape, states), room("d_inner", (len(keep), HIDDEN), states)
+    d_word.fill(0)
+    for of, part, block in blocks:
+        np.matmul(block, inner[part], out=d_word[of])
+        np.matmul(block.T, by_word[of, :HIDDEN], out=d_inner[part])
+    d_inner *= in_share
+    d_laid[keep] += d_inner
+    grads |= {"c": d_class[:, :HIDDEN].T, "cb": d_class[:, HIDDEN], "u": d_word[:, :HIDDEN], "ub": d_word[:, HIDDEN]}
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return found, d_laid.take(back, axis=0, out=room("d_states", d_laid.shape, d_laid), mode="clip")
+
+
+def _sums_by_id(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``ids``, and the sums of their ``rows`` (gate, row, unit) as one row of all gates."""
+    counts = np.bincount(ids)
+    met = np.flatnonzero(counts)
+    order = np.argsort(ids.astype(np.uint16) if len(counts) < 1 << 16 else ids, kind="stable")
+    often = np.argsort(-counts[met], kind="stable")
+    first = (np.cumsum(counts[met]) - counts[met])[often]
+    met = met[often]
+    n = counts[met]
+    # the first few of each id all at once, what is left of the frequent ids one id after the other
+    sums = rows.take(order[first], axis=1)
+    for k in range(1, min(AT_ONCE, int(n[0]))):
+        more = int((n > k).sum())
+        sums[:, :more] += rows.take(order[first[:more] + k], axis=1)
+    for i in range(int((n > AT_ONCE).sum())):
+        more = rows.take(order[first[i] + AT_ONCE : first[i] + n[i]], axis=1)
+        sums[:, i] += np.ones(more.shape[1], more.dtype) @ more
+    return met, np.moveaxis(sums, 0, 1).reshape(len(met), -1)
+
+
+def _gradients(vocabulary: Vocabulary, w: dict, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, room: Room):
+    """What :func:`backpropagate` returns, with the ids that were met before the gradients, which hold only their rows of ``x``."""
+    grads: dict[str, np.ndarray] = {}
+    h3 = np.ascontiguousarray(_gates(w["h"]))
+    turned = np.ascontiguousarray(inputs.T)
+    x = w["x"].take(turned, axis=0, out=room("x", (*turned.shape, 3 * HIDDEN), h), mode="clip")
+    x[..., : 2 * HIDDEN] *= 0.5
+    states, back, n = _walk(_gates(x), h3, h, room)
+    back *= np.array([0.5, 0.5, 2], back.dtype)[:, None, None, None]
+    before, (z, r, third) = states[:-1], back
+    wanted = targets.T.ravel()
+    flat = states[1:].reshape(-1, HIDDEN)
+    real = np.flatnonzero(wanted >= 0)
+    if len(real) == len(wanted):
+        out, d_states = log_probs(vocabulary, w, flat, wanted, grads, room)
+    else:
+        out, d_real = log_probs(vocabulary, w, flat.take(real, axis=0), wanted.take(real), grads, room)
+        d_states = np.zeros_like(flat)
+        d_states[real] = d_real
+    d = d_states.reshape(n.shape)
+    # each gate's gradient is the state's times what is known before the way back
+    kept = np.subtract(1, z, out=room("kept", n.shape, n))
+    d_new = np.multiply(n, n, out=room("d_new", n.shape, n))
+    np.subtract(1, d_new, out=d_new)
+    d_new *= kept
+    slope = room("slope", back.shape, back)
+    np.subtract(before, n, out=slope[0])
+    slope[0] *= z
+    slope[0] *= kept
+    np.multiply(d_new, r, out=slope[2])
+    np.subtract(1, r, out=slope[1])
+    slope[1] *= third
+    slope[1] *= slope[2]
+    h3_turned = np.ascontiguousarray(h3.transpose(0, 2, 1))
+    d_next, through = np.zeros_like(h), np.empty((3, *h.shape), h.dtype)
+    for t in reversed(range(inputs.shape[1])):
+        d[t] += d_next
+        slope[:, t] *= d[t]
+        np.matmul(slope[:, t], h3_turned, out=through)
+        np.multiply(d[t], z[t], out=d_next)
+        for gate in through:
+            d_next += gate
+    came = before.reshape(-1, HIDDEN).T
+    grads["h"] = np.concatenate([came @ gate.reshape(-1, HIDDEN) for gate in slope], axis=1)
+    np.multiply(d, d_new, out=slope[2])
+    ids, grads["x"] = _sums_by_id(slope.reshape(3, -1, HIDDEN), turned.ravel())
+    return -float(out.sum()), len(real), ids, grads, states[-1]
 
 
 def backpropagate(vocabulary: Vocabulary, w: dict, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray):
@@ -123,35 +281,10 @@ def backpropagate(vocabulary: Vocabulary, w: dict, inputs: np.ndarray, targets:
     ``inputs`` and ``targets`` are (rows, window); a target of -1 is no word.  The state ``h`` that comes in is taken as
     given, which is where the backpropagation is cut off.
     """
-    grads = {k: np.zeros_like(v) for k, v in w.items()}
-    kept, states = [], []
-    for t in range(inputs.shape[1]):
-        new, gates = step(w, inputs[:, t], h)
-        kept.append((h, gates))
-        states.append(new)
-        h = new
-    real = np.argwhere(targets.T >= 0)
-    stacked = np.stack(states)
-    flat = stacked[real[:, 0], real[:, 1]]
-    out, d_flat = log_probs(vocabulary, w, flat, targets.T[real[:, 0], real[:, 1]], grads)
-    d_states = np.zeros_like(stacked)
-    d_states[real[:, 0], real[:, 1]] = d_flat
-    d_next = np.zeros_like(h)
-    d_gates = np.empty((inputs.shape[1], len(h), 3 * HIDDEN), np.float32)
-    for t in reversed(range(inputs.shape[1])):
-        before, (z, r, n, back) = kept[t]
-        d = d_states[t] + d_next
-        dz = d * (before - n) * z * (1 - z)
-        dn = d * (1 - z) * (1 - n * n)
-        dr = dn * back * r * (1 - r)
-        recurrent = np.concatenate([dz, dr, dn * r], axis=1)
-        grads["h"] += before.T @ recurrent
-        d_gates[t] = np.concatenate([dz, dr, dn], axis=1)
-        d_next = d * z + recurrent @ w["h"].T
-    order = np.argsort(inputs.T.ravel(), kind="stable")
-    ids, first = np.unique(inputs.T.ravel()[order], return_index=True)
-    grads["x"][ids] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], first)
-    return -float(out.sum()), len(real), grads, h
+    loss, n, ids, grads, h = _gradients(vocabulary, w, inputs, targets, h, Room())
+    whole = np.zeros_like(w["x"])
+    whole[ids] = grads["x"]
+    return loss, n, grads | {"x": whole}, h
 
 
 class Trainer:
@@ -161,7 +294,7 @@ class Trainer:
         self.vocabulary, self.window, self.rate = vocabulary, window, rate
         self.weights = {k: v.copy() for k, v in weights.items()}
         self.squares = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
-        self.tokens, self.loss = 0, 0.0
+        self.tokens, self.loss, self.room = 0, 0.0, Room()
 
     def learn(self, rows: list[np.ndarray]) -> None:
         """Rows of places; the first of each is the input before its first word.  A row that has ended is left out."""
@@ -175,53 +308,85 @@ class Trainer:
             live = int((lengths - 1 > at).sum())
             inputs = np.maximum(table[:live, at : min(at + self.window, int(lengths[0]) - 1)], 0)
             targets = table[:live, at + 1 : at + 1 + inputs.shape[1]]
-            loss, n, grads, h = backpropagate(self.vocabulary, self.weights, inputs, targets, h[:live])
+            loss, n, ids, grads, h = _gradients(self.vocabulary, self.weights, inputs, targets, h[:live], self.room)
             self.loss, self.tokens = self.loss + loss, self.tokens + n
-            self.update(grads, inputs, targets, 1.0 / live)
+            self.update(grads, ids, targets, 1.0 / live)
 
-    def update(self, grads: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, scale: float) -> None:
-        """Only rows that the window touched: the gradient of the others is zero, which moves nothing."""
+    def update(self, grads: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray, scale: float) -> None:
+        """Only rows that the window touched (of ``x`` the ``ids``): the gradient of the others is zero, which moves nothing."""
         met = np.zeros(self.vocabulary.n_head + TAILS, bool)
         met[self.vocabulary.class_of[targets[targets >= 0]]] = True
-        words = np.flatnonzero(met[self.vocabulary.class_of[: len(self.vocabulary.counts)]])
-        rows = {"x": np.unique(inputs), "u": words, "ub": words}
-        grads = {k: g[rows[k]] if k in rows else g for k, g in grads.items()}
-        norm = scale * float(np.sqrt(sum((g * g).sum(dtype=np.float64) for g in grads.values())))
+        met = met[self.vocabulary.class_of[: len(self.vocabulary.counts)]]
+        # a slice is quicker than most rows by number
+        words = np.flatnonzero(met) if met.sum() * 2 < len(met) else slice(None)
+        rows = {"x": ids, "u": words, "ub": words}
+        grads = {k: g[words] if k in ("u", "ub") else g for k, g in grads.items()}
+        powers = {k: g * g for k, g in grads.items()}
+        norm = scale * math.sqrt(sum(float(p.sum()) for p in powers.values()))
         scale *= min(1.0, 5.0 / max(norm, 1e-9))
         for k, g in grads.items():
-            g = g * np.float32(scale)
             at = rows.get(k, slice(None))
-            self.squares[k][at] += g * g
-            self.weights[k][at] -= np.float32(self.rate) * g / np.sqrt(self.squares[k][at])
-
-
-def log_likelihoods(vocabulary: Vocabulary, w: dict, texts: list[np.ndarray], rows: int = 1024, window: int = 64) -> np.ndarray:
+            squares = powers[k]
+            squares *= np.float32(scale * scale)
+            squares += self.squares[k][at]
+            self.squares[k][at] = squares
+            np.sqrt(squares, out=squares)
+            np.divide(g, squares, out=squares)
+            squares *= np.float32(self.rate * scale)
+            self.weights[k][at] -= squares
+
+
+def _lanes(texts: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets (-1: none) and text numbers, each (step, lane): texts one after the other in lanes of about equal length."""
+    sizes = [len(text) - 1 for text in texts]
+    wide = min(rows, max(1, -(-sum(sizes) // max(1, max(sizes)))))
+    filled = [(0, lane) for lane in range(wide)]
+    places = []
+    for size in sizes:  # longest first, each into the lane that ends first
+        at, lane = heapq.heappop(filled)
+        places.append((lane, at))
+        heapq.heappush(filled, (at + size, lane))
+    shape = (wide, max(at for at, _ in filled))
+    inputs, targets, owner = np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, np.int32)
+    for i, (text, size, (lane, at)) in enumerate(zip(texts, sizes, places, strict=True)):
+        inputs[lane, at : at + size], targets[lane, at : at + size], owner[lane, at : at + size] = text[:-1], text[1:], i
+    return tuple(np.ascontiguousarray(table.T) for table in (inputs, targets, owner))
+
+
+def log_likelihoods(vocabulary: Vocabulary, w: dict, texts: list[np.ndarray], rows: int = 1024, window: int = 8) -> np.ndarray:
     """Natural log probability of whole texts (rows of places, each begun by the start).
 
-    Texts of like length go side by side; the state is carried across windows to the end of each text, however
-    long, and memory is bounded by ``rows`` x ``window`` states.
+    Texts go side by side in lanes, and in a lane one after the other; the state is carried across windows to the end of each
+    text, however long, and forgotten at the next start.  Memory is bounded by ``rows`` x ``window`` states, and by
+    PACKED words or one text.
     """
     total = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    for first in range(0, len(order), rows):
-        group = order[first : first + rows]
-        lengths = np.array([len(texts[i]) - 1 for i in group])
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        for at in range(0, lengths[0], window):
-            live = int((lengths > at).sum())
-            table = np.full((live, window + 1), -1, np.int64)
-            for j in range(live):
-                part = texts[group[j]][at : at + window + 1]
-                table[j, : len(part)] = part
-            h = h[:live]
-            width = min(window, int(lengths[0]) - at)
-            states = np.empty((width, live, HIDDEN), np.float32)
-            for t in range(width):
-                on = int((lengths[:live] > at + t).sum())
-                h[:on], _ = step(w, table[:on, t], h[:on])
-                states[t] = h
-            targets = table[:, 1 : width + 1].T
-            when, who = np.nonzero(targets >= 0)
-            out = log_probs(vocabulary, w, states[when, who], targets[when, who])
-            total[group[:live]] += np.bincount(who, out, live)
+    x, h3 = (np.ascontiguousarray(_gates(w[k])) for k in "xh")
+    x[:2] *= 0.5
+    room = Room()
+    first = 0
+    while first < len(order):
+        last, held = first + 1, len(texts[order[first]])
+        while last < len(order) and held + len(texts[order[last]]) <= PACKED:
+            held += len(texts[order[last]])
+            last += 1
+        group = order[first:last]
+        first = last
+        inputs, targets, owner = _lanes([texts[i] for i in group], rows)
+        wide = inputs.shape[1]
+        steps = max(1, rows * window // wide)
+        h = np.zeros((wide, HIDDEN), x.dtype)
+        sums = np.zeros(len(group))
+        for at in range(0, len(inputs), steps):
+            ids, wanted = inputs[at : at + steps], targets[at : at + steps].ravel()
+            added = x.take(ids, axis=1, out=room("x", (3, *ids.shape, HIDDEN), x), mode="clip")
+            states, _, _ = _walk(added, h3, h, room, ids == vocabulary.start)
+            h = states[-1]
+            real = np.flatnonzero(wanted >= 0)
+            flat = states[1:].reshape(-1, HIDDEN)
+            flat = flat if len(real) == len(flat) else flat.take(real, axis=0)
+            out = log_probs(vocabulary, w, flat, wanted.take(real), room=room)
+            sums += np.bincount(owner[at : at + steps].ravel()[real], out, len(group))
+        total[group] = sums
     return total

@@ -154,3 +154,39 @@ def test_rows_that_a_window_does_not_touch_stay():
     for k, g in grads.items():
         g = g / 8 * min(1, 5 / norm)
         assert np.allclose(trainer.weights[k], first[k] - 0.1 * g / np.sqrt(1e-2 + g * g), atol=1e-5), k
+
+
+def test_texts_are_packed_into_lanes():
+    """One long text takes as many steps as it has words, and the others go beside it; each word stands once."""
+    draw, known, w = tiny(7)
+    texts = [np.concatenate([[known.start], draw.integers(0, len(known.class_of), n)]) for n in (400, 90, 60, 60, 50, 50, 40, 30, 20)]
+    inputs, targets, owner = rn._lanes(texts, 1024)
+    assert inputs.shape == (400, 2)
+    for i, text in enumerate(texts):
+        here = (owner == i) & (targets >= 0)
+        assert sorted(targets[here]) == sorted(text[1:]) and (inputs[here] == known.start).sum() == 1
+    alone = [rn.log_likelihoods(known, w, [text])[0] for text in texts]
+    assert np.allclose(rn.log_likelihoods(known, w, texts), alone)
+
+
+def test_logits_far_apart_are_shifted_by_target():
+    draw, known, w = tiny(8)
+    w["ub"][:20] -= 900
+    states, every = draw.normal(0, 1, (40, rn.HIDDEN)), np.arange(40)
+    c = states @ w["c"] + w["cb"]
+    want = []
+    for i, h in enumerate(states):
+        at = known.class_of[i]
+        u = (w["u"] @ h + w["ub"])[known.edges[at] : known.edges[at + 1]]
+        log_sum = lambda x: x.max() + np.log(np.exp(x - x.max()).sum())
+        want.append(c[i, at] - log_sum(c[i]) + u[i - known.edges[at]] - log_sum(u))
+    assert np.allclose(rn.log_probs(known, w, states, every), want)
+
+
+def test_rows_of_an_id_are_added_up():
+    draw = np.random.default_rng(9)
+    ids, rows = np.minimum(draw.geometric(0.05, 900), 40), draw.normal(0, 1, (3, 900, rn.HIDDEN))
+    met, sums = rn._sums_by_id(rows, ids)
+    assert sorted(met) == sorted(set(ids)) and (np.bincount(ids) > rn.AT_ONCE).any()
+    for i, got in zip(met, sums, strict=True):
+        assert np.allclose(got, rows[:, ids == i].sum(axis=1).ravel())
