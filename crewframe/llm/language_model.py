@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +34,8 @@ ROUNDS = 4
 ROWS = 256
 #: batches of pieces that wait to be put side by side with others of like length
 BATCHES = 4
-#: distinct words a task counts before it hands them on
-COUNTED = 500_000
+#: bytes of texts that are split into words at once, or one text
+SPLIT = 1 << 25
 #: weights of replicas that one task averages
 FAN_IN = 16
 END = b""
@@ -47,9 +46,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case, and one end."""
-    return [*(text or "").encode().lower().split(), END]
+def token_arrays(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, A-Z in lower case, one end after those of each text; where each text's begin, and their number."""
+    # the blank put after a text gives it its end, and a blank before its first word an empty word that is none
+    ended = pc.binary_join_element_wise(pc.fill_null(texts, ""), "", " ")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(ended))
+    words, begins = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    first = begins[:-1]
+    empty = pc.equal(pc.binary_length(words.take(pa.array(first))), 0).to_numpy(zero_copy_only=False)
+    none = empty & (np.diff(begins) > 1)
+    if none.any():
+        keep = np.ones(len(words), bool)
+        keep[first[none]] = False
+        words = words.filter(pa.array(keep))
+        begins[1:] -= np.cumsum(none)
+    return words, begins
+
+
+def tokens(text: str | None) -> pa.Array:
+    """Words of one text, and one end."""
+    return token_arrays(pa.array([text], pa.string()))[0]
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` with at most SPLIT bytes of their last column, the text, at once, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes, dtype=np.int64)
+        first = 0
+        while first < len(total):
+            before = total[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(total, before + SPLIT, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def tail_class(word: bytes) -> int:
@@ -57,25 +86,15 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter = Counter()
-
-    def part() -> pd.DataFrame:
-        return pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
-
-    for batch in batches:
-        for text in batch["text"]:
-            seen.update(tokens(text))
-            if len(seen) > COUNTED:
-                yield part()
-                seen.clear()
-    if seen:
-        yield part()
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in portions(batches):
+        words, _ = token_arrays(part.column(0))
+        yield pa.RecordBatch.from_arrays(words.value_counts().flatten(), ["word", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all of ``docs`` (text); the end is the empty word."""
-    return docs.select("text").mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -111,7 +130,7 @@ class Lexicon:
             self.tail_n[at], self.tail_v[at] = n, v
         self.vocabulary = Vocabulary(first, self.tail_n)
         # by place among the held words: the network's place, log10 share, and that within the tail class
-        self.index = {w: i for i, (w, _) in enumerate(held)}
+        self.held = pa.array([w.decode() for w, _ in held], pa.string())
         self.ids = np.array([i if i < len(self.place) else self.tail_id(w) for i, (w, _) in enumerate(held)], np.int64)
         self.bases = np.array([self.base(n) for _, n in held])
         self.inside = np.array([0.0 if i < len(self.place) else self.in_tail(w, n) for i, (w, n) in enumerate(held)])
@@ -127,20 +146,19 @@ class Lexicon:
         at = tail_class(word)
         return float(np.log10((n + 0.5) / (self.tail_n[at] + 0.5 * (self.tail_v[at] + 1))))
 
-    def indexed(self, words: list[bytes]) -> np.ndarray:
+    def indexed(self, words: pa.Array) -> np.ndarray:
         """Place of each word among the held ones, or -1."""
-        get = self.index.get
-        return np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        return pc.fill_null(pc.index_in(words, value_set=self.held), -1).to_numpy()
 
-    def places(self, words: list[bytes], indexed: np.ndarray | None = None) -> np.ndarray:
-        """The start and the network's place of each word."""
+    def places(self, words: pa.Array, begins: np.ndarray | None = None, indexed: np.ndarray | None = None) -> np.ndarray:
+        """The network's place of each word, and the start where a text begins."""
         at = self.indexed(words) if indexed is None else indexed
-        out = np.empty(len(words) + 1, np.int64)
-        out[0] = self.vocabulary.start
-        out[1:] = self.ids[at] if len(self.ids) else 0
+        out = self.ids[at] if len(self.ids) else np.empty(len(at), np.int64)
         rare = np.flatnonzero(at < 0)
-        out[rare + 1] = [self.tail_id(words[i]) for i in rare.tolist()]
-        return out
+        last = pc.binary_slice(words.take(pa.array(rare)).cast(pa.binary()), -2).dictionary_encode()
+        classes = np.array([self.tail_id(w) for w in last.dictionary.to_pylist()], np.int64)
+        out[rare] = classes[last.indices.to_numpy()]
+        return np.insert(out, [0] if begins is None else begins, self.vocabulary.start)
 
 
 def training_runs(docs: DataFrame, lexicon) -> DataFrame:
@@ -151,10 +169,11 @@ def training_runs(docs: DataFrame, lexicon) -> DataFrame:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon.value
-        for batch in batches:
+        for part in portions(batches):
+            words, begins = token_arrays(part.column(1))
+            texts = np.split(known.places(words, begins[:-1]), begins[1:-1] + np.arange(1, len(begins) - 1))
             rounds, pieces = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places = known.places(tokens(text))
+            for doc_id, places in zip(part.column(0).to_pylist(), texts, strict=True):
                 for number, first in enumerate(range(0, len(places) - 1, PIECE)):
                     spot = zlib.crc32(f"{doc_id}/{number}".encode(), 1)
                     rounds.append(spot % ROUNDS)
@@ -238,26 +257,30 @@ def score(docs: DataFrame, lexicon, weights: dict[str, np.ndarray]) -> DataFrame
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(weights)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Lexicon = lexicon.value
-        for batch in batches:
-            rows, runs = [], []
-            for text in batch["text"]:
-                words = tokens(text)
-                at = known.indexed(words)
-                runs.append(known.places(words, at))
-                held = at[at >= 0]
-                rare = sorted(Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items())
-                base, inside = float(known.bases[held].sum()), float(known.inside[held].sum())
-                rows.append((len(words), len(held), base, inside, [w.decode() for w, _ in rare], [n for _, n in rare]))
+        for part in portions(batches):
+            words, begins = token_arrays(part.column(1))
+            n, sizes = part.num_rows, np.diff(begins)
+            owner, at = np.repeat(np.arange(n), sizes), known.indexed(words)
+            runs = np.split(known.places(words, begins[:-1], at), begins[1:-1] + np.arange(1, n))
             logs = log_likelihoods(known.vocabulary, sent.value, runs) / np.log(10)
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_held", "base_held", "score_held", "words", "times"])
-            out["score_held"] += logs
-            out.insert(0, "doc_id", list(batch["doc_id"]))
-            yield out
+            held, rare = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            of = owner[held]
+            base, inside = (np.bincount(of, shares[at[held]], n).astype(float) for shares in (known.bases, known.inside))
+            # the other words of each text, each once with how often it is there
+            other = words.take(pa.array(rare)).dictionary_encode()
+            one = max(1, len(other.dictionary))
+            pairs, times = np.unique(owner[rare] * one + other.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(n + 1) * one), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), pa.array(sizes), pa.array(np.bincount(of, minlength=n)), pa.array(base), pa.array(inside + logs),
+                pa.ListArray.from_arrays(ends, other.dictionary.take(pa.array(pairs % one))),
+                pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
+            ], ["doc_id", "n_tokens", "n_held", "base_held", "score_held", "words", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(scored, "doc_id string, " + SCORED)
+    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(scored, "doc_id string, " + SCORED)
     return ids.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

@@ -89,20 +89,24 @@ def _gates(rows: np.ndarray) -> np.ndarray:
     return np.moveaxis(rows.reshape(*rows.shape[:-1], 3, HIDDEN), -2, 0)
 
 
-def _walk(x: np.ndarray, h3: np.ndarray, h: np.ndarray, room: Room, fresh: np.ndarray | None = None) -> tuple:
+def _walk(
+    x: np.ndarray, h3: np.ndarray, h: np.ndarray, room: Room, fresh: np.ndarray | None = None, steps: int | None = None
+) -> tuple:
     """States of rows over a window, the one before it first; twice the gates z and r with half the third of ``h`` times the weights; n.
 
     ``x`` is what the inputs add to the gates (half of it for z and r), as (gate, step, row, unit), and ``h3`` the recurrent weights as
     (gate, unit, unit).  Rows marked in ``fresh`` (step, row) forget their state before that step.
+    Gates and n are of the last ``steps`` at least, all without a number: what no way back needs is overwritten while it is in the cache.
     """
+    steps = steps or x.shape[1]
     states = room("states", (x.shape[1] + 1, *x.shape[2:]), x)
     states[0] = h
-    back, n = room("back", x.shape, x), room("n", x.shape[1:], x)
+    back, n = room("back", (3, steps, *x.shape[2:]), x), room("n", (steps, *x.shape[2:]), x)
     # a sigmoid is half of one more than the tanh of half its input
     h3 = h3 * h3.dtype.type(0.5)
     begun = fresh.any(axis=1) if fresh is not None else np.zeros(x.shape[1], bool)
     for t in range(x.shape[1]):
-        before, gates, new, after = states[t], back[:, t], n[t], states[t + 1]
+        before, gates, new, after = states[t], back[:, t % steps], n[t % steps], states[t + 1]
         if begun[t]:
             before = np.where(fresh[t][:, None], before.dtype.type(0), before)
         np.matmul(before, h3, out=gates)
@@ -381,7 +385,7 @@ def log_likelihoods(vocabulary: Vocabulary, w: dict, texts: list[np.ndarray], ro
         for at in range(0, len(inputs), steps):
             ids, wanted = inputs[at : at + steps], targets[at : at + steps].ravel()
             added = x.take(ids, axis=1, out=room("x", (3, *ids.shape, HIDDEN), x), mode="clip")
-            states, _, _ = _walk(added, h3, h, room, ids == vocabulary.start)
+            states, _, _ = _walk(added, h3, h, room, ids == vocabulary.start, steps=1)
             h = states[-1]
             real = np.flatnonzero(wanted >= 0)
             flat = states[1:].reshape(-1, HIDDEN)

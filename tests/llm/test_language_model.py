@@ -1,8 +1,11 @@
 import math
+import random
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import ODD, documents, prose, words
 
 from crewframe.llm import language_model as lm
@@ -190,3 +193,60 @@ def test_rows_of_an_id_are_added_up():
     assert sorted(met) == sorted(set(ids)) and (np.bincount(ids) > rn.AT_ONCE).any()
     for i, got in zip(met, sums, strict=True):
         assert np.allclose(got, rows[:, ids == i].sum(axis=1).ravel())
+
+
+def test_words_of_many_texts_at_once():
+    draw = random.Random(10)
+    letters = " \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 　aAbBzZÄéİK\x00\U0001f600"
+    odd = ["".join(draw.choices(letters, k=draw.randint(0, 30))) for _ in range(2000)]
+    texts = [None, "", " ", "a", " a", "a ", "  \n", *odd, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for part in [batch, batch.slice(3, 50), batch.slice(0, 0)]:
+        found, begins = lm.token_arrays(part.column(1))
+        found = [w.encode() for w in found.to_pylist()]
+        got = [found[a:b] for a, b in zip(begins, begins[1:])]
+        assert got == [[*(t or "").encode().lower().split(), b""] for t in part.column(1).to_pylist()]
+
+
+def test_texts_are_split_in_portions(monkeypatch):
+    monkeypatch.setattr(lm, "SPLIT", 50)
+    texts = [None, "x" * 500, "", *["y" * 20] * 9, "z" * 51, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = [part.column(1).to_pylist() for part in lm.portions([batch])]
+    assert sum(parts, []) == texts
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= 50 for part in parts)
+
+
+def test_portions_change_no_row(spark, monkeypatch):
+    rows = [(10 + i, prose(i, 20 + i)) for i in range(40)] + ODD
+    docs = documents(spark, rows).coalesce(1)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.base_score)
+    whole = sorted(lm.log_scores(docs).collect(), key=key)
+    monkeypatch.setattr(lm, "SPLIT", 200)
+    check(lm.log_scores(docs).collect(), rows)
+    for a, b in zip(whole, sorted(lm.log_scores(docs).collect(), key=key), strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-4)
+
+
+def test_words_cost_no_python_call_each(spark):
+    """What is called for many rare words is what is called for few: tokens and places are made by the array."""
+    lexicon = lm.Lexicon(lm.word_counts(documents(spark, [(i, prose(i, 30)) for i in range(40)]).select("text")).cache())
+    texts = [" ".join(f"w{i}q" for i in range(n)) for n in (500, 5000)]
+    assert [len(lexicon.places(lm.tokens(t))) for t in texts] == [502, 5002]
+    calls = []
+    for text in texts:
+        seen = []
+        sys.setprofile(lambda _, event, what: seen.append(event))  # noqa: B023
+        lexicon.places(lm.tokens(text))
+        sys.setprofile(None)
+        calls.append(len(seen))
+    assert calls[1] < calls[0] + 100
+
+
+def test_scoring_keeps_the_gates_of_one_step():
+    draw, known, w = tiny(11)
+    h3 = np.ascontiguousarray(rn._gates(w["h"]))
+    x, h = draw.normal(0, 1, (3, 9, 4, rn.HIDDEN)), draw.normal(0, 1, (4, rn.HIDDEN))
+    whole, _, _ = rn._walk(x, h3, h, rn.Room())
+    states, back, n = rn._walk(x, h3, h, rn.Room(), steps=1)
+    assert np.array_equal(whole, states) and back.shape[1] == len(n) == 1
